@@ -5,14 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import urls
+from . import packing, urls
 from .common import table
+from .tokens import tokenizer_path
 
 #: (action, host, path)
 URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, in pieces of at most 2048 ids, with its place in a sequence."""
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages."""
     rules = [urls.prefix_rule(*r) for r in URL_RULES] + urls.spam_rules()
@@ -36,8 +44,8 @@ def _op8_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_url_filter": op8_url_filter}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op8_url_filter": op8_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": _op8_sql()}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op8_url_filter": _op8_sql()}
