@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, urls
+from . import language, packing, quality, toxicity, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -21,6 +21,33 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def _id_remainder(n: int):
+    """crc32 of the id's text, modulo n: what decides whether a row may be learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels.where(_id_remainder(3) != 1)))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(_id_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality counts and the verdict on every document."""
+    judged = quality.quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(language.training_rows(docs, _id_remainder(4) != 2))
+    named = language.identify(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", F.coalesce(_id_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages."""
     rules = [urls.prefix_rule(*r) for r in URL_RULES] + urls.spam_rules()
@@ -44,7 +71,7 @@ def _op8_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op8_url_filter": op8_url_filter}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op6_quality_rules, op7_language_id, op8_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
