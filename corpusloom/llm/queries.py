@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, toxicity, urls
+from . import decontaminate, language, packing, quality, toxicity, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -70,8 +70,15 @@ def _op8_sql() -> str:
     FROM b LEFT JOIN m USING (n)"""
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that lie inside phrases of the benchmark."""
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    named = F.concat_ws(",", F.array_sort("items"))
+    return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op6_quality_rules, op7_language_id, op8_url_filter)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op6_quality_rules, op7_language_id, op8_url_filter, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
