@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, packing, quality, toxicity, urls
+from . import decontaminate, jaccard, language, packing, quality, rans, toxicity, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -34,6 +34,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_id_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read back from the rANS files that were written from it."""
+    back = rans.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return back.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The size of every document's shingle set and the component that its links reach."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), percent=80, size=5)
@@ -83,7 +89,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op5_jaccard_join, op6_quality_rules, op7_language_id, op8_url_filter, op9_decontamination)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_files, op5_jaccard_join, op6_quality_rules, op7_language_id, op8_url_filter, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
