@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, packing, quality, rans, toxicity, urls
+from . import decontaminate, jaccard, language, packing, quality, rans, toxicity, urls, warc
 from .common import table
 from .tokens import tokenizer_path
 
@@ -88,8 +88,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, as read back from the archives that were written."""
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), least_bytes=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_files, op5_jaccard_join, op6_quality_rules, op7_language_id, op8_url_filter, op9_decontamination)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_files, op5_jaccard_join, op6_quality_rules, op7_language_id, op8_url_filter, op9_decontamination, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

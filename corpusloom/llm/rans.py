@@ -249,7 +249,7 @@ def write_corpus(docs: DataFrame, tokenizer: str, end_id: int, out: str, block_i
             nonlocal names, held, n_held, place, f
             if f is None:
                 store, at = file_system(path)
-                f = store.open_output_stream(at)
+                f = store.open_output_stream(at, compression=None)
             raw = coder.encode(names, held)
             f.write(raw)
             rows.append((part, len(rows), path, place, len(raw), len(names), n_held))
