@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, packing, quality, rans, toxicity, urls, warc
+from . import decontaminate, html_text, jaccard, language, packing, quality, rans, toxicity, urls, warc
 from .common import table
 from .tokens import tokenizer_path
 
@@ -40,6 +40,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, from its host's winning containers."""
+    read = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The size of every document's shingle set and the component that its links reach."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), percent=80, size=5)
@@ -94,7 +100,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_files, op5_jaccard_join, op6_quality_rules, op7_language_id, op8_url_filter, op9_decontamination, op10_warc)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_files, op4_html_extraction, op5_jaccard_join, op6_quality_rules, op7_language_id, op8_url_filter, op9_decontamination, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
