@@ -1 +1,6 @@
+"""Importing this package registers all queries."""
 
+from . import corpus
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "corpus"]
