@@ -1,6 +1,6 @@
 """Importing this package registers all queries."""
 
-from . import corpus
+from . import corpus, metrics, relations
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus"]
+__all__ = ["ORACLES", "QUERIES", "corpus", "metrics", "relations"]
