@@ -1,6 +1,6 @@
 """Importing this package registers all queries."""
 
-from . import corpus, metrics, relations
+from . import corpus, metrics, relations, sequences
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "metrics", "relations"]
+__all__ = ["ORACLES", "QUERIES", "corpus", "metrics", "relations", "sequences"]
