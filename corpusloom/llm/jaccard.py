@@ -36,6 +36,11 @@ FREQUENT_FROM, FREQUENT_MOST = 64, 1 << 21
 #: Tokens of a task that are counted before its counts are handed on, and of one range.
 COUNT_TOKENS, RANGE_TOKENS = 1 << 22, 1 << 21
 
+#: Most rows (two numbers each) of a list that is broadcast.
+BROADCAST_ROWS = 1_000_000
+#: Bits of a set's signature.
+SIGNATURE = 2048
+
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,6 +76,15 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return bool(common) and 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each token's hash. Where two signatures differ, one set has a token that
+    the other lacks, and no two bits are due to the same token: the number of bits that
+    differ is at most the size of the symmetric difference."""
+    bits = np.zeros(SIGNATURE, np.uint8)
+    bits[(tokens % np.uint64(SIGNATURE)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def short(tokens: np.ndarray) -> np.ndarray:
     """What the frequency of a token is looked up by."""
     return (tokens >> np.uint64(32)).astype(np.uint32)
@@ -101,7 +115,7 @@ def prefix_keys(tokens: np.ndarray, names: np.ndarray, counts: np.ndarray, perce
 
 
 def _first_pass(docs: DataFrame, size: int) -> DataFrame:
-    """A row per document (doc_id, node, n), and rows of token counts by range."""
+    """A row per document (doc_id, same, node, n), and rows of token counts by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held, seen = [], 0, set()
@@ -112,7 +126,7 @@ def _first_pass(docs: DataFrame, size: int) -> DataFrame:
             cut = np.flatnonzero(np.diff(top)) + 1
             parts = [(int(p[0] >> np.uint32(22)), p, c) for p, c in zip(np.split(names, cut), np.split(counts, cut), strict=True)]
             m = len(parts)
-            return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array([r for r, _, _ in parts], pa.int32()), pa.array([_planes(p) for _, p, _ in parts]), pa.array([_planes(c.astype(np.uint32), False) for _, _, c in parts])], names=["doc_id", "node", "n", "range", "tokens", "counts"])
+            return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array([r for r, _, _ in parts], pa.int32()), pa.array([_planes(p) for _, p, _ in parts]), pa.array([_planes(c.astype(np.uint32), False) for _, _, c in parts])], names=["doc_id", "same", "node", "n", "range", "tokens", "counts"])
 
         for b in batches:
             nodes, sizes = [], []
@@ -125,7 +139,7 @@ def _first_pass(docs: DataFrame, size: int) -> DataFrame:
                     held.append(short(tokens))
                     n_held += len(tokens)
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["doc_id", "node", "n", "range", "tokens", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), pa.array(nodes), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["doc_id", "same", "node", "n", "range", "tokens", "counts"])
             if n_held >= COUNT_TOKENS:
                 yield counted(b.column("doc_id").type)
                 held, n_held, seen = [], 0, set()
@@ -133,7 +147,7 @@ def _first_pass(docs: DataFrame, size: int) -> DataFrame:
             yield counted(b.column("doc_id").type)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, n long, range int, tokens binary, counts binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("same")).mapInArrow(run, f"doc_id {kind}, same long, node binary, n long, range int, tokens binary, counts binary")
 
 
 def _planes(x: np.ndarray, ascending: bool = True) -> bytes:
@@ -172,14 +186,14 @@ def frequent_tokens(counted: DataFrame, total: int) -> tuple[np.ndarray, np.ndar
 
 
 def _indexed(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
-    """A row for each distinct set of a task: node, n and its index keys."""
+    """A row for each distinct set of a task: node, n, signature and its index keys."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = held.value
         seen: set[bytes] = set()
         for b in batches:
-            nodes, sizes, singles, combined = [], [], [], []
+            nodes, sizes, bits, singles, combined = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 tokens = shingles(text, size)
                 node = fingerprint(tokens)
@@ -191,28 +205,47 @@ def _indexed(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
                 s, c = prefix_keys(tokens, names, counts, percent)
                 nodes.append(node)
                 sizes.append(len(tokens))
+                bits.append(signature(tokens))
                 singles.append(s.view(np.int64))
                 combined.append(c.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(singles, pa.list_(pa.int64())), pa.array(combined, pa.list_(pa.int64()))], names=["node", "n", "singles", "combined"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(singles, pa.list_(pa.int64())), pa.array(combined, pa.list_(pa.int64()))], names=["node", "n", "bits", "singles", "combined"])
 
-    return docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("text").mapInArrow(run, "node binary, n long, singles array<long>, combined array<long>")
+    return docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("text").mapInArrow(run, "node binary, n long, bits array<long>, singles array<long>, combined array<long>")
 
 
 def _buckets(index: DataFrame) -> DataFrame:
-    """(key, id, n, leader): the members of each bucket of two or more but its smallest, the leader.
+    """(key, id, leader): the members of each bucket of two or more but its smallest, the leader.
 
     Buckets of single tokens are small, as the tokens are rare; those of combinations may
     be of any size, so their leaders are found by a pre-aggregated minimum.
     """
-    single = index.select(F.explode("singles").alias("key"), "id", "n")
-    single = single.selectExpr("key", "id", "n", "first(struct(id, n)) OVER (PARTITION BY key ORDER BY id) AS leader").where("id <> leader.id")
-    pairs = index.where(F.size("combined") > 0).select(F.explode("combined").alias("key"), "id", "n")
-    leaders = pairs.groupBy("key").agg(F.min(F.struct("id", "n")).alias("leader"), F.count("*").alias("m")).where("m > 1").drop("m")
-    return single.unionByName(pairs.join(leaders, "key").where("id <> leader.id").select("key", "id", "n", "leader"))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts are linked."""
+    single = index.select(F.explode("singles").alias("key"), "id")
+    single = single.selectExpr("key", "id", "first(id) OVER (PARTITION BY key ORDER BY id) AS leader").where("id <> leader")
+    pairs = index.where(F.size("combined") > 0).select(F.explode("combined").alias("key"), "id")
+    leaders = pairs.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("m")).where("m > 1").drop("m")
+    return single.unionByName(pairs.join(leaders, "key").where("id <> leader").select("key", "id", "leader"))
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The distinct (a, b) of ``pairs`` that sizes and signatures (id, n, bits) don't rule out."""
+    one = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    two = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = pairs.distinct().join(one, "a").join(two, "b")
+    fits = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)") & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    return both.where(fits).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose whole texts are linked; only these texts are moved."""
+    pairs = staged(pairs, "pairs")
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+    wanted = staged(nodes.join(wanted, "id").select(F.col("id").alias("doc_id"), "same"), "wanted")
+    # A short list goes to the texts; a long one meets them in a shuffle.
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = docs.withColumn("same", F.xxhash64("text")).join(wanted, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"])
+    texts = staged(texts.select(F.col("doc_id").alias("id"), "text"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
@@ -231,7 +264,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return staged(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -269,62 +302,46 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     kind = docs.schema["doc_id"].dataType
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted, counted_at = staged_at(_first_pass(docs, size), "tokens")
-    rows = staged(counted.where("node IS NOT NULL").select("doc_id", "node", "n"), "sets")
+    rows = staged(counted.where("node IS NOT NULL").select("doc_id", "same", "node", "n"), "sets")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = frequent_tokens(counted, total)
     drop_dir(counted_at)
 
     filled = rows.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = filled.groupBy("node").agg(F.min("doc_id").alias("id"))
-    index = _indexed(docs, frequent, size, percent).groupBy("node").agg(F.first(F.struct("n", "singles", "combined")).alias("s"))
-    index = staged(index.join(nodes, "node").select("id", "s.n", "s.singles", "s.combined"), "index")
+    nodes = filled.groupBy("node").agg(F.min(F.struct("doc_id", "same")).alias("first")).select("node", F.col("first.doc_id").alias("id"), "first.same")
+    index = _indexed(docs, frequent, size, percent).groupBy("node").agg(F.first(F.struct("n", "bits", "singles", "combined")).alias("s"))
+    index = staged(index.join(nodes, "node").select("id", "s.n", "s.bits", "s.singles", "s.combined"), "index")
     buckets = staged(_buckets(index), "buckets")
+    sets = index.select("id", "n", "bits")
 
-    # Texts of the sets that share a bucket with another.
-    members = buckets.select("id").union(buckets.select("leader.id")).distinct()
-    wanted = nodes.join(members, "id")
-    texts = docs.join(wanted.select(F.col("id").alias("doc_id"), "node"), "doc_id").withColumn("same", F.xxhash64("text"))
-    texts = staged(_own_text(texts.dropDuplicates(["doc_id", "node", "same"]), size), "texts")
-
-    fits = lambda n, m: F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
-    # First, each set against the leader that it shares most buckets with.
-    shared = buckets.where(fits("n", "leader.n")).groupBy("id", F.col("leader.id").alias("leader")).count()
-    first = shared.groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("b")).withColumnRenamed("id", "a")
-    links = staged(_verified(first, texts, size, percent), "links")
+    # First, each set against the leaders of its buckets.
+    first = _near(buckets.select(F.col("id").alias("a"), F.col("leader").alias("b")), sets, percent)
+    links = _verified(first, docs, nodes, size, percent)
     label = components(links)
 
-    # Then members of a bucket that are in different components, against each other.
-    everyone = buckets.select("key", "id", "n").union(buckets.select("key", "leader.id", "leader.n").distinct())
+    # Then members of a bucket that are in different components, against each other. Of
+    # buckets with the same members one is enough.
+    everyone = buckets.select("key", "id").union(buckets.select("key", F.col("leader").alias("id")).distinct())
     labelled = everyone.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    apart = staged(labelled.join(split, "key"), "apart")
-    x = apart.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    y = apart.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    across = x.join(y, "key").where((F.col("c_a") < F.col("c_b")) & fits("n_a", "n_b")).select("a", "b").distinct()
-    more = staged(_verified(staged(across, "pairs"), texts, size, percent), "links")
+    mark = lambda k: F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)"))
+    kept = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), mark(1).alias("x"), mark(2).alias("y"))
+    kept = kept.where("low < high").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
+    apart = staged(labelled.join(kept, "key"), "apart")
+    x = apart.select("key", F.col("id").alias("a"), F.col("component").alias("c_a"))
+    y = apart.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"))
+    across = x.join(y, "key").where(F.col("c_a") < F.col("c_b")).select("a", "b")
+    more = _verified(_near(across, sets, percent), docs, nodes, size, percent)
     if not more.isEmpty():
         label = components(links.unionByName(more).unionByName(_same_id(filled, nodes)))
     elif not (same := staged(_same_id(filled, nodes), "links")).isEmpty():
         label = components(links.unionByName(same))
 
-    named = rows.join(nodes, "node", "left").join(label, "id", "left")
+    named = rows.join(nodes.select("node", "id"), "node", "left").join(label, "id", "left")
     found = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("doc_id"))
     return named.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), found.cast(kind).alias("component_id"))
 
 
 def _same_id(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between different sets that have a doc_id in common."""
-    named = rows.join(nodes, "node").select("doc_id", "id")
+    named = rows.join(nodes.select("node", "id"), "node").select("doc_id", "id")
     return named.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).join(nodes.select(F.col("id").alias("a")), "a", "left_semi")
-
-
-def _own_text(texts: DataFrame, size: int) -> DataFrame:
-    """(id, text) of the rows whose text has the set that their node names."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [fingerprint(shingles(t, size)) == n for t, n in zip(b.column("text").to_pylist(), b.column("node").to_pylist(), strict=True)]
-            b = b.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text")], names=["id", "text"])
-
-    return texts.select("doc_id", "node", "text").mapInArrow(run, "id long, text string")

@@ -27,45 +27,43 @@ def sql_count(c: str, words) -> str:
     return "(" + " + ".join(f"contains({c}, {q(w)})::int" for w in words) + ")"
 
 
-t = F.col("text")
-CPP, JAVA, PY, CS = (T.found_count(t, m) for m in (R.CPP_MARKERS, R.JAVA_MARKERS, R.PYTHON_MARKERS, R.CSHARP_MARKERS))
 S_CPP, S_JAVA, S_PY, S_CS = (sql_count("text", m) for m in (R.CPP_MARKERS, R.JAVA_MARKERS, R.PYTHON_MARKERS, R.CSHARP_MARKERS))
 CHAT_WORDS = ("le ", "la ", "les ", "des ")
 EU = ("fr", "de", "es", "it", "pt", "nl", "pl")
 
 #: Predicates: which documents pass.
 PREDICATES = {
-    "f01_char_bounds": (F.length(T.strip(t)).between(8, 600), f"length({STRIP}) BETWEEN 8 AND 600"),
-    "f02_word_bounds": (T.word_count(t).between(3, 400), f"{WORDS} BETWEEN 3 AND 400"),
-    "f03_non_empty": ((T.strip(t) != "") & (T.strip("source") != ""), f"{STRIP} <> '' AND trim(source) <> ''"),
-    "f04_keyword_any": (T.any_of(F.lower(t), CHAT_WORDS), sql_any("lower(text)", CHAT_WORDS)),
-    "f05_include_exclude_regex": (F.substring(t, 1, 500).rlike("(?i)licen[cs]e") & ~F.substring(t, 1, 500).rlike("(?i)apache") & (F.length(t) >= 30), "regexp_matches(substr(text, 1, 500), '(?i)licen[cs]e') AND NOT regexp_matches(substr(text, 1, 500), '(?i)apache') AND length(text) >= 30"),
-    "f06_min_markers": (T.found_count(t, ("The", "the ", "of ", " is ", "MIT", "License")) >= 2, sql_count("text", ("The", "the ", "of ", " is ", "MIT", "License")) + " >= 2"),
-    "f07_keyword_count_bits": (T.found_count(t, ("tion", "ing")) + t.rlike(r"\d+ ?<< ?\d+|&&").cast("int") >= 2, sql_count("text", ("tion", "ing")) + r" + regexp_matches(text, '\d+ ?<< ?\d+|&&')::int >= 2"),
-    "f08_component_count": (T.found_count(F.lower(t), ("led", "can", "heat", "ment")) >= 1, sql_count("lower(text)", ("led", "can", "heat", "ment")) + " >= 1"),
-    "f09_java_contaminated": (JAVA >= 2, f"{S_JAVA} >= 2"),
-    "f10_python_contaminated": ((PY >= 2) & (CPP < 2), f"{S_PY} >= 2 AND {S_CPP} < 2"),
-    "f11_csharp_contaminated": (((CS >= 2) & ~F.contains(t, F.lit("#include"))) | (CS >= 3), f"({S_CS} >= 2 AND NOT contains(text, '#include')) OR {S_CS} >= 3"),
-    "f12_contaminated": ((JAVA >= 2) | (CS >= 2) | ((PY >= 2) & (CPP < 2)), f"{S_JAVA} >= 2 OR {S_CS} >= 2 OR ({S_PY} >= 2 AND {S_CPP} < 2)"),
-    "f13_language_in_set": (F.col("lang").isin(*EU), "lang IN ('fr', 'de', 'es', 'it', 'pt', 'nl', 'pl')"),
-    "f14_ascii_ratio": (T.ascii_share_above(t, 0.97), r"length(regexp_replace(text, '[^\p{L}]', '', 'g')) > 0 AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 0.97 * length(regexp_replace(text, '[^\p{L}]', '', 'g'))"),
-    "f15_template_leak": (~t.rlike(R.LEAK_PATTERN), f"NOT regexp_matches(text, {q(R.LEAK_PATTERN)})"),
-    "f16_mojibake": (T.any_of(t, R.CORRUPT_MARKERS), sql_any("text", R.CORRUPT_MARKERS)),
-    "f17_line_bounds": (T.line_count(t).between(10, 400), r"len(string_split(text, chr(10))) BETWEEN 10 AND 400"),
-    "f18_spdx_allowed": (F.upper(F.regexp_extract(t, r"(MIT|Apache|GNU|CC BY-NC)", 1)).isin("MIT", "APACHE"), "upper(regexp_extract(text, '(MIT|Apache|GNU|CC BY-NC)', 1)) IN ('MIT', 'APACHE')"),
-    "f25_html_or_css": (T.any_of(t, ("<html", "<div", "</p>")) | ((T.found_count(t, ("color", "margin", "px")) >= 2) & F.contains(t, F.lit("{"))), sql_any("text", ("<html", "<div", "</p>")) + " OR (" + sql_count("text", ("color", "margin", "px")) + " >= 2 AND contains(text, '{'))"),
-    "f26_import_patterns": (t.rlike("(?m)^import ").cast("int") + t.rlike("(?m)^from .* import").cast("int") + t.rlike("Licen[sc]e").cast("int") >= 1, "regexp_matches(text, '(?m)^import ')::int + regexp_matches(text, '(?m)^from .* import')::int + regexp_matches(text, 'Licen[sc]e')::int >= 1"),
-    "f27_seed_markers": (F.col("source").isin("src1", "src2") | T.any_of(t, ("#!/bin", "idiot", "scum")), "source IN ('src1', 'src2') OR " + sql_any("text", ("#!/bin", "idiot", "scum"))),
-    "f43_word_list_regex": (t.rlike(r"(?i)(^|[^a-z])(license|licensed|released)([^a-z]|$)"), "regexp_matches(text, '(?i)(^|[^a-z])(license|licensed|released)([^a-z]|$)')"),
-    "f44_length_window": (F.length(t).between(20, 8000), "length(text) BETWEEN 20 AND 8000"),
-    "f35_page_skip": ((F.length(T.strip(t)) >= 50) & (F.col("n_chars") >= 60), f"length({STRIP}) >= 50 AND n_chars >= 60"),
-    "f39_quarantine": (~F.col("source").isin("src3", "src7"), "source NOT IN ('src3', 'src7')"),
-    "f40_blocked_alias": (F.col("source") == "src9", "source = 'src9'"),
+    "f01_char_bounds": (lambda t: F.length(T.strip(t)).between(8, 600), f"length({STRIP}) BETWEEN 8 AND 600"),
+    "f02_word_bounds": (lambda t: T.word_count(t).between(3, 400), f"{WORDS} BETWEEN 3 AND 400"),
+    "f03_non_empty": (lambda t: (T.strip(t) != "") & (T.strip("source") != ""), f"{STRIP} <> '' AND trim(source) <> ''"),
+    "f04_keyword_any": (lambda t: T.any_of(F.lower(t), CHAT_WORDS), sql_any("lower(text)", CHAT_WORDS)),
+    "f05_include_exclude_regex": (lambda t: F.substring(t, 1, 500).rlike("(?i)licen[cs]e") & ~F.substring(t, 1, 500).rlike("(?i)apache") & (F.length(t) >= 30), "regexp_matches(substr(text, 1, 500), '(?i)licen[cs]e') AND NOT regexp_matches(substr(text, 1, 500), '(?i)apache') AND length(text) >= 30"),
+    "f06_min_markers": (lambda t: T.found_count(t, ("The", "the ", "of ", " is ", "MIT", "License")) >= 2, sql_count("text", ("The", "the ", "of ", " is ", "MIT", "License")) + " >= 2"),
+    "f07_keyword_count_bits": (lambda t: T.found_count(t, ("tion", "ing")) + t.rlike(r"\d+ ?<< ?\d+|&&").cast("int") >= 2, sql_count("text", ("tion", "ing")) + r" + regexp_matches(text, '\d+ ?<< ?\d+|&&')::int >= 2"),
+    "f08_component_count": (lambda t: T.found_count(F.lower(t), ("led", "can", "heat", "ment")) >= 1, sql_count("lower(text)", ("led", "can", "heat", "ment")) + " >= 1"),
+    "f09_java_contaminated": (lambda t: T.found_count(t, R.JAVA_MARKERS) >= 2, f"{S_JAVA} >= 2"),
+    "f10_python_contaminated": (lambda t: (T.found_count(t, R.PYTHON_MARKERS) >= 2) & (T.found_count(t, R.CPP_MARKERS) < 2), f"{S_PY} >= 2 AND {S_CPP} < 2"),
+    "f11_csharp_contaminated": (lambda t: ((T.found_count(t, R.CSHARP_MARKERS) >= 2) & ~F.contains(t, F.lit("#include"))) | (T.found_count(t, R.CSHARP_MARKERS) >= 3), f"({S_CS} >= 2 AND NOT contains(text, '#include')) OR {S_CS} >= 3"),
+    "f12_contaminated": (lambda t: (T.found_count(t, R.JAVA_MARKERS) >= 2) | (T.found_count(t, R.CSHARP_MARKERS) >= 2) | ((T.found_count(t, R.PYTHON_MARKERS) >= 2) & (T.found_count(t, R.CPP_MARKERS) < 2)), f"{S_JAVA} >= 2 OR {S_CS} >= 2 OR ({S_PY} >= 2 AND {S_CPP} < 2)"),
+    "f13_language_in_set": (lambda t: F.col("lang").isin(*EU), "lang IN ('fr', 'de', 'es', 'it', 'pt', 'nl', 'pl')"),
+    "f14_ascii_ratio": (lambda t: T.ascii_share_above(t, 0.97), r"length(regexp_replace(text, '[^\p{L}]', '', 'g')) > 0 AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 0.97 * length(regexp_replace(text, '[^\p{L}]', '', 'g'))"),
+    "f15_template_leak": (lambda t: ~t.rlike(R.LEAK_PATTERN), f"NOT regexp_matches(text, {q(R.LEAK_PATTERN)})"),
+    "f16_mojibake": (lambda t: T.any_of(t, R.CORRUPT_MARKERS), sql_any("text", R.CORRUPT_MARKERS)),
+    "f17_line_bounds": (lambda t: T.line_count(t).between(10, 400), r"len(string_split(text, chr(10))) BETWEEN 10 AND 400"),
+    "f18_spdx_allowed": (lambda t: F.upper(F.regexp_extract(t, r"(MIT|Apache|GNU|CC BY-NC)", 1)).isin("MIT", "APACHE"), "upper(regexp_extract(text, '(MIT|Apache|GNU|CC BY-NC)', 1)) IN ('MIT', 'APACHE')"),
+    "f25_html_or_css": (lambda t: T.any_of(t, ("<html", "<div", "</p>")) | ((T.found_count(t, ("color", "margin", "px")) >= 2) & F.contains(t, F.lit("{"))), sql_any("text", ("<html", "<div", "</p>")) + " OR (" + sql_count("text", ("color", "margin", "px")) + " >= 2 AND contains(text, '{'))"),
+    "f26_import_patterns": (lambda t: t.rlike("(?m)^import ").cast("int") + t.rlike("(?m)^from .* import").cast("int") + t.rlike("Licen[sc]e").cast("int") >= 1, "regexp_matches(text, '(?m)^import ')::int + regexp_matches(text, '(?m)^from .* import')::int + regexp_matches(text, 'Licen[sc]e')::int >= 1"),
+    "f27_seed_markers": (lambda t: F.col("source").isin("src1", "src2") | T.any_of(t, ("#!/bin", "idiot", "scum")), "source IN ('src1', 'src2') OR " + sql_any("text", ("#!/bin", "idiot", "scum"))),
+    "f43_word_list_regex": (lambda t: t.rlike(r"(?i)(^|[^a-z])(license|licensed|released)([^a-z]|$)"), "regexp_matches(text, '(?i)(^|[^a-z])(license|licensed|released)([^a-z]|$)')"),
+    "f44_length_window": (lambda t: F.length(t).between(20, 8000), "length(text) BETWEEN 20 AND 8000"),
+    "f35_page_skip": (lambda t: (F.length(T.strip(t)) >= 50) & (F.col("n_chars") >= 60), f"length({STRIP}) >= 50 AND n_chars >= 60"),
+    "f39_quarantine": (lambda t: ~F.col("source").isin("src3", "src7"), "source NOT IN ('src3', 'src7')"),
+    "f40_blocked_alias": (lambda t: F.col("source") == "src9", "source = 'src9'"),
 }
 
 
 def _passing(condition):
-    return lambda spark, sf: table(spark, sf, "documents").where(condition).select("doc_id")
+    return lambda spark, sf: table(spark, sf, "documents").where(condition(F.col("text"))).select("doc_id")
 
 
 for _name, (_condition, _sql) in PREDICATES.items():
@@ -81,33 +79,33 @@ SQL_COMPLEX = lambda c: f"CASE WHEN {c} IS NULL OR ({SQL_WORDS.format(c=c)} < 15
 
 #: Scalar rules: a value for each document.
 VALUES = {
-    "p10_content_hash": (T.short_hash(t), "substr(sha256(text), 1, 16)"),
-    "p11_fingerprint": (T.strip(F.substring(t, 1, 200)), SQL_STRIP.format(c="substr(text, 1, 200)")),
-    "p12_token_estimate": (T.token_estimate(t), "floor(length(text) / 3.5)::bigint"),
-    "p16_context_snippet": (F.when(F.instr(t, "MIT") > 0, F.concat(F.when(F.instr(t, "MIT") > 41, "...").otherwise(""), F.expr("substring(text, greatest(1, instr(text, 'MIT') - 40), least(40, instr(text, 'MIT') - 1))"), F.lit("[MIT]"), F.expr("substring(text, instr(text, 'MIT') + 3, 40)"), F.when(F.length(t) > F.instr(t, "MIT") + 42, "...").otherwise(""))), "CASE WHEN strpos(text, 'MIT') > 0 THEN (CASE WHEN strpos(text, 'MIT') > 41 THEN '...' ELSE '' END) || substr(text, greatest(1, strpos(text, 'MIT') - 40)::bigint, least(40, strpos(text, 'MIT') - 1)::bigint) || '[MIT]' || substr(text, strpos(text, 'MIT') + 3, 40) || (CASE WHEN length(text) > strpos(text, 'MIT') + 42 THEN '...' ELSE '' END) END"),
-    "p17_head_and_tail": (T.head_and_tail(t), "CASE WHEN length(text) > 1000 THEN left(text, 256) || ' ... ' || right(text, 256) ELSE text END"),
-    "p19_title_template": (T.first_rule(F.lower(F.substring(t, 1, 80)), tuple((k, v) for ks, v in R.TITLE_RULES for k in ks), "topic"), "CASE " + " ".join(f"WHEN contains(lower(substr(text, 1, 80)), {q(k)}) THEN {q(v)}" for ks, v in R.TITLE_RULES for k in ks) + " ELSE 'topic' END"),
-    "p18_instruction_merge": (F.concat(F.lit("Read:"), F.when(T.strip(F.substring(t, 1, 40)) != "", F.concat(F.lit("\n\n"), F.substring(t, 1, 40))).otherwise("")), "'Read:' || CASE WHEN " + SQL_STRIP.format(c="substr(text, 1, 40)") + " <> '' THEN chr(10) || chr(10) || substr(text, 1, 40) ELSE '' END"),
-    "p20_change_template": (F.when(F.length(F.substring(t, 1, 30)) > 10, F.concat(F.lit("Modify this "), F.col("lang"), F.lit(" text:\n"), F.substring(t, 1, 2000))).otherwise(F.concat(F.lit("Write "), F.col("lang"))), "CASE WHEN length(substr(text, 1, 30)) > 10 THEN 'Modify this ' || lang || ' text:' || chr(10) || substr(text, 1, 2000) ELSE 'Write ' || lang END"),
-    "p21_context_prefix": (F.when(F.length("source") > 4, F.concat(F.lit("Source: "), F.col("source"), F.lit("\n"), F.substring(t, 1, 100))).otherwise(F.substring(t, 1, 100)), "CASE WHEN length(source) > 4 THEN 'Source: ' || source || chr(10) || substr(text, 1, 100) ELSE substr(text, 1, 100) END"),
-    "p22_cut_with_mark": (T.cut(t, 500, "..."), "CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END"),
-    "x01_page_clean": (T.clean_pages(t), r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?im)^(?:(?:Page\s+)?\d+(?:\s+of\s+\d+)?|AN\d+|Rev\.?\s*\d+|Doc\s*ID\s*\d+|www\.\S+)\s*$', '', 'g'), '(\w)-\n(\w)', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')"),
-    "x02_language_guess": (T.guess_language(t), SQL_GUESS),
-    "x03_wiki_clean": (F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1"), r"\{\{[^}]*\}\}", ""), "<[^>]+>", ""), 1, 3000), r"substr(regexp_replace(regexp_replace(regexp_replace(text, '\[\[(?:[^|\]]*\|)?([^\]]+)\]\]', '\1', 'g'), '\{\{[^}]*\}\}', '', 'g'), '<[^>]+>', '', 'g'), 1, 3000)"),
-    "x05_readme_strip": (T.cut(T.strip(F.regexp_replace(F.regexp_replace(t, r"<[^>]+>", ""), r"!?\[[^\]]*\]\([^)]*\)", "")), 2000, "..."), r"CASE WHEN length(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '!?\[[^\]]*\]\([^)]*\)', '', 'g'), '^\s+|\s+$', '', 'g')) > 2000 THEN substr(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '!?\[[^\]]*\]\([^)]*\)', '', 'g'), '^\s+|\s+$', '', 'g'), 1, 2000) || '...' ELSE regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '!?\[[^\]]*\]\([^)]*\)', '', 'g'), '^\s+|\s+$', '', 'g') END"),
-    "x08_platform_class": (F.when(F.contains(F.lower(t), F.lit("esp")), "ESP32").when(T.any_of(F.lower(t), ("stm32", "hal_")), "STM32").when(T.any_of(F.lower(t), ("arduino", ".ino")), "Arduino/AVR").otherwise("generic"), _PLATFORM),
-    "x09_peripheral_class": (T.first_rule(F.lower(F.substring(t, 1, 600)), R.PERIPHERALS, "misc"), _PERIPHERAL),
-    "x12_dominant_type": (F.expr("CASE WHEN greatest(regexp_count(text, '(?i)the'), regexp_count(text, '(?i)der'), regexp_count(text, '(?i)que')) = 0 THEN 'mixed' WHEN array_sort(array(regexp_count(text, '(?i)the'), regexp_count(text, '(?i)der'), regexp_count(text, '(?i)que')))[1] >= 0.6 * greatest(regexp_count(text, '(?i)the'), regexp_count(text, '(?i)der'), regexp_count(text, '(?i)que')) THEN 'mixed' WHEN regexp_count(text, '(?i)the') > regexp_count(text, '(?i)der') AND regexp_count(text, '(?i)the') > regexp_count(text, '(?i)que') THEN 'the' WHEN regexp_count(text, '(?i)der') > regexp_count(text, '(?i)que') THEN 'der' ELSE 'que' END"), "(WITH c AS (SELECT len(regexp_extract_all(text, '(?i)the')) AS a, len(regexp_extract_all(text, '(?i)der')) AS b, len(regexp_extract_all(text, '(?i)que')) AS e) SELECT CASE WHEN greatest(a, b, e) = 0 THEN 'mixed' WHEN list_sort([a, b, e])[2] >= 0.6 * greatest(a, b, e) THEN 'mixed' WHEN a > b AND a > e THEN 'the' WHEN b > e THEN 'der' ELSE 'que' END FROM c)"),
-    "x13_page_type": (F.when((F.length(T.strip(t)) < 50) & (T.line_count(t) < 3), "cover").when(T.line_count(t) >= 30, F.when(F.expr("regexp_count(text, '[|]')") > 0.6 * T.line_count(t), "table").otherwise("schematic")).when(T.line_count(t) > 10, "diagram").when(F.length(T.strip(t)) >= 200, "text").otherwise("sparse"), rf"CASE WHEN length({STRIP}) < 50 AND len(string_split(text, chr(10))) < 3 THEN 'cover' WHEN len(string_split(text, chr(10))) >= 30 THEN (CASE WHEN len(regexp_extract_all(text, '[|]')) > 0.6 * len(string_split(text, chr(10))) THEN 'table' ELSE 'schematic' END) WHEN len(string_split(text, chr(10))) > 10 THEN 'diagram' WHEN length({STRIP}) >= 200 THEN 'text' ELSE 'sparse' END"),
-    "x16_complexity": (T.complexity(t), SQL_COMPLEX("text")),
-    "x50_name_sanitise": (F.regexp_replace(F.substring(t, 1, 60), r"[^A-Za-z0-9._-]", "_"), "regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9._-]', '_', 'g')"),
-    "x54_word_tokens": (T.word_count(t), WORDS),
-    "x28_syntax_check": (F.expr("(length(text) - length(replace(text, '(', ''))) >= 5 AND length(replace(text, '(', '')) = length(replace(text, ')', ''))") | t.rlike(r"(?m)^\s*[RCLQDM][A-Z0-9_]*\s+\S+\s+\S+"), r"((length(text) - length(replace(text, '(', ''))) >= 5 AND length(replace(text, '(', '')) = length(replace(text, ')', ''))) OR regexp_matches(text, '(?m)^\s*[RCLQDM][A-Z0-9_]*\s+\S+\s+\S+')"),
+    "p10_content_hash": (lambda t: T.short_hash(t), "substr(sha256(text), 1, 16)"),
+    "p11_fingerprint": (lambda t: T.strip(F.substring(t, 1, 200)), SQL_STRIP.format(c="substr(text, 1, 200)")),
+    "p12_token_estimate": (lambda t: T.token_estimate(t), "floor(length(text) / 3.5)::bigint"),
+    "p16_context_snippet": (lambda t: F.when(F.instr(t, "MIT") > 0, F.concat(F.when(F.instr(t, "MIT") > 41, "...").otherwise(""), F.expr("substring(text, greatest(1, instr(text, 'MIT') - 40), least(40, instr(text, 'MIT') - 1))"), F.lit("[MIT]"), F.expr("substring(text, instr(text, 'MIT') + 3, 40)"), F.when(F.length(t) > F.instr(t, "MIT") + 42, "...").otherwise(""))), "CASE WHEN strpos(text, 'MIT') > 0 THEN (CASE WHEN strpos(text, 'MIT') > 41 THEN '...' ELSE '' END) || substr(text, greatest(1, strpos(text, 'MIT') - 40)::bigint, least(40, strpos(text, 'MIT') - 1)::bigint) || '[MIT]' || substr(text, strpos(text, 'MIT') + 3, 40) || (CASE WHEN length(text) > strpos(text, 'MIT') + 42 THEN '...' ELSE '' END) END"),
+    "p17_head_and_tail": (lambda t: T.head_and_tail(t), "CASE WHEN length(text) > 1000 THEN left(text, 256) || ' ... ' || right(text, 256) ELSE text END"),
+    "p19_title_template": (lambda t: T.first_rule(F.lower(F.substring(t, 1, 80)), tuple((k, v) for ks, v in R.TITLE_RULES for k in ks), "topic"), "CASE " + " ".join(f"WHEN contains(lower(substr(text, 1, 80)), {q(k)}) THEN {q(v)}" for ks, v in R.TITLE_RULES for k in ks) + " ELSE 'topic' END"),
+    "p18_instruction_merge": (lambda t: F.concat(F.lit("Read:"), F.when(T.strip(F.substring(t, 1, 40)) != "", F.concat(F.lit("\n\n"), F.substring(t, 1, 40))).otherwise("")), "'Read:' || CASE WHEN " + SQL_STRIP.format(c="substr(text, 1, 40)") + " <> '' THEN chr(10) || chr(10) || substr(text, 1, 40) ELSE '' END"),
+    "p20_change_template": (lambda t: F.when(F.length(F.substring(t, 1, 30)) > 10, F.concat(F.lit("Modify this "), F.col("lang"), F.lit(" text:\n"), F.substring(t, 1, 2000))).otherwise(F.concat(F.lit("Write "), F.col("lang"))), "CASE WHEN length(substr(text, 1, 30)) > 10 THEN 'Modify this ' || lang || ' text:' || chr(10) || substr(text, 1, 2000) ELSE 'Write ' || lang END"),
+    "p21_context_prefix": (lambda t: F.when(F.length("source") > 4, F.concat(F.lit("Source: "), F.col("source"), F.lit("\n"), F.substring(t, 1, 100))).otherwise(F.substring(t, 1, 100)), "CASE WHEN length(source) > 4 THEN 'Source: ' || source || chr(10) || substr(text, 1, 100) ELSE substr(text, 1, 100) END"),
+    "p22_cut_with_mark": (lambda t: T.cut(t, 500, "..."), "CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END"),
+    "x01_page_clean": (lambda t: T.clean_pages(t), r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?im)^(?:(?:Page\s+)?\d+(?:\s+of\s+\d+)?|AN\d+|Rev\.?\s*\d+|Doc\s*ID\s*\d+|www\.\S+)\s*$', '', 'g'), '(\w)-\n(\w)', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')"),
+    "x02_language_guess": (lambda t: T.guess_language(t), SQL_GUESS),
+    "x03_wiki_clean": (lambda t: F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1"), r"\{\{[^}]*\}\}", ""), "<[^>]+>", ""), 1, 3000), r"substr(regexp_replace(regexp_replace(regexp_replace(text, '\[\[(?:[^|\]]*\|)?([^\]]+)\]\]', '\1', 'g'), '\{\{[^}]*\}\}', '', 'g'), '<[^>]+>', '', 'g'), 1, 3000)"),
+    "x05_readme_strip": (lambda t: T.cut(T.strip(F.regexp_replace(F.regexp_replace(t, r"<[^>]+>", ""), r"!?\[[^\]]*\]\([^)]*\)", "")), 2000, "..."), r"CASE WHEN length(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '!?\[[^\]]*\]\([^)]*\)', '', 'g'), '^\s+|\s+$', '', 'g')) > 2000 THEN substr(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '!?\[[^\]]*\]\([^)]*\)', '', 'g'), '^\s+|\s+$', '', 'g'), 1, 2000) || '...' ELSE regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '!?\[[^\]]*\]\([^)]*\)', '', 'g'), '^\s+|\s+$', '', 'g') END"),
+    "x08_platform_class": (lambda t: F.when(F.contains(F.lower(t), F.lit("esp")), "ESP32").when(T.any_of(F.lower(t), ("stm32", "hal_")), "STM32").when(T.any_of(F.lower(t), ("arduino", ".ino")), "Arduino/AVR").otherwise("generic"), _PLATFORM),
+    "x09_peripheral_class": (lambda t: T.first_rule(F.lower(F.substring(t, 1, 600)), R.PERIPHERALS, "misc"), _PERIPHERAL),
+    "x12_dominant_type": (lambda t: F.expr("CASE WHEN greatest(regexp_count(text, '(?i)the'), regexp_count(text, '(?i)der'), regexp_count(text, '(?i)que')) = 0 THEN 'mixed' WHEN array_sort(array(regexp_count(text, '(?i)the'), regexp_count(text, '(?i)der'), regexp_count(text, '(?i)que')))[1] >= 0.6 * greatest(regexp_count(text, '(?i)the'), regexp_count(text, '(?i)der'), regexp_count(text, '(?i)que')) THEN 'mixed' WHEN regexp_count(text, '(?i)the') > regexp_count(text, '(?i)der') AND regexp_count(text, '(?i)the') > regexp_count(text, '(?i)que') THEN 'the' WHEN regexp_count(text, '(?i)der') > regexp_count(text, '(?i)que') THEN 'der' ELSE 'que' END"), "(WITH c AS (SELECT len(regexp_extract_all(text, '(?i)the')) AS a, len(regexp_extract_all(text, '(?i)der')) AS b, len(regexp_extract_all(text, '(?i)que')) AS e) SELECT CASE WHEN greatest(a, b, e) = 0 THEN 'mixed' WHEN list_sort([a, b, e])[2] >= 0.6 * greatest(a, b, e) THEN 'mixed' WHEN a > b AND a > e THEN 'the' WHEN b > e THEN 'der' ELSE 'que' END FROM c)"),
+    "x13_page_type": (lambda t: F.when((F.length(T.strip(t)) < 50) & (T.line_count(t) < 3), "cover").when(T.line_count(t) >= 30, F.when(F.expr("regexp_count(text, '[|]')") > 0.6 * T.line_count(t), "table").otherwise("schematic")).when(T.line_count(t) > 10, "diagram").when(F.length(T.strip(t)) >= 200, "text").otherwise("sparse"), rf"CASE WHEN length({STRIP}) < 50 AND len(string_split(text, chr(10))) < 3 THEN 'cover' WHEN len(string_split(text, chr(10))) >= 30 THEN (CASE WHEN len(regexp_extract_all(text, '[|]')) > 0.6 * len(string_split(text, chr(10))) THEN 'table' ELSE 'schematic' END) WHEN len(string_split(text, chr(10))) > 10 THEN 'diagram' WHEN length({STRIP}) >= 200 THEN 'text' ELSE 'sparse' END"),
+    "x16_complexity": (lambda t: T.complexity(t), SQL_COMPLEX("text")),
+    "x50_name_sanitise": (lambda t: F.regexp_replace(F.substring(t, 1, 60), r"[^A-Za-z0-9._-]", "_"), "regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9._-]', '_', 'g')"),
+    "x54_word_tokens": (lambda t: T.word_count(t), WORDS),
+    "x28_syntax_check": (lambda t: F.expr("(length(text) - length(replace(text, '(', ''))) >= 5 AND length(replace(text, '(', '')) = length(replace(text, ')', ''))") | t.rlike(r"(?m)^\s*[RCLQDM][A-Z0-9_]*\s+\S+\s+\S+"), r"((length(text) - length(replace(text, '(', ''))) >= 5 AND length(replace(text, '(', '')) = length(replace(text, ')', ''))) OR regexp_matches(text, '(?m)^\s*[RCLQDM][A-Z0-9_]*\s+\S+\s+\S+')"),
 }
 
 
 def _valued(c):
-    return lambda spark, sf: table(spark, sf, "documents").select("doc_id", c.alias("value"))
+    return lambda spark, sf: table(spark, sf, "documents").select("doc_id", c(F.col("text")).alias("value"))
 
 
 for _name, (_c, _sql) in VALUES.items():
@@ -227,7 +225,7 @@ def w30_inject(spark, sf):
   SELECT lang, count(*) AS total, count_if(rn > 2 * greatest(5, n // 10)) AS train, count_if(rn > greatest(5, n // 10) AND rn <= 2 * greatest(5, n // 10)) AS val, count_if(rn <= greatest(5, n // 10)) AS test FROM s GROUP BY lang""")
 def corpus_curate(spark, sf):
     """Filter, deduplicate, cap and split a corpus; count what each language gets."""
-    ok = _docs(spark, sf).where(F.length(T.strip("text")).between(8, 6000) & T.word_count("text").between(3, 400) & ~T.any_of(t, R.CORRUPT_MARKERS))
+    ok = _docs(spark, sf).where(F.length(T.strip("text")).between(8, 6000) & T.word_count("text").between(3, 400) & ~T.any_of(F.col("text"), R.CORRUPT_MARKERS))
     unique = ok.groupBy("lang", F.lower(T.strip("text")).alias("k")).agg(F.min("doc_id").alias("doc_id")).drop("k")
     capped = splits.cap(unique, "lang", "doc_id", 300).drop("rn")
     split = splits.split_at_floor(capped, ["lang"], "doc_id", [("test", 0.1), ("val", 0.1)], "train", least=5)
