@@ -202,7 +202,9 @@ def _indexed(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(node)
-                s, c = prefix_keys(tokens, names, counts, percent)
+                # Too few tokens to be linked with any other set: no keys.
+                few = 100 * len(tokens) < percent * (len(tokens) + 1)
+                s, c = prefix_keys(tokens[:0] if few else tokens, names, counts, percent)
                 nodes.append(node)
                 sizes.append(len(tokens))
                 bits.append(signature(tokens))
@@ -213,27 +215,60 @@ def _indexed(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
     return docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("text").mapInArrow(run, "node binary, n long, bits array<long>, singles array<long>, combined array<long>")
 
 
+def _postings(index: DataFrame, keys: str) -> DataFrame:
+    """(key, before, id): a row for each index key of a set, with the key before it in the set."""
+    each = F.expr(f"explode(transform({keys}, (x, i) -> struct(x AS key, IF(i > 0, {keys}[i - 1], NULL) AS before)))")
+    return index.where(F.size(keys) > 0).select(each.alias("p"), "id").select("p.key", "p.before", "id")
+
+
 def _buckets(index: DataFrame) -> DataFrame:
-    """(key, id, leader): the members of each bucket of two or more but its smallest, the leader.
+    """(key, before, id, leader): the members of each bucket of two or more; the smallest is its leader.
 
     Buckets of single tokens are small, as the tokens are rare; those of combinations may
     be of any size, so their leaders are found by a pre-aggregated minimum.
     """
-    single = index.select(F.explode("singles").alias("key"), "id")
-    single = single.selectExpr("key", "id", "first(id) OVER (PARTITION BY key ORDER BY id) AS leader").where("id <> leader")
-    pairs = index.where(F.size("combined") > 0).select(F.explode("combined").alias("key"), "id")
-    leaders = pairs.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("m")).where("m > 1").drop("m")
-    return single.unionByName(pairs.join(leaders, "key").where("id <> leader").select("key", "id", "leader"))
+    single = _postings(index, "singles")
+    single = single.selectExpr("*", "min(id) OVER (PARTITION BY key) AS leader", "max(id) OVER (PARTITION BY key) AS last")
+    single = single.where("leader < last").drop("last")
+    combined = _postings(index, "combined")
+    leaders = combined.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").drop("last")
+    return single.unionByName(combined.join(leaders, "key").select("key", "before", "id", "leader"))
+
+
+def _fits(percent: int):
+    """False for (n_a, bits_a), (n_b, bits_b) that sizes or signatures rule out."""
+    differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(SIGNATURE // 64)), F.lit(0))
+    sizes = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return sizes & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+
+
+def _side(sets: DataFrame, x: str) -> DataFrame:
+    return sets.select(*[F.col(c).alias(x if c == "id" else f"{c}_{x}" if c != "key" else c) for c in sets.columns])
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The distinct (a, b) of ``pairs`` that sizes and signatures (id, n, bits) don't rule out."""
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    two = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    both = pairs.distinct().join(one, "a").join(two, "b")
-    fits = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)") & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-    return both.where(fits).select("a", "b")
+    both = pairs.distinct().join(_side(sets, "a"), "a").join(_side(sets, "b"), "b")
+    return both.where(_fits(percent)).select("a", "b")
+
+
+def _across(buckets: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The distinct (a, b) in different components of a bucket that are not ruled out.
+
+    Two sets that have the key before this one in common meet in that key's bucket, so of
+    a run of common keys only the first makes a pair, and a bucket whose members all have
+    the same key before them makes none. Sizes and signatures are part of the join's
+    condition: what they rule out never becomes a row.
+    """
+    labelled = buckets.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    alike = (F.count("before") == F.count("*")) & (F.min("before") == F.max("before"))
+    kept = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), alike.alias("alike"))
+    kept = kept.where("low < high AND NOT alike").select("key")
+    apart = staged(labelled.join(kept, "key").select("key", "before", "id", "component"), "apart").join(sets, "id")
+    x, y = _side(apart, "a"), _side(apart, "b").withColumnRenamed("key", "key_b")
+    first = F.expr("before_a IS NULL OR before_b IS NULL OR before_a <> before_b")
+    meet = (F.col("key") == F.col("key_b")) & F.expr("component_a < component_b") & first & _fits(percent)
+    return x.join(y, meet).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -315,22 +350,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     sets = index.select("id", "n", "bits")
 
     # First, each set against the leaders of its buckets.
-    first = _near(buckets.select(F.col("id").alias("a"), F.col("leader").alias("b")), sets, percent)
+    first = _near(buckets.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")), sets, percent)
     links = _verified(first, docs, nodes, size, percent)
     label = components(links)
 
-    # Then members of a bucket that are in different components, against each other. Of
-    # buckets with the same members one is enough.
-    everyone = buckets.select("key", "id").union(buckets.select("key", F.col("leader").alias("id")).distinct())
-    labelled = everyone.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mark = lambda k: F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)"))
-    kept = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), mark(1).alias("x"), mark(2).alias("y"))
-    kept = kept.where("low < high").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
-    apart = staged(labelled.join(kept, "key"), "apart")
-    x = apart.select("key", F.col("id").alias("a"), F.col("component").alias("c_a"))
-    y = apart.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"))
-    across = x.join(y, "key").where(F.col("c_a") < F.col("c_b")).select("a", "b")
-    more = _verified(_near(across, sets, percent), docs, nodes, size, percent)
+    # Then members of a bucket that are in different components, against each other.
+    more = _verified(_across(buckets, label, sets, percent), docs, nodes, size, percent)
     if not more.isEmpty():
         label = components(links.unionByName(more).unionByName(_same_id(filled, nodes)))
     elif not (same := staged(_same_id(filled, nodes), "links")).isEmpty():
