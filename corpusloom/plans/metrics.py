@@ -189,7 +189,7 @@ def a28_win_counts(spark, sf):
     return m.agg(F.count_if(F.col("a") < F.col("b")).alias("wins_1"), F.count_if(F.col("a") > F.col("b")).alias("wins_2"))
 
 
-@query("SELECT p_brand, p_size % 3 AS version, round_even(avg(p_retailprice), 4)::double AS mean, count(*) AS n FROM part GROUP BY 1, 2")
+@query("SELECT p_brand, p_size % 3 AS version, round_even(sum(round(p_retailprice * 100)::bigint) / (count(*) * 100), 4)::double AS mean, count(*) AS n FROM part GROUP BY 1, 2")
 def a29_efficiency(spark, sf):
     """Prices are added up in cents: a mean that lies halfway doesn't depend on the order of the rows."""
     cents = F.sum(F.round(F.col("p_retailprice") * 100).cast("long"))
