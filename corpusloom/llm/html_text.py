@@ -23,6 +23,8 @@ from .urls import url_host
 
 #: A path needs this share of its host's votes to win, so a host has ten winners at most.
 LEAST_SHARE = 0.1
+#: A host with one page of so many or more is frequent: there are at most so many such hosts.
+FREQUENT_HOSTS = 1000
 
 # Kinds of HTML elements.
 RAW = ("script", "style", "textarea", "noscript", "template", "title", "iframe", "svg", "xmp", "noembed", "noframes")
@@ -253,12 +255,14 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def winning_paths(voted: DataFrame) -> DataFrame:
-    """host and its winning paths, most votes first, ties by path."""
+    """host, its winning paths (most votes first, ties by path) and if it is a frequent one."""
     voted = staged(voted, "votes")
+    every = voted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total = voted.groupBy("host").agg(F.sum("n").alias("total"))
     best = voted.join(total, "host").where(F.col("n") >= LEAST_SHARE * F.col("total"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path")))
-    return best.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"))
+    frequent = F.first("total") * FREQUENT_HOSTS >= F.lit(every)
+    return best.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"), frequent.alias("frequent"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -269,7 +273,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     one without host, vote together. Repeated rows vote each and get equal texts.
     """
     arrow_batches(pages.sparkSession)
-    paths = winning_paths(votes(pages)).withColumnRenamed("host", "_host").withColumnRenamed("paths", "_paths")
+    paths = staged(winning_paths(votes(pages)), "paths").select(F.col("host").alias("_host"), F.col("paths").alias("_paths"), "frequent")
 
     @F.pandas_udf("string")
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -277,5 +281,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
             yield pd.Series([extract(h, list(w) if w is not None else []) for h, w in zip(htmls, wins, strict=True)])
 
     host = F.coalesce(url_host(F.col("url")), F.lit(""))
-    joined = pages.withColumn("_host", host).join(paths, "_host", "left")
+    named = pages.withColumn("_host", host)
+    # Pages of frequent hosts stay where they are; no other host has many in one task.
+    frequent = F.broadcast(paths.where("frequent").drop("frequent"))
+    others = named.join(frequent.select("_host"), "_host", "left_anti").join(paths.where("NOT frequent").drop("frequent"), "_host", "left")
+    joined = named.join(frequent, "_host").unionByName(others)
     return joined.withColumn("text", read(F.col("html"), F.col("_paths"))).drop("_host", "_paths")
