@@ -122,7 +122,8 @@ def fit(labelled: DataFrame, features: int = FEATURES, swap_penalty: float = 1.0
     if not 0 < pos < n:
         return ToxicityModel({}, 0.0 if not n else (-6.0 if not pos else 6.0))
     a, b, c, d = F.col("pos"), F.col("n") - F.col("pos"), F.lit(pos) - F.col("pos"), F.lit(n - pos) - F.col("n") + F.col("pos")
-    chi2 = F.lit(float(n)) * F.pow((a * d - b * c).cast("double"), 2) / ((a + b).cast("double") * (c + d) * (a + c) * (b + d))
+    # Null for a feature of every row, which tells nothing.
+    chi2 = F.try_divide(F.lit(float(n)) * F.pow((a * d - b * c).cast("double"), 2), (a + b).cast("double") * (c + d) * (a + c) * (b + d))
     chosen = _feature_counts(sample).where(F.col("n") >= LEAST_ROWS).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
     top = [r["feature"] for r in chosen.orderBy(F.desc("chi2"), "feature").limit(features).select("feature").collect()]
     names = list(dict.fromkeys([*_SWAP, *top]))
