@@ -1,9 +1,9 @@
 """Main text of HTML pages by a consensus of the pages of a host.
 
-Each page's containers are scored by the text that stands in them; the page votes for the
-generalised tag-class path of its best one. Spark adds the votes up by host and path. Then
-every page is read again, and the text is taken from the container on the winning path of
-its host, so that one page with an odd sidebar is read as its neighbours are.
+Each page votes for the generalised tag-class path of the smallest container that covers
+its text without menus, link lists and the like. Spark adds the votes up by host and path.
+Then every page is read again, and the text is taken from the container on a winning path
+of its host, so that one page with an odd sidebar is read as its neighbours are.
 """
 
 from __future__ import annotations
@@ -25,10 +25,16 @@ from .urls import url_host
 LEAST_SHARE = 0.1
 #: A host with one page of so many or more is frequent: there are at most so many such hosts.
 FREQUENT_HOSTS = 1000
+#: A page's own container needs this share of the most voted path's votes to be taken first.
+OWN_SHARE = 0.25
+#: Single words of so many characters at most may be left beside the container right below the page's root.
+LOOSE_CHARS = 25
 
 # Kinds of HTML elements.
 RAW = ("script", "style", "textarea", "noscript", "template", "title", "iframe", "svg", "xmp", "noembed", "noframes")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+WHOLE_PAGE = {"", "html", "body"}
 LEAF_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "li", "dt", "dd", "blockquote", "figcaption", "caption", "td", "th", "address", "summary", "legend"}
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "center", "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr", "figure", "details", "fieldset", "header", "hgroup", "nav", "footer", "aside", "form", "head", "dialog", "menu", "search"}
 DROPPED_TAGS = {"nav", "footer", "aside", "form", "head", "dialog", "menu", "search", "button", "select", "option", "object", "canvas", "audio", "video", "fieldset"}
@@ -60,6 +66,7 @@ class Node:
     path: str
     parent: int
     dropped: bool
+    tag: str = ""
     score: float = 0.0
 
 
@@ -69,6 +76,11 @@ class BlockText:
     node: int
     link: int
     dropped: bool
+    heading: bool = False
+
+    @property
+    def worth(self) -> float:
+        return 0.0 if self.dropped else max(0.0, len(self.text) - 2.0 * self.link)
 
 
 @dataclass
@@ -109,7 +121,7 @@ def parse(html: str | None) -> Page:
         if piece:
             text = " ".join("".join(piece).split())
             if text:
-                page.blocks.append(BlockText(text, node, link_chars, dropped))
+                page.blocks.append(BlockText(text, node, link_chars, dropped, any(t in HEADINGS for t, _, _ in stack)))
             piece, link_chars = [], 0
 
     def close(k: int) -> None:
@@ -185,7 +197,7 @@ def parse(html: str | None) -> Page:
         number = -1
         if tag in CONTAINERS:
             number = len(page.nodes)
-            page.nodes.append(Node(f"{page.nodes[node].path}>{tag}" + "".join("." + c for c in classes), node, own))
+            page.nodes.append(Node(f"{page.nodes[node].path}>{tag}" + "".join("." + c for c in classes), node, own, tag))
             node = number
         stack.append((tag, number, own))
         dropped = own
@@ -200,41 +212,91 @@ def parse(html: str | None) -> Page:
     return page
 
 
-def score_containers(page: Page) -> None:
-    """A block counts fully for its container and half for the one around, less its links."""
-    for b in page.blocks:
-        if not b.dropped:
-            worth = max(0.0, len(b.text) - 2.0 * b.link) + 1
-            n = page.nodes[b.node]
-            n.score += worth
-            if n.parent >= 0:
-                page.nodes[n.parent].score += worth / 2
+def score_containers(page: Page, blocks: list[BlockText]) -> None:
+    """A block counts fully for its container and all around, less its links; where there are but links, all count alike."""
+    for n in page.nodes:
+        n.score = 0.0
+    linked = not any(b.worth for b in blocks)
+    for b in blocks:
+        page.nodes[b.node].score += float(not b.dropped) if linked else b.worth
+    for n in reversed(page.nodes[1:]):
+        page.nodes[n.parent].score += n.score
+
+
+def inside_of(page: Page, chosen: set[int]) -> list[bool]:
+    """For every container, if it is a chosen one or within one."""
+    inside: list[bool] = []
+    for k, n in enumerate(page.nodes):
+        inside.append(k in chosen or n.parent >= 0 and inside[n.parent])
+    return inside
 
 
 def best_container(page: Page) -> int:
-    """The highest score; the first of equals. -1 where no text is left."""
-    score_containers(page)
-    k = max(range(len(page.nodes)), key=lambda k: (page.nodes[k].score, -k))
-    return k if page.nodes[k].score > 0 else -1
+    """The smallest container that covers the text. -1 where no text is left.
+
+    Where main elements, or else articles, hold half of the text or more, only theirs counts.
+    An article isn't divided. Right below the page's root, single words may stay outside.
+    """
+    score_containers(page, page.blocks)
+    total = page.nodes[0].score
+    if not total:
+        return -1
+    for tag in ("main", "article"):
+        inside = inside_of(page, {k for k, n in enumerate(page.nodes) if n.tag == tag and n.score})
+        held = [b for b in page.blocks if inside[b.node]]
+        if held and 2 * sum(b.worth for b in held) >= total:
+            score_containers(page, held)
+            break
+    else:
+        held = page.blocks
+    largest: dict[int, int] = {}
+    for k, n in enumerate(page.nodes):
+        if n.parent >= 0 and n.score > page.nodes[largest.get(n.parent, k)].score or n.parent not in largest:
+            largest[n.parent] = k
+    at = 0
+    while page.nodes[at].tag != "article" and at in largest:
+        n, k = page.nodes[at], largest[at]
+        if page.nodes[k].score < n.score:
+            if n.tag not in WHOLE_PAGE or page.nodes[k].score < 0.9 * n.score:
+                break
+            inside = inside_of(page, {k})
+            if any(b.heading or " " in b.text or len(b.text) > LOOSE_CHARS for b in held if b.worth and not inside[b.node]):
+                break
+        at = k
+    return at
 
 
 def text_in(page: Page, chosen: set[int]) -> str:
     """The blocks inside the chosen containers, joined by newlines."""
-    inside = []
-    for k, n in enumerate(page.nodes):
-        inside.append(k in chosen or n.parent >= 0 and inside[n.parent])
+    inside = inside_of(page, chosen)
     return "\n".join(b.text for b in page.blocks if inside[b.node] and not b.dropped)
 
 
-def extract(html: str | None, paths: list[str]) -> str:
-    """The text on the first of ``paths`` that the page has text on, else in its own best container."""
+def extract(html: str | None, paths: list[str], votes: list[int] | None = None) -> str:
+    """The text on that of ``paths`` whose votes times its text on the page are most.
+
+    The page's own best container comes first if its path has OWN_SHARE of the most votes, if
+    it stands in a main or article around the winner, or if the page has text on no path.
+    """
     page = parse(html)
-    for path in paths:
-        chosen = {k for k, n in enumerate(page.nodes) if n.path == path and not n.dropped}
-        if chosen and (text := text_in(page, chosen)):
-            return text
-    best = best_container(page)
-    return text_in(page, {best}) if best >= 0 else ""
+    own = best_container(page)
+    if own < 0:
+        return ""
+    n = dict(zip(paths, votes or [1] * len(paths), strict=True))
+    most, won = 0.0, {own}
+    if n.get(page.nodes[own].path, 0) < OWN_SHARE * max(n.values(), default=0):
+        for path in paths:
+            chosen = {k for k, x in enumerate(page.nodes) if x.path == path and not x.dropped}
+            if chosen:
+                inside = inside_of(page, chosen)
+                held = [b for b in page.blocks if inside[b.node] and not b.dropped]
+                worth = n[path] * (sum(b.worth for b in held) + bool(held))
+                if worth > most:
+                    most, won = worth, chosen
+    around, k = inside_of(page, {own}), own
+    while k >= 0 and page.nodes[k].tag not in ("main", "article"):
+        k = page.nodes[k].parent
+    return text_in(page, {own} if k >= 0 and all(around[x] for x in won) else won)
 
 
 def votes(pages: DataFrame) -> DataFrame:
@@ -255,14 +317,14 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def winning_paths(voted: DataFrame) -> DataFrame:
-    """host, its winning paths (most votes first, ties by path) and if it is a frequent one."""
+    """host, its winning paths (most votes first, ties by path), their votes and if it is a frequent one."""
     voted = staged(voted, "votes")
     every = voted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total = voted.groupBy("host").agg(F.sum("n").alias("total"))
     best = voted.join(total, "host").where(F.col("n") >= LEAST_SHARE * F.col("total"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path")))
     frequent = F.first("total") * FREQUENT_HOSTS >= F.lit(every)
-    return best.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"), frequent.alias("frequent"))
+    return best.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"), F.transform(ordered, lambda x: -x["n"]).alias("votes"), frequent.alias("frequent"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -273,12 +335,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
     one without host, vote together. Repeated rows vote each and get equal texts.
     """
     arrow_batches(pages.sparkSession)
-    paths = staged(winning_paths(votes(pages)), "paths").select(F.col("host").alias("_host"), F.col("paths").alias("_paths"), "frequent")
+    paths = staged(winning_paths(votes(pages)), "paths").select(F.col("host").alias("_host"), F.col("paths").alias("_paths"), F.col("votes").alias("_votes"), "frequent")
 
     @F.pandas_udf("string")
-    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for htmls, wins in batches:
-            yield pd.Series([extract(h, list(w) if w is not None else []) for h, w in zip(htmls, wins, strict=True)])
+    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for htmls, wins, counts in batches:
+            yield pd.Series([extract(h, list(w), list(n)) if w is not None else extract(h, []) for h, w, n in zip(htmls, wins, counts, strict=True)])
 
     host = F.coalesce(url_host(F.col("url")), F.lit(""))
     named = pages.withColumn("_host", host)
@@ -286,4 +348,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
     frequent = F.broadcast(paths.where("frequent").drop("frequent"))
     others = named.join(frequent.select("_host"), "_host", "left_anti").join(paths.where("NOT frequent").drop("frequent"), "_host", "left")
     joined = named.join(frequent, "_host").unionByName(others)
-    return joined.withColumn("text", read(F.col("html"), F.col("_paths"))).drop("_host", "_paths")
+    return joined.withColumn("text", read(F.col("html"), F.col("_paths"), F.col("_votes"))).drop("_host", "_paths", "_votes")

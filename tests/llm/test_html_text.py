@@ -55,3 +55,23 @@ def test_brute_force_on_plain_articles(spark):
 
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r["page_id"]: r["text"] for r in H.extract_text(df).collect()} == {k: look(p) for k, _, p in rows}
+
+
+def test_nested_and_sibling_containers_are_whole():
+    lead, body = "lead " * 16, "body " * 200
+    assert one(f"<article><h1>T</h1><div class=lead><p>{lead}</p></div><div class=body><p>{body}</p></div></article>") == f"T\n{lead.strip()}\n{body.strip()}"
+    assert one(f"<article><p>{lead}</p><ul><li>{body}</ul></article>") == f"{lead.strip()}\n{body.strip()}"
+    assert one(f"<body><div id=page><div class=lead><p>{lead}</p></div><div class=body><p>{body}</p></div></div></body>") == f"{lead.strip()}\n{body.strip()}"
+    assert one(f"<body><div class=a><p>{lead}</p></div><div class=b><p>{body}</p></div></body>") == f"{lead.strip()}\n{body.strip()}"
+    assert one(f"<body><div class=x><p>{lead}</p></div><main><h1>T</h1><article><p>{body}</p></article><ul><li><a href=a>more of the like</a></ul></main></body>") == f"T\n{body.strip()}\nmore of the like"
+    assert one("<body><div><p><a href=a>only links</a></div></body>") == "only links"
+
+
+def test_consensus_of_two_templates_and_of_nested_containers(spark):
+    rows = [(k, "http://a.org/", f"<body><div class=one><p>{'story ' * 50}{k}</p></div></body>") for k in range(6)]
+    rows += [(k, "http://a.org/", f"<body><div class=one><p>tease</p></div><div class=two><p>{'other ' * 50}{k}</p></div></body>") for k in range(6, 10)]
+    rows += [(k, "http://b.org/", f"<article><div class=body><p>{'text ' * 50}{k}</p></div></article>") for k in range(10, 30)]
+    rows += [(30, "http://b.org/", f"<article><h1>Title</h1><div class=body><p>{'text ' * 50}30</p></div></article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract_text(df).collect()}
+    assert got == {k: f"{('story ' if k < 6 else 'other ' if k < 10 else 'text ') * 50}{k}" for k in range(30)} | {30: "Title\n" + "text " * 50 + "30"}
