@@ -44,6 +44,19 @@ DROPPED_WORDS = set(
     " form newsletter subscribe signup login search share sharing social related recommended promo promotion breadcrumb breadcrumbs"
     " pagination pager widget toolbar skip hidden".split()
 )
+#: Words that say what a text is, however long it is; the others may also name a frame of the page.
+CONTENT_WORDS = set(
+    "footer ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments discussion replies reply respond disqus"
+    " related recommended promo promotion".split()
+)
+#: Names that mark an article as none of the page's own.
+ARTICLE_WORDS = {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"}
+#: A head of the page or of the article; it is dropped outside articles and main.
+HEADER_WORDS = {"header", "masthead"}
+#: Parts that say of another element that it is there or not.
+TOLD_OF = set("has have no not with without is show hide".split())
+#: Parts that don't change what a name says.
+PLAIN_PARTS = set("site page posts articles stories global main top bottom left right primary secondary box block list slot container wrapper wrap inner bar item items link links section area unit buttons icons js".split())
 DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
@@ -67,6 +80,7 @@ class Node:
     parent: int
     dropped: bool
     tag: str = ""
+    mark: int = -1
     score: float = 0.0
 
 
@@ -77,25 +91,50 @@ class BlockText:
     link: int
     dropped: bool
     heading: bool = False
+    mark: int = -1
+    in_article: bool = False
 
     @property
     def worth(self) -> float:
         return 0.0 if self.dropped else max(0.0, len(self.text) - 2.0 * self.link)
 
 
+@dataclass
+class Mark:
+    """An element that its names speak against, the marked one around it, and if it may be a frame of the page."""
+
+    parent: int
+    frame: bool
+    chars: float = 0.0
+    article_chars: float = 0.0
+    dropped: bool = True
+
+
 @dataclass
 class Page:
     nodes: list[Node] = field(default_factory=lambda: [Node("", -1, False)])
     blocks: list[BlockText] = field(default_factory=list)
+    marks: list[Mark] = field(default_factory=list)
 
 
 def _attributes(rest: str) -> tuple[list[str], set[str], bool]:
-    """Class tokens, all tokens of class and id, and if the element is hidden or has a role that is no text."""
+    """Class tokens, what its names say, and if the element is hidden or has a role that is no text.
+
+    A name says a dropped word if its other parts are such words or plain ones, or if it
+    ends with it: ``site-footer`` says footer, ``has-sidebar`` and ``notice-text`` nothing,
+    nor does ``post-header``, as a post's header is text.
+    """
     classes, words, off = [], set(), False
     for m in _ATTR.finditer(rest):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            words.update(w for w in re.split(r"[^a-z]+", value) if w)
+            for one_name in value.split():
+                parts = [w for w in re.split(r"[^a-z]+", one_name) if w]
+                said = [w for w in parts if w in DROPPED_WORDS]
+                if said and all(w in DROPPED_WORDS or w in PLAIN_PARTS for w in parts):
+                    words.update(said)
+                elif said and parts[-1] in DROPPED_WORDS - HEADER_WORDS and TOLD_OF.isdisjoint(parts):
+                    words.add(parts[-1])
             if name == "class":
                 classes = sorted({re.sub(r"\d+", "N", c) for c in value.split()})
         elif name == "role":
@@ -110,9 +149,11 @@ def _attributes(rest: str) -> tuple[list[str], set[str], bool]:
 def parse(html: str | None) -> Page:
     """Containers and blocks of text of a whole page, in page order."""
     page, html = Page(), html or ""
-    # Open elements: (tag, container number or -1, dropped).
-    stack: list[tuple[str, int, bool]] = []
-    node, dropped, links = 0, False, 0
+    # Of an element: if it is dropped for certain, the innermost mark, and that of the innermost article or main.
+    outside: tuple[bool, int, int | None] = (False, -1, None)
+    # Open elements: (tag, container number or -1, state).
+    stack: list[tuple[str, int, tuple[bool, int, int | None]]] = []
+    node, state, links = 0, outside, 0
     piece: list[str] = []
     link_chars = 0
 
@@ -121,21 +162,21 @@ def parse(html: str | None) -> Page:
         if piece:
             text = " ".join("".join(piece).split())
             if text:
-                page.blocks.append(BlockText(text, node, link_chars, dropped, any(t in HEADINGS for t, _, _ in stack)))
+                page.blocks.append(BlockText(text, node, link_chars, state[0], any(t in HEADINGS for t, _, _ in stack), state[1], state[2] == state[1]))
             piece, link_chars = [], 0
 
     def close(k: int) -> None:
         """Close the open elements from the k-th on."""
-        nonlocal node, dropped, links
-        gone = stack[k:]
-        if any(t in LEAF_BLOCKS or n >= 0 or d for t, n, d in gone):
+        nonlocal node, state, links
+        gone, around = stack[k:], stack[k - 1][2] if k else outside
+        if any(t in LEAF_BLOCKS or n >= 0 or x[:2] != around[:2] for t, n, x in gone):
             flush()
         del stack[k:]
         links -= sum(t == "a" for t, _, _ in gone)
         outer = next((n for _, n, _ in gone if n >= 0), -1)
         if outer >= 0:
             node = page.nodes[outer].parent
-        dropped = stack[-1][2] if stack else False
+        state = around
 
     at = 0
     for m in _TOKEN.finditer(html):
@@ -187,20 +228,30 @@ def parse(html: str | None) -> Page:
         if m["rest"].endswith("/") and not block:
             continue
         classes, words, off = _attributes(m["rest"]) if m["rest"].strip("/ \n\t") else ([], set(), False)
-        own = dropped or tag in DROPPED_TAGS or off or (block or tag in ("span", "a", "strong")) and tag not in ("html", "body", "article", "main") and bool(words & DROPPED_WORDS)
-        if tag == "article" and words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"}:
-            own = True
-        if tag == "header" and not any(t == "article" for t, _, _ in stack):
-            own = True
-        if own and not dropped:
+        dropped, mark, article = state
+        off = off or tag in DROPPED_TAGS and tag != "form"
+        if tag == "header" and not any(t in ("article", "main") for t, _, _ in stack):
+            off = True
+        if tag == "article":
+            words &= ARTICLE_WORDS
+        elif tag in ("html", "body", "main") or not block and tag not in ("span", "a", "strong"):
+            words = set()
+        elif tag in LEAF_BLOCKS or article is not None:
+            words -= HEADER_WORDS
+        if (off or words or tag == "form") and not dropped:
             flush()
+        if (words or tag == "form") and not off and not dropped:
+            page.marks.append(Mark(mark, tag != "form" and words.isdisjoint(CONTENT_WORDS)))
+            mark = len(page.marks) - 1
+        if tag == "main" or tag == "article" and not words:
+            article = mark
+        state = (dropped or off, mark, article)
         number = -1
         if tag in CONTAINERS:
             number = len(page.nodes)
-            page.nodes.append(Node(f"{page.nodes[node].path}>{tag}" + "".join("." + c for c in classes), node, own, tag))
+            page.nodes.append(Node(f"{page.nodes[node].path}>{tag}" + "".join("." + c for c in classes), node, state[0], tag, mark))
             node = number
-        stack.append((tag, number, own))
-        dropped = own
+        stack.append((tag, number, state))
         links += tag == "a"
     if at < len(html):
         tail = html[at:]
@@ -209,9 +260,44 @@ def parse(html: str | None) -> Page:
         tail = tail[: cut.start()] if cut else tail
         piece.append(_html.unescape(tail))
     flush()
+    settle(page)
     return page
 
 
+def settle(page: Page) -> None:
+    """Drop the marked elements, but not one around the page's article or main, nor a frame of most of the text.
+
+    One around an article that is named after its content must hold half of the text too.
+    """
+    if not page.marks:
+        return
+    every = own = free = 0.0
+    for b in page.blocks:
+        worth, k, named = b.worth, b.mark, False
+        every += worth
+        free += worth if b.in_article and k < 0 else 0.0
+        while k >= 0:
+            m = page.marks[k]
+            m.chars += worth
+            m.article_chars += worth if b.in_article else 0.0
+            k, named = m.parent, named or not m.frame
+        own += 0.0 if named else worth
+    direct = [0.0] * len(page.marks)
+    for b in page.blocks:
+        if b.in_article and b.mark >= 0:
+            direct[b.mark] += b.worth
+    # Those around others come before them.
+    for k in sorted(range(len(page.marks)), key=lambda k: (-page.marks[k].chars, k)):
+        m = page.marks[k]
+        if m.parent < 0 or not page.marks[m.parent].dropped:
+            around = m.article_chars > free and (m.frame or 2 * m.chars >= every)
+            if around or m.frame and not free and 2 * m.chars > own:
+                m.dropped = False
+                free += direct[k]
+    for x in (*page.nodes, *page.blocks):
+        x.dropped = x.dropped or x.mark >= 0 and page.marks[x.mark].dropped
+
+
 def score_containers(page: Page, blocks: list[BlockText]) -> None:
     """A block counts fully for its container and all around, less its links; where there are but links, all count alike."""
     for n in page.nodes:

@@ -75,3 +75,20 @@ def test_consensus_of_two_templates_and_of_nested_containers(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in H.extract_text(df).collect()}
     assert got == {k: f"{('story ' if k < 6 else 'other ' if k < 10 else 'text ') * 50}{k}" for k in range(30)} | {30: "Title\n" + "text " * 50 + "30"}
+
+
+def test_words_of_wrappers_are_no_verdict():
+    article = "<article><h1 class=header>Title</h1><p class=notice-text>One.<p>Two.<div class=ad>Buy</div></article>"
+    for names in ("class='content has-sidebar'", "id=page class=no-sidebar", "class=menu-open", "class=share-enabled", "class=sidebar", "id=overlay", "class=search", "class=related"):
+        assert one(f"<body><div class=menu>Site</div><div {names}>{article}</div><div class=site-footer><p>foot</p></div></body>") == "Title\nOne.\nTwo.", names
+    assert one(f"<body><form id=aspnetForm>{article}</form></body>") == "Title\nOne.\nTwo."
+    assert one("<body><div id=page class=sidebar><div class=post-header>By Jane Doe</div><p>A <b>bold</b> text of the page.<p>More of it.</div><div class=widget><p>w</div></body>") == "By Jane Doe\nA bold text of the page.\nMore of it."
+
+
+def test_boilerplate_words_still_drop():
+    article, long = "<article><h1>Title</h1><p>One.</article>", "<p>" + "said " * 99 + "</p>"
+    for names in ("class=comments", "class=post-comments", "class=sidebar", "class='widget left-sidebar'", "id=cookie-banner", "class=site-footer", "class=related-posts"):
+        assert one(f"<body>{article}<div {names}>{long}</div></body>") == "Title\nOne.", names
+    assert one(f"<body>{article}<div class=comments><article class=comment>{long}</article></div></body>") == "Title\nOne."
+    assert one(f"<body><div class=story><p>The page's own story.</p></div><div class=comments>{long}</div></body>") == "The page's own story."
+    assert one("<div class=ad>Buy</div><form><p>sign up</form><div class=cookie-notice><p>We use cookies</div>") == ""
