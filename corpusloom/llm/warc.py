@@ -19,7 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,17 +34,22 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def url_key(url: str | None) -> str:
-    """``com,example,www)/path?query`` of a URL; its own text where it has no host."""
+    """``com,example,www)/path?query`` of a URL; its own text where it has no host.
+
+    A URL and what ``quote`` makes of it in a record have one key: the host is lower-cased
+    without its escapes and then quoted.
+    """
     url = url or ""
     _, found, rest = url.partition("://")
     if not found:
         return quote(url, safe="%/?#=&:,;@!$'()*+~[]") + ")"
     cut = min((k for k in map(rest.find, "/?#") if k >= 0), default=len(rest))
-    host, port = rest[:cut].lower().rpartition("@")[2], ""
+    host = unquote(rest[:cut].rpartition("@")[2], errors="surrogateescape").lower()
+    host, port = quote(host.encode(errors="surrogateescape"), safe=":[]=&,;@!$'()*+~"), ""
     name, colon, digits = host.rpartition(":")
     if colon and digits.isdigit():
         host, port = name, ":" + digits
-    return quote(",".join(reversed(host.split("."))) + port + ")" + (rest[cut:] or "/"), safe="%/?#=&:,;@!$'()*+~[]")
+    return ",".join(reversed(host.split("."))) + port + ")" + quote(rest[cut:] or "/", safe="%/?#=&:,;@!$'()*+~[]")
 
 
 def base32_sha1(payload: bytes) -> str:

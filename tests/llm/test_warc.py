@@ -55,3 +55,18 @@ def test_url_key():
     assert warc.url_key("https://U@WWW.Example.com:80/A?b#c") == "com,example,www:80)/A?b#c"
     assert warc.url_key("http://x.org") == "org,x)/"
     assert warc.url_key(None) == ")"
+
+
+def test_key_of_a_quoted_url():
+    from urllib.parse import quote
+
+    for url in ("http://münchen.de", "http://MÜNCHEN.DE/Ä", "http://m%c3%bcnchen.de", "http://M%C3%9CNCHEN.de:8/", "http://a b.org", "http://a%zz.org%", "http://%FF.org", "http://x:٣/", "http://%4é.org"):
+        assert warc.url_key(url) == warc.url_key(quote(url, safe="%/?#=&:,;@!$'()*+~[]")), url
+    assert warc.url_key("http://MÜNCHEN.de") == warc.url_key("http://m%C3%BCnchen.de") == "de,m%C3%BCnchen)/"
+
+
+def test_first_capture_with_an_odd_host(spark):
+    urls = ["http://münchen.de", "http://M%C3%9Cnchen.de/x", "http://a b.org/ü"]
+    df = spark.createDataFrame([(10 * k + j, u if j == 0 else f"http://copy{j}.org", f"<p>{k}</p>") for k, u in enumerate(urls) for j in range(3)], "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in warc.round_trip(df).select("page_id", "payload_bytes", "record_type", "refers_to").collect())
+    assert got == [(10 * k + j, 8, "revisit" if j else "response", 10 * k if j else None) for k in range(3) for j in range(3)]
