@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import itertools
 import json
 import struct
 import uuid
@@ -29,6 +30,8 @@ from .common import arrow_batches, file_system, new_dir, staged
 
 #: Index lines of a block, captures of an index file, and bytes read at once.
 BLOCK_LINES, INDEX_CAPTURES, READ_BYTES = 256, 250_000, 4 << 20
+#: Rows after which a look-up hands its batch on.
+BATCH_ROWS = 4096
 #: The tables have no capture time.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -198,10 +201,9 @@ class IndexFile:
             key, _, body = line.split(" ", 2)
             yield key, json.loads(body)
 
-    def find(self, key: str) -> Iterator[dict]:
-        """The captures of a key. They may begin in the block before the first that starts with it."""
-        for k in range(max(0, bisect.bisect_left(self.keys, key) - 1), bisect.bisect_right(self.keys, key)):
-            yield from (c for at, c in self.block(k) if at == key)
+    def blocks_of(self, key: str) -> range:
+        """The blocks that may hold captures of a key. They may begin in the block before the first that starts with it."""
+        return range(max(0, bisect.bisect_left(self.keys, key) - 1), bisect.bisect_right(self.keys, key))
 
 
 def _captures(found: list[dict]) -> pa.RecordBatch:
@@ -229,34 +231,59 @@ def scan_index(files: DataFrame) -> DataFrame:
 
 
 def look_up(files: DataFrame, urls: DataFrame) -> DataFrame:
-    """The captures of each distinct ``url`` of ``urls``, by halving; other rows of the index stay unread.
+    """The captures of each distinct key of the column ``url`` of ``urls``, by halving; other blocks of the index stay unread.
 
     The first keys of the index files go to every task: one short row for INDEX_CAPTURES captures.
+    A key's blocks are dealt out to all tasks, so one with many captures is not one task's work.
     """
+    spark = files.sparkSession
     top = sorted((r["first_key"], r["last_key"], r["path"]) for r in files.select("first_key", "last_key", "path").collect())
-    held = files.sparkSession.sparkContext.broadcast(top)
+    held = spark.sparkContext.broadcast(top)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"key": [url_key(url) for url in b.column("url").to_pylist()]}, pa.schema([("key", pa.string())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = held.value
         firsts, opened = [t[0] for t in top], {}
+
+        def places(key: str) -> Iterator[tuple[str, int, str]]:
+            k = bisect.bisect_right(firsts, key) - 1
+            while k >= 0 and top[k][1] >= key:
+                path = top[k][2]
+                if path not in opened:
+                    if len(opened) >= 8:
+                        opened.clear()
+                    opened[path] = IndexFile(path)
+                yield from ((path, n, key) for n in opened[path].blocks_of(key))
+                if top[k][0] < key:
+                    break
+                k -= 1
+
+        every = (x for b in batches for key in b.column("key").to_pylist() for x in places(key))
+        while found := list(itertools.islice(every, BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["path", "block", "key"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, at, lines, found = None, None, {}, []
         for b in batches:
-            found = []
-            for url in b.column("url").to_pylist():
-                key = url_key(url)
-                k = bisect.bisect_right(firsts, key) - 1
-                while k >= 0 and top[k][1] >= key:
-                    path = top[k][2]
-                    if path not in opened:
-                        if len(opened) >= 8:
-                            opened.clear()
-                        opened[path] = IndexFile(path)
-                    found += [{"key": key, **c} for c in opened[path].find(key)]
-                    if top[k][0] < key:
-                        break
-                    k -= 1
-            yield _captures(found)
-
-    return urls.select("url").distinct().mapInArrow(find, CAPTURE)
+            for path, k, key in zip(b.column("path").to_pylist(), b.column("block").to_pylist(), b.column("key").to_pylist(), strict=True):
+                if at != (path, k):
+                    if at is None or at[0] != path:
+                        file = IndexFile(path)
+                    at, lines = (path, k), {}
+                    for own, c in file.block(k):
+                        lines.setdefault(own, []).append({"key": own, **c})
+                found += lines.get(key, ())
+                if len(found) >= BATCH_ROWS:
+                    yield _captures(found)
+                    found = []
+        yield _captures(found)
+
+    wanted = urls.select("url").mapInArrow(keys, "key string").distinct().mapInArrow(find, "path string, block long, key string")
+    dealt = wanted.repartition(4 * spark.sparkContext.defaultParallelism, "path", "block").sortWithinPartitions("path", "block")
+    return dealt.mapInArrow(read, CAPTURE)
 
 
 RECORD = "page_id string, kind string, payload_bytes long, payload_digest string, refers_to string, refers_url string"

@@ -70,3 +70,16 @@ def test_first_capture_with_an_odd_host(spark):
     df = spark.createDataFrame([(10 * k + j, u if j == 0 else f"http://copy{j}.org", f"<p>{k}</p>") for k, u in enumerate(urls) for j in range(3)], "page_id long, url string, html string")
     got = sorted(tuple(r) for r in warc.round_trip(df).select("page_id", "payload_bytes", "record_type", "refers_to").collect())
     assert got == [(10 * k + j, 8, "revisit" if j else "response", 10 * k if j else None) for k in range(3) for j in range(3)]
+
+
+def test_look_up_deals_out_a_large_key(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = spark.range(2000).select(F.col("id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.concat(F.lit("p"), F.col("id") % 500).alias("html"))
+    out = f"file://{tmp_path}/w"
+    files = warc.write_index(warc.write_archives(df, out), out, block_lines=16, file_captures=700)
+    urls = spark.createDataFrame([(None,), ("",), (None,)], "url string")
+    found = warc.look_up(files, urls).withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("n"), F.collect_list("page_id").alias("ids")).collect()
+    assert sorted(int(i) for r in found for i in r["ids"]) == list(range(2000))
+    assert max(r["n"] for r in found) < 2000 / 4
+    assert sorted(r["page_id"] for r in warc.round_trip(df).where("payload_bytes IS NOT NULL").collect()) == list(range(2000))
