@@ -58,13 +58,16 @@ def merge_roles(turns: DataFrame, barrier: Column | None = None) -> DataFrame:
 def sections(df: DataFrame, key: str, heading: Column, least: int = 200, most: int = 4000) -> DataFrame:
     """Text between headings (a condition on column ``line``): title, start line and content.
 
-    Sections shorter than ``least`` go, longer ones are cut to ``most``.
+    Sections shorter than ``least`` go, longer ones are cut to ``most``. A text without any
+    heading is one section, "Document Content".
     """
     lines = df.select(key, F.posexplode(F.split("text", "\n")).alias("k", "line")).withColumn("h", heading)
     part = lines.withColumn("section", F.sum(F.col("h").cast("int")).over(Window.partitionBy(key).orderBy("k")))
+    part = part.withColumn("last", F.max("section").over(Window.partitionBy(key)))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("h"), F.struct("k", "line")))), lambda x: x["line"]), "\n")
-    g = part.where("section > 0").groupBy(key, "section").agg(F.min_by("line", "k").alias("title"), F.min("k").alias("start_line"), body.alias("content"))
-    content = F.regexp_replace("content", r"^\s+|\s+$", "")
+    title = F.when(F.col("section") == 0, "Document Content").otherwise(F.min_by("line", "k"))
+    g = part.where("section > 0 OR last = 0").groupBy(key, "section").agg(title.alias("title"), F.min("k").alias("start_line"), body.alias("content"))
+    content = F.when(F.col("section") == 0, F.col("content")).otherwise(F.regexp_replace("content", r"^\s+|\s+$", ""))
     return g.withColumn("content", content).where(F.length("content") >= least).withColumn("content", F.substring("content", 1, most))
 
 
