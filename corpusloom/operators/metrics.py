@@ -46,3 +46,32 @@ def cosine(a: Column, b: Column) -> Column:
 
 def weighted_mean(rate: str, n: str) -> Column:
     return F.coalesce(F.try_divide(F.sum(F.col(rate) * F.col(n)), F.sum(n)), F.lit(0.0))
+
+
+def pair_separation(df: DataFrame) -> DataFrame:
+    """Number of pairs and mean dot product of all pairs of rows (embedding, label) with and without a common label.
+
+    The dots of a set's pairs add up to half of |sum v|^2 - sum |v|^2, so no pairs are made.
+    Pairs with a null label have a row of their own, whose ``same`` is null.
+    """
+    long = df.select("label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    axes = long.groupBy("label", "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    sizes = df.groupBy("label").agg(F.count("*").alias("n"))
+
+    def dots(s: DataFrame, name: str) -> DataFrame:
+        return s.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0)).alias(f"{name}_dot"))
+
+    def pairs(s: DataFrame, name: str) -> DataFrame:
+        return s.agg(F.coalesce(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")), F.lit(0)).cast("long").alias(f"{name}_n"))
+
+    def whole(s: DataFrame, *names: str) -> DataFrame:
+        return s.groupBy(*(c for c in s.columns if c == "i")).agg(*(F.sum(c).alias(c) for c in names))
+
+    known, counted = axes.where("label IS NOT NULL"), sizes.where("label IS NOT NULL")
+    parts = [dots(known, "same"), pairs(counted, "same"), dots(whole(known, "s", "q"), "known"), pairs(whole(counted, "n"), "known"), dots(whole(axes, "s", "q"), "every"), pairs(whole(sizes, "n"), "every")]
+    one = parts[0]
+    for p in parts[1:]:
+        one = one.crossJoin(p)
+    rows = [("true", "same_n", "same_dot"), ("false", "known_n - same_n", "known_dot - same_dot"), ("cast(null as boolean)", "every_n - known_n", "every_dot - known_dot")]
+    told = one.select(F.explode(F.array(*(F.expr(f"named_struct('same', {a}, 'pairs', {n}, 'dot', {d})") for a, n, d in rows))).alias("r")).select("r.*")
+    return told.where("pairs > 0").select("same", "pairs", F.bround(F.col("dot") / F.col("pairs"), 5).alias("mean"))

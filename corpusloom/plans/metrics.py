@@ -174,12 +174,8 @@ def a25_composite(spark, sf):
 
 @query("SELECT a.label = b.label AS same, count(*) AS pairs, round_even(avg(list_dot_product(a.embedding::double[], b.embedding::double[])), 5)::double AS mean FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = b.vec_id % 25 AND a.vec_id < b.vec_id GROUP BY 1")
 def a27_pair_separation(spark, sf):
-    """Mean cosine of pairs with and without a common label, over pairs inside blocks of ids."""
-    e = table(spark, sf, "embeddings").withColumn("k", F.col("vec_id") % 25)
-    x, y = e.alias("x"), e.alias("y")
-    dot = F.aggregate(F.zip_with("x.embedding", "y.embedding", lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.vec_id") < F.col("y.vec_id")))
-    return pairs.groupBy((F.col("x.label") == F.col("y.label")).alias("same")).agg(F.count("*").alias("pairs"), F.bround(F.avg(dot), 5).alias("mean"))
+    """Mean cosine of all pairs with and without a common label."""
+    return M.pair_separation(table(spark, sf, "embeddings"))
 
 
 @query("SELECT count_if(a < b) AS wins_1, count_if(a > b) AS wins_2 FROM (SELECT user_id, avg(value) FILTER (WHERE event_type = 'view') AS a, avg(value) FILTER (WHERE event_type = 'click') AS b FROM events GROUP BY user_id) WHERE a IS NOT NULL AND b IS NOT NULL")

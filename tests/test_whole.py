@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusloom.operators import metrics as M
 from corpusloom.operators import sequences as S
 
 
@@ -11,3 +12,20 @@ def test_sections_of_a_text_without_headings(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(tuple(r) for r in S.sections(df, "doc_id", F.col("line").startswith("#")).select("doc_id", "title", "start_line", "content").collect())
     assert got == [(1, "Document Content", 0, plain), (3, "# One", 1, "y" * 300), (4, "Document Content", 0, long[:4000])]
+
+
+def test_pair_separation_is_over_all_pairs(spark):
+    import random
+    from itertools import combinations
+
+    rng = random.Random(3)
+    for labels in ([1, 2, 3], [1, None, 2], [None], [1]):
+        rows = [(k, [rng.uniform(-1, 1) for _ in range(5)], rng.choice(labels)) for k in range(60)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+        sums = {}
+        for (_, u, a), (_, v, b) in combinations(rows, 2):
+            sums.setdefault(None if a is None or b is None else a == b, []).append(sum(x * y for x, y in zip(u, v, strict=True)))
+        got = {r["same"]: (r["pairs"], r["mean"]) for r in M.pair_separation(df).collect()}
+        assert {k: n for k, (n, _) in got.items()} == {k: len(d) for k, d in sums.items()}
+        assert all(abs(got[k][1] - sum(d) / len(d)) < 2e-5 for k, d in sums.items())
+    assert M.pair_separation(df.limit(0)).count() == 0
