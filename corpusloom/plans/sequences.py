@@ -158,7 +158,7 @@ _THINK = "'<think>a b</think> ' || substr(text, 1, 50) || ' [THINK] [[' || (turn
 @query(rf"WITH t AS (SELECT conv_id, turn, {_THINK} AS x FROM conversations) SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(x, '(?is)\[THINK\].*?\[/THINK\]|<think>.*?</think>|<reasoning>.*?</reasoning>', '', 'g'), '(?i)\[/?THINK\]|</?think>|</?reasoning>', '', 'g'), '^\s+|\s+$', '', 'g') AS text, try_cast(regexp_extract(x, '\[\[(\d+(?:\.\d+)?)\]\]', 1) AS double) AS rating FROM t")
 def x19_thinking_and_rating(spark, sf):
     """Reasoning marks go (X19); the first rating is read."""
-    x = F.concat(F.lit("<think>a b</think> "), F.substring("text", 1, 50), F.lit(" [THINK] [["), (F.col("turn") % 10).cast("string"), F.lit(".5]] </reasoning>"))
+    x = F.concat(F.lit("<think>a b</think> "), "text", F.lit(" [THINK] [["), (F.col("turn") % 10).cast("string"), F.lit(".5]] </reasoning>"))
     return table(spark, sf, "conversations").select("conv_id", "turn", T.without_thinking(x).alias("text"), T.rating(x).alias("rating"))
 
 
@@ -168,7 +168,7 @@ _JSONL = "'```json' || chr(10) || '- {\"text\": \"' || regexp_replace(substr(tex
 @query(rf"WITH t AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace({_JSONL}, '```(?:jsonl|json)?\s*\n?', '', 'g'), '```', '', 'g'), chr(10))) AS line FROM documents), c AS (SELECT doc_id, regexp_replace(regexp_replace(line, '^[-* ]+', ''), '[, ]+$', '') AS line FROM t), j AS (SELECT doc_id, trim(coalesce(json_extract_string(line, '$.text'), json_extract_string(line, '$.prompt'))) AS text FROM c WHERE starts_with(line, '{{') AND json_valid(line)) SELECT doc_id, text FROM j WHERE text <> '' AND len(string_split_regex(text, '\s+')) BETWEEN 3 AND 500")
 def x15_jsonl_salvage(spark, sf):
     """Rows out of free text: fences and bullets go, lines that are objects are read."""
-    plain = F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z ]", "")
+    plain = F.regexp_replace("text", "[^A-Za-z ]", "")
     raw = F.concat(F.lit('```json\n- {"text": "'), plain, F.lit('"},\nnoise {"prompt": 1}\n```'))
     body = F.regexp_replace(F.regexp_replace(raw, r"```(?:jsonl|json)?\s*\n?", ""), "```", "")
     line = table(spark, sf, "documents").select("doc_id", F.explode(F.split(body, "\n")).alias("line"))
@@ -297,7 +297,7 @@ def x58_title_and_counts(spark, sf):
 @query(r"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z]+')) AS w FROM documents), b AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY 1, 2), m AS (SELECT doc_id, sqrt(sum(n * n)) AS m FROM b GROUP BY 1) SELECT x.doc_id, y.doc_id AS other, round_even(sum(x.n * y.n) / (any_value(p.m) * any_value(o.m)), 6)::double AS cos FROM b x JOIN b y ON x.w = y.w AND y.doc_id = x.doc_id + 1 JOIN m p ON p.doc_id = x.doc_id JOIN m o ON o.doc_id = y.doc_id GROUP BY 1, 2")
 def x26_bag_cosine(spark, sf):
     """Cosine of word bags of a document and the next one, joined on the feature."""
-    t = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.substring("text", 1, 400)), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    t = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
     b = t.groupBy("doc_id", "w").agg(F.count("*").alias("n"))
     m = b.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("m"))
     other = b.select((F.col("doc_id") - 1).alias("doc_id"), "w", F.col("n").alias("k"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import metrics as M
 from corpusloom.operators import sequences as S
+from corpusloom.plans import QUERIES
 
 
 def test_sections_of_a_text_without_headings(spark):
@@ -29,3 +30,20 @@ def test_pair_separation_is_over_all_pairs(spark):
         assert {k: n for k, (n, _) in got.items()} == {k: len(d) for k, d in sums.items()}
         assert all(abs(got[k][1] - sum(d) / len(d)) < 2e-5 for k, d in sums.items())
     assert M.pair_separation(df.limit(0)).count() == 0
+
+
+def test_whole_texts(spark, tmp_path):
+    import math
+    from collections import Counter
+
+    texts = {1: "the same words " * 40 + "end", 2: "the same words " * 30 + " ".join(f"w{'abcdefghij'[k % 10]}{'xyz'[k % 3]}" for k in range(200)), 3: "end of it"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 4, "assistant", "a" * 80 + " b")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    bags = {k: Counter(t.split()) for k, t in texts.items()}
+    size = {k: math.sqrt(sum(n * n for n in b.values())) for k, b in bags.items()}
+    dot = lambda a, b: sum(n * bags[b][w] for w, n in bags[a].items())
+    assert got("x26_bag_cosine") == [(1, 2, round(dot(1, 2) / (size[1] * size[2]), 6))]
+    assert got("u05_ordered_distinct") == [(k, len(bags[k])) for k in texts]
+    assert got("x15_jsonl_salvage") == [(k, t) for k, t in texts.items()]
+    assert got("x19_thinking_and_rating") == [(1, 4, "a" * 80 + " b  [[4.5]]", 4.5)]
