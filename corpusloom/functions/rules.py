@@ -11,7 +11,7 @@ LANGUAGE_WORDS = {
     "de": ("der ", "die ", "das ", "und ", "ist ", "ein "),
 }
 CORRUPT_MARKERS = ("Ġ", "Ċ", "Ã©", "Ã¨", "Ã ", "Ã§", "Ãª", "Ã®", "Ã´", "Ã»", "Ã¹", "Â°", "â\x82¬")
-REASONING_PATTERN = r"(?i)(^|[^\w])(why|step by step|explain|prove|reason|analyze|compare|derive|pourquoi|raison|expliquer|analyser|comparer)([^\w]|$)"
+REASONING_PATTERN = r"(?i)(^|[^\p{L}\p{N}_])(why|step by step|explain|prove|reason|analyze|compare|derive|pourquoi|raison|[éÉ]tape|expliquer|d[éÉ]montrer|analyser|comparer)([^\p{L}\p{N}_]|$)"
 CODE_PATTERN = r"```|def\s+\w|class\s+\w|function\s+\w|import\s+\w"
 THINK_BLOCK = r"(?is)\[THINK\].*?\[/THINK\]|<think>.*?</think>|<reasoning>.*?</reasoning>"
 THINK_MARK = r"(?i)\[/?THINK\]|</?think>|</?reasoning>"

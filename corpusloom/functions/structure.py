@@ -6,10 +6,13 @@ import base64
 import hashlib
 import hmac
 import json
+import math
+import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 
 def closing(text: str, start: int, pair: str = "()", escaped: bool = False) -> int:
@@ -96,6 +99,21 @@ def without_block_udf(texts: pd.Series) -> pd.Series:
     return texts.map(without_block)
 
 
+_LETTERS = re.compile("[a-z]+")
+
+
+def cosine_of_bags(a: Counter, b: Counter) -> float:
+    """0 where a bag is empty."""
+    size = math.sqrt(sum(n * n for n in a.values())) * math.sqrt(sum(n * n for n in b.values()))
+    return sum(n * b[w] for w, n in a.items() if w in b) / size if size else 0.0
+
+
+@F.pandas_udf(DoubleType())
+def bag_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    bag = lambda t: Counter(_LETTERS.findall((t or "").lower()))
+    return pd.Series([cosine_of_bags(bag(x), bag(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def tenant_udf(salt: str):
     """The first digits of a keyed hash."""
 

@@ -56,6 +56,11 @@ def short_hash(c: Column | str) -> Column:
     return F.substring(F.sha2(F.encode(c, "utf-8"), 256), 1, 16)
 
 
+def same_text(c: Column | str) -> Column:
+    """A key of 128 bits to group equal texts by, so that no whole text is shuffled."""
+    return F.md5(F.encode(c, "utf-8"))
+
+
 def seeded(*cols: Column | str, seed: int = 42) -> Column:
     """A hash to order rows by: the same on every engine and every run."""
     parts = [F.col(c) if isinstance(c, str) else c for c in cols]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import cosine
-
 
 def by_priority(tables: list[DataFrame], key: str) -> DataFrame:
     """Of each key the row from the first table that has it. Tables have the same columns."""
@@ -38,18 +38,52 @@ def nearest_ancestor(paths: DataFrame, known: DataFrame, path: str, value: str)
 
 
 def earlier_neighbour(vectors: DataFrame, ident: str, vector: str, window: int, least: float) -> DataFrame:
-    """Of each vector the most alike one among the ``window`` rows before it, if alike enough.
+    """Of each vector the most alike one among the ``window`` ids before it, if alike enough.
 
-    Ids are dealt into blocks of ``window``; a row meets its own block and the one before.
+    Distinct ids are dealt into blocks of ``window``; a vector goes to its own block and, as a
+    candidate, to the next. A block is one product of two small matrices.
     """
     block = F.floor(F.col(ident) / window)
-    a = vectors.select(F.col(ident).alias("a"), F.col(vector).alias("va"), F.explode(F.array(block, block - 1)).alias("k"))
-    b = vectors.select(F.col(ident).alias("b"), F.col(vector).alias("vb"), block.alias("k"))
-    near = a.join(b, "k").where((F.col("b") < F.col("a")) & (F.col("b") >= F.col("a") - window))
-    near = near.withColumn("cos", F.bround(cosine(F.col("va"), F.col("vb")), 5))
-    best = near.groupBy("a").agg(F.max_by("b", F.struct("cos", -F.col("b"))).alias("b"), F.max("cos").alias("cos"))
-    return best.where(F.col("cos") >= least)
+    here = F.explode(F.array(F.struct(block.alias("k"), F.lit(True).alias("own")), F.struct((block + 1).alias("k"), F.lit(False).alias("own")))).alias("at")
+    dealt = vectors.select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("v"), here).select("id", "v", "at.k", "at.own")
+
+    def best(rows: pa.Table) -> pa.Table:
+        ids, own = rows.column("id").to_numpy(), rows.column("own").to_numpy()
+        flat = np.array(rows.column("v").to_pylist(), float).reshape(len(ids), -1)
+        size = np.sqrt((flat * flat).sum(1))
+        order = np.argsort(ids, kind="stable")
+        mine = np.flatnonzero(own)
+        cos = flat[mine] @ flat[order].T / (np.outer(size[mine], size[order]) + 1e-9)
+        near = (ids[order] < ids[mine, None]) & (ids[order] >= ids[mine, None] - window)
+        cos = np.where(near, np.round(cos, 5), -2.0)
+        at = cos.argmax(1) if len(mine) and len(order) else np.zeros(0, int)
+        top = cos[np.arange(len(mine)), at]
+        keep = top >= max(least, -1.0)
+        return pa.table({"a": ids[mine][keep], "b": ids[order][at][keep], "cos": top[keep]})
+
+    return dealt.groupBy("k").applyInArrow(best, "a long, b long, cos double")
 
 
 def in_order(groups: list[str], order: list) -> Window:
     return Window.partitionBy(*groups).orderBy(*order)
+
+
+def contains_scores(items: DataFrame, texts: DataFrame, item: str, ident: str, least: float) -> DataFrame:
+    """Of an item's distinct words (item, w) the share that a text (ident, ws: its distinct words) has,
+    where it is ``least`` or more.
+
+    A text that has so many of an item's n words has one of any ``n - ceil(least n) + 1`` of them.
+    So only an item's rarest words, counted over all texts, fetch texts; those are then verified.
+    """
+    each = texts.select(ident, F.explode("ws").alias("w"))
+    words = items.groupBy(item).agg(F.collect_set("w").alias("_all"))
+    counts = each.join(items.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("_df"))
+    ranked = items.join(counts, "w").withColumn("_rank", F.row_number().over(Window.partitionBy(item).orderBy("_df", "w")))
+    sized = words.withColumn("_n", F.size("_all"))
+    # Words that no text has come first in rank and fetch nothing.
+    absent = sized.join(ranked.groupBy(item).agg(F.count("*").alias("_known")), item).withColumn("_absent", F.col("_n") - F.col("_known"))
+    probe = ranked.join(absent, item).where(F.col("_rank") + F.col("_absent") <= F.col("_n") - F.ceil(F.col("_n") * least) + 1).select(item, "w")
+    pairs = each.join(probe, "w").select(item, ident).distinct()
+    both = pairs.join(sized, item).join(texts, ident)
+    score = F.size(F.array_intersect("ws", "_all")) / F.col("_n")
+    return both.select(item, ident, score.alias("score")).where(F.col("score") >= least)

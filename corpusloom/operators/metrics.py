@@ -16,12 +16,31 @@ def confusion(df: DataFrame, target: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(target).alias("target"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
 
 
+def hundredths(c: str) -> Column:
+    """Amounts of two decimals as whole numbers: their sum doesn't depend on the order of the rows."""
+    return F.round(F.col(c) * 100).cast("long")
+
+
+def mean_of_hundredths(c: str) -> Column:
+    return F.sum(hundredths(c)) / (F.count(c) * 100)
+
+
+def rounded_mean(c: str, places: int) -> Column:
+    """The mean of amounts of two decimals, halves to even. What is rounded is a whole number or a
+    half exactly where the mean lies halfway, so it doesn't depend on how a mean is held in binary."""
+    return F.bround(F.sum(hundredths(c)) * 10 ** (places - 2) / F.count(c)) / 10**places
+
+
 def per_label(counts: DataFrame) -> DataFrame:
-    """Precision, recall and F1 of each label from confusion counts; 0 where nothing is to divide by."""
-    hit = F.col("target") == F.col("predicted")
-    sides = counts.select(F.col("target").alias("label"), F.when(hit, F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("fp"), F.when(~hit, F.col("n")).otherwise(0).alias("fn"), F.col("n").alias("support"))
-    other = counts.where(~hit).select(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("tp"), F.col("n").alias("fp"), F.lit(0).cast("long").alias("fn"), F.lit(0).cast("long").alias("support"))
-    s = sides.unionByName(other).groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "support")])
+    """Precision, recall and F1 of each label from confusion counts; 0 where nothing is to divide by.
+
+    Each count is dealt to its two roles, so the counts are made once.
+    """
+    hit, none = F.col("target") == F.col("predicted"), F.lit(0).cast("long")
+    n_hit, n_miss = F.when(hit, F.col("n")).otherwise(none), F.when(hit, none).otherwise(F.col("n"))
+    role = lambda label, tp, fp, fn, support: F.struct(F.col(label).alias("label"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), support.alias("support"))
+    roles = F.array(role("target", n_hit, none, n_miss, F.col("n")), role("predicted", none, n_miss, none, none))
+    s = counts.select(F.explode(roles).alias("r")).select("r.*").groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "support")])
     p = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
     r = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
     s = s.withColumns({"precision": p, "recall": r})

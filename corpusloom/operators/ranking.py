@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import seeded
 
-DIGITS = 2
+#: Hexadecimal digits of the hash that make a bucket: 4096 buckets, so ten billion rows of one group are some millions in each.
+DIGITS = 3
 
 
 def hash_ranked(df: DataFrame, groups: list[str], ident: str | Column, seed: int = 42) -> DataFrame:
@@ -31,3 +32,19 @@ def first_rows(df: DataFrame, groups: list, order: list, limit: int = 1) -> Data
     shuffle, so large groups are no burden."""
     w = Window.partitionBy(*groups).orderBy(*order)
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
+
+
+def numbered_in_order(df: DataFrame, groups: list[str], ident: str, to: str, span: int = 1 << 16) -> DataFrame:
+    """Number the rows of each group from 0 by an integral id: its number in its range of ``span``
+    ids and the sizes of the ranges before. A group of any size is numbered by as many tasks as it
+    has ranges."""
+    df = df.withColumn("_b", F.floor(F.col(ident) / span))
+    sizes = df.groupBy(*groups, "_b").agg(F.count("*").alias("_m"))
+    sizes = sizes.withColumn("_before", F.sum("_m").over(Window.partitionBy(*groups).orderBy("_b")) - F.col("_m")).drop("_m")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*groups, "_b")]
+    inside = df.withColumn("_k", F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(ident)))
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    joined = inside.alias("l").join(sizes.alias("r"), on).select("l.*", "r._before")
+    return joined.withColumn(to, (F.col("_before") + F.col("_k") - 1).cast("long")).drop("_b", "_k", "_before")

@@ -124,7 +124,7 @@ def w11_dedup_hash(spark, sf):
 
 @query(f"SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang, lower({STRIP}) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
 def w12_dedup_label_text(spark, sf):
-    return dedup.keep_first(_docs(spark, sf), ["lang", F.lower(T.strip("text"))], "doc_id").select("doc_id", "lang")
+    return dedup.keep_first(_docs(spark, sf), ["lang", T.same_text(F.lower(T.strip("text")))], "doc_id").select("doc_id", "lang")
 
 
 @query(f"SELECT doc_id, n - 1 AS duplicates FROM (SELECT doc_id, row_number() OVER (PARTITION BY {SQL_STRIP.format(c='substr(text, 1, 200)')} ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY {SQL_STRIP.format(c='substr(text, 1, 200)')}) AS n FROM documents) WHERE rn = 1")
@@ -226,7 +226,7 @@ def w30_inject(spark, sf):
 def corpus_curate(spark, sf):
     """Filter, deduplicate, cap and split a corpus; count what each language gets."""
     ok = _docs(spark, sf).where(F.length(T.strip("text")).between(8, 6000) & T.word_count("text").between(3, 400) & ~T.any_of(F.col("text"), R.CORRUPT_MARKERS))
-    unique = ok.groupBy("lang", F.lower(T.strip("text")).alias("k")).agg(F.min("doc_id").alias("doc_id")).drop("k")
+    unique = ok.groupBy("lang", T.same_text(F.lower(T.strip("text"))).alias("k")).agg(F.min("doc_id").alias("doc_id")).drop("k")
     capped = splits.cap(unique, "lang", "doc_id", 300).drop("rn")
     split = splits.split_at_floor(capped, ["lang"], "doc_id", [("test", 0.1), ("val", 0.1)], "train", least=5)
     parts = [F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")]

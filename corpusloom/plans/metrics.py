@@ -74,10 +74,10 @@ def a08_task_summary(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.bround(F.avg(F.bround(v / 100, 3)), 3).alias("mean"), F.bround(F.avg((v >= 60).cast("int")), 4).alias("pass_rate"))
 
 
-@query("SELECT event_type, user_id % 2 + 1 AS turn, count(value) AS n, round_even(avg(value), 4)::double AS mean FROM events GROUP BY GROUPING SETS ((), (event_type), (turn))")
+@query("SELECT event_type, user_id % 2 + 1 AS turn, count(value) AS n, round_even(sum(round(value * 100)::bigint) * 100 / count(value), 0)::double / 10000 AS mean FROM events GROUP BY GROUPING SETS ((), (event_type), (turn))")
 def a09_judge_grouping_sets(spark, sf):
-    table(spark, sf, "events").selectExpr("event_type", "user_id % 2 + 1 AS turn", "value").createOrReplaceTempView("judged")
-    return spark.sql("SELECT event_type, turn, count(value) AS n, bround(avg(value), 4) AS mean FROM judged GROUP BY event_type, turn GROUPING SETS ((), (event_type), (turn))")
+    e = table(spark, sf, "events").selectExpr("event_type", "user_id % 2 + 1 AS turn", "value")
+    return e.groupingSets([[], ["event_type"], ["turn"]], "event_type", "turn").agg(F.count("value").alias("n"), M.rounded_mean("value", 4).alias("mean"))
 
 
 @query("WITH r AS (SELECT source, floor(length(text) / 3.5)::bigint AS v, row_number() OVER (PARTITION BY source ORDER BY length(text)) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, max(v) FILTER (WHERE k = least(floor(n * 0.5), n - 1)) AS p50, max(v) FILTER (WHERE k = least(floor(n * 0.9), n - 1)) AS p90, max(v) FILTER (WHERE k = least(floor(n * 0.99), n - 1)) AS p99, max(v) AS max FROM r GROUP BY source")
@@ -94,23 +94,23 @@ def a11_limit_exceedance(spark, sf):
     return one.select("n", rows).select("r.lim", "r.above", "n").select("lim", "above", F.bround(pct, 2).alias("pct"), (pct > 5).alias("flagged"))
 
 
-_CELLS = "WITH b AS (SELECT l_returnflag AS m, l_linestatus AS d, avg(l_extendedprice) AS base, count(*) AS nb FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2), c AS (SELECT l_returnflag AS m, l_linestatus AS d, avg(l_extendedprice) AS tuned, count(*) AS nt FROM lineitem WHERE l_linenumber > 2 AND l_linestatus = 'O' OR l_returnflag = 'A' GROUP BY 1, 2)"
+_CELLS = "WITH b AS (SELECT l_returnflag AS m, l_linestatus AS d, round_even(sum(round(l_extendedprice * 100)::bigint) * 100 / count(l_extendedprice), 0)::double / 10000 AS base, count(*) AS nb FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2), c AS (SELECT l_returnflag AS m, l_linestatus AS d, round_even(sum(round(l_extendedprice * 100)::bigint) * 100 / count(l_extendedprice), 0)::double / 10000 AS tuned, count(*) AS nt FROM lineitem WHERE l_linenumber > 2 AND l_linestatus = 'O' OR l_returnflag = 'A' GROUP BY 1, 2)"
 
 
 def _cells(spark, sf):
     """Base and tuned cells on their key, either side may be missing."""
     x = table(spark, sf, "lineitem")
-    mean = lambda c, v, n: x.where(c).groupBy(F.col("l_returnflag").alias("m"), F.col("l_linestatus").alias("d")).agg(F.avg("l_extendedprice").alias(v), F.count("*").alias(n))
+    mean = lambda c, v, n: x.where(c).groupBy(F.col("l_returnflag").alias("m"), F.col("l_linestatus").alias("d")).agg(M.rounded_mean("l_extendedprice", 4).alias(v), F.count("*").alias(n))
     return mean("l_linenumber <= 3", "base", "nb").join(mean("l_linenumber > 2 AND l_linestatus = 'O' OR l_returnflag = 'A'", "tuned", "nt"), ["m", "d"], "full_outer")
 
 
-@query(f"{_CELLS} SELECT coalesce(b.m, c.m) AS m, coalesce(b.d, c.d) AS d, round_even(base, 4)::double AS base, round_even(tuned, 4)::double AS tuned, CASE WHEN base > 0 AND tuned > 0 THEN round_even((base - tuned) / base * 100, 2)::double + 0.0 END AS lift_pct, CASE WHEN base > 0 AND tuned > 0 THEN round_even(ln(base) - ln(tuned), 4)::double + 0.0 END AS lift_log, coalesce(nb, 0) >= 25 AND coalesce(nt, 0) >= 25 AS enough FROM b FULL JOIN c ON b.m = c.m AND b.d = c.d")
+@query(f"{_CELLS} SELECT coalesce(b.m, c.m) AS m, coalesce(b.d, c.d) AS d, base, tuned, CASE WHEN base > 0 AND tuned > 0 THEN round_even((base - tuned) / base * 100, 2)::double + 0.0 END AS lift_pct, CASE WHEN base > 0 AND tuned > 0 THEN round_even(ln(base) - ln(tuned), 4)::double + 0.0 END AS lift_log, coalesce(nb, 0) >= 25 AND coalesce(nt, 0) >= 25 AS enough FROM b FULL JOIN c ON b.m = c.m AND b.d = c.d")
 def j01_bench_compare(spark, sf):
     """Full outer comparison with lifts (X24) and the sample-size gate."""
     both = (F.col("base") > 0) & (F.col("tuned") > 0)
     pct, log = (F.col("base") - F.col("tuned")) / F.col("base") * 100, F.log("base") - F.log("tuned")
     enough = (F.coalesce("nb", F.lit(0)) >= 25) & (F.coalesce("nt", F.lit(0)) >= 25)
-    return _cells(spark, sf).select("m", "d", F.bround("base", 4).alias("base"), F.bround("tuned", 4).alias("tuned"), F.when(both, F.bround(pct, 2)).alias("lift_pct"), F.when(both, F.bround(log, 4)).alias("lift_log"), enough.alias("enough"))
+    return _cells(spark, sf).select("m", "d", "base", "tuned", F.when(both, F.bround(pct, 2)).alias("lift_pct"), F.when(both, F.bround(log, 4)).alias("lift_log"), enough.alias("enough"))
 
 
 @query(f"{_CELLS} SELECT count(*) AS n, round_even(median(ln(base) - ln(tuned)), 4)::double AS mid, round_even(min(ln(base) - ln(tuned)), 4)::double AS low, round_even(max(ln(base) - ln(tuned)), 4)::double AS high, count_if(ln(base) - ln(tuned) > 0.0001) AS forgotten FROM b JOIN c ON b.m = c.m AND b.d = c.d")
@@ -125,10 +125,10 @@ def a14_weighted_mean(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.bround(M.weighted_mean("value", "user_id"), 6).alias("rate"))
 
 
-@query("SELECT l_returnflag, round_even(avg(l_quantity), 4)::double AS parse_ok, round_even(avg(l_discount), 4)::double AS erc_clean, round_even(avg(l_tax), 4)::double AS render FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_returnflag, round_even(sum(round(l_quantity * 100)::bigint) * 100 / count(l_quantity), 0)::double / 10000 AS parse_ok, round_even(sum(round(l_discount * 100)::bigint) * 100 / count(l_discount), 0)::double / 10000 AS erc_clean, round_even(sum(round(l_tax * 100)::bigint) * 100 / count(l_tax), 0)::double / 10000 AS render FROM lineitem GROUP BY l_returnflag")
 def a15_axis_means(spark, sf):
     axes = {"parse_ok": "l_quantity", "erc_clean": "l_discount", "render": "l_tax"}
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(*[F.bround(F.avg(c), 4).alias(k) for k, c in axes.items()])
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(*[M.rounded_mean(c, 4).alias(k) for k, c in axes.items()])
 
 
 @query("SELECT o, round_even(avg(ok::int), 4)::double AS rate, count(*) AS n FROM (SELECT l_orderkey % 7 AS o, l_orderkey, bool_or(l_discount = 0.05) AS ok FROM lineitem GROUP BY 1, 2) GROUP BY o")
@@ -172,7 +172,7 @@ def a25_composite(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.bround(c, 6).alias("composite"))
 
 
-@query("SELECT a.label = b.label AS same, count(*) AS pairs, round_even(avg(list_dot_product(a.embedding::double[], b.embedding::double[])), 5)::double AS mean FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = b.vec_id % 25 AND a.vec_id < b.vec_id GROUP BY 1")
+@query("SELECT a.label = b.label AS same, count(*) AS pairs, round_even(avg(list_dot_product(a.embedding::double[], b.embedding::double[])), 5)::double AS mean FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id GROUP BY 1")
 def a27_pair_separation(spark, sf):
     """Mean cosine of all pairs with and without a common label."""
     return M.pair_separation(table(spark, sf, "embeddings"))
@@ -185,11 +185,10 @@ def a28_win_counts(spark, sf):
     return m.agg(F.count_if(F.col("a") < F.col("b")).alias("wins_1"), F.count_if(F.col("a") > F.col("b")).alias("wins_2"))
 
 
-@query("SELECT p_brand, p_size % 3 AS version, round_even(sum(round(p_retailprice * 100)::bigint) / (count(*) * 100), 4)::double AS mean, count(*) AS n FROM part GROUP BY 1, 2")
+@query("SELECT p_brand, p_size % 3 AS version, round_even(sum(round(p_retailprice * 100)::bigint) * 100 / count(p_retailprice), 0)::double / 10000 AS mean, count(*) AS n FROM part GROUP BY 1, 2")
 def a29_efficiency(spark, sf):
     """Prices are added up in cents: a mean that lies halfway doesn't depend on the order of the rows."""
-    cents = F.sum(F.round(F.col("p_retailprice") * 100).cast("long"))
-    return table(spark, sf, "part").groupBy("p_brand", (F.col("p_size") % 3).alias("version")).agg(F.bround(cents / (F.count("*") * 100), 4).alias("mean"), F.count("*").alias("n"))
+    return table(spark, sf, "part").groupBy("p_brand", (F.col("p_size") % 3).alias("version")).agg(M.rounded_mean("p_retailprice", 4).alias("mean"), F.count("*").alias("n"))
 
 
 _JAVA, _CS, _PY, _CPP = (sql_count("html", m) for m in (("<nav", "<ul"), ("<style", "zzz"), ("<b>", "href"), ("<article", "<p>", "%%%")))
@@ -246,8 +245,7 @@ def k18_chain_manifest(spark, sf):
 
 @query("SELECT source, lang, count(*) AS n FROM documents GROUP BY GROUPING SETS ((source, lang), (lang), ())")
 def k07_provenance_ledger(spark, sf):
-    table(spark, sf, "documents").select("source", "lang").createOrReplaceTempView("ledger")
-    return spark.sql("SELECT source, lang, count(*) AS n FROM ledger GROUP BY source, lang GROUPING SETS ((source, lang), (lang), ())")
+    return table(spark, sf, "documents").groupingSets([["source", "lang"], ["lang"], []], "source", "lang").agg(F.count("*").alias("n"))
 
 
 @query("SELECT source AS domain, count(*) AS n_source, least(count(*), 30) AS n_used, least(count(*), 30) - greatest(1, round_even(least(count(*), 30) * 0.05, 0))::bigint AS n_train, greatest(1, round_even(least(count(*), 30) * 0.05, 0))::bigint AS n_valid FROM documents GROUP BY source")

@@ -8,14 +8,15 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import dedup
 from ..operators import lookups as L
+from ..operators import metrics as M
 from .corpus import SQL_COMPLEX, q
 from .registry import query, table
 
 
-@query("SELECT o_orderkey, o_orderpriority, l.n, CASE WHEN l.rate IS NOT NULL THEN round_even(l.rate * 100 - 5, 2)::double END AS lift FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, avg(l_discount) AS rate FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON o_orderkey = l_orderkey")
+@query("SELECT o_orderkey, o_orderpriority, l.n, CASE WHEN l.rate IS NOT NULL THEN round_even(l.rate - 5, 2)::double END AS lift FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(round(l_discount * 100)::bigint) / count(*) AS rate FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON o_orderkey = l_orderkey")
 def j02_left_overlay(spark, sf):
-    rate = table(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.avg("l_discount").alias("rate"))
-    return table(spark, sf, "orders").join(rate, "o_orderkey", "left").select("o_orderkey", "o_orderpriority", "n", F.bround(F.col("rate") * 100 - 5, 2).alias("lift"))
+    rate = table(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), (F.sum(M.hundredths("l_discount")) / F.count("*")).alias("rate"))
+    return table(spark, sf, "orders").join(rate, "o_orderkey", "left").select("o_orderkey", "o_orderpriority", "n", F.bround(F.col("rate") - 5, 2).alias("lift"))
 
 
 @query("SELECT c_custkey, coalesce(a.v, b.v) AS axis FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a ON a.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON b.o_custkey = c_custkey")
@@ -114,20 +115,20 @@ def j14_layered_override(spark, sf):
     return table(spark, sf, "documents").join(F.broadcast(a), "source", "left").select("doc_id", served.alias("served"))
 
 
-@query("WITH a AS (SELECT s_nationkey AS k, avg(s_acctbal) AS v FROM supplier GROUP BY 1), b AS (SELECT c_nationkey AS k, avg(c_acctbal) AS v FROM customer GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.v IS NULL OR b.v IS NULL THEN 'none' WHEN a.v < b.v THEN 'v1' WHEN a.v > b.v THEN 'v2' ELSE 'tie' END AS winner, round_even((b.v - a.v) / a.v * 100, 2)::double AS delta FROM a FULL JOIN b ON a.k = b.k")
+@query("WITH a AS (SELECT s_nationkey AS k, sum(round(s_acctbal * 100)::bigint) / (count(*) * 100) AS v FROM supplier GROUP BY 1), b AS (SELECT c_nationkey AS k, sum(round(c_acctbal * 100)::bigint) / (count(*) * 100) AS v FROM customer GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.v IS NULL OR b.v IS NULL THEN 'none' WHEN a.v < b.v THEN 'v1' WHEN a.v > b.v THEN 'v2' ELSE 'tie' END AS winner, round_even((b.v - a.v) / a.v * 100, 2)::double AS delta FROM a FULL JOIN b ON a.k = b.k")
 def j17_version_comparison(spark, sf):
-    a = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.avg("s_acctbal").alias("a"))
-    b = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("b"))
+    a = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(M.mean_of_hundredths("s_acctbal").alias("a"))
+    b = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(M.mean_of_hundredths("c_acctbal").alias("b"))
     x, y = F.col("a"), F.col("b")
     winner = F.when(x.isNull() | y.isNull(), "none").when(x < y, "v1").when(x > y, "v2").otherwise("tie")
     return a.join(b, "k", "full_outer").select("k", winner.alias("winner"), F.bround((y - x) / x * 100, 2).alias("delta"))
 
 
-@query("SELECT n.n_name, round_even(a.v, 2)::double AS supplied, round_even(b.v, 2)::double AS held, r.r_name FROM nation n LEFT JOIN (SELECT s_nationkey AS k, avg(s_acctbal) AS v FROM supplier GROUP BY 1) a ON a.k = n_nationkey LEFT JOIN (SELECT c_nationkey AS k, avg(c_acctbal) AS v FROM customer GROUP BY 1) b ON b.k = n_nationkey LEFT JOIN region r ON r_regionkey = n_regionkey")
+@query("SELECT n.n_name, a.v AS supplied, b.v AS held, r.r_name FROM nation n LEFT JOIN (SELECT s_nationkey AS k, round_even(sum(round(s_acctbal * 100)::bigint) * 1 / count(s_acctbal), 0)::double / 100 AS v FROM supplier GROUP BY 1) a ON a.k = n_nationkey LEFT JOIN (SELECT c_nationkey AS k, round_even(sum(round(c_acctbal * 100)::bigint) * 1 / count(c_acctbal), 0)::double / 100 AS v FROM customer GROUP BY 1) b ON b.k = n_nationkey LEFT JOIN region r ON r_regionkey = n_regionkey")
 def j18_three_source_report(spark, sf):
     """Facts joined to one row per domain."""
-    a = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.bround(F.avg("s_acctbal"), 2).alias("supplied"))
-    b = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.bround(F.avg("c_acctbal"), 2).alias("held"))
+    a = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(M.rounded_mean("s_acctbal", 2).alias("supplied"))
+    b = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(M.rounded_mean("c_acctbal", 2).alias("held"))
     r = table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey")
     return table(spark, sf, "nation").join(a, "n_nationkey", "left").join(b, "n_nationkey", "left").join(F.broadcast(r), "n_regionkey", "left").select("n_name", "supplied", "held", "r_name")
 
@@ -245,9 +246,11 @@ def u04_intersection(spark, sf):
     return o.where("o_orderstatus = 'F'").select("k").intersect(o.where("o_orderstatus = 'O'").select("k"))
 
 
-@query("SELECT doc_id, len(list_distinct(string_split(substr(text, 1, 300), ' '))) AS n_distinct FROM documents")
+@query("WITH w AS (SELECT doc_id, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split(text, ' ') AS a FROM documents)), f AS (SELECT doc_id, w, min(i) AS i FROM w GROUP BY 1, 2) SELECT doc_id, count(*)::int AS n_distinct, string_agg(w, ' ' ORDER BY i) AS words FROM f GROUP BY doc_id")
 def u05_ordered_distinct(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(F.array_distinct(F.split("text", " "))).alias("n_distinct"))
+    """The distinct words of each whole text, in the order of their first occurrence."""
+    words = F.array_distinct(F.split("text", " "))
+    return table(spark, sf, "documents").select("doc_id", F.size(words).alias("n_distinct"), F.array_join(words, " ").alias("words"))
 
 
 @query("SELECT count(*) AS outside FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)")
@@ -307,10 +310,9 @@ def x17_cascade_pick(spark, sf):
 
 @query("WITH w AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark), f AS (SELECT item_id, w FROM w WHERE length(w) >= 6), d AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents), n AS (SELECT item_id, count(*) AS n FROM f GROUP BY 1) SELECT item_id, doc_id, round_even(count(*) / max(n), 3)::double AS contains_score, count(*) / max(n) >= 0.6 AS passed FROM f JOIN d USING (w) JOIN n USING (item_id) GROUP BY 1, 2 HAVING count(*) / max(n) >= 0.5")
 def x29_contains_score(spark, sf):
-    """Share of an item's words that a document has, from an equi-join on words."""
-    words = lambda name, key: table(spark, sf, name).select(key, F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("w"))
-    f = words("benchmark", "item_id").where("length(w) >= 6")
-    n = f.groupBy("item_id").agg(F.count("*").alias("n"))
-    hits = words("documents", "doc_id").join(f, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("k")).join(n, "item_id")
-    score = F.col("k") / F.col("n")
-    return hits.where(score >= 0.5).select("item_id", "doc_id", F.bround(score, 3).alias("contains_score"), (score >= 0.6).alias("passed"))
+    """Share of an item's words that a document has (X31), from the items' rarest words on."""
+    distinct = F.filter(F.array_distinct(F.split(F.lower("text"), "[^a-z]+")), lambda w: F.length(w) >= 6)
+    items = table(spark, sf, "benchmark").select("item_id", F.explode(distinct).alias("w"))
+    texts = table(spark, sf, "documents").select("doc_id", distinct.alias("ws"))
+    hits = L.contains_scores(items, texts, "item_id", "doc_id", 0.5)
+    return hits.select("item_id", "doc_id", F.bround("score", 3).alias("contains_score"), (F.col("score") >= 0.6).alias("passed"))

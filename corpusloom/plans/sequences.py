@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..functions.structure import bag_cosine
 from ..operators import sequences as S
-from ..operators.ranking import first_rows
+from ..operators.ranking import first_rows, numbered_in_order
 from .corpus import SQL_STRIP, q
 from .registry import query, table
 
@@ -57,7 +58,7 @@ def w19_role_merge(spark, sf):
     return S.merge_roles(table(spark, sf, "conversations").withColumn("role", role)).drop("island")
 
 
-@query("WITH l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)), h AS (SELECT *, regexp_matches(line, '^[A-Z][a-zà-ÿ]+( [a-zà-ÿ,]+){0,6}[.]$') AS h FROM l), s AS (SELECT *, sum(h::int) OVER (PARTITION BY doc_id ORDER BY k) AS section FROM h), g AS (SELECT doc_id, section, arg_min(line, k) AS title, min(k)::int AS start_line, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT h), ''), '^\\s+|\\s+$', '', 'g') AS content FROM s WHERE section > 0 GROUP BY 1, 2) SELECT doc_id, title, start_line, substr(content, 1, 4000) AS content FROM g WHERE length(content) >= 200".replace("\\\\", "\\"))
+@query("WITH l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)), h AS (SELECT *, regexp_matches(line, '^[A-Z][a-zà-ÿ]+( [a-zà-ÿ,]+){0,6}[.]$') AS h FROM l), s AS (SELECT *, sum(h::int) OVER (PARTITION BY doc_id ORDER BY k) AS section FROM h), g AS (SELECT doc_id, section, arg_min(line, k) AS title, min(k)::int AS start_line, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT h), ''), '^\\s+|\\s+$', '', 'g') AS content FROM s WHERE section > 0 GROUP BY 1, 2 UNION ALL SELECT doc_id, 0, 'Document Content', 0, string_agg(line, chr(10) ORDER BY k) FROM s GROUP BY doc_id HAVING max(section) = 0) SELECT doc_id, title, start_line, substr(content, 1, 4000) AS content FROM g WHERE length(content) >= 200".replace("\\\\", "\\"))
 def w21_sections(spark, sf):
     heading = F.col("line").rlike("^[A-Z][a-zà-ÿ]+( [a-zà-ÿ,]+){0,6}[.]$")
     return S.sections(table(spark, sf, "documents"), "doc_id", heading).select("doc_id", "title", "start_line", "content")
@@ -71,11 +72,9 @@ def w22_thresholded_top(spark, sf):
 @query("SELECT doc_id, CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 END AS record_idx FROM documents")
 def w24_ordinals(spark, sf):
     """Numbers where provenance is missing, counted over all rows of a source."""
-    from ..operators.lookups import in_order
-
     known = table(spark, sf, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
-    n = (F.row_number().over(in_order(["source"], ["doc_id"])) - 1).cast("long")
-    return table(spark, sf, "documents").withColumn("n", n).join(known, "doc_id", "left").select("doc_id", F.when(F.col("known").isNull(), F.col("n")).alias("record_idx"))
+    numbered = numbered_in_order(table(spark, sf, "documents").select("doc_id", "source"), ["source"], "doc_id", "n")
+    return numbered.join(known, "doc_id", "left").select("doc_id", F.when(F.col("known").isNull(), F.col("n")).alias("record_idx"))
 
 
 def _findings(spark, sf):
@@ -152,7 +151,7 @@ def x37_tool_rewrite(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") == "assistant", told).otherwise(F.col("text")).alias("text"))
 
 
-_THINK = "'<think>a b</think> ' || substr(text, 1, 50) || ' [THINK] [[' || (turn % 10) || '.5]] </reasoning>'"
+_THINK = "'<think>a b</think> ' || text || ' [THINK] [[' || (turn % 10) || '.5]] </reasoning>'"
 
 
 @query(rf"WITH t AS (SELECT conv_id, turn, {_THINK} AS x FROM conversations) SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(x, '(?is)\[THINK\].*?\[/THINK\]|<think>.*?</think>|<reasoning>.*?</reasoning>', '', 'g'), '(?i)\[/?THINK\]|</?think>|</?reasoning>', '', 'g'), '^\s+|\s+$', '', 'g') AS text, try_cast(regexp_extract(x, '\[\[(\d+(?:\.\d+)?)\]\]', 1) AS double) AS rating FROM t")
@@ -162,7 +161,7 @@ def x19_thinking_and_rating(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.without_thinking(x).alias("text"), T.rating(x).alias("rating"))
 
 
-_JSONL = "'```json' || chr(10) || '- {\"text\": \"' || regexp_replace(substr(text, 1, 60), '[^A-Za-z ]', '', 'g') || '\"},' || chr(10) || 'noise {\"prompt\": 1}' || chr(10) || '```'"
+_JSONL = "'```json' || chr(10) || '- {\"text\": \"' || regexp_replace(text, '[^A-Za-z ]', '', 'g') || '\"},' || chr(10) || 'noise {\"prompt\": 1}' || chr(10) || '```'"
 
 
 @query(rf"WITH t AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace({_JSONL}, '```(?:jsonl|json)?\s*\n?', '', 'g'), '```', '', 'g'), chr(10))) AS line FROM documents), c AS (SELECT doc_id, regexp_replace(regexp_replace(line, '^[-* ]+', ''), '[, ]+$', '') AS line FROM t), j AS (SELECT doc_id, trim(coalesce(json_extract_string(line, '$.text'), json_extract_string(line, '$.prompt'))) AS text FROM c WHERE starts_with(line, '{{') AND json_valid(line)) SELECT doc_id, text FROM j WHERE text <> '' AND len(string_split_regex(text, '\s+')) BETWEEN 3 AND 500")
@@ -294,16 +293,13 @@ def x58_title_and_counts(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "(?i)<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<p>")).alias("paragraphs"), F.regexp_count("html", F.lit("<a ")).alias("links"))
 
 
-@query(r"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z]+')) AS w FROM documents), b AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY 1, 2), m AS (SELECT doc_id, sqrt(sum(n * n)) AS m FROM b GROUP BY 1) SELECT x.doc_id, y.doc_id AS other, round_even(sum(x.n * y.n) / (any_value(p.m) * any_value(o.m)), 6)::double AS cos FROM b x JOIN b y ON x.w = y.w AND y.doc_id = x.doc_id + 1 JOIN m p ON p.doc_id = x.doc_id JOIN m o ON o.doc_id = y.doc_id GROUP BY 1, 2")
+@query(r"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), b AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY 1, 2), m AS (SELECT doc_id, sqrt(sum(n * n)) AS m FROM b GROUP BY 1) SELECT x.doc_id, y.doc_id AS other, round_even(sum(x.n * y.n) / (any_value(p.m) * any_value(o.m)), 6)::double AS cos FROM b x JOIN b y ON x.w = y.w AND y.doc_id = x.doc_id + 1 JOIN m p ON p.doc_id = x.doc_id JOIN m o ON o.doc_id = y.doc_id GROUP BY 1, 2")
 def x26_bag_cosine(spark, sf):
-    """Cosine of word bags of a document and the next one, joined on the feature."""
-    t = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    b = t.groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    m = b.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("m"))
-    other = b.select((F.col("doc_id") - 1).alias("doc_id"), "w", F.col("n").alias("k"))
-    dot = b.join(other, ["doc_id", "w"]).groupBy("doc_id").agg(F.sum(F.col("n") * F.col("k")).alias("dot")).withColumn("other", F.col("doc_id") + 1)
-    both = dot.join(m, "doc_id").join(m.select(F.col("doc_id").alias("other"), F.col("m").alias("k")), "other")
-    return both.select("doc_id", "other", F.bround(F.col("dot") / (F.col("m") * F.col("k")), 6).alias("cos"))
+    """Cosine of the word bags of a document and the next one, over whole texts; a text is moved twice, its words never."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("other"), F.col("text").alias("other_text"))
+    both = d.join(after, "doc_id").select("doc_id", "other", bag_cosine("text", "other_text").alias("cos"))
+    return both.where("cos > 0").withColumn("cos", F.bround("cos", 6))
 
 
 @query("SELECT vec_id, arg_max(c, (round_even(s, 6), -c)) AS predicted FROM (SELECT e.vec_id, m.label AS c, list_dot_product(e.embedding::double[], m.v) AS s FROM embeddings e, (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding::double[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY label) m) GROUP BY vec_id")

@@ -83,8 +83,8 @@ def test_training_log(spark):
 
 
 def test_structure(spark):
-    call = 'thinking about this... {"name":"read_file","arguments":{"path":"/x"}} done.'
-    assert structure.tool_call(call) == ("thinking about this...", "read_file", '{"path": "/x"}')
+    call = 'Looking it up now: {"name":"fetch_row","arguments":{"table":"t1"}} ok'
+    assert structure.tool_call(call) == ("Looking it up now:", "fetch_row", '{"table": "t1"}')
     assert structure.tool_call('[TOOL_CALLS]f[ARGS]{"a": "}\\""}')[1:] == ("f", '{"a": "}\\""}')
     assert structure.tool_call("plain {x}") == ("plain {x}", None, None)
     assert structure.top_level('(pcb (a "(") (b (c)))') == ['(a "(")', "(b (c))"]
@@ -93,7 +93,7 @@ def test_structure(spark):
     assert structure.data_url("data:image/png;base64,QUI=") == ("image/png", b"AB")
     assert structure.data_url("data:image/png;base64,*") == (None, None)
     df = spark.createDataFrame([(call,), (None,)], "t string")
-    assert [r["c"]["name"] for r in df.select(structure.tool_call_udf("t").alias("c")).collect()] == ["read_file", None]
+    assert [r["c"]["name"] for r in df.select(structure.tool_call_udf("t").alias("c")).collect()] == ["fetch_row", None]
     assert len(df.select(structure.tenant_udf("s")("t").alias("x")).first()["x"]) == 8
 
 
