@@ -2,7 +2,9 @@
 
 Texts are cut where the tokenizer's own pre-tokenizer always cuts, so each part can be
 encoded by itself and the ids of the parts, joined, are the ids of the text. Parts that
-recur come from a cache. A text whose cuts are not certain is encoded whole.
+recur come from a cache. A text whose cuts are not certain is encoded whole, and so is one
+that spells an added token of the file, such as ``<|endoftext|>``: the file is used as the
+library loads it, so that spelling is the token's own id.
 """
 
 from __future__ import annotations
@@ -55,7 +57,9 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
+        # The library may look for added tokens in the lower-cased text.
+        self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.kind = _kind(json.loads(self.library.to_str()))
@@ -85,7 +89,9 @@ class TextEncoder:
         return self.parts[" " + first] + b"".join([self.parts[p] for p in rest])
 
     def encode(self, text: str) -> np.ndarray:
-        if self.kind == "word":
+        if self.added and self.added.search(text):
+            raw = self._library(text)
+        elif self.kind == "word":
             raw = b"".join(map(self.whole.__getitem__, text.split(" ")))
         elif self.kind == "byte" and not ("  " in text or "\n " in text or " \n" in text or any(c in text for c in ODD_SPACE)):
             head, *chunks = text.split(" ")
