@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; texts are long, so a batch is kept to a few MB.
 BATCH_ROWS = 256
@@ -26,9 +28,30 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-shared")
 
 
+_RUN = f"corpusloom-{uuid.uuid4().hex}"
+_roots: set[str] = set()
+
+
+def _end_of_run() -> None:
+    for root in _roots:
+        try:
+            drop_dir(f"{root}/{_RUN}")
+        except OSError:
+            pass
+
+
+atexit.register(_end_of_run)
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing else uses.
+
+    All paths of a driver are in one folder, which is deleted when the driver's Python ends;
+    results that are to stay are written elsewhere by then.
+    """
+    root = shared_root(spark)
+    _roots.add(root)
+    return f"{root}/{_RUN}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -72,3 +95,28 @@ def arrow_batches(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A key with this share of the rows or more is hot: there are at most so many of them.
+HOT_KEYS = 1000
+
+
+def left_join_hot(rows: DataFrame, known: DataFrame, key: str, total: int, spread: Column, joins: Column | None = None) -> DataFrame:
+    """``rows`` with the columns of ``known``, which has one row for each value of ``key``, with
+    ``n``, how many of ``rows`` have it; columns of keys that ``known`` lacks are null.
+
+    ``known`` is broadcast for keys that a thousandth of the ``total`` rows or more have, a thousand
+    keys at most; for the others it is shuffled. Rows of hot keys, and those for which ``joins``
+    does not hold, are dealt out by ``spread``, which differs between rows, so no task gets them all.
+    """
+    wanted = [c for c in known.columns if c not in (key, "n")]
+    hot_now = F.col("n") * HOT_KEYS >= F.lit(total)
+    hot = known.where(hot_now).select(F.col(key).alias("_hot_key"), F.struct(*wanted).alias("_hot"))
+    rest = known.where(~hot_now).select(F.concat(F.lit("k"), F.hex(key) if known.schema[key].dataType.simpleString() == "binary" else F.col(key).cast("string")).alias("_key"), F.struct(*wanted).alias("_rest"))
+    joins = F.lit(True) if joins is None else joins
+    own = F.hex(key) if rows.schema[key].dataType.simpleString() == "binary" else F.col(key).cast("string")
+    met = rows.join(F.broadcast(hot), (F.col(key) == F.col("_hot_key")) & joins, "left")
+    stay = F.col("_hot").isNotNull() | F.col(key).isNull() | ~joins
+    met = met.withColumn("_key", F.when(stay, F.concat(F.lit("s"), spread.cast("string"))).otherwise(F.concat(F.lit("k"), own)))
+    met = met.join(rest, "_key", "left")
+    return met.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_rest.{c}")).alias(c) for c in wanted])

@@ -8,19 +8,26 @@ lengths (as many rows as a sequence has tokens, whatever the corpus) and says, f
 ranks of each length, which sequences they go to. Spark numbers the pieces of each length
 and looks every piece up in the plan. The result is the packing that placing the pieces of
 the whole corpus one by one would give.
+
+A piece's number among all of its length is its number in its chunk (the pieces of a task) and
+those of the chunks before. These offsets are written to the shared folder, a dense array for
+each chunk; a task reads the arrays of its own chunks only, so the pieces are never shuffled and
+nothing that grows with the corpus is broadcast.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, staged
+from .common import arrow_batches, file_system, new_dir, staged
 from .tokens import encoder
 
 PIECES = "doc_id {id}, piece int, start long, length long, chunk long, nth long, ids binary"
@@ -121,6 +128,49 @@ def tokenise_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int)
     return docs.select("doc_id", "text").mapInPandas(run, PIECES.format(id=kind))
 
 
+#: Chunks whose offsets are in one file.
+FILE_CHUNKS = 64
+
+
+def write_offsets(sums: DataFrame, capacity: int, out: str) -> None:
+    """For every chunk, how many pieces of each length the chunks before it have.
+
+    ``sums`` has length, chunk and n. The files are named after chunk // FILE_CHUNKS; a task that
+    is run again writes the same file anew.
+    """
+    store, at = file_system(out)
+    store.create_dir(at, recursive=True)
+    before = sums.selectExpr("length", "chunk", "sum(n) OVER (PARTITION BY length ORDER BY chunk) - n AS earlier", f"chunk div {FILE_CHUNKS} AS file")
+
+    def write(table: pa.Table) -> pa.Table:
+        chunks = table.column("chunk").to_numpy()
+        names = np.unique(chunks)
+        dense = np.zeros((len(names), capacity + 1), np.int64)
+        dense[np.searchsorted(names, chunks), table.column("length").to_numpy()] = table.column("earlier").to_numpy()
+        file = int(table.column("file")[0].as_py())
+        store, at = file_system(f"{out}/{file}-{uuid.uuid4().hex}")
+        with store.open_output_stream(at, compression=None) as f:
+            f.write(np.array([len(names)], "<i8").tobytes() + names.astype("<i8").tobytes() + dense.astype("<i8").tobytes())
+        try:
+            store.move(at, file_system(f"{out}/{file}.offsets")[1])
+        except OSError:
+            # Another attempt of this task has written the same bytes.
+            store.delete_file(at)
+        return pa.table({"file": [file]})
+
+    before.groupBy("file").applyInArrow(write, "file long").count()
+
+
+def offsets_of(out: str, chunk: int, capacity: int) -> np.ndarray:
+    """The offsets of one chunk, by length: one range of its file is read."""
+    store, at = file_system(f"{out}/{chunk // FILE_CHUNKS}.offsets")
+    with store.open_input_file(at) as f:
+        (n,) = np.frombuffer(f.read(8), "<i8")
+        k = int(np.searchsorted(np.frombuffer(f.read(8 * int(n)), "<i8"), chunk))
+        f.seek(8 + 8 * int(n) + 8 * k * (capacity + 1))
+        return np.frombuffer(f.read(8 * (capacity + 1)), "<i8")
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Pack every document of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -136,8 +186,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     sums = staged(sums, "lengths")
     histogram = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = pieces.sparkSession.sparkContext.broadcast(best_fit_plan(histogram, capacity))
-    before = sums.selectExpr("length", "chunk", "sum(n) OVER (PARTITION BY length ORDER BY chunk) - n AS earlier")
-    ranked = pieces.join(before, ["length", "chunk"]).withColumn("rank", F.col("earlier") + F.col("nth"))
+    offsets = new_dir(pieces.sparkSession, "offsets")
+    write_offsets(sums, capacity, offsets)
     kept = ["doc_id", "piece", "start", "length", "ids"]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,11 +198,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
         span = int((rows[:, 1] + rows[:, 4]).max()) + 1 if len(rows) else 1
         keys = rows[:, 0] * span + rows[:, 1]
         narrow = encoder(tokenizer).dtype
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            rank = batch["rank"].to_numpy(np.int64)
-            at = rows[np.searchsorted(keys, batch["length"].to_numpy(np.int64) * span + rank, "right") - 1]
+            chunk, length = batch["chunk"].to_numpy(np.int64), batch["length"].to_numpy(np.int64)
+            rank = batch["nth"].to_numpy(np.int64).copy()
+            for c in np.unique(chunk).tolist():
+                if c not in held:
+                    held = {c: offsets_of(offsets, c, capacity)}
+                mine = chunk == c
+                rank[mine] += held[c][length[mine]]
+            at = rows[np.searchsorted(keys, length * span + rank, "right") - 1]
             ids = [np.frombuffer(x, narrow).astype("<u4").tobytes() for x in batch["ids"]]
             yield batch[kept].assign(ids=ids, sequence_id=at[:, 2] + rank - at[:, 1], offset=at[:, 3])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.select(*kept).schema) + ", sequence_id long, offset long"
-    return ranked.select(*kept, "rank").mapInPandas(place, schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(*kept).schema) + ", sequence_id long, offset long"
+    return pieces.select(*kept, "chunk", "nth").mapInPandas(place, schema)
