@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from corpusloom.llm import language, quality, toxicity
 
 SPACES = r"[^\x20\x09-\x0D]+"
@@ -66,3 +68,23 @@ def test_toxicity_and_neutral_mentions(spark):
 def test_toxicity_without_labels(spark):
     model = toxicity.fit(spark.createDataFrame([], "text string, label int"))
     assert toxicity.score(spark.createDataFrame([("x",)], "text string"), model).first()["score"] == 0.5
+
+
+def test_sample_of_rules_is_of_rows_that_meet_them(spark):
+    good = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80))
+    loud = good.upper()
+    rows = [(k, "too short") for k in range(30)] + [(100 + k, good) for k in range(8)] + [(200 + k, loud) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    measured = quality.measure(docs, quality.RULES)
+    assert sum(r["n"] for r in measured) == 12
+    told = {name: n for name, n, _ in quality.order_report(quality.RULES, measured)}
+    assert told["shouting"] == 4 and set(told) == {r.name for r in quality.RULES}
+    assert quality.order_rules(quality.RULES, measured)[0].name == "shouting"
+
+
+def test_copies_do_not_flood_the_sample(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'one text', concat('text ', id)) AS text")
+    n = sum(r["n"] for r in quality.measure(docs.withColumn("text", F.repeat(F.col("text"), F.lit(1))), (quality.Rule("any", lambda t: True),), 500))
+    assert n == 0
+    long = docs.withColumn("text", F.concat_ws(" ", F.sequence(F.lit(1), F.lit(60)).cast("array<string>"), "text"))
+    assert 300 < sum(r["n"] for r in quality.measure(long, (quality.Rule("any", lambda t: True),), 500)) < 800
