@@ -26,7 +26,7 @@ from .common import arrow_batches, staged
 #: Words and documents after which a segment is closed.
 SEGMENT_WORDS, SEGMENT_DOCS = 2_000_000, 1 << 15
 #: Benchmark words that are searched for at once; a larger benchmark goes in blocks.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 #: Length of a phrase, and how many of an item's rarest terms must stand how near.
 WINDOW, NEAR_TERMS, NEAR_WORDS = 10, 3, 20
 
@@ -119,9 +119,15 @@ class Phrases:
             for at in range(max(1, len(t) - window + 1) if t else 0):
                 self.windows.setdefault(tuple(t[at : at + window]), set()).add(k)
 
-    def ordered(self, df: dict[int, int]) -> list[tuple[list[tuple[int, int]], int, list[int]]]:
-        """Of each window (term, offset) from the rarest term on, its length and items."""
-        return [(sorted(((t, o) for o, t in enumerate(w)), key=lambda x: (df.get(x[0], 0), x[1])), len(w), sorted(items)) for w, items in self.windows.items()]
+    def ordered(self, df: dict[int, int]) -> dict[int, list[tuple[np.ndarray, np.ndarray, int, np.ndarray]]]:
+        """Of each window its terms and their offsets, from the rarest term on, its length and
+        items; windows are filed under their rarest term."""
+        filed: dict[int, list] = {}
+        for w, items in self.windows.items():
+            order = sorted(range(len(w)), key=lambda o: (df.get(w[o], 0), o))
+            terms = np.array([w[o] for o in order], np.int32)
+            filed.setdefault(int(terms[0]), []).append((terms, np.array(order, np.int8 if len(w) < 128 else np.int32), len(w), np.array(sorted(items), np.int32)))
+        return filed
 
     def rarest(self, df: dict[int, int], n: int) -> list[tuple[int, list[int]]]:
         """Of each item its n rarest terms, if it has any."""
@@ -134,14 +140,15 @@ def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return keys[at] == wanted
 
 
-def search_segment(lists: dict[int, np.ndarray], windows: list, rarest: list, near: int) -> tuple[np.ndarray, set, set]:
+def search_segment(lists: dict[int, np.ndarray], windows: dict[int, list], rarest: list, near: int) -> tuple[np.ndarray, set, set]:
     """In one segment: hit words as document << 32 | position, (document, item) of exact
     phrases, and (document, item) of items whose rarest terms stand near each other."""
     words, exact, close = [], set(), set()
-    for terms, length, items in windows:
-        starts = None
-        if all(t in lists for t, _ in terms):
-            for t, offset in terms:
+    # Only windows whose rarest term the segment has are looked at.
+    for terms, offsets, length, items in (w for t in windows.keys() & lists.keys() for w in windows[t]):
+        starts, terms = None, terms.tolist()
+        if all(t in lists for t in terms):
+            for t, offset in zip(terms, offsets.tolist(), strict=True):
                 keys = lists[t]
                 if starts is None:
                     starts = keys[(keys & 0xFFFFFFFF) >= offset] - offset
@@ -151,7 +158,7 @@ def search_segment(lists: dict[int, np.ndarray], windows: list, rarest: list, ne
                     break
         if starts is not None and len(starts):
             words.append((starts[:, None] + np.arange(length)).ravel())
-            exact.update((d, i) for d in np.unique(starts >> 32).tolist() for i in items)
+            exact.update((d, i) for d in np.unique(starts >> 32).tolist() for i in items.tolist())
     for item, terms in rarest:
         if all(t in lists for t in terms):
             at = lists[terms[0]]
@@ -202,13 +209,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, .
     occurrence of a window), items (ids, as strings, of items with an occurring window) and
     near_items (items whose rarest terms stand near each other somewhere). Null and empty
     texts have no words and no hits; items without words find nothing; an item with a null
-    id is found but not named. Repeated rows are reported each. Without items nothing is hit.
+    id is named "null". Repeated rows are reported each. Without items nothing is hit.
     Other columns, of whatever name, are not read.
     """
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
+    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where("text IS NOT NULL")
     # An item has at most as many words as (its characters + 1) / 2.
     size = bench.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_words))
+    own = list(keys)
+    if blocks > 1:
+        # Each block reads the documents again; a number that is written once says which are the same.
+        docs = staged(docs.select(*own, "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        keys = (*own, "_row")
     found = None
     for k in range(blocks):
         mine = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
@@ -217,5 +229,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, .
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
         flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-        found = found.groupBy("segment", "place").agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), flat("hits"), flat("items"), flat("near_items"))
-    return found.select("key.*", "n_words", "hits", F.array_distinct("items").alias("items"), F.array_distinct("near_items").alias("near_items"))
+        found = found.groupBy("key._row").agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), flat("hits"), flat("items"), flat("near_items"))
+    return found.select(*[F.col(f"key.{k}").alias(k) for k in own], "n_words", "hits", F.array_distinct("items").alias("items"), F.array_distinct("near_items").alias("near_items"))

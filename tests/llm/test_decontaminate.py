@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from corpusloom.llm import decontaminate as D
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -60,5 +62,20 @@ def test_small_segments_and_empty(spark, monkeypatch):
 
 def test_near_terms():
     lists = {0: D.np.array([5, 900]), 1: D.np.array([12, 1 << 32]), 2: D.np.array([20])}
-    _, _, near = D.search_segment(lists, [], [(7, [0, 1, 2])], 20)
+    _, _, near = D.search_segment(lists, {}, [(7, [0, 1, 2])], 20)
     assert near == {(0, 7)}
+
+
+def test_blocks_of_input_that_a_shuffle_dealt(spark):
+    docs, bench = cases()
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(7).withColumn("note", F.lit("x"))
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    got = D.find_contamination(d, b, window=4, block_words=15).collect()
+    rows = sorted(((r["doc_id"], r["n_words"], sorted(r["hits"]), sorted(r["items"])) for r in got), key=str)
+    assert rows == brute(docs, bench, 4)
+
+
+def test_item_without_id(spark):
+    d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, "a b"), (None, "b c"), (4, "c")], "item_id long, text string")
+    assert sorted(D.find_contamination(d, b, window=4).first()["items"]) == ["4", "null"]
