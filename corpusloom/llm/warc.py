@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, file_system, new_dir, staged
+from .common import arrow_batches, file_system, left_join_hot, new_dir, staged
 
 #: Index lines of a block, captures of an index file, and bytes read at once.
 BLOCK_LINES, INDEX_CAPTURES, READ_BYTES = 256, 250_000, 4 << 20
@@ -107,9 +107,10 @@ def write_archives(pages: DataFrame, out: str, least_bytes: int = 0) -> DataFram
     store.create_dir(at, recursive=True)
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("payload"), F.sha1(html).alias("sha"))
-    firsts = rows.where(F.length("payload") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = rows.where(F.length("payload") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n")).where("n > 1")
     again = F.coalesce(F.col("page_id") != F.col("first_id"), F.col("page_id").isNull() & F.col("first_id").isNotNull()) & (F.length("payload") >= least_bytes)
-    rows = rows.join(firsts, "sha", "left").withColumn("again", F.coalesce(again, F.lit(False)))
+    # Copies of one payload are not dealt to one task.
+    rows = left_join_hot(rows, firsts, "sha", pages.count(), F.xxhash64("page_id", "url")).withColumn("again", F.coalesce(again, F.lit(False)))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c)
     rows = rows.select(text("page_id"), "url", "sha", F.length("payload").alias("size"), F.when(~F.col("again"), F.col("payload")).alias("payload"), F.when(F.col("again"), text("first_id")).alias("first_id"), "first_url")
 
@@ -351,7 +352,11 @@ def round_trip(pages: DataFrame, out: str | None = None, least_bytes: int = 0) -
     wanted = revisits.select(F.col("refers_to").alias("page_id"), F.col("payload_digest").alias("digest")).distinct()
     targets = targets.where("kind = 'response'").join(wanted, ["page_id", "digest"], "left_semi")
     first = read_records(targets).select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("size")).dropDuplicates(["refers_to", "payload_digest"])
-    resolved = revisits.join(first, ["refers_to", "payload_digest"], "left").select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "kind", "refers_to")
+    pair = F.concat_ws(" ", "refers_to", "payload_digest").alias("pair")
+    revisits = revisits.select("*", pair)
+    often = revisits.groupBy("pair").agg(F.count("*").alias("n"))
+    first = first.select(pair, "size").join(often, "pair")
+    resolved = left_join_hot(revisits, first, "pair", records.count(), F.xxhash64("page_id")).select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "kind", "refers_to")
     whole = records.where("kind = 'response'").select("page_id", "payload_bytes", "payload_digest", "kind", "refers_to").unionByName(resolved)
     kind = pages.schema["page_id"].dataType
     number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind).alias(c)
