@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, drop_dir, staged, staged_at
+from .common import arrow_batches, drop_dir, left_join_hot, staged, staged_at
 
 #: Words of a shingle and the least similarity, in percent (50 or more).
 SHINGLE, PERCENT = 5, 80
@@ -273,14 +273,14 @@ def _across(buckets: DataFrame, label: DataFrame, sets: DataFrame, percent: int)
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole texts are linked; only these texts are moved."""
-    pairs = staged(pairs, "pairs")
+    pairs, pairs_at = staged_at(pairs, "pairs")
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-    wanted = staged(nodes.join(wanted, "id").select(F.col("id").alias("doc_id"), "same"), "wanted")
+    wanted, wanted_at = staged_at(nodes.join(wanted, "id").select("id", "first.doc_id", "first.same"), "wanted")
     # A short list goes to the texts; a long one meets them in a shuffle.
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.withColumn("same", F.xxhash64("text")).join(wanted, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"])
-    texts = staged(texts.select(F.col("doc_id").alias("id"), "text"), "texts")
+    texts, texts_at = staged_at(texts.select("id", "text"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
@@ -299,7 +299,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, pe
 
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return staged(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    found = staged(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    for at in (pairs_at, wanted_at, texts_at):
+        drop_dir(at)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -323,31 +326,35 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id integral, text).
+def _same_id(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between different sets that have a doc_id in common."""
+    ends = rows.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("doc_id", "a")
+    return rows.select("doc_id", F.col("id").alias("b")).distinct().join(ends, "doc_id").where("a <> b").select("a", "b")
 
-    Rows are linked when ``100 * intersection >= percent * union`` of their shingle sets;
-    component_id is the smallest doc_id that links reach, the own one included. A row
-    without words has no shingles and is linked with nothing. A row with a null doc_id is
-    linked with nothing and has a null component. doc_id names a document: rows that
-    repeat it belong to one component. Other columns are not read.
+
+def duplicate_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, by_id: bool = True) -> DataFrame:
+    """Of every row of ``docs`` (doc_id integral, text): doc_id, same (a hash of its text),
+    n_shingles and best, the smallest (doc_id, same) of its class.
+
+    Rows are of one class when links lead from one to the other; with ``by_id``, rows that have a
+    doc_id in common are linked, whatever their texts. A set is named by 64 bits of its fingerprint,
+    as a shingle is by its hash. Rows without words or doc_id are in a class of their own.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    kind = docs.schema["doc_id"].dataType
+    arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted, counted_at = staged_at(_first_pass(docs, size), "tokens")
-    rows = staged(counted.where("node IS NOT NULL").select("doc_id", "same", "node", "n"), "sets")
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = frequent_tokens(counted, total)
+    rows = staged(counted.where("node IS NOT NULL").select("doc_id", "same", F.xxhash64("node").alias("id"), "n"), "sets")
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("rows")).first()
+    frequent = frequent_tokens(counted, total["tokens"])
     drop_dir(counted_at)
 
     filled = rows.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = filled.groupBy("node").agg(F.min(F.struct("doc_id", "same")).alias("first")).select("node", F.col("first.doc_id").alias("id"), "first.same")
+    nodes = staged(filled.groupBy("id").agg(F.min(F.struct("doc_id", "same")).alias("first"), F.count("*").alias("copies")), "nodes")
     index = _indexed(docs, frequent, size, percent).groupBy("node").agg(F.first(F.struct("n", "bits", "singles", "combined")).alias("s"))
-    index = staged(index.join(nodes, "node").select("id", "s.n", "s.bits", "s.singles", "s.combined"), "index")
-    buckets = staged(_buckets(index), "buckets")
-    sets = index.select("id", "n", "bits")
+    index, index_at = staged_at(index.select(F.xxhash64("node").alias("id"), "s.n", "s.bits", "s.singles", "s.combined"), "index")
+    buckets, buckets_at = staged_at(_buckets(index), "buckets")
+    sets, sets_at = staged_at(index.select("id", "n", "bits"), "signatures")
+    drop_dir(index_at)
 
     # First, each set against the leaders of its buckets.
     first = _near(buckets.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")), sets, percent)
@@ -356,17 +363,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
     # Then members of a bucket that are in different components, against each other.
     more = _verified(_across(buckets, label, sets, percent), docs, nodes, size, percent)
+    drop_dir(buckets_at)
+    drop_dir(sets_at)
+    if by_id:
+        more = staged(more.unionByName(_same_id(filled)), "links")
     if not more.isEmpty():
-        label = components(links.unionByName(more).unionByName(_same_id(filled, nodes)))
-    elif not (same := staged(_same_id(filled, nodes), "links")).isEmpty():
-        label = components(links.unionByName(same))
+        label = components(links.unionByName(more))
 
-    named = rows.join(nodes.select("node", "id"), "node", "left").join(label, "id", "left")
-    found = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("doc_id"))
-    return named.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), found.cast(kind).alias("component_id"))
+    # The best of each component, then of each set, then of each row; hot ones are not gathered.
+    firsts = label.join(nodes, "id").groupBy("component").agg(F.min("first").alias("best"), F.count("*").alias("n"))
+    best = left_join_hot(label, firsts, "component", label.count(), F.col("id")).select("id", "best")
+    # A set of one row and without links is its own best.
+    known = nodes.join(best, "id", "left").where("copies > 1 OR best IS NOT NULL")
+    known = staged(known.select("id", F.coalesce("best", "first").alias("best"), F.col("copies").alias("n")), "classes")
+    has_set = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    found = left_join_hot(rows, known, "id", total["rows"], F.xxhash64("doc_id", "same"), has_set)
+    return found.select("doc_id", "same", F.col("n").alias("n_shingles"), F.coalesce("best", F.struct("doc_id", "same")).alias("best"))
 
 
-def _same_id(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links between different sets that have a doc_id in common."""
-    named = rows.join(nodes.select("node", "id"), "node").select("doc_id", "id")
-    return named.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).join(nodes.select(F.col("id").alias("a")), "a", "left_semi")
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id integral, text).
+
+    Rows are linked when ``100 * intersection >= percent * union`` of their shingle sets;
+    component_id is the smallest doc_id that links reach, the own one included. A row
+    without words has no shingles and is linked with nothing. A row with a null doc_id is
+    linked with nothing and has a null component. doc_id names a document: rows that
+    repeat it belong to one component. Other columns are not read.
+    """
+    kind = docs.schema["doc_id"].dataType
+    found = duplicate_classes(docs, percent, size)
+    return found.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles", F.col("best.doc_id").cast(kind).alias("component_id"))

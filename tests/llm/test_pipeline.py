@@ -15,7 +15,7 @@ def fixture(spark, folder):
     bench = [(1, text("en", 14)), (2, text("de", 12)), (3, None)]
     rows = [(k, text(lang, r.randint(60, 160)), lang) for k, lang in enumerate(["en", "de"] * 12)]
     rows += [(100 + k, rows[k][1] + " extra", rows[k][2]) for k in range(4)]
-    rows += [(200, rows[5][1], "de"), (201, text("en", 30) + " " + bench[0][1] + " " + text("en", 30), "en"), (202, "short text", "en"), (203, "# * $ " * 60, "en"), (204, None, "en"), (205, "", None), (206, "11 22 33 44 55 66 77 88 99 " + " ".join(map(str, range(100, 160))), None), (None, text("en", 70), None), (3, rows[3][1], "de")]
+    rows += [(200, rows[5][1], "de"), (201, text("en", 30) + " " + bench[0][1] + " " + text("en", 30), "en"), (202, "short text", "en"), (203, "# * $ " * 60, "en"), (204, None, "en"), (205, "", None), (206, "11 22 33 44 55 66 77 88 99 " + " ".join(map(str, range(100, 160))), None), (None, text("en", 70), None), (3, rows[3][1], "de"), (3, text("en", 90), "en"), (205, text("de", 80), "de")]
     spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], COLUMNS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return rows, bench
@@ -38,7 +38,10 @@ def brute(rows, bench):
     phrases = {tuple(w[k : k + 10]) for _, t in bench if t for w in [words(t)] for k in range(len(w) - 9)}
     clean = [r for r in kept if not any(tuple(w[k : k + 10]) in phrases for w in [words(r[1])] for k in range(len(w) - 9))]
     code = tokens.TextEncoder(tokens.tokenizer_path("byte_bpe_50k.json"))
-    return sorted((str(r[0]), len(code.encode(r[1])) + 1) for r in clean)
+    sums = {}
+    for r in clean:
+        sums[str(r[0])] = sums.get(str(r[0]), 0) + len(code.encode(r[1])) + 1
+    return sorted(sums.items())
 
 
 def test_run_equals_brute_force(spark, tmp_path):
@@ -59,3 +62,15 @@ def test_stages_keep_columns_and_take_odd_tables(spark, tmp_path):
             if name != "best_fit_packing":
                 assert out.columns == docs.columns
             out.collect()
+
+
+def test_stages_keep_every_column_as_it_is(spark, tmp_path):
+    rows, _ = fixture(spark, tmp_path)
+    extra = {"kept": 7, "n_words": "mine", "score": 7.0, "lang_pred": "xx", "same": 1, "best": "b", "hits": [1], "_row": 3, "_text": "t"}
+    data = [(i, t, lang, "s", len(t or ""), *extra.values()) for i, t, lang in rows]
+    docs = spark.createDataFrame(data, COLUMNS + ", kept int, n_words string, score double, lang_pred string, same int, best string, hits array<int>, _row int, _text string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all({c: r[c] for c in extra} == extra for r in got), name
