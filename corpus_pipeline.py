@@ -18,9 +18,14 @@ from corpusloom.llm.tokens import tokenizer_path
 LEAST_LANGUAGE_SCORE = 0.4
 
 
+def _whole_rows(docs: DataFrame) -> DataFrame:
+    """The texts, and all columns as one, so that what an operator adds takes no column's place."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), "text")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality cascade rejects go; null and empty texts are among them."""
-    return quality.quality_cascade(docs).where("kept").select(docs.columns)
+    return quality.quality_cascade(_whole_rows(docs)).where("kept").select("_row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,29 +36,37 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(language.training_rows(docs, F.lit(True)))
     if not model.languages:
         return docs
-    named = language.identify(docs.withColumn("_text", F.col("text")), model, "_text")
-    return named.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    named = language.identify(_whole_rows(docs), model)
+    return named.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("_row.*")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id stays.
+    """Of each class of near duplicates the document with the smallest doc_id stays.
 
-    Rows without doc_id stay. Of rows that repeat a doc_id one stays.
+    Texts are judged, not ids: of rows that have a doc_id in common each text stays that is not near
+    another one. Rows that repeat doc_id and text are one document. Rows without doc_id stay.
     """
-    found = jaccard.near_duplicates(docs)
-    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    found = staged(jaccard.duplicate_classes(docs, by_id=False).where("doc_id IS NOT NULL"), "classes")
+    gone = found.where("doc_id <> best.doc_id OR same IS DISTINCT FROM best.same").select("doc_id", "same").distinct()
+    gone = staged(gone, "near-copies").withColumnRenamed("doc_id", "_id")
+    again = staged(found.groupBy("doc_id", "same").count().where("count > 1").select(F.col("doc_id").alias("_id"), "same"), "repeated")
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_same"))
+    is_it = (F.col("_row.doc_id") == F.col("_id")) & (F.col("_same") == F.col("same"))
+    kept = packed.join(gone, is_it, "left_anti")
+    if not again.isEmpty():
+        once = kept.join(again, is_it, "left_semi").withColumn("_id", F.col("_row.doc_id")).dropDuplicates(["_id", "_same"])
+        kept = kept.join(again, is_it, "left_anti").unionByName(once.drop("_id"))
+    return kept.select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a phrase of the benchmark go."""
-    keyed = docs.withColumn("_same", F.xxhash64("text"))
-    found = decontaminate.find_contamination(keyed, table(spark, sf_dir, "benchmark"), keys=("doc_id", "_same"))
-    hit = staged(found.where(F.size("hits") > 0).select("doc_id", "_same").distinct(), "contaminated").alias("hit")
-    here = keyed.alias("here")
-    same = F.col("here.doc_id").eqNullSafe(F.col("hit.doc_id")) & F.col("here._same").eqNullSafe(F.col("hit._same"))
-    return here.join(hit, same, "left_anti").select(docs.columns)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("same"))
+    found = decontaminate.find_contamination(keyed, table(spark, sf_dir, "benchmark"), keys=("doc_id", "same"))
+    hit = staged(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("_id"), "same").distinct(), "contaminated")
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_same"))
+    is_it = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_same").eqNullSafe(F.col("same"))
+    return packed.join(hit, is_it, "left_anti").select("_row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
