@@ -61,27 +61,26 @@ DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
-_TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))"
-    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+# A tag's attributes: quotes count after an equals sign only, and one that never closes is a plain
+# character. Possessive, so a tag is read once; no second try can start inside it.
+_REST = re.compile(r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
 
 
 @dataclass
 class Node:
-    """A container: its generalised path, its parent's number, and if it is dropped."""
+    """A container: its label (tag and classes), its parent's number, if it is dropped, and its path's number."""
 
-    path: str
+    label: str
     parent: int
     dropped: bool
     tag: str = ""
     mark: int = -1
     score: float = 0.0
+    path: int = 0
 
 
 @dataclass
@@ -101,10 +100,11 @@ class BlockText:
 
 @dataclass
 class Mark:
-    """An element that its names speak against, the marked one around it, and if it may be a frame of the page."""
+    """An element that its names speak against, the marked one around it, if it may be a frame of the page, and if it or one around it may not."""
 
     parent: int
     frame: bool
+    named: bool = False
     chars: float = 0.0
     article_chars: float = 0.0
     dropped: bool = True
@@ -115,6 +115,25 @@ class Page:
     nodes: list[Node] = field(default_factory=lambda: [Node("", -1, False)])
     blocks: list[BlockText] = field(default_factory=list)
     marks: list[Mark] = field(default_factory=list)
+    #: Paths by number of the path around and label: a deep page has no long names.
+    paths: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def path_of(self, k: int) -> str:
+        """The generalised path of a container, from the outside in, like ``>body>div.story``."""
+        labels = []
+        while k > 0:
+            labels.append(self.nodes[k].label)
+            k = self.nodes[k].parent
+        return "".join(">" + x for x in reversed(labels))
+
+    def path_number(self, path: str) -> int:
+        """The number of a path on this page, or -1."""
+        at = 0
+        for label in path.split(">")[1:]:
+            at = self.paths.get((at, label), -1)
+            if at < 0:
+                return -1
+        return at
 
 
 def _attributes(rest: str) -> tuple[list[str], set[str], bool]:
@@ -146,56 +165,116 @@ def _attributes(rest: str) -> tuple[list[str], set[str], bool]:
     return classes, words, off
 
 
+def tokens(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag, is an end tag, attributes) of markup in page order; tag is None for what
+    has no content: comments, declarations and elements of raw text with all that is in them.
+
+    The scan only moves forward. Markup that doesn't end reaches to the end of the page.
+    """
+    at, end = 0, len(html)
+    while (at := html.find("<", at)) >= 0:
+        c = html[at + 1 : at + 2]
+        if c == "!" or c == "?":
+            if html.startswith("<!--", at):
+                short = next((n for n in ("<!-->", "<!--->") if html.startswith(n, at)), None)
+                m = None if short else _COMMENT_END.search(html, at + 4)
+                stop = at + len(short) if short else m.end() if m else end
+            elif html.startswith("<![CDATA[", at):
+                stop = html.find("]]>", at) + 3
+            else:
+                stop = html.find(">", at) + 1
+            stop = stop if stop > at else end
+            yield at, stop, None, False, ""
+            at = stop
+            continue
+        closes = c == "/"
+        name = _NAME.match(html, at + 1 + closes)
+        if name is None:
+            if closes:
+                stop = html.find(">", at) + 1 or end
+                yield at, stop, None, False, ""
+                at = stop
+            else:
+                at += 1
+            continue
+        rest = _REST.match(html, name.end())
+        stop, tag = min(rest.end() + 1, end), name.group().lower()
+        if rest.end() == end:
+            yield at, end, None, False, ""
+        elif not closes and tag in _RAW_END:
+            m = _RAW_END[tag].search(html, stop)
+            stop = (html.find(">", m.end()) + 1 or end) if m else end
+            yield at, stop, None, False, ""
+        else:
+            yield at, stop, tag, closes, rest.group()
+        at = stop
+
+
 def parse(html: str | None) -> Page:
-    """Containers and blocks of text of a whole page, in page order."""
+    """Containers and blocks of text of a whole page, in page order.
+
+    The work grows with the length of the page, whatever is in it: where an element of a kind is
+    open is looked up, not searched for.
+    """
     page, html = Page(), html or ""
     # Of an element: if it is dropped for certain, the innermost mark, and that of the innermost article or main.
     outside: tuple[bool, int, int | None] = (False, -1, None)
-    # Open elements: (tag, container number or -1, state).
+    # Open elements: (tag, container number or -1, state). Where each tag and where containers are open.
     stack: list[tuple[str, int, tuple[bool, int, int | None]]] = []
-    node, state, links = 0, outside, 0
+    places: dict[str, list[int]] = {}
+    containers: list[int] = []
+    node, state, headings = 0, outside, 0
     piece: list[str] = []
     link_chars = 0
 
+    def last(tag: str) -> int:
+        """Where the innermost open element of a tag is; -1 if nowhere."""
+        where = places.get(tag)
+        return where[-1] if where else -1
+
     def flush() -> None:
         nonlocal piece, link_chars
         if piece:
             text = " ".join("".join(piece).split())
             if text:
-                page.blocks.append(BlockText(text, node, link_chars, state[0], any(t in HEADINGS for t, _, _ in stack), state[1], state[2] == state[1]))
+                page.blocks.append(BlockText(text, node, link_chars, state[0], headings > 0, state[1], state[2] == state[1]))
             piece, link_chars = [], 0
 
     def close(k: int) -> None:
         """Close the open elements from the k-th on."""
-        nonlocal node, state, links
+        nonlocal node, state, headings
         gone, around = stack[k:], stack[k - 1][2] if k else outside
         if any(t in LEAF_BLOCKS or n >= 0 or x[:2] != around[:2] for t, n, x in gone):
             flush()
         del stack[k:]
-        links -= sum(t == "a" for t, _, _ in gone)
-        outer = next((n for _, n, _ in gone if n >= 0), -1)
+        outer = -1
+        for t, n, _ in gone:
+            places[t].pop()
+            headings -= t in HEADINGS
+            if n >= 0:
+                containers.pop()
+                outer = n if outer < 0 else outer
         if outer >= 0:
             node = page.nodes[outer].parent
         state = around
 
     at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            text = html[at : m.start()]
+    for start, stop, tag, closes, rest in tokens(html):
+        if start > at:
+            text = html[at:start]
             piece.append(_html.unescape(text) if "&" in text else text)
-            if links:
+            if places.get("a"):
                 link_chars += len(text)
-        at = m.end()
-        tag = m["tag"]
+        at = stop
         if tag is None:
             continue
-        tag = tag.lower()
-        if m["end"]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+        around = containers[-1] if containers else -1
+        if closes:
+            k = last(tag)
             inline = tag not in CONTAINERS and tag not in LEAF_BLOCKS
-            if k >= 0 and not (inline and any(n >= 0 for _, n, _ in stack[k + 1 :])):
+            if k >= 0 and not (inline and around > k):
                 close(k)
-            elif tag in LEAF_BLOCKS or tag in CONTAINERS:
+            elif not inline:
                 flush()
             continue
         if tag in VOID:
@@ -204,33 +283,26 @@ def parse(html: str | None) -> Page:
             elif tag == "br":
                 piece.append(" ")
             continue
+        if tag in ("html", "body") and last(tag) >= 0:
+            continue
         block = tag in LEAF_BLOCKS or tag in CONTAINERS
         if block:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                # A block ends an open paragraph; items and cells end their like.
-                if stack[k][0] in CONTAINERS:
-                    break
-                if stack[k][0] == "p":
-                    close(k)
-                    break
+            # A block ends an open paragraph; items and cells end their like.
+            if (k := last("p")) > around:
+                close(k)
             if tag in _CLOSED_BY:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in _SCOPES[tag]:
-                        break
-                    if stack[k][0] in _CLOSED_BY[tag]:
-                        close(k)
-                        break
-        elif tag == "a":
-            open_link = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "a"), None)
-            if open_link is not None and not any(n >= 0 for _, n, _ in stack[open_link + 1 :]):
-                close(open_link)
-        if m["rest"].endswith("/") and not block:
+                k = max(map(last, _CLOSED_BY[tag]))
+                if k > max(map(last, _SCOPES[tag])):
+                    close(k)
+        elif tag == "a" and (k := last("a")) > around:
+            close(k)
+        if rest.endswith("/") and not block:
             continue
-        classes, words, off = _attributes(m["rest"]) if m["rest"].strip("/ \n\t") else ([], set(), False)
+        classes, words, off = _attributes(rest) if rest.strip("/ \n\t") else ([], set(), False)
         dropped, mark, article = state
         off = off or tag in DROPPED_TAGS and tag != "form"
-        if tag == "header" and not any(t in ("article", "main") for t, _, _ in stack):
+        if tag == "header" and not places.get("article") and not places.get("main"):
             off = True
         if tag == "article":
             words &= ARTICLE_WORDS
@@ -241,24 +313,24 @@ def parse(html: str | None) -> Page:
         if (off or words or tag == "form") and not dropped:
             flush()
         if (words or tag == "form") and not off and not dropped:
-            page.marks.append(Mark(mark, tag != "form" and words.isdisjoint(CONTENT_WORDS)))
+            frame = tag != "form" and words.isdisjoint(CONTENT_WORDS)
+            page.marks.append(Mark(mark, frame, not frame or mark >= 0 and page.marks[mark].named))
             mark = len(page.marks) - 1
         if tag == "main" or tag == "article" and not words:
             article = mark
         state = (dropped or off, mark, article)
         number = -1
+        places.setdefault(tag, []).append(len(stack))
+        headings += tag in HEADINGS
         if tag in CONTAINERS:
-            number = len(page.nodes)
-            page.nodes.append(Node(f"{page.nodes[node].path}>{tag}" + "".join("." + c for c in classes), node, state[0], tag, mark))
+            number, label = len(page.nodes), (tag + "".join("." + c for c in classes)).replace(">", "%3E")
+            path = page.paths.setdefault((page.nodes[node].path, label), len(page.paths) + 1)
+            page.nodes.append(Node(label, node, state[0], tag, mark, path=path))
+            containers.append(len(stack))
             node = number
         stack.append((tag, number, state))
-        links += tag == "a"
     if at < len(html):
-        tail = html[at:]
-        # An open tag at the end is no text.
-        cut = re.search(r"<[a-zA-Z/!?]", tail)
-        tail = tail[: cut.start()] if cut else tail
-        piece.append(_html.unescape(tail))
+        piece.append(_html.unescape(html[at:]))
     flush()
     settle(page)
     return page
@@ -273,20 +345,22 @@ def settle(page: Page) -> None:
         return
     every = own = free = 0.0
     for b in page.blocks:
-        worth, k, named = b.worth, b.mark, False
+        worth = b.worth
         every += worth
-        free += worth if b.in_article and k < 0 else 0.0
-        while k >= 0:
-            m = page.marks[k]
-            m.chars += worth
-            m.article_chars += worth if b.in_article else 0.0
-            k, named = m.parent, named or not m.frame
-        own += 0.0 if named else worth
+        free += worth if b.in_article and b.mark < 0 else 0.0
+        if b.mark >= 0:
+            page.marks[b.mark].chars += worth
+            page.marks[b.mark].article_chars += worth if b.in_article else 0.0
+        own += 0.0 if b.mark >= 0 and page.marks[b.mark].named else worth
+    # Those around others come before them.
+    for m in reversed(page.marks):
+        if m.parent >= 0:
+            page.marks[m.parent].chars += m.chars
+            page.marks[m.parent].article_chars += m.article_chars
     direct = [0.0] * len(page.marks)
     for b in page.blocks:
         if b.in_article and b.mark >= 0:
             direct[b.mark] += b.worth
-    # Those around others come before them.
     for k in sorted(range(len(page.marks)), key=lambda k: (-page.marks[k].chars, k)):
         m = page.marks[k]
         if m.parent < 0 or not page.marks[m.parent].dropped:
@@ -370,9 +444,10 @@ def extract(html: str | None, paths: list[str], votes: list[int] | None = None)
         return ""
     n = dict(zip(paths, votes or [1] * len(paths), strict=True))
     most, won = 0.0, {own}
-    if n.get(page.nodes[own].path, 0) < OWN_SHARE * max(n.values(), default=0):
+    if n.get(page.path_of(own), 0) < OWN_SHARE * max(n.values(), default=0):
         for path in paths:
-            chosen = {k for k, x in enumerate(page.nodes) if x.path == path and not x.dropped}
+            number = page.path_number(path)
+            chosen = {k for k, x in enumerate(page.nodes) if x.path == number and not x.dropped}
             if chosen:
                 inside = inside_of(page, chosen)
                 held = [b for b in page.blocks if inside[b.node] and not b.dropped]
@@ -394,7 +469,7 @@ def votes(pages: DataFrame) -> DataFrame:
             for html in b.column("html").to_pylist():
                 page = parse(html)
                 k = best_container(page)
-                paths.append(page.nodes[k].path if k >= 0 else None)
+                paths.append(page.path_of(k) if k >= 0 else None)
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(paths, pa.string())], names=["host", "path"])
 
     arrow_batches(pages.sparkSession)

@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from corpusloom.llm import html_text as H
 
 ARTICLE = "<article class='post-12'><h1>T &amp; U</h1><p>One <b>two</b>\n three<p>Four &lt;x&gt;<div class=ad>Buy now please</div><ul><li>a<li>b</ul></article>"
@@ -30,7 +34,9 @@ def test_odd_html():
 
 def test_classes_are_generalised():
     page = H.parse("<div class='B post-123 a'><p>x</div>")
-    assert page.nodes[-1].path == ">div.a.b.post-N"
+    assert page.path_of(len(page.nodes) - 1) == ">div.a.b.post-N"
+    page = H.parse("<div class='a>b'><ul><li>x</ul></div>")
+    assert [page.path_number(page.path_of(k)) for k in range(3)] == [n.path for n in page.nodes] == [0, 1, 2]
 
 
 def test_consensus(spark):
@@ -92,3 +98,38 @@ def test_boilerplate_words_still_drop():
     assert one(f"<body>{article}<div class=comments><article class=comment>{long}</article></div></body>") == "Title\nOne."
     assert one(f"<body><div class=story><p>The page's own story.</p></div><div class=comments>{long}</div></body>") == "The page's own story."
     assert one("<div class=ad>Buy</div><form><p>sign up</form><div class=cookie-notice><p>We use cookies</div>") == ""
+
+
+HOSTILE = {
+    "open quotes": "<a b='" * ((5 << 20) // 6),
+    "open quotes of both kinds": "<a b='<a c=\"" * 200_000,
+    "unclosed tags": "<a " * ((5 << 20) // 3),
+    "bare signs": "<" * (5 << 20),
+    "nested div": "<div>" * 100_000 + "x",
+    "nested div with classes": "<div class='a b'>" * 100_000 + "x" + "</div>" * 100_000,
+    "nested adverts": "<div class=ad>" * 100_000 + "x",
+    "nested bodies": "<body>x" * 100_000,
+    "unmatched ends": "<span>" * 8_000 + "</i>" * 300_000,
+    "ends behind a container": "<i>" + "<div>" * 8_000 + "</i>" * 300_000,
+    "items in open spans": "<span>" * 8_000 + "<li>x" * 100_000,
+    "links in open spans": "<span>" * 8_000 + "<a>x" * 100_000,
+    "open comments": "<!-- " * 300_000,
+    "open scripts": "<script>" * 300_000,
+    "declarations": "<!x" * 300_000,
+    "headings": "<h1>" * 50_000 + "<b>x" * 50_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_grows_with_length_only(name):
+    began = time.perf_counter()
+    H.extract(HOSTILE[name], [">html>body>div.a.b"])
+    assert time.perf_counter() - began < 8
+
+
+def test_quotes_count_after_an_equals_sign_only():
+    assert one("<p title='it's'>x</p>y") == "x\ny"
+    assert one('<p a"b>x</p><p c=d"e>y</p>') == "x\ny"
+    assert one("<p title = 'a>b' data-x=\"c'>d\">x") == "x"
+    assert one("<p title='never closed>x</p>y") == "x\ny"
+    assert one("a </> b </ p> c <? d > e") == "a b c e"
