@@ -1,9 +1,12 @@
 """Toxicity classifier, regularised by counterfactuals of identity terms.
 
 A logistic model over the presence of words and word beginnings. While it learns, every
-labelled text that names a group is also read with the group's name swapped for another
-of the same kind; a difference between the two scores is penalised. A neutral mention of
-a group then says nothing about toxicity, even where labels make it look otherwise.
+sentence of a labelled text that names a group is also read with the name swapped for each other
+one of its kind, and the squared difference of the two scores (before the logistic curve) is
+penalised. A neutral mention of a group then says nothing about toxicity, even where labels make
+it look otherwise. A group's name stands only for itself, so a swap changes two features at most,
+and swaps are told by (term, other term, the other is in the sentence anyway) and their number:
+as many rows as there are pairs of terms, whatever the texts.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ LEAST_ROWS, LEAST_CHI2 = 5, 12.0
 #: Entries of a worker's cache of words.
 CACHE_WORDS = 500_000
 
-# Names of groups of people, by kind; terms of one kind are swapped.
+# Names of groups of people in four languages, by kind; terms of one kind are swapped.
 IDENTITY_TERMS = {
     "religion": ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "sikh"),
     "believers": ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "sikhs"),
@@ -41,14 +44,41 @@ IDENTITY_TERMS = {
     "ability": ("deaf", "blind", "disabled", "autistic"),
     "movement": ("immigrant", "refugee", "citizen", "foreigner"),
     "movements": ("immigrants", "refugees", "citizens", "foreigners"),
+    "croyants": ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    "origine": ("africain", "asiatique", "européen", "américain", "arabe", "chinois", "mexicain", "allemand", "français", "espagnol"),
+    "genre": ("femme", "homme", "transgenre"),
+    "orientation_fr": ("lesbienne", "bisexuel", "hétérosexuel", "homosexuel"),
+    "mouvement": ("immigré", "réfugié", "citoyen", "étranger"),
+    "gläubige": ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    "herkunft": ("afrikaner", "asiate", "europäer", "amerikaner", "araber", "chinese", "mexikaner", "deutscher", "franzose", "spanier"),
+    "geschlecht": ("frau", "mann", "transfrau"),
+    "orientierung": ("schwul", "lesbisch", "bisexuell", "heterosexuell"),
+    "bewegung": ("einwanderer", "flüchtling", "bürger", "ausländer"),
+    "creyentes": ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    "origen": ("africano", "asiático", "europeo", "americano", "árabe", "chino", "mexicano", "alemán", "francés", "español"),
+    "género": ("mujer", "hombre", "transgénero"),
+    "orientación": ("lesbiana", "bisexual", "heterosexual", "homosexual"),
+    "movimiento": ("inmigrante", "refugiado", "ciudadano", "extranjero"),
 }
-_SWAP = {t: terms[(k + 1) % len(terms)] for terms in IDENTITY_TERMS.values() for k, t in enumerate(terms)}
+
+
+def swaps_of(kinds: dict[str, tuple[str, ...]]) -> dict[str, tuple[str, ...]]:
+    """For each term all others of its kinds."""
+    out: dict[str, dict[str, None]] = {}
+    for terms in kinds.values():
+        for t in terms:
+            out.setdefault(t, {}).update(dict.fromkeys(x for x in terms if x != t))
+    return {t: tuple(others) for t, others in out.items()}
+
+
+_SWAPS = swaps_of(IDENTITY_TERMS)
+_SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
 def word_features(word: str) -> list[str]:
     """A word and its beginnings of 3 to 8 letters; a group's name stands only for itself."""
-    if word in _SWAP:
+    if word in _SWAPS:
         return [word]
     return [word, *(word[:k] + "*" for k in range(3, min(len(word), 9)))]
 
@@ -108,6 +138,32 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
     return per_task.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
 
 
+def swapped_terms(text: str | None) -> Counter:
+    """(term, other, the other is in the sentence anyway) of each swap in the sentences of a text."""
+    found: Counter = Counter()
+    for m in _SENTENCE.finditer((text or "").lower()):
+        words = set(_WORD.findall(m.group()))
+        for term in words & _SWAPS.keys():
+            for other in _SWAPS[term]:
+                found[term, other, other in words] += 1
+    return found
+
+
+def _swap_counts(sample: DataFrame) -> list:
+    """The swaps of all sentences and their number: at most two rows for each pair of terms."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                found.update(swapped_terms(text))
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()), pa.array([found[k] for k in keys], pa.int64())], names=["term", "other", "there", "n"])
+
+    per_task = sample.select("text").mapInArrow(count, "term string, other string, there boolean, n long")
+    return per_task.groupBy("term", "other", "there").agg(F.sum("n").alias("n")).collect()
+
+
 def fit(labelled: DataFrame, features: int = FEATURES, swap_penalty: float = 1.0, l2: float = 1e-5, rounds: int = 600) -> ToxicityModel:
     """Learn from ``labelled`` (text, label 0 or 1), which the caller keeps bounded.
 
@@ -126,47 +182,73 @@ def fit(labelled: DataFrame, features: int = FEATURES, swap_penalty: float = 1.0
     chi2 = F.try_divide(F.lit(float(n)) * F.pow((a * d - b * c).cast("double"), 2), (a + b).cast("double") * (c + d) * (a + c) * (b + d))
     chosen = _feature_counts(sample).where(F.col("n") >= LEAST_ROWS).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
     top = [r["feature"] for r in chosen.orderBy(F.desc("chi2"), "feature").limit(features).select("feature").collect()]
-    names = list(dict.fromkeys([*_SWAP, *top]))
-    rows = _design(sample, names).collect()
-    return _train(rows, names, swap_penalty, l2, rounds)
+    names = list(dict.fromkeys([*_SWAPS, *top]))
+    return _train(_design(sample, names).collect(), _swap_counts(sample), names, swap_penalty, l2, rounds)
 
 
 def _design(sample: DataFrame, names: list[str]) -> DataFrame:
-    """label, the features of a text, and those of the text with its groups swapped."""
+    """label and the features of a text."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {f: k for k, f in enumerate(names)}
         for b in batches:
-            own, swapped = [], []
-            for text in b.column("text").to_pylist():
-                words = words_of(text)
-                own.append(sorted({index[f] for w in words for f in word_features(w) if f in index}))
-                other = {_SWAP.get(w, w) for w in words} if words & _SWAP.keys() else ()
-                swapped.append(sorted({index[f] for w in other for f in word_features(w) if f in index}))
-            yield pa.RecordBatch.from_pydict({"label": b.column("label"), "own": pa.array(own, pa.list_(pa.int32())), "swapped": pa.array(swapped, pa.list_(pa.int32()))})
+            own = [sorted({index[f] for w in words_of(text) for f in word_features(w) if f in index}) for text in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"label": b.column("label"), "own": pa.array(own, pa.list_(pa.int32()))})
 
-    return sample.select("text", "label").mapInArrow(encode, "label int, own array<int>, swapped array<int>")
+    return sample.select("text", "label").mapInArrow(encode, "label int, own array<int>")
 
 
-def _train(rows: list, names: list[str], swap_penalty: float, l2: float, rounds: int) -> ToxicityModel:
+@dataclass(frozen=True)
+class Objective:
+    """The loss over all rows and its gradient: weighted log loss, swaps and squared weights."""
+
+    y: np.ndarray
+    own: _Sparse
+    weight: np.ndarray
+    term: np.ndarray
+    other: np.ndarray
+    #: 0 where the swapped-in term is in the sentence anyway, so that only the swapped-out one changes the score.
+    new: np.ndarray
+    share: np.ndarray
+    swap_penalty: float
+    l2: float
+
+    def gap(self, w: np.ndarray) -> np.ndarray:
+        """By how much each swap changes the score, before the logistic curve."""
+        return self.new * w[self.other] - w[self.term]
+
+    def loss(self, w: np.ndarray, bias: float) -> float:
+        z = self.own.dot(w) + bias
+        fit = (self.weight * (np.logaddexp(0, z) - self.y * z)).sum()
+        return float(fit + self.swap_penalty * (self.share * self.gap(w) ** 2).sum() + self.l2 * (w * w).sum() / 2)
+
+    def gradient(self, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        error = self.weight * (1 / (1 + np.exp(-np.clip(self.own.dot(w) + bias, -40, 40))) - self.y)
+        pull = 2 * self.swap_penalty * self.share * self.gap(w)
+        n = len(w)
+        swaps = np.bincount(self.other, pull * self.new, n) - np.bincount(self.term, pull, n)
+        return self.own.transposed_dot(error) + swaps + self.l2 * w, float(error.sum())
+
+
+def objective(rows: list, swaps: list, names: list[str], swap_penalty: float, l2: float) -> Objective:
+    """Both labels weigh the same, whatever their shares; so do all swaps."""
     y = np.array([r["label"] for r in rows], float)
-    own, swapped = _Sparse([r["own"] for r in rows], len(names)), [(k, r["swapped"]) for k, r in enumerate(rows) if r["swapped"]]
-    at, other = np.array([k for k, _ in swapped], int), _Sparse([s for _, s in swapped], len(names))
-    # Both labels weigh the same, whatever their shares.
     share = y.mean()
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
+    index = {f: k for k, f in enumerate(names)}
+    n = np.array([s["n"] for s in swaps], float)
+    term, other = (np.array([index[s[c]] for s in swaps], int) for c in ("term", "other"))
+    new = np.array([not s["there"] for s in swaps], float)
+    return Objective(y, _Sparse([r["own"] for r in rows], len(names)), weight, term, other, new, n / n.sum() if len(n) else n, swap_penalty, l2)
+
+
+def _train(rows: list, swaps: list, names: list[str], swap_penalty: float, l2: float, rounds: int) -> ToxicityModel:
+    """Adam over all rows at once."""
+    goal = objective(rows, swaps, names, swap_penalty, l2)
     w, bias = np.zeros(len(names)), 0.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, rounds + 1):
-        z = own.dot(w) + bias
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        grad = own.transposed_dot(error) + l2 * w
-        if len(at):
-            gap = 2 * swap_penalty * (z[at] - bias - other.dot(w)) / len(at)
-            full = np.zeros(len(y))
-            full[at] = gap
-            grad += own.transposed_dot(full) - other.transposed_dot(gap)
-        g = np.append(grad, error.sum())
+        g = np.append(*goal.gradient(w, bias))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
