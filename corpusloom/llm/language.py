@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, staged
 
 #: Buckets of the hashed n-grams, orders, and the bound of the rows that are learned from.
 BUCKETS, ORDERS, TRAIN_ROWS = 1 << 16, (1, 2, 3), 20_000
+#: Most languages a model can have: its matrix (a row of BUCKETS numbers each) is broadcast.
+MOST_LANGUAGES = 256
 UNKNOWN = "und"
 #: n-grams of evidence after which more text no longer sharpens the score.
 EVIDENCE = 40
@@ -116,7 +118,11 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = O
 
     arrow_batches(labelled.sparkSession)
     per_task = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInArrow(count, "lang string, bucket int, n long")
-    got = per_task.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    summed = staged(per_task.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "ngrams")
+    n_languages = summed.where("bucket = -1").count()
+    if n_languages > MOST_LANGUAGES:
+        raise ValueError(f"{n_languages} languages are named; a model holds {MOST_LANGUAGES} at most, so clean the column first")
+    got = summed.toPandas()
     languages = tuple(sorted(got["lang"].unique()))
     sums = np.zeros((len(languages), buckets + 1))
     row = {lang: k for k, lang in enumerate(languages)}
