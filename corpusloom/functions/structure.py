@@ -12,7 +12,7 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StringType, StructField, StructType
 
 
 def closing(text: str, start: int, pair: str = "()", escaped: bool = False) -> int:
@@ -133,3 +133,35 @@ def data_url(url: str | None) -> tuple[str | None, bytes | None]:
         return head[5:], base64.b64decode(body, validate=True)
     except ValueError:
         return None, None
+
+
+def _byte_of_letter() -> dict[str, int]:
+    """Byte-level tokenizers spell a byte by its own character where that can be seen, else by one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+_BYTES = _byte_of_letter()
+
+
+def repaired(text: str | None) -> str | None:
+    """The text behind byte-level spelling: only where the spelt blank occurs and no real one does."""
+    if not text or "\u0120" not in text or " " in text:
+        return text
+    return b"".join(bytes([_BYTES[c]]) if c in _BYTES else c.encode() for c in text).decode("utf-8", "replace")
+
+
+@F.pandas_udf(StringType())
+def repaired_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(repaired)
+
+
+@F.pandas_udf(StringType())
+def first_object_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(first_object)
+
+
+@F.pandas_udf(StructType([StructField("mime", StringType()), StructField("body", BinaryType())]))
+def data_url_udf(urls: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([data_url(u) for u in urls], columns=["mime", "body"])

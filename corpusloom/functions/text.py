@@ -125,3 +125,27 @@ def clean_pages(c: Column) -> Column:
 
     t = F.regexp_replace(F.regexp_replace(c, PAGE_LINE, ""), r"(\w)-\n(\w)", "$1$2")
     return strip(F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r" {2,}", " "))
+
+
+def wiki_clean(c: Column, most: int = 3000) -> Column:
+    """Links as their labels, without templates and tags, cut."""
+    t = F.regexp_replace(F.regexp_replace(c, r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1"), r"\{\{[^}]*\}\}", "")
+    return F.substring(F.regexp_replace(t, "<[^>]+>", ""), 1, most)
+
+
+def json_line_text(line: Column) -> Column:
+    """``text`` or else ``prompt`` of a line that is a JSON object, bullets and commas aside; else null."""
+    bare = F.regexp_replace(F.regexp_replace(line, "^[-* ]+", ""), "[, ]+$", "")
+    return F.when(bare.startswith("{"), F.coalesce(F.get_json_object(bare, "$.text"), F.get_json_object(bare, "$.prompt")))
+
+
+def first_filled(*names: str) -> Column:
+    """The first of the columns that holds something."""
+    return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in names])
+
+
+def promoted(content: Column, reasoning: Column) -> Column:
+    """Reasoning in place of empty content; marks of reasoning go where there are any."""
+    empty = F.coalesce(content == "", F.lit(True)) & (strip(F.coalesce(reasoning, F.lit(""))) != "")
+    said = F.when(empty, reasoning).otherwise(content)
+    return F.when(said.rlike("(?i)think"), without_thinking(said)).otherwise(said)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,8 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True)
 def directory_as_column(spark: SparkSession, folder: str, schema: str, column: str = "domain") -> DataFrame:
     """All ``*.jsonl`` of a folder; the file's stem becomes a column."""
     df = spark.read.schema(schema).option("pathGlobFilter", "*.jsonl").json(folder)
-    return df.withColumn(column, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl$", 1))
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return df.withColumn(column, F.regexp_extract(path, r"([^/]+)\.jsonl$", 1))
 
 
 def recursive(spark: SparkSession, folder: str, schema: str, name: str = "train.jsonl") -> DataFrame:
@@ -66,9 +67,24 @@ def known_hashes(spark: SparkSession, path: str, schema: str, column: str = "ded
     return csv_rows(spark, path, schema).select(v).where(F.col(column) != "").distinct()
 
 
+def xml_pages(spark: SparkSession, path: str, schema: str, row: str = "page") -> DataFrame:
+    """The elements of a name in an XML dump."""
+    return spark.read.format("xml").schema(schema).option("rowTag", row).load(path)
+
+
+def yaml_map(spark: SparkSession, path: str, under: str, key: str, value: str) -> DataFrame:
+    """The ``name: value`` lines one level below a top-level key of a plain YAML file."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("k", "line"))
+    top = F.max_by(F.when(F.col("line").rlike(r"^\S.*:"), F.regexp_extract("line", r"^([\w-]+):", 1)), F.when(F.col("line").rlike(r"^\S.*:"), F.col("k")))
+    # A configuration file is one task's work: its lines are read in order.
+    named = lines.withColumn("top", top.over(Window.partitionBy(F.lit(1)).orderBy("k")))
+    pair = r"^  ([\w-]+):\s*(\S.*?)\s*$"
+    return named.where((F.col("top") == under) & F.col("line").rlike(pair)).select(F.regexp_extract("line", pair, 1).alias(key), F.regexp_extract("line", pair, 2).alias(value))
+
+
 def source_tree(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """Whole files below a folder: path and text."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import file_system
+
 
 def json_by_split(df: DataFrame, path: str, by: tuple[str, ...] = ("domain", "split")) -> None:
     """A folder for each domain and split, overwritten."""
@@ -38,6 +43,31 @@ def sse_chunks(df: DataFrame, content: str, stream: str) -> DataFrame:
     return df.select(stream, F.concat(F.lit("data: "), body, F.lit("\n\n")).alias("chunk"))
 
 
+def sse_finish(reason: Column, tokens: Column) -> Column:
+    """The chunks that end a stream: why, what was used, and the mark of the end."""
+    body = F.to_json(F.struct(F.array(F.struct(F.struct().alias("delta"), reason.alias("finish_reason"))).alias("choices"), F.struct(tokens.alias("completion_tokens")).alias("usage")))
+    return F.concat(F.lit("data: "), body, F.lit("\n\ndata: [DONE]\n\n"))
+
+
+def row_files(df: DataFrame, out: str, name: Column, body: Column) -> int:
+    """Write each row as a file ``out``/``name``; how many were written.
+
+    A task that is run again writes the same files anew.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = file_system(out)
+        for b in batches:
+            for path, raw in zip(b.column("name").to_pylist(), b.column("body").to_pylist(), strict=True):
+                store.create_dir(f"{at}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{at}/{path}", compression=None) as f:
+                    f.write(raw)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    rows = df.select(name.alias("name"), body.cast("binary").alias("body"))
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def content_addressed(df: DataFrame, text: str, known: DataFrame | None = None) -> DataFrame:
     """Rows by the hash of their text without identifiers; what is known is not written again."""
     uuid = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
