@@ -50,13 +50,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """The distinct tokens of a whole text, ascending: hashes of ``size`` words in a row.
+def shingles(text: str | bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """The distinct tokens of a whole text (or its UTF-8), ascending: hashes of ``size`` words in a row.
 
     A-Z are lower-cased, words are what ASCII white space parts. Fewer words than ``size``
     are one shingle; no words, none.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    words = raw.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
@@ -271,6 +272,17 @@ def _across(buckets: DataFrame, label: DataFrame, sets: DataFrame, percent: int)
     return x.join(y, meet).select("a", "b").distinct()
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as they are shuffled: their length and zstd of their bytes."""
+    for b in batches:
+        raws = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in raws], pa.binary())], names=["id", "text"])
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole texts are linked; only these texts are moved."""
     pairs, pairs_at = staged_at(pairs, "pairs")
@@ -280,21 +292,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, pe
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.withColumn("same", F.xxhash64("text")).join(wanted, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"])
-    texts, texts_at = staged_at(texts.select("id", "text"), "texts")
+    texts, texts_at = staged_at(texts.select("id", "text").mapInArrow(_packed, "id long, text binary"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
 
-        def of(key: int, text: str) -> np.ndarray:
+        def of(key: int, text: bytes) -> np.ndarray:
             if key not in kept:
                 if len(kept) >= 256:
                     kept.clear()
-                kept[key] = shingles(text, size)
+                kept[key] = shingles(_unpacked(text), size)
             return kept[key]
 
         for b in batches:
             a, c = b.column("a").to_pylist(), b.column("b").to_pylist()
-            ok = [linked(shingles(s, size), of(y, t), percent) for s, y, t in zip(b.column("text_a").to_pylist(), c, b.column("text_b").to_pylist(), strict=True)]
+            ok = [linked(shingles(_unpacked(s), size), of(y, t), percent) for s, y, t in zip(b.column("text_a").to_pylist(), c, b.column("text_b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, ok, strict=True) if k], pa.int64()), pa.array([x for x, k in zip(c, ok, strict=True) if k], pa.int64())], names=["a", "b"])
 
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -326,10 +338,26 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _same_id(rows: DataFrame) -> DataFrame:
+def _same_id(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (a, b) between different sets that have a doc_id in common."""
-    ends = rows.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("doc_id", "a")
-    return rows.select("doc_id", F.col("id").alias("b")).distinct().join(ends, "doc_id").where("a <> b").select("a", "b")
+    ends = rows.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("doc_id", "low")
+    pairs = rows.select("doc_id", "node").distinct().join(ends, "doc_id").where("node <> low").select("low", F.col("node").alias("high")).distinct()
+    named = nodes.select("node", "id")
+    low, high = named.withColumnsRenamed({"node": "low", "id": "a"}), named.withColumnsRenamed({"node": "high", "id": "b"})
+    return pairs.join(low, "low").join(high, "high").select("a", "b")
+
+
+def _named(filled: DataFrame) -> DataFrame:
+    """(node, id, first, copies): each distinct set, its smallest (doc_id, same) and how many rows have it.
+
+    It is named by its smallest doc_id, or, where that also is another set's, by 64 bits of its fingerprint.
+    """
+    nodes = staged(filled.groupBy("node").agg(F.min(F.struct("doc_id", "same")).alias("first"), F.count("*").alias("copies")), "nodes")
+    odd = nodes.groupBy("first.doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("odd"))
+    if odd.isEmpty():
+        return nodes.select("node", F.col("first.doc_id").alias("id"), "first", "copies")
+    told = nodes.withColumn("doc_id", F.col("first.doc_id")).join(odd, "doc_id", "left")
+    return staged(told.select("node", F.when(F.col("odd"), F.xxhash64("node")).otherwise(F.col("doc_id")).alias("id"), "first", "copies"), "nodes")
 
 
 def duplicate_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, by_id: bool = True) -> DataFrame:
@@ -337,21 +365,21 @@ def duplicate_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHING
     n_shingles and best, the smallest (doc_id, same) of its class.
 
     Rows are of one class when links lead from one to the other; with ``by_id``, rows that have a
-    doc_id in common are linked, whatever their texts. A set is named by 64 bits of its fingerprint,
-    as a shingle is by its hash. Rows without words or doc_id are in a class of their own.
+    doc_id in common are linked, whatever their texts. Rows without words or doc_id are in a class
+    of their own.
     """
     arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted, counted_at = staged_at(_first_pass(docs, size), "tokens")
-    rows = staged(counted.where("node IS NOT NULL").select("doc_id", "same", F.xxhash64("node").alias("id"), "n"), "sets")
+    rows = staged(counted.where("node IS NOT NULL").select("doc_id", "same", "node", "n"), "sets")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("rows")).first()
     frequent = frequent_tokens(counted, total["tokens"])
     drop_dir(counted_at)
 
     filled = rows.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = staged(filled.groupBy("id").agg(F.min(F.struct("doc_id", "same")).alias("first"), F.count("*").alias("copies")), "nodes")
+    nodes = _named(filled)
     index = _indexed(docs, frequent, size, percent).groupBy("node").agg(F.first(F.struct("n", "bits", "singles", "combined")).alias("s"))
-    index, index_at = staged_at(index.select(F.xxhash64("node").alias("id"), "s.n", "s.bits", "s.singles", "s.combined"), "index")
+    index, index_at = staged_at(index.join(nodes.select("node", "id"), "node").select("id", "s.n", "s.bits", "s.singles", "s.combined"), "index")
     buckets, buckets_at = staged_at(_buckets(index), "buckets")
     sets, sets_at = staged_at(index.select("id", "n", "bits"), "signatures")
     drop_dir(index_at)
@@ -366,7 +394,7 @@ def duplicate_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHING
     drop_dir(buckets_at)
     drop_dir(sets_at)
     if by_id:
-        more = staged(more.unionByName(_same_id(filled)), "links")
+        more = staged(more.unionByName(_same_id(filled, nodes)), "links")
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
@@ -375,9 +403,9 @@ def duplicate_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHING
     best = left_join_hot(label, firsts, "component", label.count(), F.col("id")).select("id", "best")
     # A set of one row and without links is its own best.
     known = nodes.join(best, "id", "left").where("copies > 1 OR best IS NOT NULL")
-    known = staged(known.select("id", F.coalesce("best", "first").alias("best"), F.col("copies").alias("n")), "classes")
+    known = staged(known.select("node", F.coalesce("best", "first").alias("best"), F.col("copies").alias("n")), "classes")
     has_set = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    found = left_join_hot(rows, known, "id", total["rows"], F.xxhash64("doc_id", "same"), has_set)
+    found = left_join_hot(rows, known, "node", total["rows"], F.xxhash64("doc_id", "same"), has_set)
     return found.select("doc_id", "same", F.col("n").alias("n_shingles"), F.coalesce("best", F.struct("doc_id", "same")).alias("best"))
 
 
