@@ -450,7 +450,7 @@ def m03_delta_reader(spark, sf):
     return M.stream_text(lines, "conv_id", "turn", "line")
 
 
-@query("WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS at, round_even(value * 1000, 0)::bigint + 60000 AS work, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE ts < TIMESTAMP '2024-01-04'), q AS (SELECT user_id, event_id, rn, at AS start, at + work AS done FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.event_id, e.rn, greatest(e.at, q.done), greatest(e.at, q.done) + e.work FROM q JOIN e ON e.user_id = q.user_id AND e.rn = q.rn + 1) SELECT user_id, event_id, start - at AS waited FROM q JOIN e USING (user_id, event_id)")
+@query("WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS came, round_even(value * 1000, 0)::bigint + 60000 AS work, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE ts < TIMESTAMP '2024-01-04'), q AS (SELECT user_id, event_id, rn, came AS began, came + work AS done FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.event_id, e.rn, greatest(e.came, q.done), greatest(e.came, q.done) + e.work FROM q JOIN e ON e.user_id = q.user_id AND e.rn = q.rn + 1) SELECT user_id, event_id, began - came AS waited FROM q JOIN e USING (user_id, event_id)")
 def m09_fifo_wait(spark, sf):
     """One request at a time for each worker: how long each waits for those before it.
 
