@@ -51,3 +51,30 @@ EMBEDDED_WORDS = (
     r"rtic|defmt|probe|flash|uart|spi|i2c|pwm|adc|dma|timer|bare.?metal|#\[entry\]|#\[interrupt\]|embedded.hal|"
     r"stm32|nrf|esp32|esp.hal|cortex.m|svd2rust|probe.rs)\b"
 )
+RUST_PLATFORMS = (("nrf", "nrf"), ("stm32", "stm32"), ("esp", "esp32"), ("rp2040", "rp2040"), ("rp23", "rp2350"), ("microbit", "nrf-microbit"), ("f3discovery", "stm32-f3discovery"))
+DESIGNATORS = (
+    ("R", "resistor"), ("C", "capacitor"), ("U", "IC"), ("Q", "transistor"), ("D", "diode"), ("L", "inductor"), ("J", "connector"), ("SW", "switch"),
+    ("F", "fuse"), ("Y", "crystal"), ("T", "transformer"), ("K", "relay"),
+)
+EXAMPLE_CATEGORIES = (
+    ("json-parsing", ("json", "deserialize", "serialize", "arduinojson")),
+    ("communication-mqtt", ("mqtt", "pubsub")),
+    ("sensors", ("adafruit_sensor", "dht", "temperature", "humidity", "pressure", "accel", "gyro", "bme", "bmp")),
+    ("communication-spi", ("spi.begin", "spi.transfer", "spi.h")),
+    ("communication-i2c", ("wire.begin", "wire.request", "i2c", "twi")),
+    ("communication-wifi", ("wifi", "ethernet", "wificlient", "ethclient")),
+    ("servo-motor", ("servo", "motor", "stepper")),
+    ("display", ("lcd", "display", "oled", "tft", "screen")),
+    ("data-storage", ("eeprom", "sd.begin", "flash", "storage")),
+    ("analog-io", ("analogread", "analogwrite", "pwm", "fade")),
+    ("digital-io", ("digitalread", "digitalwrite", "button", "pinmode")),
+    ("timing", ("millis()", "micros()", "interrupt", "attachinterrupt")),
+    ("strings", ("string ", "indexof", "substring", "startswith", "charat")),
+    ("control-structures", ("arrays", "forloop", "whileloop", "switchcase")),
+    ("communication-serial", ("serial.begin", "uart", "usart")),
+)
+CIRCUIT_TYPES = {
+    "connector": r"(?i)(header|JST|Molex|barrel.?jack|screw.?terminal|D-Sub|RJ45|ethernet|USB.?connector|SD.?card|micro.?SD|SIM|pin.?header|IDC|FPC|ZIF|edge.?connector)",
+    "display": r"(?i)(OLED|LCD|TFT|LED.?driver|backlight|SSD1306|ST7735|ILI\d|WS2812|NeoPixel|Charlieplex|MAX7219|HT16K33|segment.?display|dot.?matrix)",
+    "memory": r"(?i)(EEPROM|Flash|SRAM|SDRAM|FRAM|AT24|W25Q|IS25|SST\d|MX25|S25FL|NOR.?flash|NAND|PSRAM)",
+}

@@ -12,7 +12,7 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
 
 def closing(text: str, start: int, pair: str = "()", escaped: bool = False) -> int:
@@ -165,3 +165,8 @@ def first_object_udf(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(StructType([StructField("mime", StringType()), StructField("body", BinaryType())]))
 def data_url_udf(urls: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([data_url(u) for u in urls], columns=["mime", "body"])
+
+
+@F.pandas_udf(IntegerType())
+def closing_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: -1 if t is None else closing(t, 0))

@@ -77,3 +77,12 @@ def first_success(events: DataFrame, key: str, order: list[str], ok: Column, ret
     tried = events.withColumns({"attempt": F.row_number().over(w), "ok": ok}).where(F.col("attempt") <= retries + 1)
     g = tried.groupBy(key).agg(F.min(F.when(F.col("ok"), F.col("attempt"))).alias("won"), F.max("attempt").alias("made"))
     return g.select(key, F.coalesce("won", "made").alias("attempts"), F.when(F.col("won").isNotNull(), "ok").when(F.col("made") > retries, "exhausted").otherwise("error").alias("status"))
+
+
+def labelled_parts(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """Texts cut into parts of ``size`` characters; each of several says which it is."""
+    n = F.greatest(F.lit(1), F.ceil(F.length(text) / size)).cast("int")
+    parts = df.select(key, F.col(text).alias("_text"), n.alias("split_total")).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("split_total"))))
+    cut = F.substring("_text", (F.col("part") - 1) * size + 1, F.lit(size))
+    head = F.concat(F.lit("[Part "), F.col("part").cast("string"), F.lit("/"), F.col("split_total").cast("string"), F.lit("]\n"))
+    return parts.withColumn("chunk", F.when(F.col("split_total") > 1, F.concat(head, cut)).otherwise(F.col("_text"))).drop("_text")

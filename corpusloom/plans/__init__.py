@@ -1,6 +1,6 @@
 """Importing this package registers all queries."""
 
-from . import corpus, files, messages, metrics, relations, sequences
+from . import corpus, designs, files, messages, metrics, relations, reports, sequences
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "files", "messages", "metrics", "relations", "sequences"]
+__all__ = ["ORACLES", "QUERIES", "corpus", "designs", "files", "messages", "metrics", "relations", "reports", "sequences"]
