@@ -124,12 +124,28 @@ def stub_validator(outputs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"exit_code": (~ok).astype("int32"), "stdout": ok.map({True: "ok", False: ""}), "stderr": ok.map({True: "", False: "brackets"})})
 
 
-def hashed_vector(text: Column, width: int = 64) -> Column:
-    """A text's words counted in ``width`` hashed places, as a unit vector."""
-    places = F.transform(F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(width)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
-    size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, size), F.lit(0.0)))
+#: Extractors by format; a format without one gives no text.
+EXTRACTORS = {"html": T.html_to_text, "text": T.strip}
+_FORMATS = (("html", "html"), ("htm", "html"), ("txt", "text"), ("md", "text"), ("csv", "text"), ("log", "text"))
+
+
+def format_of(name: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in _FORMATS for x in kv])
+    return F.coalesce(F.element_at(known, F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))), F.lit("unknown"))
+
+
+def extracted(kind: str, body: str) -> Column:
+    return F.coalesce(*[F.when(F.col(kind) == k, extract(F.col(body))) for k, extract in EXTRACTORS.items()])
+
+
+def hashed_vectors(df: DataFrame, key: str, text: str, width: int = 64) -> DataFrame:
+    """Texts as unit vectors of their words counted in hashed places: a row for each place that is not 0."""
+    words = df.select(key, F.explode(F.split(F.lower(text), r"[^a-z]+")).alias("w")).where("w <> ''")
+    place = F.conv(F.substring(F.sha2("w", 256), 1, 7), 16, 10).cast("long") % width
+    # Equal words of a text are counted before they are hashed.
+    counts = words.groupBy(key, "w").agg(F.count("*").alias("n")).groupBy(key, place.alias("place")).agg(F.sum("n").alias("n"))
+    size = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
+    return counts.select(key, "place", (F.col("n") / size).alias("value"))
 
 
 def dense_head(df: DataFrame, ident: str, vector: str, hidden: int, labels: int, seed: int = 42) -> DataFrame:

@@ -1,6 +1,6 @@
 """Importing this package registers all queries."""
 
-from . import corpus, designs, files, messages, metrics, relations, reports, sequences
+from . import builders, corpus, designs, files, messages, metrics, relations, replays, reports, sequences
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "designs", "files", "messages", "metrics", "relations", "reports", "sequences"]
+__all__ = ["ORACLES", "QUERIES", "builders", "corpus", "designs", "files", "messages", "metrics", "relations", "replays", "reports", "sequences"]

@@ -85,9 +85,9 @@ VALUES = {
     "p16_context_snippet": (lambda t: F.when(F.instr(t, "MIT") > 0, F.concat(F.when(F.instr(t, "MIT") > 41, "...").otherwise(""), F.expr("substring(text, greatest(1, instr(text, 'MIT') - 40), least(40, instr(text, 'MIT') - 1))"), F.lit("[MIT]"), F.expr("substring(text, instr(text, 'MIT') + 3, 40)"), F.when(F.length(t) > F.instr(t, "MIT") + 42, "...").otherwise(""))), "CASE WHEN strpos(text, 'MIT') > 0 THEN (CASE WHEN strpos(text, 'MIT') > 41 THEN '...' ELSE '' END) || substr(text, greatest(1, strpos(text, 'MIT') - 40)::bigint, least(40, strpos(text, 'MIT') - 1)::bigint) || '[MIT]' || substr(text, strpos(text, 'MIT') + 3, 40) || (CASE WHEN length(text) > strpos(text, 'MIT') + 42 THEN '...' ELSE '' END) END"),
     "p17_head_and_tail": (lambda t: T.head_and_tail(t), "CASE WHEN length(text) > 1000 THEN left(text, 256) || ' ... ' || right(text, 256) ELSE text END"),
     "p19_title_template": (lambda t: T.first_rule(F.lower(F.substring(t, 1, 80)), tuple((k, v) for ks, v in R.TITLE_RULES for k in ks), "topic"), "CASE " + " ".join(f"WHEN contains(lower(substr(text, 1, 80)), {q(k)}) THEN {q(v)}" for ks, v in R.TITLE_RULES for k in ks) + " ELSE 'topic' END"),
-    "p18_instruction_merge": (lambda t: F.concat(F.lit("Read:"), F.when(T.strip(F.substring(t, 1, 40)) != "", F.concat(F.lit("\n\n"), F.substring(t, 1, 40))).otherwise("")), "'Read:' || CASE WHEN " + SQL_STRIP.format(c="substr(text, 1, 40)") + " <> '' THEN chr(10) || chr(10) || substr(text, 1, 40) ELSE '' END"),
-    "p20_change_template": (lambda t: F.when(F.length(F.substring(t, 1, 30)) > 10, F.concat(F.lit("Modify this "), F.col("lang"), F.lit(" text:\n"), F.substring(t, 1, 2000))).otherwise(F.concat(F.lit("Write "), F.col("lang"))), "CASE WHEN length(substr(text, 1, 30)) > 10 THEN 'Modify this ' || lang || ' text:' || chr(10) || substr(text, 1, 2000) ELSE 'Write ' || lang END"),
-    "p21_context_prefix": (lambda t: F.when(F.length("source") > 4, F.concat(F.lit("Source: "), F.col("source"), F.lit("\n"), F.substring(t, 1, 100))).otherwise(F.substring(t, 1, 100)), "CASE WHEN length(source) > 4 THEN 'Source: ' || source || chr(10) || substr(text, 1, 100) ELSE substr(text, 1, 100) END"),
+    "p18_instruction_merge": (lambda t: F.concat(F.lit("Read "), F.col("source"), F.when(T.strip(t) != "", F.concat(F.lit("\n\n"), t)).otherwise("")), f"'Read ' || source || CASE WHEN {STRIP} <> '' THEN chr(10) || chr(10) || text ELSE '' END"),
+    "p20_change_template": (lambda t: F.when(F.length(t) > 10, F.concat(F.lit("Modify this "), F.col("lang"), F.lit(" text:\n"), F.substring(t, 1, 2000))).otherwise(F.concat(F.lit("Write "), F.col("lang"))), "CASE WHEN length(text) > 10 THEN 'Modify this ' || lang || ' text:' || chr(10) || substr(text, 1, 2000) ELSE 'Write ' || lang END"),
+    "p21_context_prefix": (lambda t: F.when(F.length(t) > 20, F.concat(F.lit("Context:\n"), t, F.lit("\n\nQuestion: "), F.col("source"))).otherwise(F.col("source")), "CASE WHEN length(text) > 20 THEN 'Context:' || chr(10) || text || chr(10) || chr(10) || 'Question: ' || source ELSE source END"),
     "p22_cut_with_mark": (lambda t: T.cut(t, 500, "..."), "CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END"),
     "x01_page_clean": (lambda t: T.clean_pages(t), r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?im)^(?:(?:Page\s+)?\d+(?:\s+of\s+\d+)?|AN\d+|Rev\.?\s*\d+|Doc\s*ID\s*\d+|www\.\S+)\s*$', '', 'g'), '(\w)-\n(\w)', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')"),
     "x02_language_guess": (lambda t: T.guess_language(t), SQL_GUESS),
@@ -98,7 +98,7 @@ VALUES = {
     "x12_dominant_type": (lambda t: F.expr("CASE WHEN greatest(regexp_count(text, '(?i)the'), regexp_count(text, '(?i)der'), regexp_count(text, '(?i)que')) = 0 THEN 'mixed' WHEN array_sort(array(regexp_count(text, '(?i)the'), regexp_count(text, '(?i)der'), regexp_count(text, '(?i)que')))[1] >= 0.6 * greatest(regexp_count(text, '(?i)the'), regexp_count(text, '(?i)der'), regexp_count(text, '(?i)que')) THEN 'mixed' WHEN regexp_count(text, '(?i)the') > regexp_count(text, '(?i)der') AND regexp_count(text, '(?i)the') > regexp_count(text, '(?i)que') THEN 'the' WHEN regexp_count(text, '(?i)der') > regexp_count(text, '(?i)que') THEN 'der' ELSE 'que' END"), "(WITH c AS (SELECT len(regexp_extract_all(text, '(?i)the')) AS a, len(regexp_extract_all(text, '(?i)der')) AS b, len(regexp_extract_all(text, '(?i)que')) AS e) SELECT CASE WHEN greatest(a, b, e) = 0 THEN 'mixed' WHEN list_sort([a, b, e])[2] >= 0.6 * greatest(a, b, e) THEN 'mixed' WHEN a > b AND a > e THEN 'the' WHEN b > e THEN 'der' ELSE 'que' END FROM c)"),
     "x13_page_type": (lambda t: F.when((F.length(T.strip(t)) < 50) & (T.line_count(t) < 3), "cover").when(T.line_count(t) >= 30, F.when(F.expr("regexp_count(text, '[|]')") > 0.6 * T.line_count(t), "table").otherwise("schematic")).when(T.line_count(t) > 10, "diagram").when(F.length(T.strip(t)) >= 200, "text").otherwise("sparse"), rf"CASE WHEN length({STRIP}) < 50 AND len(string_split(text, chr(10))) < 3 THEN 'cover' WHEN len(string_split(text, chr(10))) >= 30 THEN (CASE WHEN len(regexp_extract_all(text, '[|]')) > 0.6 * len(string_split(text, chr(10))) THEN 'table' ELSE 'schematic' END) WHEN len(string_split(text, chr(10))) > 10 THEN 'diagram' WHEN length({STRIP}) >= 200 THEN 'text' ELSE 'sparse' END"),
     "x16_complexity": (lambda t: T.complexity(t), SQL_COMPLEX("text")),
-    "x50_name_sanitise": (lambda t: F.regexp_replace(F.substring(t, 1, 60), r"[^A-Za-z0-9._-]", "_"), "regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9._-]', '_', 'g')"),
+    "x50_name_sanitise": (lambda t: F.regexp_replace(t, r"[^A-Za-z0-9._-]", "_"), "regexp_replace(text, '[^A-Za-z0-9._-]', '_', 'g')"),
     "x54_word_tokens": (lambda t: T.word_count(t), WORDS),
     "x28_syntax_check": (lambda t: F.expr("(length(text) - length(replace(text, '(', ''))) >= 5 AND length(replace(text, '(', '')) = length(replace(text, ')', ''))") | t.rlike(r"(?m)^\s*[RCLQDM][A-Z0-9_]*\s+\S+\s+\S+"), r"((length(text) - length(replace(text, '(', ''))) >= 5 AND length(replace(text, '(', '')) = length(replace(text, ')', ''))) OR regexp_matches(text, '(?m)^\s*[RCLQDM][A-Z0-9_]*\s+\S+\s+\S+')"),
 }

@@ -323,12 +323,20 @@ def b42_vendor_lookup(spark, sf):
     return hit.groupBy("p_partkey").agg(F.min_by("vendor", "place").alias("vendor"))
 
 
-@query("SELECT e.vec_id, m.c AS predicted FROM embeddings e JOIN (SELECT vec_id, arg_max(c, (s, -c)) AS c FROM (SELECT e.vec_id, m.label AS c, round_even(list_dot_product(e.embedding::double[], m.v), 6) AS s FROM embeddings e, (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding::double[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY label) m) GROUP BY vec_id) m USING (vec_id)")
+@query("WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents), c AS (SELECT doc_id, ('0x' || substr(sha256(w), 1, 7))::bigint % 64 AS place, count(*) AS n FROM w WHERE w <> '' GROUP BY 1, 2) SELECT doc_id, place, round_even(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6)::double AS value FROM c")
 def d08_text_encoder(spark, sf):
-    """Unit vectors against the mean vectors of the labels; ``operators.evaluation.hashed_vector`` encodes texts."""
-    from .sequences import x53_nearest_centroid
-
-    return x53_nearest_centroid(spark, sf)
+    """Texts as unit vectors: their words counted in 64 hashed places (no model is at hand)."""
+    return E.hashed_vectors(table(spark, sf, "documents"), "doc_id", "text").withColumn("value", F.bround("value", 6))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'text' WHEN 2 THEN 'text' ELSE 'unknown' END AS format, CASE doc_id % 4 WHEN 0 THEN 'A & ' || doc_id WHEN 3 THEN NULL ELSE 'plain ' || doc_id END AS text FROM documents")
+def d07_format_dispatch(spark, sf):
+    """What is read out of a file by its format: each format has its own extractor."""
+    k, i = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    name = F.element_at(F.array(*map(F.lit, ("a.html", "b.txt", "c.MD", "d.bin"))), (k + 1).cast("int"))
+    body = F.when(k == 0, F.concat(F.lit("<style>x</style><p>A &amp; "), i, F.lit("</p>"))).otherwise(F.concat(F.lit(" plain "), i, F.lit("\n")))
+    files = table(spark, sf, "documents").select("doc_id", E.format_of(name).alias("format"), body.alias("body"))
+    return files.select("doc_id", "format", E.extracted("format", "body").alias("text"))
 
 
 def x53_router_head(spark, sf):

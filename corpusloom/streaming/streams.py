@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,3 +60,91 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", window: str = "
 def first_seen(events: DataFrame, key: str, late: str = "10 minutes") -> DataFrame:
     """The first row of each key; keys are forgotten once the watermark has passed them."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def keyed_fold(rows: DataFrame, key: str, order: list[str], start: tuple, state: str, step: Callable, out: str) -> DataFrame:
+    """Fold each key's rows, in order, into its state; what a step returns is emitted.
+
+    ``step(state, row)`` gives the new state and a list of rows (without the key) for ``out``. A
+    micro-batch's rows are put in order; between micro-batches the source keeps it.
+    """
+
+    def run(key_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now, told = tuple(held.get) if held.exists else start, []
+        for row in pd.concat(list(batches)).sort_values(order).itertuples(index=False):
+            now, more = step(now, row)
+            told += [(key_[0], *m) for m in more]
+        held.update(now)
+        yield pd.DataFrame(told, columns=[key, *(c.split()[0] for c in out.split(", "))])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {out}", state, "append", GroupStateTimeout.NoTimeout)
+
+
+def session_step(now: tuple, row) -> tuple[tuple, list]:
+    """LISTENING, THINKING, SPEAKING and back: a turn wants input first, and none overlaps another."""
+    state, has_input = now
+    allowed = {"view": state == "LISTENING", "click": state == "LISTENING" and has_input, "purchase": state == "THINKING", "signup": state == "SPEAKING", "error": True}
+    ok = bool(allowed.get(row.event_type, False))
+    if ok:
+        state, has_input = {"view": ("LISTENING", True), "click": ("THINKING", False), "purchase": ("SPEAKING", False), "signup": ("LISTENING", False), "error": ("LISTENING", False)}[row.event_type]
+    return (state, has_input), [(row.event_id, ok, state)]
+
+
+def ttl_step(days: float, most: int) -> Callable:
+    """A store of ``most`` entries that expire after so many days: its size after each row."""
+    span = int(days * 86_400_000_000)
+
+    def step(now: tuple, row) -> tuple[tuple, list]:
+        held = [t for t in now[0] if t > row.micros - span][-(most - 1) :] if most > 1 else []
+        held = [*held, row.micros]
+        return (held,), [(row.event_id, len(held))]
+
+    return step
+
+
+def lru_step(most: int) -> Callable:
+    """An exact cache of the ``most`` latest keys: if each row hits it."""
+
+    def step(now: tuple, row) -> tuple[tuple, list]:
+        held = list(now[0])
+        hit = row.event_type in held
+        held = [x for x in held if x != row.event_type][-(most - 1) :] + [row.event_type]
+        return (held,), [(row.event_id, hit)]
+
+    return step
+
+
+def frame_step(size: int) -> Callable:
+    """Frames of ``size`` rows: number, and the sum of what is in them, once they are full."""
+
+    def step(now: tuple, row) -> tuple[tuple, list]:
+        number, held = now[0], [*now[1], row.cents]
+        if len(held) < size:
+            return (number, held), []
+        return (number + 1, []), [(number, sum(held))]
+
+    return step
+
+
+def content_step(now: tuple, row) -> tuple[tuple, list]:
+    """At each end of a stream, if it had any content since the end before."""
+    seen = bool(now[0] or row.cents > 10_000)
+    if row.event_type != "purchase":
+        return (seen,), []
+    return (False,), [(row.event_id, seen)]
+
+
+def replay(df: DataFrame, folder: str, parts: list, transform: Callable, most_files: int = 1) -> DataFrame:
+    """Run a stream over a table: each part (a condition) becomes a file, one a micro-batch, in order.
+
+    The result is written with a checkpoint below ``folder`` and read back when all is through.
+    """
+    spark = df.sparkSession
+    for part in parts:
+        df.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", most_files).parquet(f"{folder}/in")
+    out = transform(source)
+    query = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
