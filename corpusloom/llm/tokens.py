@@ -10,6 +10,7 @@ library loads it, so that spelling is the token's own id.
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
 
@@ -25,6 +26,11 @@ _MARKS = re.escape("".join(c for c in map(chr, range(33, 127)) if not c.isalnum(
 _LATIN = re.compile(f"[{_LETTERS}]+")
 _PLAIN = re.compile(f"(?:[{_LETTERS}]+|[{_MARKS}]+|(?<!\n)\n(?!\n))+")
 _PARTS = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+|\n")
+#: What both splits do with a text of these characters alone, as Latin-1, is known.
+_PLAIN_BYTES = bytes(b for b in range(256) if re.fullmatch(f"[{_LETTERS}{_MARKS}'0-9 \n]", chr(b)))
+_SHORT = "'(?:s|t|re|ve|m|ll|d)"
+_WORD_PARTS = re.compile(f"{_SHORT}|[{_LETTERS}]+|[0-9]|[{_MARKS}']+")
+_BYTE_PARTS = re.compile(f"{_SHORT}| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}']+|\n")
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,6 +66,8 @@ class TextEncoder:
         added = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
         # The library may look for added tokens in the lower-cased text.
         self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
+        # What they all begin with, as far as it has no case, is looked for first.
+        self.mark = re.match(r"[^\w]*", os.path.commonprefix(added)).group()
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.kind = _kind(json.loads(self.library.to_str()))
@@ -88,9 +96,24 @@ class TextEncoder:
         first, *rest = _PARTS.findall(chunk)
         return self.parts[" " + first] + b"".join([self.parts[p] for p in rest])
 
+    def _plain_parts(self, text: str) -> list[str] | None:
+        """The pre-tokenizer's parts of a text of plain characters; None where its split isn't certain."""
+        try:
+            if text.encode("latin-1").translate(None, _PLAIN_BYTES):
+                return None
+        except UnicodeEncodeError:
+            return None
+        if self.kind == "word":
+            return _WORD_PARTS.findall(text.lower())
+        if self.kind == "byte" and not (text[-1:] == " " or "  " in text or "\n " in text or " \n" in text or "\n\n" in text):
+            return _BYTE_PARTS.findall(text)
+        return None
+
     def encode(self, text: str) -> np.ndarray:
-        if self.added and self.added.search(text):
+        if self.added and self.mark in text and self.added.search(text):
             raw = self._library(text)
+        elif (parts := self._plain_parts(text)) is not None:
+            raw = b"".join(map(self.parts.__getitem__, parts))
         elif self.kind == "word":
             raw = b"".join(map(self.whole.__getitem__, text.split(" ")))
         elif self.kind == "byte" and not ("  " in text or "\n " in text or " \n" in text or any(c in text for c in ODD_SPACE)):

@@ -23,6 +23,13 @@ def test_added_tokens_have_their_own_ids():
     assert CODES["byte_bpe_50k.json"].encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.sampled_from(" \n.,abZéÀß%$×'sltrevmdS019²"), max_size=30))
+def test_plain_texts_equal_library(text):
+    for name, code in CODES.items():
+        assert code.encode(text).tolist() == LOADED[name].encode(text, add_special_tokens=False).ids
+
+
 PARTS = st.sampled_from([*" \n\tab'sZé.,%1\xa0中", "<|endoftext|>", "<|", "|>"])
 
 
