@@ -18,14 +18,18 @@ from corpusloom.llm.tokens import tokenizer_path
 LEAST_LANGUAGE_SCORE = 0.4
 
 
+#: Where the text is in what :func:`_whole_rows` gives.
+TEXT = "_row.text"
+
+
 def _whole_rows(docs: DataFrame) -> DataFrame:
-    """The texts, and all columns as one, so that what an operator adds takes no column's place."""
-    return docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    """All columns as one, so that what an operator adds takes no column's place."""
+    return docs.select(F.struct(*docs.columns).alias("_row"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality cascade rejects go; null and empty texts are among them."""
-    return quality.quality_cascade(_whole_rows(docs)).where("kept").select("_row.*")
+    return quality.quality_cascade(_whole_rows(docs), text=TEXT).where("kept").select("_row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +40,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(language.training_rows(docs, F.lit(True)))
     if not model.languages:
         return docs
-    named = language.identify(_whole_rows(docs), model)
+    named = language.identify(_whole_rows(docs), model, TEXT)
     return named.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("_row.*")
 
 
