@@ -8,7 +8,9 @@ all common ones are frequent, no rare token can be common at all, and then, in t
 between them: two of them follow each other, among the frequent tokens, on both sides. So of
 the frequent tokens, combinations of two neighbours in the extended prefix are indexed, and
 only for sets whose base prefix reaches the frequent tokens. The index is linear in the
-text, and a passage that thousands of documents share does not make pairs of them.
+text, and a passage that thousands of documents share does not make pairs of them. In a corpus so
+large that a token outside the broadcast table may still be in many sets, all tokens count as
+frequent: then combinations alone are indexed, by the same argument, and no bucket is that of one token.
 
 Candidates are verified on their whole texts. Buckets are not expanded into all pairs: each
 bucket's members are first held against one of them, linked ones fall into components, and
@@ -33,13 +35,15 @@ SHINGLE, PERCENT = 5, 80
 #: A token is frequent from this many sets on, or from so many that at most FREQUENT_MOST
 #: tokens can be: their table is broadcast.
 FREQUENT_FROM, FREQUENT_MOST = 64, 1 << 21
+#: Single tokens are indexed while a rare one is in fewer sets than this.
+SINGLE_MOST = 512
 #: Tokens of a task that are counted before its counts are handed on, and of one range.
 COUNT_TOKENS, RANGE_TOKENS = 1 << 22, 1 << 21
 
 #: Most rows (two numbers each) of a list that is broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Bits of a set's signature.
-SIGNATURE = 2048
+#: Bits of a set's signature, and of the wider one that pairs must pass before their texts are moved.
+SIGNATURE, WIDE = 2048, 8192
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,12 +81,12 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return bool(common) and 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def signature(tokens: np.ndarray) -> np.ndarray:
+def signature(tokens: np.ndarray, size: int = SIGNATURE) -> np.ndarray:
     """A bit for each token's hash. Where two signatures differ, one set has a token that
     the other lacks, and no two bits are due to the same token: the number of bits that
     differ is at most the size of the symmetric difference."""
-    bits = np.zeros(SIGNATURE, np.uint8)
-    bits[(tokens % np.uint64(SIGNATURE)).astype(np.int64)] = 1
+    bits = np.zeros(size, np.uint8)
+    bits[(tokens % np.uint64(size)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -91,14 +95,20 @@ def short(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(32)).astype(np.uint32)
 
 
-def prefix_keys(tokens: np.ndarray, names: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+def _reach(n: int, percent: int) -> int:
+    """The length of the extended prefix; a set that is shorter is too small for combinations."""
+    return 2 * (100 - percent) * n // 100 + 2
+
+
+def prefix_keys(tokens: np.ndarray, names: np.ndarray, counts: np.ndarray, percent: int = PERCENT, singles: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Index keys of a set: those of rare tokens and those of combinations of frequent ones.
 
-    ``names`` (ascending) and ``counts``: the frequent tokens, by :func:`short`.
+    ``names`` (ascending) and ``counts``: the frequent tokens, by :func:`short`. Without ``singles``
+    all tokens count as frequent.
     """
     n = len(tokens)
     free = n - -(-percent * n // 100)
-    base, extended = free + 1, 2 * (100 - percent) * n // 100 + 2
+    base, extended = free + 1, _reach(n, percent)
     frequency = np.zeros(n, np.int64)
     if len(names):
         s = short(tokens)
@@ -107,8 +117,10 @@ def prefix_keys(tokens: np.ndarray, names: np.ndarray, counts: np.ndarray, perce
     if extended > n:
         return tokens, tokens[:0]
     order = np.lexsort((tokens, frequency))[:extended]
-    in_order, often = tokens[order], frequency[order] > 0
-    single = in_order[:base][~often[:base]]
+    in_order, often = tokens[order], (frequency[order] > 0) | (not singles)
+    # A set that may be linked with one too small for combinations has single tokens as well.
+    least = -(-percent * n // 100)
+    single = tokens if _reach(least, percent) > least else in_order[:base][~often[:base]]
     if not often[:base].any():
         return single, tokens[:0]
     combined = in_order[often]
@@ -163,6 +175,11 @@ def _from_planes(raw: bytes, ascending: bool = True) -> np.ndarray:
     return np.cumsum(x, dtype=np.uint64).astype(np.uint32) if ascending else x
 
 
+def rare_below(total: int) -> int:
+    """In how many sets a token that counts as rare can be, one more: from the occurrences of all."""
+    return max(FREQUENT_FROM, -(-total // FREQUENT_MOST))
+
+
 def frequent_tokens(counted: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Names (ascending) and counts of the frequent tokens, over all documents.
 
@@ -170,7 +187,7 @@ def frequent_tokens(counted: DataFrame, total: int) -> tuple[np.ndarray, np.ndar
     FREQUENT_MOST rows come to the driver: a frequent token has total / FREQUENT_MOST
     occurrences or more.
     """
-    least = max(FREQUENT_FROM, -(-total // FREQUENT_MOST))
+    least = rare_below(total)
 
     def add(table: pa.Table) -> pa.Table:
         names = np.concatenate([_from_planes(x) for x in table.column("tokens").to_pylist()])
@@ -186,7 +203,7 @@ def frequent_tokens(counted: DataFrame, total: int) -> tuple[np.ndarray, np.ndar
     return got["name"].to_numpy(np.int64).astype(np.uint32), got["n"].to_numpy(np.int64)
 
 
-def _indexed(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
+def _indexed(docs: DataFrame, frequent, size: int, percent: int, single_tokens: bool) -> DataFrame:
     """A row for each distinct set of a task: node, n, signature and its index keys."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -194,7 +211,7 @@ def _indexed(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
         names, counts = held.value
         seen: set[bytes] = set()
         for b in batches:
-            nodes, sizes, bits, singles, combined = [], [], [], [], []
+            nodes, sizes, bits, wide, singles, combined = [], [], [], [], [], []
             for text in b.column("text").to_pylist():
                 tokens = shingles(text, size)
                 node = fingerprint(tokens)
@@ -205,15 +222,16 @@ def _indexed(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
                 seen.add(node)
                 # Too few tokens to be linked with any other set: no keys.
                 few = 100 * len(tokens) < percent * (len(tokens) + 1)
-                s, c = prefix_keys(tokens[:0] if few else tokens, names, counts, percent)
+                s, c = prefix_keys(tokens[:0] if few else tokens, names, counts, percent, single_tokens)
                 nodes.append(node)
                 sizes.append(len(tokens))
                 bits.append(signature(tokens))
+                wide.append(signature(tokens, WIDE))
                 singles.append(s.view(np.int64))
                 combined.append(c.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(singles, pa.list_(pa.int64())), pa.array(combined, pa.list_(pa.int64()))], names=["node", "n", "bits", "singles", "combined"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(singles, pa.list_(pa.int64())), pa.array(combined, pa.list_(pa.int64()))], names=["node", "n", "bits", "wide", "singles", "combined"])
 
-    return docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("text").mapInArrow(run, "node binary, n long, bits array<long>, singles array<long>, combined array<long>")
+    return docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("text").mapInArrow(run, "node binary, n long, bits array<long>, wide array<long>, singles array<long>, combined array<long>")
 
 
 def _postings(index: DataFrame, keys: str) -> DataFrame:
@@ -238,7 +256,16 @@ def _buckets(index: DataFrame) -> DataFrame:
 
 def _fits(percent: int):
     """False for (n_a, bits_a), (n_b, bits_b) that sizes or signatures rule out."""
-    differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(SIGNATURE // 64)), F.lit(0))
+    return _may_fit(percent, sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(SIGNATURE // 64)), F.lit(0)))
+
+
+def _fits_wide(percent: int):
+    """:func:`_fits` for signatures of any length."""
+    each = F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return _may_fit(percent, F.aggregate(each, F.lit(0), lambda s, x: s + x))
+
+
+def _may_fit(percent: int, differ):
     sizes = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     return sizes & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
 
@@ -247,10 +274,10 @@ def _side(sets: DataFrame, x: str) -> DataFrame:
     return sets.select(*[F.col(c).alias(x if c == "id" else f"{c}_{x}" if c != "key" else c) for c in sets.columns])
 
 
-def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, sets: DataFrame, fits) -> DataFrame:
     """The distinct (a, b) of ``pairs`` that sizes and signatures (id, n, bits) don't rule out."""
     both = pairs.distinct().join(_side(sets, "a"), "a").join(_side(sets, "b"), "b")
-    return both.where(_fits(percent)).select("a", "b")
+    return both.where(fits).select("a", "b")
 
 
 def _across(buckets: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -378,21 +405,21 @@ def duplicate_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHING
 
     filled = rows.where("n > 0 AND doc_id IS NOT NULL")
     nodes = _named(filled)
-    index = _indexed(docs, frequent, size, percent).groupBy("node").agg(F.first(F.struct("n", "bits", "singles", "combined")).alias("s"))
-    index, index_at = staged_at(index.join(nodes.select("node", "id"), "node").select("id", "s.n", "s.bits", "s.singles", "s.combined"), "index")
+    index = _indexed(docs, frequent, size, percent, rare_below(total["tokens"]) <= SINGLE_MOST).groupBy("node").agg(F.first(F.struct("n", "bits", "wide", "singles", "combined")).alias("s"))
+    index, index_at = staged_at(index.join(nodes.select("node", "id"), "node").select("id", "s.n", "s.bits", "s.wide", "s.singles", "s.combined"), "index")
     buckets, buckets_at = staged_at(_buckets(index), "buckets")
-    sets, sets_at = staged_at(index.select("id", "n", "bits"), "signatures")
-    drop_dir(index_at)
+    sets, wide = index.select("id", "n", "bits"), index.select("id", "n", F.col("wide").alias("bits"))
 
     # First, each set against the leaders of its buckets.
-    first = _near(buckets.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")), sets, percent)
+    first = _near(buckets.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")), sets, _fits(percent))
     links = _verified(first, docs, nodes, size, percent)
     label = components(links)
 
     # Then members of a bucket that are in different components, against each other.
-    more = _verified(_across(buckets, label, sets, percent), docs, nodes, size, percent)
+    apart = staged(_across(buckets, label, sets, percent), "pairs")
+    more = _verified(_near(apart, wide, _fits_wide(percent)), docs, nodes, size, percent)
     drop_dir(buckets_at)
-    drop_dir(sets_at)
+    drop_dir(index_at)
     if by_id:
         more = staged(more.unionByName(_same_id(filled, nodes)), "links")
     if not more.isEmpty():
@@ -400,6 +427,7 @@ def duplicate_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHING
 
     # The best of each component, then of each set, then of each row; hot ones are not gathered.
     firsts = label.join(nodes, "id").groupBy("component").agg(F.min("first").alias("best"), F.count("*").alias("n"))
+    firsts = staged(firsts, "firsts")
     best = left_join_hot(label, firsts, "component", label.count(), F.col("id")).select("id", "best")
     # A set of one row and without links is its own best.
     known = nodes.join(best, "id", "left").where("copies > 1 OR best IS NOT NULL")

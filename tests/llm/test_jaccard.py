@@ -36,8 +36,8 @@ def brute(rows, percent=80, size=5):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.integers(0, 2**32), st.integers(1, 60), st.integers(50, 95))
-def test_linked_sets_share_a_key(seed, n, percent):
+@given(st.integers(0, 2**32), st.integers(1, 60), st.integers(50, 95), st.booleans())
+def test_linked_sets_share_a_key(seed, n, percent, singles):
     r = np.random.default_rng(seed)
     pool = np.unique(r.integers(1, 2**63, 4 * n).astype(np.uint64))
     a = r.choice(pool, min(n, len(pool)), replace=False)
@@ -46,11 +46,12 @@ def test_linked_sets_share_a_key(seed, n, percent):
     names = np.unique(J.short(pool[r.random(len(pool)) < r.random()]))
     counts = r.integers(1, 5, len(names))
     if len(b) and J.linked(a, b, percent):
-        keys = [set(np.concatenate(J.prefix_keys(x, names, counts, percent)).tolist()) for x in (a, b)]
+        keys = [set(np.concatenate(J.prefix_keys(x, names, counts, percent, singles)).tolist()) for x in (a, b)]
         assert keys[0] & keys[1]
         # numpy counts the bits of a signed number's magnitude, Spark those of its two's complement.
-        differ = np.bitwise_count((J.signature(a) ^ J.signature(b)).view(np.uint64)).sum()
-        assert (100 + percent) * differ <= (100 - percent) * (len(a) + len(b))
+        for size in (J.SIGNATURE, J.WIDE):
+            differ = np.bitwise_count((J.signature(a, size) ^ J.signature(b, size)).view(np.uint64)).sum()
+            assert (100 + percent) * differ <= (100 - percent) * (len(a) + len(b))
 
 
 def test_planes():
@@ -72,9 +73,10 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("often", [2, 5, 64])
-def test_against_brute_force(spark, monkeypatch, often):
+@pytest.mark.parametrize("often, single_most", [(2, 512), (5, 512), (64, 512), (64, 0), (3, 0)])
+def test_against_brute_force(spark, monkeypatch, often, single_most):
     monkeypatch.setattr(J, "FREQUENT_FROM", often)
+    monkeypatch.setattr(J, "SINGLE_MOST", single_most)
     df = spark.createDataFrame([(*x, 1) for x in rows()], "doc_id long, text string, n int")
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.near_duplicates(df).collect()), key=str)
     assert got == brute(rows())
