@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, file_system, new_dir, staged
-from .tokens import encoder
+from .tokens import encoder, forget
 
 PIECES = "doc_id {id}, piece int, start long, length long, chunk long, nth long, ids binary"
 
@@ -188,7 +188,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     plan = pieces.sparkSession.sparkContext.broadcast(best_fit_plan(histogram, capacity))
     offsets = new_dir(pieces.sparkSession, "offsets")
     write_offsets(sums, capacity, offsets)
-    kept = ["doc_id", "piece", "start", "length", "ids"]
+    kept, narrow = ["doc_id", "piece", "start", "length", "ids"], encoder(tokenizer).dtype
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = plan.value
@@ -197,7 +197,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
         # One sorted key for (length, rank): ranks stay below the largest run end.
         span = int((rows[:, 1] + rows[:, 4]).max()) + 1 if len(rows) else 1
         keys = rows[:, 0] * span + rows[:, 1]
-        narrow = encoder(tokenizer).dtype
+        # Workers are used again: what they kept for tokenising is of no use from here on.
+        forget()
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             chunk, length = batch["chunk"].to_numpy(np.int64), batch["length"].to_numpy(np.int64)

@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 
 #: Entries of each of the two caches of a Python worker; full caches start anew.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 
 #: White space that the fast path of a byte-level tokenizer leaves to the library.
 ODD_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
@@ -160,3 +160,8 @@ def encoder(path: str) -> TextEncoder:
     if path not in _encoders:
         _encoders[path] = TextEncoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Give up this worker's encoders and what they hold."""
+    _encoders.clear()
