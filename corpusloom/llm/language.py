@@ -40,8 +40,8 @@ def _letter_table() -> np.ndarray:
 _table: list[np.ndarray] = []
 
 
-def ngram_buckets(text: str | None, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
-    """The buckets of all n-grams of a whole text; none where it has no letter.
+def _buckets_by_order(text: str | None, buckets: int, orders: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """The buckets of the n-grams of a whole text, order by order; nothing where it has no letter.
 
     Letters are lower-cased; what lies between words counts as one space.
     """
@@ -50,19 +50,30 @@ def ngram_buckets(text: str | None, buckets: int = BUCKETS, orders: tuple[int, .
     chars = _table[0][np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)]
     space = chars == 32
     if space.all():
-        return np.zeros(0, np.int64)
+        return
     keep = ~space
     keep[1:] |= ~space[:-1]
     keep[0] |= True
     chars = np.concatenate([[32], chars[keep], [32]]).astype(np.uint64)
-    found = []
     for n in orders:
         h = np.full(max(0, len(chars) - n + 1), n, np.uint64)
         for k in range(n):
             h = (h ^ chars[k : len(chars) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        found.append(h % np.uint64(buckets))
-    return np.concatenate(found).astype(np.int64)
+        yield (h % np.uint64(buckets)).astype(np.int64)
+
+
+def ngram_buckets(text: str | None, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
+    """The buckets of all n-grams of a whole text, with repeats."""
+    return np.concatenate([np.zeros(0, np.int64), *_buckets_by_order(text, buckets, orders)])
+
+
+def ngram_counts(text: str | None, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
+    """How many n-grams of a whole text fall into each bucket; of a long text no more than one order is held."""
+    total = np.zeros(buckets, np.int64)
+    for found in _buckets_by_order(text, buckets, orders):
+        total += np.bincount(found, minlength=buckets)
+    return total
 
 
 @dataclass(frozen=True)
@@ -76,12 +87,16 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The likeliest language and a score: the posterior on bounded evidence."""
-        grams = [ngram_buckets(t, self.log_prob.shape[1], self.orders) for t in texts]
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-        rows = [k for k, g in enumerate(grams) if len(g)]
+        rows, counts = [], []
+        for k, text in enumerate(texts):
+            n = ngram_counts(text, self.log_prob.shape[1], self.orders)
+            at = np.flatnonzero(n)
+            if len(at):
+                rows.append(k)
+                counts.append((at, n[at]))
         if not rows or not self.languages:
             return out
-        counts = [np.unique(grams[k], return_counts=True) for k in rows]
         starts = np.cumsum([0] + [len(b) for b, _ in counts[:-1]])
         bucket, n = np.concatenate([b for b, _ in counts]), np.concatenate([c for _, c in counts])
         like = np.add.reduceat(self.log_prob[:, bucket] * n, starts, axis=1).T
@@ -107,10 +122,10 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = O
         docs: dict[str, int] = {}
         for b in batches:
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                grams = ngram_buckets(text, buckets, orders)
-                if len(grams):
+                counts = ngram_counts(text, buckets, orders)
+                if counts.any():
                     sums.setdefault(lang, np.zeros(buckets, np.int64))
-                    sums[lang] += np.bincount(grams, minlength=buckets)
+                    sums[lang] += counts
                     docs[lang] = docs.get(lang, 0) + 1
         for lang, s in sums.items():
             at = np.flatnonzero(s)
@@ -133,11 +148,14 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = O
 
 
 def training_rows(docs: DataFrame, allowed, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, lang) of about ``rows`` of the ``allowed`` rows at most, picked by a hash of the id."""
-    usable = docs.where(allowed & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    n = usable.count()
-    picked = usable if n <= rows else usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
-    return picked.select("text", "lang")
+    """(text, lang) of about ``rows`` of the ``allowed`` rows, drawn one by one, whatever their ids.
+
+    Texts are read of the drawn rows only.
+    """
+    named = docs.where(allowed & F.col("lang").isNotNull())
+    n = named.count()
+    drawn = named if n <= rows else named.sample(fraction=rows / n, seed=42)
+    return drawn.where("text IS NOT NULL").select("text", "lang")
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
