@@ -108,6 +108,7 @@ def write_archives(pages: DataFrame, out: str, least_bytes: int = 0) -> DataFram
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("payload"), F.sha1(html).alias("sha"))
     firsts = rows.where(F.length("payload") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n")).where("n > 1")
+    firsts = staged(firsts, "first-copies")
     again = F.coalesce(F.col("page_id") != F.col("first_id"), F.col("page_id").isNull() & F.col("first_id").isNotNull()) & (F.length("payload") >= least_bytes)
     # Copies of one payload are not dealt to one task.
     rows = left_join_hot(rows, firsts, "sha", pages.count(), F.xxhash64("page_id", "url")).withColumn("again", F.coalesce(again, F.lit(False)))
