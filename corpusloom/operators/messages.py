@@ -26,17 +26,6 @@ def flat_metrics(df: DataFrame, column: str) -> DataFrame:
     return one.select(F.concat_ws(".", "task", "metric").alias("name"), F.col("v").try_cast("double").alias("value")).where("value IS NOT NULL")
 
 
-def sample_blocks(turn: Column, text: Column) -> Column:
-    """Content as blocks, by a turn's number: one text, two, an image, or a file."""
-    block = lambda kind, t, url: F.struct(F.lit(kind).alias("type"), t.cast("string").alias("text"), url.cast("string").alias("url"), F.concat(F.lit("f"), turn.cast("string"), F.lit(".txt")).alias("filename"))
-    none = F.lit(None)
-    one = F.array(block("text", text, none))
-    two = F.array(block("text", text, none), block("text", F.lit("again"), none))
-    image = F.array(block("image_url", none, F.lit("data:image/png;base64,QUI=")))
-    file = F.array(block("image_url", none, F.lit("http://x/i.png")), block("input_file", text, none))
-    return F.when(turn % 3 == 0, one).when(turn % 3 == 1, two).when(turn % 6 == 5, file).otherwise(image)
-
-
 def block_text(blocks: str) -> Column:
     return F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
 

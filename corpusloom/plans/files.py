@@ -341,9 +341,6 @@ def k06_manifest_upsert(spark, sf):
     return dedup.upsert(old, spark.createDataFrame([("src1", 1), ("src2", 2), ("new", 3)], "domain string, n_used long"), ["domain"])
 
 
-_UUID = "'(uuid ' || substr(sha256(doc_id::varchar), 1, 8) || '-0000-1111-2222-333344445555)'"
-
-
 @query("SELECT count(DISTINCT sha256(text)) AS kept, count(*) AS offered, (SELECT count(DISTINCT sha256(text)) FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id < 100 AND text IS NOT NULL)) AS new FROM documents WHERE text IS NOT NULL")
 def k16_content_addressed(spark, sf):
     """A row for each text but for its identifiers; what is known is not written again."""

@@ -9,12 +9,9 @@ from ..functions import rules as R
 from ..functions import structure as B
 from ..functions import text as T
 from ..operators import messages as M
-from .corpus import SQL_STRIP, q
+from .corpus import q
 from .registry import query, table
 
-STRIP = SQL_STRIP.format(c="text")
-
-
 def _turns(spark, sf):
     return table(spark, sf, "conversations")
 
@@ -23,6 +20,17 @@ def _docs(spark, sf):
     return table(spark, sf, "documents")
 
 
+def _blocks(turn, text):
+    """Content as blocks, by a turn's number: one text, two, an image, or a file."""
+    block = lambda kind, t, url: F.struct(F.lit(kind).alias("type"), t.cast("string").alias("text"), url.cast("string").alias("url"), F.concat(F.lit("f"), turn.cast("string"), F.lit(".txt")).alias("filename"))
+    none = F.lit(None)
+    one = F.array(block("text", text, none))
+    two = F.array(block("text", text, none), block("text", F.lit("again"), none))
+    image = F.array(block("image_url", none, F.lit("data:image/png;base64,QUI=")))
+    file = F.array(block("image_url", none, F.lit("http://x/i.png")), block("input_file", text, none))
+    return F.when(turn % 3 == 0, one).when(turn % 3 == 1, two).when(turn % 6 == 5, file).otherwise(image)
+
+
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN source WHEN 2 THEN 'm:' || lang END AS user_text FROM documents")
 def p04_coalesce_columns(spark, sf):
     """The first of several columns that holds something: messages, prompt, then instruction."""
@@ -76,7 +84,7 @@ _BLOCKS = "CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || 'again'
 @query(f"SELECT conv_id, turn, {_BLOCKS} AS flat, turn % 3 = 2 AS kept_as_list FROM conversations WHERE text IS NOT NULL")
 def p13_content_blocks(spark, sf):
     """Text blocks joined by newlines; others give no text, and keep the list for the worker."""
-    c = _turns(spark, sf).where("text IS NOT NULL").select("conv_id", "turn", M.sample_blocks(F.col("turn"), F.col("text")).alias("blocks"))
+    c = _turns(spark, sf).where("text IS NOT NULL").select("conv_id", "turn", _blocks(F.col("turn"), F.col("text")).alias("blocks"))
     return c.select("conv_id", "turn", M.block_text("blocks").alias("flat"), F.exists("blocks", lambda b: b["type"] != "text").alias("kept_as_list"))
 
 
@@ -253,7 +261,7 @@ def f38_empty_completion(spark, sf):
 @query("SELECT conv_id, turn, turn % 3 = 2 AS has_images, turn % 6 = 5 AS has_files, CASE WHEN turn % 3 = 2 AND conv_id % 2 = 0 THEN 'vision' ELSE 'alias-' || conv_id % 2 END AS routed FROM conversations WHERE text IS NOT NULL")
 def f42_multimodal(spark, sf):
     """Images and files among the blocks; images move a request to the alias that sees."""
-    c = _turns(spark, sf).where("text IS NOT NULL").select("conv_id", "turn", M.sample_blocks(F.col("turn"), F.col("text")).alias("blocks"))
+    c = _turns(spark, sf).where("text IS NOT NULL").select("conv_id", "turn", _blocks(F.col("turn"), F.col("text")).alias("blocks"))
     images = M.has_block("blocks", "image_url", "image", "input_image")
     return c.select("conv_id", "turn", images.alias("has_images"), M.has_block("blocks", "input_file").alias("has_files"), M.routed_alias(F.concat(F.lit("alias-"), (F.col("conv_id") % 2).cast("string")), images, ("alias-1",), "vision").alias("routed"))
 
@@ -282,9 +290,6 @@ def f24_constraint_rows(spark, sf):
 
 # ---- parsers
 
-_REPAIR = "CASE WHEN conv_id % 2 = 0 THEN regexp_replace(replace(regexp_replace(text, '[^A-Za-z. é]', '', 'g'), 'é', 'Ã©'), ' ', 'Ġ', 'g') ELSE text END"
-
-
 @query("SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 AND contains(regexp_replace(text, '[^A-Za-z. é]', '', 'g'), ' ') THEN regexp_replace(text, '[^A-Za-z. é]', '', 'g') WHEN conv_id % 2 = 0 THEN replace(regexp_replace(text, '[^A-Za-z. é]', '', 'g'), 'é', 'Ã©') ELSE text END AS text FROM conversations")
 def x18_byte_level_repair(spark, sf):
     """Texts spelt in the letters of byte-level tokens are turned back; others stay."""
@@ -317,14 +322,12 @@ def x20_client_ip(spark, sf):
     return _headers(spark, sf)
 
 
+@query()
 def x21_tenant_id(spark, sf):
     """Eight digits of a keyed hash of the address; SQL has no such hash."""
     return _headers(spark, sf).select("event_id", B.tenant_udf("salt")("ip").alias("tenant"))
 
 
-query()(x21_tenant_id)
-
-
 @query("SELECT event_id, split_part(strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'T', 1) AS day FROM events")
 def x23_date_normalise(spark, sf):
     """A timestamp's text up to its T."""
@@ -467,7 +470,7 @@ def m09_fifo_wait(spark, sf):
 @query("SELECT conv_id, turn, 'Attached file: f' || turn || '.txt' || chr(10) || text AS text, length(text) > 400 AS truncated FROM conversations WHERE turn % 6 = 5 AND text IS NOT NULL AND length(text) <= 400 UNION ALL SELECT conv_id, turn, 'Attached file: f' || turn || '.txt' || chr(10) || substr(text, 1, 400), true FROM conversations WHERE turn % 6 = 5 AND length(text) > 400")
 def b33_file_blocks(spark, sf):
     """Files among the blocks become text, cut and with a warning where they are long."""
-    c = _turns(spark, sf).where("text IS NOT NULL AND turn % 6 = 5").select("conv_id", "turn", M.sample_blocks(F.col("turn"), F.col("text")).alias("blocks"))
+    c = _turns(spark, sf).where("text IS NOT NULL AND turn % 6 = 5").select("conv_id", "turn", _blocks(F.col("turn"), F.col("text")).alias("blocks"))
     done = c.select("conv_id", "turn", F.explode(M.files_as_text("blocks", 400)).alias("b"))
     return done.where("b.truncated IS NOT NULL").select("conv_id", "turn", "b.text", "b.truncated")
 

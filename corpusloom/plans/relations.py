@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import dedup
 from ..operators import lookups as L
 from ..operators import metrics as M
-from .corpus import SQL_COMPLEX, q
+from .corpus import SQL_COMPLEX
 from .registry import query, table
 
 

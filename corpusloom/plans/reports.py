@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E
-from ..operators import lookups as L
 from ..operators import metrics as M
-from ..operators.ranking import first_rows
+from ..operators import sequences as S
+from ..operators.ranking import first_rows, numbered_in_order
+from ..sources.scratch import scratch
 from .corpus import STRIP
 from .metrics import _CELLS, _cells
 from .registry import query, table
@@ -90,8 +90,6 @@ def a20_corpus_stats(spark, sf):
 @query("SELECT c_mktsegment AS domain, count(*) AS n, min(c_custkey) AS first, max(c_custkey) AS last FROM customer GROUP BY 1")
 def a22_group_to_list(spark, sf):
     """The rows of each domain together: as a folder of files of its own, so no list grows in one task."""
-    from ..sources.scratch import scratch
-
     path = scratch(spark, "groups")
     table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("domain")).write.partitionBy("domain").parquet(path)
     return spark.read.parquet(path).groupBy("domain").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"), F.max("c_custkey").alias("last"))
@@ -214,8 +212,6 @@ def j16_forward_override(spark, sf):
 @query("WITH a AS (SELECT lang, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents WHERE doc_id % 2 = 0), b AS (SELECT source, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents WHERE doc_id % 2 = 1) SELECT k, a.lang AS target, b.source AS predicted FROM a JOIN b USING (k)")
 def j22_by_position(spark, sf):
     """The i-th prediction with the i-th row, both numbered in order of their ids."""
-    from ..operators.ranking import numbered_in_order
-
     d = table(spark, sf, "documents").select("doc_id", "lang", "source", F.lit(0).alias("g"))
     side = lambda r, c, to: numbered_in_order(d.where(F.col("doc_id") % 2 == r), ["g"], "doc_id", "k").select("k", F.col(c).alias(to))
     return side(0, "lang", "target").join(side(1, "source", "predicted"), "k")
@@ -224,8 +220,6 @@ def j22_by_position(spark, sf):
 @query("WITH c AS (SELECT conv_id, turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE role <> 'system'), f AS (SELECT *, CASE WHEN r = lag(r) OVER w THEN 0 ELSE 1 END AS b FROM (SELECT *, CASE WHEN turn % 4 < 2 THEN 'user' ELSE role END AS r FROM c) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT *, sum(b) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM f) SELECT conv_id, min(turn) AS turn, any_value(r) AS role, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM g GROUP BY conv_id, island".replace("\\\\", "\\"))
 def w20_coalesced_turns(spark, sf):
     """Stripped turns; neighbours of one role become one (a first system message stays apart)."""
-    from ..operators import sequences as S
-
     role = F.when(F.col("turn") % 4 < 2, "user").otherwise(F.col("role"))
     c = table(spark, sf, "conversations").where("role <> 'system'").select("conv_id", "turn", role.alias("role"), T.strip("text").alias("text"))
     return S.merge_roles(c).select("conv_id", "turn", "role", "text")
@@ -234,8 +228,6 @@ def w20_coalesced_turns(spark, sf):
 @query("WITH c AS (SELECT doc_id, unnest(range(0, greatest(length(text), 1), 600)) AS o, text FROM documents WHERE text IS NOT NULL) SELECT doc_id, (o // 600 + 1)::int AS part, CASE WHEN length(text) > 600 THEN '[Part ' || (o // 600 + 1) || '/' || ceil(length(text) / 600)::bigint || ']' || chr(10) || substr(text, o + 1, 600) ELSE text END AS chunk FROM c")
 def w23_part_numbering(spark, sf):
     """Parts with their number and how many there are, where there are several."""
-    from ..operators import sequences as S
-
     d = table(spark, sf, "documents").where("text IS NOT NULL")
     return S.labelled_parts(d, "doc_id", "text", 600).select("doc_id", "part", "chunk")
 
@@ -339,26 +331,20 @@ def d07_format_dispatch(spark, sf):
     return files.select("doc_id", "format", E.extracted("format", "body").alias("text"))
 
 
+@query()
 def x53_router_head(spark, sf):
     """A dense head (GELU, sigmoid) with fixed seeded weights over the vectors: the best label of each row."""
     return E.dense_head(table(spark, sf, "embeddings"), "vec_id", "embedding", hidden=32, labels=10)
 
 
-query()(x53_router_head)
-
-
+@query()
 def d12_model_trainer(spark, sf):
     """A multinomial classifier with class weights, trained by Spark; one row per label: rows and hits."""
     return E.trained_head(table(spark, sf, "embeddings"), "embedding", "label")
 
 
-query()(d12_model_trainer)
-
-
+@query("SELECT doc_id, CASE WHEN length(replace(text, '(', '')) = length(replace(text, ')', '')) THEN 0 ELSE 1 END AS exit_code, CASE WHEN length(replace(text, '(', '')) = length(replace(text, ')', '')) THEN 'ok' ELSE '' END AS stdout, CASE WHEN length(replace(text, '(', '')) = length(replace(text, ')', '')) THEN '' ELSE 'brackets' END AS stderr FROM documents WHERE text IS NOT NULL")
 def d01_validator(spark, sf):
     """A registered validator over outputs: exit code, stdout and stderr (a stub checks brackets)."""
     d = table(spark, sf, "documents").where("text IS NOT NULL")
     return d.select("doc_id", E.stub_validator("text").alias("v")).select("doc_id", "v.exit_code", "v.stdout", "v.stderr")
-
-
-query("SELECT doc_id, CASE WHEN length(replace(text, '(', '')) = length(replace(text, ')', '')) THEN 0 ELSE 1 END AS exit_code, CASE WHEN length(replace(text, '(', '')) = length(replace(text, ')', '')) THEN 'ok' ELSE '' END AS stdout, CASE WHEN length(replace(text, '(', '')) = length(replace(text, ')', '')) THEN '' ELSE 'brackets' END AS stderr FROM documents WHERE text IS NOT NULL")(d01_validator)
