@@ -453,14 +453,14 @@ def m03_delta_reader(spark, sf):
     return M.stream_text(lines, "conv_id", "turn", "line")
 
 
-@query("WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS came, round_even(value * 1000, 0)::bigint + 60000 AS work, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE ts < TIMESTAMP '2024-01-04'), q AS (SELECT user_id, event_id, rn, came AS began, came + work AS done FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.event_id, e.rn, greatest(e.came, q.done), greatest(e.came, q.done) + e.work FROM q JOIN e ON e.user_id = q.user_id AND e.rn = q.rn + 1) SELECT user_id, event_id, began - came AS waited FROM q JOIN e USING (user_id, event_id)")
+@query("WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS came, round(value * 100)::bigint * 10000 + 60000000 AS work, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE ts < TIMESTAMP '2024-01-04'), q AS (SELECT user_id, event_id, rn, came AS began, came + work AS done FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.event_id, e.rn, greatest(e.came, q.done), greatest(e.came, q.done) + e.work FROM q JOIN e ON e.user_id = q.user_id AND e.rn = q.rn + 1) SELECT user_id, event_id, began - came AS waited FROM q JOIN e USING (user_id, event_id)")
 def m09_fifo_wait(spark, sf):
     """One request at a time for each worker: how long each waits for those before it.
 
     A request begins at the latest of arrival k less the work before k, plus the work before it, so
     a running maximum and a running sum replace the replay.
     """
-    e = table(spark, sf, "events").where("ts < TIMESTAMP '2024-01-04'").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), (F.bround(F.col("value") * 1000).cast("long") + 60000).alias("work"), "ts")
+    e = table(spark, sf, "events").where("ts < TIMESTAMP '2024-01-04'").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.round(F.col("value") * 100).cast("long") * 10_000 + 60_000_000).alias("work"), "ts")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     before = e.withColumn("before", F.sum("work").over(w) - F.col("work"))
     start = F.max(F.col("at") - F.col("before")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
