@@ -68,12 +68,16 @@ def ngram_buckets(text: str | None, buckets: int = BUCKETS, orders: tuple[int, .
     return np.concatenate([np.zeros(0, np.int64), *_buckets_by_order(text, buckets, orders)])
 
 
-def ngram_counts(text: str | None, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
-    """How many n-grams of a whole text fall into each bucket; of a long text no more than one order is held."""
+def ngram_counts(text: str | None, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that n-grams of a whole text fall into, and how many; of a long text no more than
+    one order is held at a time."""
+    if len(text or "") * len(orders) <= buckets:
+        return np.unique(ngram_buckets(text, buckets, orders), return_counts=True)
     total = np.zeros(buckets, np.int64)
     for found in _buckets_by_order(text, buckets, orders):
         total += np.bincount(found, minlength=buckets)
-    return total
+    at = np.flatnonzero(total)
+    return at, total[at]
 
 
 @dataclass(frozen=True)
@@ -90,11 +94,10 @@ class LanguageModel:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         rows, counts = [], []
         for k, text in enumerate(texts):
-            n = ngram_counts(text, self.log_prob.shape[1], self.orders)
-            at = np.flatnonzero(n)
+            at, n = ngram_counts(text, self.log_prob.shape[1], self.orders)
             if len(at):
                 rows.append(k)
-                counts.append((at, n[at]))
+                counts.append((at, n))
         if not rows or not self.languages:
             return out
         starts = np.cumsum([0] + [len(b) for b, _ in counts[:-1]])
@@ -122,10 +125,10 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = O
         docs: dict[str, int] = {}
         for b in batches:
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                counts = ngram_counts(text, buckets, orders)
-                if counts.any():
+                at, n = ngram_counts(text, buckets, orders)
+                if len(at):
                     sums.setdefault(lang, np.zeros(buckets, np.int64))
-                    sums[lang] += counts
+                    sums[lang][at] += n
                     docs[lang] = docs.get(lang, 0) + 1
         for lang, s in sums.items():
             at = np.flatnonzero(s)

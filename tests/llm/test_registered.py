@@ -158,6 +158,13 @@ def test_ngram_buckets():
         assert sorted(language.ngram_buckets(text).tolist()) == sorted(grams(text)), text
 
 
+def test_counts_of_short_and_long_texts():
+    for text in (None, "", "12", "one two one", "long words here " * 9000):
+        at, n = language.ngram_counts(text)
+        want = np.unique(language.ngram_buckets(text), return_counts=True)
+        assert at.tolist() == want[0].tolist() and n.tolist() == want[1].tolist()
+
+
 def test_op7(spark, sf):
     rows = got(spark, sf, "op7_language_id", ("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double"))
     docs = documents()[0]
