@@ -157,10 +157,10 @@ def b14_synthetic_configs(spark, sf):
     return rows.select("n", F.element_at(boards, (drawn("board", "n", 0, 2) + 1).cast("int")).alias("board"), drawn("speed", "n", 9600, 115200).alias("speed"))
 
 
-@query("SELECT p_partkey, CASE WHEN contains(lower(p_type), 'steel') THEN 'Wire up SPI for ' WHEN contains(lower(p_type), 'tin') THEN 'Wire up I2C for ' ELSE 'Wire up UART for ' END || p_name AS prompt FROM part WHERE contains(lower(p_type), 'steel') OR contains(lower(p_type), 'tin') OR contains(lower(p_type), 'copper')")
+@query("SELECT p_partkey, CASE WHEN contains(lower(p_name), 'ring') THEN 'Wire up SPI for ' WHEN contains(lower(p_name), 'red') THEN 'Wire up I2C for ' ELSE 'Wire up UART for ' END || p_name AS prompt FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_name), 'red') OR contains(lower(p_name), 'bolt')")
 def b15_from_descriptions(spark, sf):
     """A prompt for each project that names an interface, by the first it names."""
-    kind = T.first_rule(F.lower("p_type"), (("steel", "SPI"), ("tin", "I2C"), ("copper", "UART")), None)
+    kind = T.first_rule(F.lower("p_name"), (("ring", "SPI"), ("red", "I2C"), ("bolt", "UART")), None)
     p = table(spark, sf, "part").select("p_partkey", "p_name", kind.alias("kind")).where("kind IS NOT NULL")
     return p.select("p_partkey", F.concat(F.lit("Wire up "), "kind", F.lit(" for "), "p_name").alias("prompt"))
 
