@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,22 +68,23 @@ def in_order(groups: list[str], order: list) -> Window:
     return Window.partitionBy(*groups).orderBy(*order)
 
 
-def contains_scores(items: DataFrame, texts: DataFrame, item: str, ident: str, least: float) -> DataFrame:
-    """Of an item's distinct words (item, w) the share that a text (ident, ws: its distinct words) has,
-    where it is ``least`` or more.
+def contains_scores(items: DataFrame, texts: DataFrame, item: str, ident: str, distinct: Column, least: float) -> DataFrame:
+    """Of an item's distinct words (item, w) the share that a text has (``distinct``: an array of its
+    words), where it is ``least`` or more.
 
-    A text that has so many of an item's n words has one of any ``n - ceil(least n) + 1`` of them.
-    So only an item's rarest words, counted over all texts, fetch texts; those are then verified.
+    A text needs ``least`` of an item's n words, rounded up. The half of so many words that most items
+    have fetch no texts: common words would fetch all. Of the others a text must have the needed ones
+    less that half; those texts are then verified on all words.
     """
-    each = texts.select(ident, F.explode("ws").alias("w"))
+    each = texts.select(ident, F.explode(distinct).alias("w"))
     words = items.groupBy(item).agg(F.collect_set("w").alias("_all"))
-    counts = each.join(items.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("_df"))
-    ranked = items.join(counts, "w").withColumn("_rank", F.row_number().over(Window.partitionBy(item).orderBy("_df", "w")))
-    sized = words.withColumn("_n", F.size("_all"))
-    # Words that no text has come first in rank and fetch nothing.
-    absent = sized.join(ranked.groupBy(item).agg(F.count("*").alias("_known")), item).withColumn("_absent", F.col("_n") - F.col("_known"))
-    probe = ranked.join(absent, item).where(F.col("_rank") + F.col("_absent") <= F.col("_n") - F.ceil(F.col("_n") * least) + 1).select(item, "w")
-    pairs = each.join(probe, "w").select(item, ident).distinct()
-    both = pairs.join(sized, item).join(texts, ident)
-    score = F.size(F.array_intersect("ws", "_all")) / F.col("_n")
+    need = F.ceil(F.size("_all") * least)
+    words = words.select(item, "_all", need.alias("_need"), F.floor(need / 2).alias("_left"))
+    counts = items.groupBy("w").agg(F.count("*").alias("_items"))
+    order = Window.partitionBy(item).orderBy("_items", F.desc(F.length("w")), "w")
+    ranked = items.join(counts, "w").withColumn("_rank", F.row_number().over(order)).join(words, item)
+    probe = ranked.where(F.col("_rank") <= F.size("_all") - F.col("_left")).select(item, "w")
+    pairs = each.join(probe, "w").groupBy(item, ident).agg(F.count("*").alias("_hits"))
+    both = pairs.join(words, item).where(F.col("_hits") >= F.col("_need") - F.col("_left")).join(texts, ident).withColumn("_ws", distinct)
+    score = F.size(F.array_intersect("_ws", "_all")) / F.size("_all")
     return both.select(item, ident, score.alias("score")).where(F.col("score") >= least)

@@ -313,6 +313,6 @@ def x29_contains_score(spark, sf):
     """Share of an item's words that a document has (X31), from the items' rarest words on."""
     distinct = F.filter(F.array_distinct(F.split(F.lower("text"), "[^a-z]+")), lambda w: F.length(w) >= 6)
     items = table(spark, sf, "benchmark").select("item_id", F.explode(distinct).alias("w"))
-    texts = table(spark, sf, "documents").select("doc_id", distinct.alias("ws"))
-    hits = L.contains_scores(items, texts, "item_id", "doc_id", 0.5)
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    hits = L.contains_scores(items, texts, "item_id", "doc_id", distinct, 0.5)
     return hits.select("item_id", "doc_id", F.bround("score", 3).alias("contains_score"), (F.col("score") >= 0.6).alias("passed"))
