@@ -11,6 +11,7 @@ import re
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -108,9 +109,23 @@ def cosine_of_bags(a: Counter, b: Counter) -> float:
     return sum(n * b[w] for w, n in a.items() if w in b) / size if size else 0.0
 
 
+@F.pandas_udf(BinaryType())
+def packed(texts: pd.Series) -> pd.Series:
+    """Texts as they are shuffled: the length and zstd of their UTF-8."""
+    raws = texts.map(lambda t: None if t is None else t.encode("utf-8", "surrogatepass"))
+    return raws.map(lambda x: None if x is None else len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True))
+
+
+def unpacked(raw: bytes | None) -> str | None:
+    if raw is None:
+        return None
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True).decode("utf-8", "surrogatepass")
+
+
 @F.pandas_udf(DoubleType())
 def bag_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    bag = lambda t: Counter(_LETTERS.findall((t or "").lower()))
+    """The cosine of the word bags of two packed texts."""
+    bag = lambda t: Counter(_LETTERS.findall((unpacked(t) or "").lower()))
     return pd.Series([cosine_of_bags(bag(x), bag(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 

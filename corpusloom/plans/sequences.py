@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..functions.structure import bag_cosine
+from ..functions.structure import bag_cosine, packed
 from ..operators import sequences as S
 from ..operators.ranking import first_rows, numbered_in_order
 from .corpus import SQL_STRIP, q
@@ -295,8 +295,8 @@ def x58_title_and_counts(spark, sf):
 
 @query(r"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), b AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY 1, 2), m AS (SELECT doc_id, sqrt(sum(n * n)) AS m FROM b GROUP BY 1) SELECT x.doc_id, y.doc_id AS other, round_even(sum(x.n * y.n) / (any_value(p.m) * any_value(o.m)), 6)::double AS cos FROM b x JOIN b y ON x.w = y.w AND y.doc_id = x.doc_id + 1 JOIN m p ON p.doc_id = x.doc_id JOIN m o ON o.doc_id = y.doc_id GROUP BY 1, 2")
 def x26_bag_cosine(spark, sf):
-    """Cosine of the word bags of a document and the next one, over whole texts; a text is moved twice, its words never."""
-    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    """Cosine of the word bags of a document and the next one, over whole texts; a text is moved twice, packed, its words never."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", packed("text").alias("text"))
     after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("other"), F.col("text").alias("other_text"))
     both = d.join(after, "doc_id").select("doc_id", "other", bag_cosine("text", "other_text").alias("cos"))
     return both.where("cos > 0").withColumn("cos", F.bround("cos", 6))
