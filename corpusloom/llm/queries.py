@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, language, packing, quality, rans, toxicity, urls, warc
+from . import clustering, decontaminate, html_text, jaccard, language, packing, quality, rans, token_counts, toxicity, urls, vector_codes, warc
 from .common import table
 from .tokens import tokenizer_path
 
@@ -99,9 +99,75 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), least_bytes=0)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code and error of every embedding, 16 parts by 64 entries, after two rounds."""
+    found = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, size=64, rounds=2)
+    coded = vector_codes.with_label_errors(found.rows)
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def _floor_mean(column: str) -> str:
+    return f"CAST(floor(sum({column}) / count(*)) AS BIGINT)"
+
+
+def _op11_sql(parts: int = 16, size: int = 64, rounds: int = 2, width: int = 4) -> str:
+    cut = ", ".join(f"CAST(floor(256 * CAST(embedding[{width} * part + {d + 1}] AS DOUBLE)) AS BIGINT) AS x{d}" for d in range(width))
+    far = " + ".join(f"(k.x{d} - b.x{d}) * (k.x{d} - b.x{d})" for d in range(width))
+    steps = [
+        "e AS MATERIALIZED (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"k AS MATERIALIZED (SELECT vec_id, label, part, {cut} FROM e, range({parts}) r(part))",
+        f"f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM e ORDER BY vec_id LIMIT {size})",
+        f"b0 AS MATERIALIZED (SELECT part, entry, {', '.join(f'x{d}' for d in range(width))} FROM k JOIN f USING (vec_id))",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT k.vec_id, k.part, min(({far}) * {size} + b.entry) AS best FROM k JOIN b{n} b ON k.part = b.part GROUP BY ALL)")
+        if n < rounds:
+            means = ", ".join(f"{_floor_mean(f'x{d}')} AS y{d}" for d in range(width))
+            steps.append(f"m{n} AS (SELECT part, best % {size} AS entry, {means} FROM a{n} JOIN k USING (vec_id, part) GROUP BY ALL)")
+            now = ", ".join(f"coalesce(y{d}, x{d}) AS x{d}" for d in range(width))
+            steps.append(f"b{n + 1} AS MATERIALIZED (SELECT part, entry, {now} FROM b{n} LEFT JOIN m{n} USING (part, entry))")
+    flat = ", ".join(f"x{d}" for d in range(width))
+    steps.append(f"c AS (SELECT vec_id, string_agg(printf('%02x', best % {size}), '' ORDER BY part) AS code, CAST(sum(best // {size}) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)")
+    steps.append(f"s AS (SELECT sha256(string_agg(concat_ws(',', {flat}), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN e USING (vec_id), s"
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every embedding of 64 components, of 40 after five rounds."""
+    order = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
+    found = clustering.cluster_vectors(table(spark, sf_dir, "embeddings"), order, k=40, dims=64, rounds=5)
+    return clustering.with_inertia(found)
+
+
+def _op12_sql(k: int = 40, dims: int = 64, rounds: int = 5) -> str:
+    far = "list_inner_product(e.v, e.v) - 2 * list_inner_product(e.v, c.v) + list_inner_product(c.v, c.v)"
+    steps = [
+        f"e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, v FROM e ORDER BY sha256('2:' || vec_id) LIMIT {k})",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT vec_id, min(CAST({far} AS BIGINT) * {k} + cluster) AS best FROM e, c{n} c GROUP BY vec_id)")
+        if n < rounds:
+            steps.append(f"u{n} AS (SELECT best % {k} AS cluster, unnest(v) AS x, unnest(range({dims})) AS d FROM a{n} JOIN e USING (vec_id))")
+            steps.append(f"w{n} AS (SELECT cluster, d, floor(sum(x) / count(*)) AS x FROM u{n} GROUP BY ALL)")
+            steps.append(f"m{n} AS (SELECT cluster, list(x ORDER BY d) AS w FROM w{n} GROUP BY cluster)")
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT cluster, coalesce(w, v) AS v FROM c{n} LEFT JOIN m{n} USING (cluster))")
+    return f"""WITH {', '.join(steps)},
+    r AS (SELECT vec_id, CAST(best % {k} AS INTEGER) AS cluster, best // {k} AS distance FROM a{rounds})
+    SELECT vec_id, r.cluster, distance, CAST(sum(distance) OVER (PARTITION BY r.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+           sha256(array_to_string(list_transform(v, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+    FROM r JOIN c{rounds} c ON r.cluster = c.cluster"""
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes and tokens of every document, and whether they are more than 512 tokens."""
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_files, op4_html_extraction, op5_jaccard_join, op6_quality_rules, op7_language_id, op8_url_filter, op9_decontamination, op10_warc)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_files, op4_html_extraction, op5_jaccard_join, op6_quality_rules, op7_language_id, op8_url_filter, op9_decontamination, op10_warc, op11_vector_codes, op12_centroid_clusters, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": _op8_sql()}
+    return {"op8_url_filter": _op8_sql(), "op11_vector_codes": _op11_sql(), "op12_centroid_clusters": _op12_sql()}
