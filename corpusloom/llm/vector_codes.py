@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import drop_dir, left_join_hot, staged, staged_at
 from .vectors import SLACK, SLOT_SCHEMA, SlotSums, as_integers, blocks, is_vector, matrix, next_entries, packed, rounded_down, rounded_up, squares, unpacked
 
-#: The largest 16-bit float; a lower bound above it is this.
+#: The largest 16-bit float; a lower bound above it is this, which rules out less but nothing wrongly.
 HALF_MOST = 65504.0
 
 

@@ -1,4 +1,4 @@
-"""The ten registered queries on small written tables, against plain Python by their contracts."""
+"""The registered queries on small written tables, against plain Python by their contracts."""
 
 import base64
 import hashlib
@@ -217,7 +217,7 @@ def test_op10(spark, sf):
     assert sorted(rows, key=str) == sorted(want, key=str)
 
 
-EMPTY = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string"}
+EMPTY = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string", "embeddings": "vec_id long, embedding array<float>, label int"}
 
 
 @pytest.mark.parametrize("name", sorted(RUN))
