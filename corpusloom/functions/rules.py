@@ -54,7 +54,7 @@ EMBEDDED_WORDS = (
 RUST_PLATFORMS = (("nrf", "nrf"), ("stm32", "stm32"), ("esp", "esp32"), ("rp2040", "rp2040"), ("rp23", "rp2350"), ("microbit", "nrf-microbit"), ("f3discovery", "stm32-f3discovery"))
 DESIGNATORS = (
     ("R", "resistor"), ("C", "capacitor"), ("U", "IC"), ("Q", "transistor"), ("D", "diode"), ("L", "inductor"), ("J", "connector"), ("SW", "switch"),
-    ("F", "fuse"), ("Y", "crystal"), ("T", "transformer"), ("K", "relay"),
+    ("F", "fuse"), ("Y", "crystal"), ("T", "transformer"), ("K", "relay"), ("LED", "LED"), ("FB", "ferrite bead"),
 )
 EXAMPLE_CATEGORIES = (
     ("json-parsing", ("json", "deserialize", "serialize", "arduinojson")),
@@ -73,7 +73,27 @@ EXAMPLE_CATEGORIES = (
     ("control-structures", ("arrays", "forloop", "whileloop", "switchcase")),
     ("communication-serial", ("serial.begin", "uart", "usart")),
 )
+BOILERPLATE_FILES = (
+    "system_stm32f4xx.c",
+    "system_stm32h7xx.c",
+    "system_stm32l4xx.c",
+    "stm32f4xx_it.c",
+    "stm32h7xx_it.c",
+    "stm32l4xx_it.c",
+    "stm32f4xx_hal_msp.c",
+    "stm32h7xx_hal_msp.c",
+    "stm32l4xx_hal_msp.c",
+)
+EXAMPLE_FOLDERS = ("Examples", "Examples_LL", "Examples_MIX")
 CIRCUIT_TYPES = {
+    "power": r"(?i)(LDO|regulator|buck|boost|SMPS|TPS\d|LM78\d|AMS1117|MCP170\d|AP2112|RT9080|XC6206|HT7333|charge[_ ]?pump|DCDC|DC.DC|voltage.?reg|power.?supply|NCP1117|ADP\d|TLV\d|MP\d{4})",
+    "mcu": r"(?i)(STM32|ESP32|ATmega|ATSAMD|nRF52|RP2040|PIC\d|MSP430|XTAL|crystal|HSE|LSE|decoupling|boot0|NRST|SWD|JTAG|microcontroller|MCU|ARM|Cortex)",
+    "interface": r"(?i)(UART|USART|RS232|RS485|I2C|SPI|USB[- ]?C|USB.?Type|CAN.?bus|level.?shift|pull.?up|EIA|MAX3232|CH340|CP2102|FT232|FTDI|MCP2551|SN65HVD|ISO7721)",
+    "sensor": r"(?i)(ADC|analog.?front|Wheatstone|thermocouple|RTD|PT100|BME\d|BMP\d|SHT\d|MPU\d|ICM\d|LIS\d|ADXL|INA\d|current.?sense|voltage.?divider|opamp|op.?amp|instrumentation)",
+    "motor": r"(?i)(H.?bridge|BLDC|stepper|DRV\d|L298|TB67|A4988|TMC\d|motor.?driver|PWM|gate.?driver|half.?bridge|full.?bridge)",
+    "audio": r"(?i)(amplifier|DAC|ADC|codec|I2S|TLV320|WM\d|MAX98|TPA\d|LM386|PAM\d|microphone|speaker|headphone|audio)",
+    "rf": r"(?i)(antenna|SMA|RF|matching|balun|filter|SAW|PA.?module|LNA|mixer|VCO|PLL|LoRa|SX127|CC1101|nRF24|BLE|WiFi|impedance.?match|50.?ohm)",
+    "protection": r"(?i)(TVS|ESD|fuse|polyfuse|PPTC|reverse.?polarity|overvoltage|crowbar|clamp|suppressor|protection|SMBJ|SMAJ|PESD|USBLC|spark.?gap|inrush|NTC|thermistor.?protect)",
     "connector": r"(?i)(header|JST|Molex|barrel.?jack|screw.?terminal|D-Sub|RJ45|ethernet|USB.?connector|SD.?card|micro.?SD|SIM|pin.?header|IDC|FPC|ZIF|edge.?connector)",
     "display": r"(?i)(OLED|LCD|TFT|LED.?driver|backlight|SSD1306|ST7735|ILI\d|WS2812|NeoPixel|Charlieplex|MAX7219|HT16K33|segment.?display|dot.?matrix)",
     "memory": r"(?i)(EEPROM|Flash|SRAM|SDRAM|FRAM|AT24|W25Q|IS25|SST\d|MX25|S25FL|NOR.?flash|NAND|PSRAM)",

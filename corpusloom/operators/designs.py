@@ -61,14 +61,15 @@ def header_comment(code: Column) -> Column:
 
 
 def path_parts(path: Column) -> list[Column]:
-    """board, peripheral, example and category of a path."""
+    """board, peripheral, example, type (which kind of examples folder) and category of a path."""
     parts = F.split(path, "/")
-    projects, examples = F.array_position(parts, "Projects"), F.array_position(parts, "Examples")
+    kinds = F.filter(parts, lambda p: p.isin(*R.EXAMPLE_FOLDERS))
+    projects, examples = F.array_position(parts, "Projects"), F.coalesce(F.array_position(parts, F.get(kinds, F.lit(0))), F.lit(0))
     at = lambda k: F.get(parts, k.cast("int"))
     board = F.when(projects > 0, F.coalesce(at(projects), F.lit("unknown"))).otherwise("unknown")
     peripheral = F.when(examples > 0, F.coalesce(F.upper(at(examples)), F.lit("OTHER"))).otherwise("OTHER")
     example = F.when(examples > 0, F.array_join(F.slice(parts, examples.cast("int") + 1, F.size(parts)), "/")).otherwise(F.element_at(parts, -1))
-    return [board.alias("board"), peripheral.alias("peripheral"), example.alias("example"), parts[0].alias("category")]
+    return [board.alias("board"), peripheral.alias("peripheral"), example.alias("example"), F.coalesce(F.get(kinds, F.lit(0)), F.lit(R.EXAMPLE_FOLDERS[0])).alias("type"), parts[0].alias("category")]
 
 
 def category(path: Column, code: Column) -> Column:

@@ -65,6 +65,16 @@ def unique_score(text: Column, refs: tuple[str, ...], most: int = 15) -> Column:
     return reduce(add, [F.regexp_count(text, F.lit(rf"\b{r}\b")).between(1, most).cast("int") for r in refs]) / F.lit(len(refs))
 
 
+def not_unique(text: Column, refs: tuple[str, ...], most: int = 15) -> Column:
+    """``R1=missing`` or ``R1=spam(16)`` of the references that :func:`unique_score` doesn't count, joined by commas."""
+
+    def told(ref: str) -> Column:
+        n = F.regexp_count(text, F.lit(rf"\b{ref}\b"))
+        return F.when(n == 0, f"{ref}=missing").when(n > most, F.concat(F.lit(f"{ref}=spam("), n.cast("string"), F.lit(")")))
+
+    return F.concat_ws(",", *map(told, refs))
+
+
 def composite() -> Column:
     """The weighted sum of the axes; missing ones count as 0."""
     return reduce(add, [F.coalesce(F.col(c), F.lit(0)) * w for c, w in AXES.items()])

@@ -68,15 +68,23 @@ def in_order(groups: list[str], order: list) -> Window:
     return Window.partitionBy(*groups).orderBy(*order)
 
 
+#: Distinct words of the items up to which they are broadcast; beyond, they are shuffled.
+BROADCAST_WORDS = 200_000
+
+
 def contains_scores(items: DataFrame, texts: DataFrame, item: str, ident: str, distinct: Column, least: float) -> DataFrame:
     """Of an item's distinct words (item, w) the share that a text has (``distinct``: an array of its
-    words), where it is ``least`` or more.
+    words), where it is ``least`` or more, and the sorted words that are missing.
 
-    A text needs ``least`` of an item's n words, rounded up. The half of so many words that most items
-    have fetch no texts: common words would fetch all. Of the others a text must have the needed ones
-    less that half; those texts are then verified on all words.
+    Of a text only the words that any item has are moved. A text needs ``least`` of an item's n words,
+    rounded up. The half of so many words that most items have fetch no texts: common words would fetch
+    all. Of the others a text must have the needed ones less that half; those pairs are then verified on
+    all words.
     """
-    each = texts.select(ident, F.explode(distinct).alias("w"))
+    vocabulary = items.select("w").distinct()
+    few = vocabulary.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    each = texts.select(ident, F.explode(distinct).alias("w")).join(F.broadcast(vocabulary) if few else vocabulary, "w", "left_semi")
+    own = each.groupBy(ident).agg(F.collect_set("w").alias("_own"))
     words = items.groupBy(item).agg(F.collect_set("w").alias("_all"))
     need = F.ceil(F.size("_all") * least)
     words = words.select(item, "_all", need.alias("_need"), F.floor(need / 2).alias("_left"))
@@ -84,7 +92,7 @@ def contains_scores(items: DataFrame, texts: DataFrame, item: str, ident: str, d
     order = Window.partitionBy(item).orderBy("_items", F.desc(F.length("w")), "w")
     ranked = items.join(counts, "w").withColumn("_rank", F.row_number().over(order)).join(words, item)
     probe = ranked.where(F.col("_rank") <= F.size("_all") - F.col("_left")).select(item, "w")
-    pairs = each.join(probe, "w").groupBy(item, ident).agg(F.count("*").alias("_hits"))
-    both = pairs.join(words, item).where(F.col("_hits") >= F.col("_need") - F.col("_left")).join(texts, ident).withColumn("_ws", distinct)
-    score = F.size(F.array_intersect("_ws", "_all")) / F.size("_all")
-    return both.select(item, ident, score.alias("score")).where(F.col("score") >= least)
+    pairs = own.select(ident, F.explode("_own").alias("w")).join(probe, "w").groupBy(item, ident).agg(F.count("*").alias("_hits"))
+    both = pairs.join(words, item).where(F.col("_hits") >= F.col("_need") - F.col("_left")).join(own, ident)
+    score = F.size(F.array_intersect("_own", "_all")) / F.size("_all")
+    return both.select(item, ident, score.alias("score"), F.array_sort(F.array_except("_all", "_own")).alias("missing")).where(F.col("score") >= least)

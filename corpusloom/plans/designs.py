@@ -24,6 +24,7 @@ def _schematic(spark, sf):
         F.lit('(kicad_sch (version 1) (lib_symbols (symbol "x(" (pin 1)))\n'),
         symbol(F.lit("MCU:A"), F.concat(F.lit("U"), i), F.col("p_name")),
         symbol(F.lit("Device:R"), F.concat(F.lit("R"), (F.col("p_size")).cast("string")), F.lit("10k")),
+        symbol(F.lit("Device:L"), F.concat(F.when(F.col("p_partkey") % 2 == 0, "LED").otherwise("FB"), i), F.lit("x")),
         F.lit('(label "NET_'), i, F.lit('") (global_label "VCC") (label "VCC")\n(sheet (at 0 0) (property "Sheetname" "S'), i, F.lit('") (property "Sheetfile" "s.kicad_sch")))'),
     )
     return _parts(spark, sf).select("p_partkey", "p_name", "p_size", text.alias("text"))
@@ -36,7 +37,7 @@ def x38_matching_paren(spark, sf):
     return table(spark, sf, "events").select("event_id", B.closing_udf(body).alias("closing"))
 
 
-@query("SELECT p_partkey, 3::bigint AS header, 5::bigint AS blocks FROM part")
+@query("SELECT p_partkey, 3::bigint AS header, 6::bigint AS blocks FROM part")
 def x39_top_level(spark, sf):
     """The blocks right inside a file: those of the header, and those of the body."""
     s = _schematic(spark, sf).select("p_partkey", F.explode(B.top_level_udf("text")).alias("block"))
@@ -52,7 +53,7 @@ def x40_strip_block(spark, sf):
     return s.select("p_partkey", F.contains("t", F.lit('"x("')).alias("has_block"), F.when(F.col("t").isNull(), 2).otherwise(0).alias("code"))
 
 
-@query("SELECT p_partkey, 'U' || p_partkey || '=' || p_name || ',R' || p_size || '=10k' AS components, 'NET_' || p_partkey || ',VCC' AS nets, 'S' || p_partkey || ':s.kicad_sch' AS sheets FROM part")
+@query("SELECT p_partkey, 'U' || p_partkey || '=' || p_name || ',R' || p_size || '=10k,' || CASE p_partkey % 2 WHEN 0 THEN 'LED' ELSE 'FB' END || p_partkey || '=x' AS components, 'NET_' || p_partkey || ',VCC' AS nets, 'S' || p_partkey || ':s.kicad_sch' AS sheets FROM part")
 def x41_schematic_parts(spark, sf):
     """Components with reference and value, distinct nets, and sheets."""
     s = D.schematic_parts(_schematic(spark, sf), "text")
@@ -61,7 +62,7 @@ def x41_schematic_parts(spark, sf):
     return s.select("p_partkey", F.array_join(told, ",").alias("components"), F.array_join(F.array_sort("nets"), ",").alias("nets"), F.array_join(sheets, ",").alias("sheets"))
 
 
-@query("SELECT p_partkey, CASE WHEN length(p_name) > 2 THEN 'ICs: ' || p_name || '; ' ELSE '' END || '1 IC, 1 resistor; nets: NET_' || p_partkey || ', VCC; sheets: S' || p_partkey AS description FROM part")
+@query("SELECT p_partkey, CASE WHEN length(p_name) > 2 THEN 'ICs: ' || p_name || '; ' ELSE '' END || CASE p_partkey % 2 WHEN 0 THEN '1 IC, 1 LED, 1 resistor' ELSE '1 IC, 1 ferrite bead, 1 resistor' END || '; nets: NET_' || p_partkey || ', VCC; sheets: S' || p_partkey AS description FROM part")
 def x42_schematic_description(spark, sf):
     """Chips, a summary of components, nets and sheets in one line."""
     s = D.schematic_parts(_schematic(spark, sf), "text")
@@ -77,12 +78,15 @@ def x43_header_comment(spark, sf):
     return table(spark, sf, "documents").select("doc_id", D.header_comment(code).alias("comment"))
 
 
-@query("SELECT p_partkey, 'B' || p_size AS board, upper(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS peripheral, regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || '/Ex_' || p_partkey AS example, 'Projects' AS category FROM part WHERE p_partkey % 4 > 0 UNION ALL SELECT p_partkey, 'unknown', 'OTHER', 'Ex_' || p_partkey, 'misc' FROM part WHERE p_partkey % 4 = 0")
+_KIND = "CASE p_partkey % 3 WHEN 0 THEN 'Examples' WHEN 1 THEN 'Examples_LL' ELSE 'Examples_MIX' END"
+
+
+@query(f"SELECT p_partkey, 'B' || p_size AS board, upper(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS peripheral, regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || '/Ex_' || p_partkey AS example, {_KIND} AS type, 'Projects' AS category FROM part WHERE p_partkey % 4 > 0 UNION ALL SELECT p_partkey, 'unknown', 'OTHER', 'Ex_' || p_partkey, 'Examples', 'misc' FROM part WHERE p_partkey % 4 = 0")
 def x44_path_parts(spark, sf):
-    """Board, peripheral, example and category from a path."""
+    """Board, peripheral, example, type and category from a path."""
     brand = F.regexp_replace("p_brand", "[^A-Za-z0-9]", "")
     i = F.col("p_partkey").cast("string")
-    path = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("misc/Ex_"), i)).otherwise(F.concat(F.lit("Projects/B"), F.col("p_size").cast("string"), F.lit("/Examples/"), brand, F.lit("/Ex_"), i))
+    path = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("misc/Ex_"), i)).otherwise(F.concat(F.lit("Projects/B"), F.col("p_size").cast("string"), F.lit("/"), F.expr(_KIND), F.lit("/"), brand, F.lit("/Ex_"), i))
     return _parts(spark, sf).select("p_partkey", *D.path_parts(path))
 
 
@@ -106,7 +110,11 @@ def x11_rust_platform(spark, sf):
     return _parts(spark, sf).select("p_partkey", T.first_rule(F.lower(path), R.RUST_PLATFORMS, None).alias("p"), "p_size").select("p_partkey", F.coalesce("p", F.concat(F.lit("default-"), F.col("p_size").cast("string"))).alias("platform"))
 
 
-_TYPE_TEXT = "CASE doc_id % 4 WHEN 0 THEN 'EEPROM W25Q FRAM lcd ' WHEN 1 THEN 'OLED ST7735 header ' WHEN 2 THEN 'JST Molex EEPROM NAND ' ELSE '' END"
+_TYPE_TEXT = (
+    "CASE doc_id % 14 WHEN 0 THEN 'EEPROM W25Q FRAM lcd ' WHEN 1 THEN 'OLED ST7735 header ' WHEN 2 THEN 'JST Molex EEPROM NAND ' WHEN 3 THEN 'buck LM7805 power supply ESP32' WHEN 4 THEN 'STM32 crystal NRST USART'"
+    " WHEN 5 THEN 'RS485 MAX3232 level shift' WHEN 6 THEN 'thermocouple BME280 op-amp' WHEN 7 THEN 'BLDC DRV8 stepper ESD' WHEN 8 THEN 'LM386 speaker microphone' WHEN 9 THEN 'antenna balun LoRa' WHEN 10 THEN 'TVS polyfuse clamp'"
+    " WHEN 11 THEN 'JST Molex RJ45' WHEN 12 THEN 'ADC I2S DAC' ELSE '' END"
+)
 _COUNTS = ", ".join(f"len(regexp_extract_all(t, {q(p)})) AS {k}" for k, p in R.CIRCUIT_TYPES.items())
 _NAMES = list(R.CIRCUIT_TYPES)
 _BEST = " ".join(f"WHEN top = {k} THEN '{k}'" for k in _NAMES)
@@ -130,11 +138,16 @@ def x09_provenance_first(spark, sf):
     return d.where("doc_id % 3 <> 0 OR lang IS NOT NULL").select("doc_id", found.alias("peripheral"))
 
 
-@query("SELECT c_custkey % 40 AS k, '2 ZZs, 2 resistors, 1 IC' AS summary FROM customer GROUP BY 1 HAVING count(*) >= 1")
+_LETTERS = ("R", "C", "U", "LED", "FB", "ZZ", "R", "12", "SW", "R", "K")
+_NAMED = "CASE l " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in R.DESIGNATORS) + " ELSE l END"
+
+
+@query(f"WITH r AS (SELECT c_nationkey AS k, [{', '.join(map(q, _LETTERS))}][(c_custkey * (c_nationkey + 1)) % {len(_LETTERS)} + 1] AS l FROM customer), c AS (SELECT k, {_NAMED} AS name, count(*) AS n FROM r WHERE l <> '12' GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, name) AS rn FROM c) SELECT k, string_agg(n || ' ' || name || CASE WHEN n > 1 THEN 's' ELSE '' END, ', ' ORDER BY rn) AS summary FROM t WHERE rn <= 6 GROUP BY k")
 def a26_designator_summary(spark, sf):
     """References by their letters, counted and named, the six most frequent."""
-    refs = F.array(*map(F.lit, ("R1", "ZZ3", "U7", "R22", "ZZ9", "12x")))
-    rows = table(spark, sf, "customer").select((F.col("c_custkey") % 40).alias("k")).distinct().select("k", F.explode(refs).alias("ref"))
+    letters = F.array(*map(F.lit, _LETTERS))
+    at = (F.col("c_custkey") * (F.col("c_nationkey") + 1) % len(_LETTERS)).cast("int")
+    rows = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.concat(F.get(letters, at), F.col("c_custkey").cast("string")).alias("ref"))
     return D.designator_summary(rows, "k", "ref")
 
 

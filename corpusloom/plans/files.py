@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as T
 from ..operators import dedup, splits
 from ..operators.ranking import first_rows
@@ -171,16 +172,12 @@ def s17_source_tree(spark, sf):
     return read.select(F.regexp_extract("path", "(ex[0-9]+/.*)$", 1).alias("path"), "text")
 
 
-# Names of files that every project of the vendor has.
-BOILERPLATE = tuple(f"{a}{b}xx{c}.c" for a, c in (("system_stm32", ""), ("stm32", "_it"), ("stm32", "_hal_msp")) for b in ("f4", "h7", "l4"))
-
-
 @query(f"SELECT 'ex' || item_id AS example, {_STEM} AS name, length(text) AS size FROM benchmark WHERE item_id % 5 NOT IN (0, 1) AND text IS NOT NULL")
 def s18_example_sources(spark, sf):
     """An example's own sources: C and C++ right in Src, without the vendor's boilerplate."""
     read = readers.source_tree(spark, _tree(spark, sf, "examples"), "*.c*")
     name = F.regexp_extract("path", "/Src/([^/]+)$", 1)
-    own = read.withColumn("name", name).where((F.col("name") != "") & ~F.col("name").isin(*BOILERPLATE))
+    own = read.withColumn("name", name).where((F.col("name") != "") & ~F.col("name").isin(*R.BOILERPLATE_FILES))
     return own.select(F.regexp_extract("path", "/(ex[0-9]+)/", 1).alias("example"), "name", F.length("text").alias("size"))
 
 
@@ -311,14 +308,33 @@ def k03_manifest_csv(spark, sf):
     return readers.csv_rows(spark, path, "dedup_hash string, source string, n_chars long, part long")
 
 
-@query("SELECT event_type, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, count(*) * 2 AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2")
+@query("SELECT event_type, CASE WHEN event_id % 3 > 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE 'time of the append' END AS timestamp, count(*) * 2 AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2")
 def k04_audit_append(spark, sf):
-    """Events appended twice; each has a time, and nothing is overwritten."""
+    """Events appended twice; every third has no time and gets that of the append; nothing is overwritten."""
     path = scratch(spark, "audit")
-    e = table(spark, sf, "events").where("event_type = 'error'").select("event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"))
+    time = F.when(F.col("event_id") % 3 > 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    e = table(spark, sf, "events").where("event_type = 'error'").select("event_id", "event_type", time.alias("timestamp"))
+    since = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).first()[0]
     for _ in range(2):
         writers.append_audit(e, path)
-    return spark.read.schema("event_type string, timestamp string").json(path).groupBy("event_type", "timestamp").agg(F.count("*").alias("n"))
+    back = spark.read.schema("event_id long, event_type string, timestamp string").json(path)
+    now = F.col("timestamp").between(F.lit(since), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    told = F.when((F.col("event_id") % 3 == 0) & now, "time of the append").otherwise(F.col("timestamp"))
+    return back.groupBy("event_type", told.alias("timestamp")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'f' || item_id || '.txt' AS name, sha256(text) AS digest, CASE WHEN item_id % 7 = 3 THEN 'missing' WHEN item_id % 7 = 5 THEN 'changed' ELSE 'verified' END AS status FROM benchmark WHERE text IS NOT NULL")
+def k05_file_digests(spark, sf):
+    """The digest of each file's bytes, held against the files as they are later: some have changed, some are gone."""
+    path, i = scratch(spark, "digests"), F.col("item_id")
+    b = table(spark, sf, "benchmark").where("text IS NOT NULL")
+    name = F.concat(F.lit("f"), i.cast("string"), F.lit(".txt"))
+    writers.row_files(b, f"{path}/then", name, F.encode("text", "utf-8"))
+    writers.file_digests(spark, f"{path}/then").write.json(f"{path}/manifest")
+    later = F.encode(F.when(i % 7 == 5, F.concat("text", F.lit("."))).otherwise(F.col("text")), "utf-8")
+    writers.row_files(b.where(i % 7 != 3), f"{path}/now", name, later)
+    manifest = spark.read.schema("name string, digest string").json(f"{path}/manifest")
+    return writers.verified(manifest, writers.file_digests(spark, f"{path}/now"))
 
 
 _PARTS = ", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 8 * k}, 8))::bigint), 0)::bigint AS s{k}" for k in range(8))

@@ -26,10 +26,13 @@ def a01_count_by_key(spark, sf):
     return M.share_of_total(table(spark, sf, "documents"), "source")
 
 
-@query(f"SELECT marker, count(*) AS n FROM (SELECT unnest([x FOR x IN [{', '.join(q(m) for m in ('the ', 'der ', 'les ', 'que ', 'License', 'MIT'))}] IF contains(text, x)]) AS marker FROM documents) GROUP BY marker ORDER BY n DESC, marker LIMIT 20")
+@query(f"SELECT marker, count(*) AS n, round_even(count(*) * 100 / (SELECT count(*) FROM documents), 1)::double AS pct FROM (SELECT unnest([x FOR x IN [{', '.join(q(m) for m in ('the ', 'der ', 'les ', 'que ', 'License', 'MIT'))}] IF contains(text, x)]) AS marker FROM documents) GROUP BY marker ORDER BY n DESC, marker LIMIT 20")
 def a02_marker_frequency(spark, sf):
     marks = T.found(F.col("text"), ("the ", "der ", "les ", "que ", "License", "MIT"))
-    return table(spark, sf, "documents").select(F.explode(marks).alias("marker")).groupBy("marker").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "marker").limit(20)
+    d = table(spark, sf, "documents")
+    counted = d.select(F.explode(marks).alias("marker")).groupBy("marker").agg(F.count("*").alias("n"))
+    share = F.bround(F.col("n") * 100 / F.col("rows"), 1).alias("pct")
+    return counted.crossJoin(F.broadcast(d.agg(F.count("*").alias("rows")))).select("marker", "n", share).orderBy(F.desc("n"), "marker").limit(20)
 
 
 @query(f"SELECT t AS target, p AS predicted, count(*) AS n FROM ({_LABELLED}) GROUP BY 1, 2")
@@ -113,11 +116,18 @@ def j01_bench_compare(spark, sf):
     return _cells(spark, sf).select("m", "d", "base", "tuned", F.when(both, F.bround(pct, 2)).alias("lift_pct"), F.when(both, F.bround(log, 4)).alias("lift_log"), enough.alias("enough"))
 
 
-@query(f"{_CELLS} SELECT count(*) AS n, round_even(median(ln(base) - ln(tuned)), 4)::double AS mid, round_even(min(ln(base) - ln(tuned)), 4)::double AS low, round_even(max(ln(base) - ln(tuned)), 4)::double AS high, count_if(ln(base) - ln(tuned) > 0.0001) AS forgotten FROM b JOIN c ON b.m = c.m AND b.d = c.d")
+_LIFTS = _CELLS + ", x AS (SELECT b.m || '/' || b.d AS cell, ln(base) - ln(tuned) AS lift, (base - tuned) / base * 100 AS pct, nb >= 25 AND nt >= 25 AS enough FROM b JOIN c ON b.m = c.m AND b.d = c.d WHERE base > 0 AND tuned > 0)"
+
+
+@query(f"{_LIFTS} SELECT count_if(enough) AS n, count_if(NOT enough) AS flagged, round_even(median(lift) FILTER (enough), 4)::double AS mid, round_even((exp(median(lift) FILTER (enough)) - 1) * 100, 2)::double AS effect_pct, round_even(median(pct) FILTER (enough), 2)::double AS mid_pct, round_even(min(lift) FILTER (enough), 4)::double AS low, round_even(max(lift) FILTER (enough), 4)::double AS high, arg_min(cell, (lift, cell)) FILTER (enough) AS low_cell, arg_max(cell, (lift, cell)) FILTER (enough) AS high_cell, count_if(enough AND lift < 0) AS hurt, count_if(enough AND lift > 0.0001) AS forgotten FROM x")
 def a12_lift_statistics(spark, sf):
-    """Lift statistics and the count of silently forgotten cells."""
+    """Lift statistics over the cells with enough samples: median, its effect in percent, extremes with
+    their cells, cells that got worse, and the count of silently forgotten ones (A13)."""
     lift = F.log("base") - F.log("tuned")
-    return _cells(spark, sf).where("base > 0 AND tuned > 0").agg(F.count("*").alias("n"), F.bround(F.median(lift), 4).alias("mid"), F.bround(F.min(lift), 4).alias("low"), F.bround(F.max(lift), 4).alias("high"), F.count_if(lift > 0.0001).alias("forgotten"))
+    x = _cells(spark, sf).where("base > 0 AND tuned > 0").select(F.concat_ws("/", "m", "d").alias("cell"), lift.alias("lift"), ((F.col("base") - F.col("tuned")) / F.col("base") * 100).alias("pct"), ((F.col("nb") >= 25) & (F.col("nt") >= 25)).alias("enough"))
+    e = x.where("enough").agg(F.count("*").alias("n"), F.median("lift").alias("mid"), F.median("pct").alias("mid_pct"), F.min(F.struct("lift", "cell")).alias("low"), F.max(F.struct("lift", "cell")).alias("high"), F.count_if(F.col("lift") < 0).alias("hurt"), F.count_if(F.col("lift") > 0.0001).alias("forgotten"))
+    told = e.crossJoin(F.broadcast(x.agg(F.count_if(~F.col("enough")).alias("flagged"))))
+    return told.select("n", "flagged", F.bround("mid", 4).alias("mid"), F.bround((F.exp("mid") - 1) * 100, 2).alias("effect_pct"), F.bround("mid_pct", 2).alias("mid_pct"), F.bround("low.lift", 4).alias("low"), F.bround("high.lift", 4).alias("high"), F.col("low.cell").alias("low_cell"), F.col("high.cell").alias("high_cell"), "hurt", "forgotten")
 
 
 @query("SELECT event_type, round_even(sum(value * user_id) / sum(user_id), 6)::double AS rate FROM events GROUP BY event_type")
@@ -149,9 +159,9 @@ def a19_class_weights(spark, sf):
     return c.crossJoin(F.broadcast(whole)).select("label", "n", F.bround(F.least(F.col("total") / (F.col("k") * F.greatest("n", F.lit(1))), F.lit(10.0)), 6).alias("weight"))
 
 
-@query("SELECT lang, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM documents WHERE source < 'src2' GROUP BY lang")
+@query("SELECT lang, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM documents GROUP BY lang")
 def a21_distinct_joined(spark, sf):
-    return table(spark, sf, "documents").where("source < 'src2'").groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"))
+    return table(spark, sf, "documents").groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"))
 
 
 @query("SELECT user_id, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY user_id")

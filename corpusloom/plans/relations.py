@@ -308,11 +308,11 @@ def x17_cascade_pick(spark, sf):
     return c.join(F.broadcast(t), ["bucket", "role"], "left").join(F.broadcast(default), "bucket", "left").select("conv_id", "turn", "bucket", F.coalesce("alias", "other").alias("alias"))
 
 
-@query("WITH w AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark), f AS (SELECT item_id, w FROM w WHERE length(w) >= 6), d AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents), n AS (SELECT item_id, count(*) AS n FROM f GROUP BY 1) SELECT item_id, doc_id, round_even(count(*) / max(n), 3)::double AS contains_score, count(*) / max(n) >= 0.6 AS passed FROM f JOIN d USING (w) JOIN n USING (item_id) GROUP BY 1, 2 HAVING count(*) / max(n) >= 0.5")
+@query("WITH w AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark), f AS (SELECT item_id, w FROM w WHERE length(w) >= 6), d AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents), n AS (SELECT item_id, count(*) AS n, list(w) AS every FROM f GROUP BY 1), p AS (SELECT item_id, doc_id, list(w) AS own FROM f JOIN d USING (w) GROUP BY 1, 2) SELECT item_id, doc_id, round_even(len(own) / n, 3)::double AS contains_score, len(own) / n >= 0.6 AS passed, array_to_string(list_sort([w FOR w IN every IF NOT list_contains(own, w)]), ',') AS missing FROM p JOIN n USING (item_id) WHERE len(own) / n >= 0.5")
 def x29_contains_score(spark, sf):
     """Share of an item's words that a document has (X31), from the items' rarest words on."""
     distinct = F.filter(F.array_distinct(F.split(F.lower("text"), "[^a-z]+")), lambda w: F.length(w) >= 6)
     items = table(spark, sf, "benchmark").select("item_id", F.explode(distinct).alias("w"))
     texts = table(spark, sf, "documents").select("doc_id", "text")
     hits = L.contains_scores(items, texts, "item_id", "doc_id", distinct, 0.5)
-    return hits.select("item_id", "doc_id", F.bround("score", 3).alias("contains_score"), (F.col("score") >= 0.6).alias("passed"))
+    return hits.select("item_id", "doc_id", F.bround("score", 3).alias("contains_score"), (F.col("score") >= 0.6).alias("passed"), F.array_join("missing", ",").alias("missing"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import file_system
@@ -37,6 +37,19 @@ def content_digest(df: DataFrame) -> DataFrame:
     return sums.select("n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), *[F.col(f"s{k}").cast("string") for k in range(8)]), 256).alias("digest"))
 
 
+def file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """name and lowercase sha256 of the bytes of every file of a folder."""
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("digest"))
+
+
+def verified(manifest: DataFrame, now: DataFrame) -> DataFrame:
+    """The manifest's files (name, digest) with status verified, changed or missing."""
+    there = now.select("name", F.col("digest").alias("_now"))
+    status = F.when(F.col("_now").isNull(), "missing").when(F.col("_now") == F.col("digest"), "verified").otherwise("changed")
+    return manifest.join(there, "name", "left").select("name", "digest", status.alias("status"))
+
+
 def sse_chunks(df: DataFrame, content: str, stream: str) -> DataFrame:
     """A data line for each piece of content."""
     body = F.to_json(F.struct(F.col(stream).alias("id"), F.array(F.struct(F.struct(F.col(content).alias("content")).alias("delta"))).alias("choices")))
