@@ -12,16 +12,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, staged
 from .tokens import _BYTE_LETTERS, encoder
 
-#: Pre-tokens with this share of all (document, pre-token) rows, or more, are broadcast; one of
-#: more than ``HOT_BYTES`` needs a share as many times larger. So they have HOT_SHARE * HOT_BYTES bytes at most.
-HOT_SHARE = 50_000
-HOT_BYTES = 16
+#: The most frequent pre-tokens, so many and of so many bytes at most, have their counts broadcast.
+HOT_TOKENS = 200_000
+HOT_BYTES = 8 << 20
+#: Distinct pre-tokens that a task of the first pass holds before it passes them on.
+SEEN_MOST = 400_000
+#: Rows of pre-tokens in one Arrow batch.
+BATCH_TOKENS = 10_000
 
 
 class PreTokens:
@@ -51,22 +55,50 @@ class PreTokens:
         return len(self.library.model.tokenize(pre_token))
 
 
-def _frequencies(path: str):
-    """A map over documents: their pre-tokens with frequencies, and how many added tokens they spell."""
+def _seen(path: str):
+    """A map over documents: the distinct pre-tokens of a task, and how many documents have each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = PreTokens(path)
+        known, seen = PreTokens(path), Counter()
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            tokens, n = list(seen.keys()), list(seen.values())
+            for k in range(0, len(tokens), BATCH_TOKENS):
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[k : k + BATCH_TOKENS], pa.string()), pa.array(n[k : k + BATCH_TOKENS], pa.int64())], ["token", "n_rows"])
+            seen.clear()
+
         for batch in batches:
-            tokens, times, ends, added = [], [], [0], []
             for text in batch["text"].to_pylist():
-                found, special = known.count(text)
-                tokens.extend(found.keys())
-                times.extend(found.values())
+                seen.update(known.count(text)[0].keys())
+                if len(seen) >= SEEN_MOST:
+                    yield from passed_on()
+        yield from passed_on()
+
+    return run
+
+
+def _frequencies(path: str, hot: Broadcast):
+    """A map over documents: what their frequent pre-tokens and added tokens come to, and the
+    frequencies of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, pieces = PreTokens(path), hot.value
+        for batch in batches:
+            tokens, times, ends, inside = [], [], [0], []
+            for text in batch["text"].to_pylist():
+                found, n = known.count(text)
+                for token, k in found.items():
+                    each = pieces.get(token)
+                    if each is None:
+                        tokens.append(token)
+                        times.append(k)
+                    else:
+                        n += k * each
                 ends.append(len(tokens))
-                added.append(special)
+                inside.append(n)
             pairs = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(times, pa.int64())], ["token", "times"])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([batch["row_id"], batch["doc_id"], batch["n_bytes"], pa.array(added, pa.int64()), lists], ["row_id", "doc_id", "n_bytes", "added", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch["row_id"], batch["doc_id"], batch["n_bytes"], pa.array(inside, pa.int64()), lists], ["row_id", "doc_id", "n_bytes", "inside", "rest"])
 
     return run
 
@@ -83,6 +115,18 @@ def _pieces(path: str):
     return run
 
 
+def _frequent(known: DataFrame) -> dict[str, int]:
+    """The counts of the most frequent pre-tokens, within HOT_TOKENS and HOT_BYTES."""
+    sizes = known.groupBy("n_rows").agg(F.count("*").alias("n"), F.sum(F.octet_length("token")).alias("b")).orderBy(F.desc("n_rows")).limit(HOT_TOKENS).collect()
+    least, n, held = None, 0, 0
+    for group in sizes:
+        n, held = n + group.n, held + group.b
+        if n > HOT_TOKENS or held > HOT_BYTES:
+            break
+        least = group.n_rows
+    return {} if least is None else dict(known.where(F.col("n_rows") >= least).select("token", "pieces").toLocalIterator())
+
+
 def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens of every row's whole text, as the library's ``encode`` with
     ``add_special_tokens=False`` gives them; an added token that a text spells is one token.
@@ -91,25 +135,20 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     other columns are not looked at; an empty table gives no rows. ``path`` is a file of the tokenizers
     library whose added tokens stand for themselves; others raise ValueError.
 
-    Frequent pre-tokens meet their counts by a broadcast of bounded size, inside the task that holds
-    the document, and the others by a shuffle, in which no pre-token has many rows.
+    The first pass finds the distinct pre-tokens, and the model runs on each once. In the second,
+    frequent pre-tokens meet their counts, a broadcast table of bounded size, in the task that holds the
+    document; the others meet them by a shuffle, in which no pre-token has many rows.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     whole = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    whole = whole.select("row_id", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    schema = f"row_id long, doc_id {whole.schema['doc_id'].dataType.simpleString()}, n_bytes long, added long, tokens array<struct<token: string, times: long>>"
-    counted = staged(whole.mapInArrow(_frequencies(path), schema), "frequencies")
-    pairs = counted.select("row_id", F.inline("tokens"))
-    distinct = pairs.groupBy("token").agg(F.count("*").alias("n_rows"))
+    distinct = whole.select("text").mapInArrow(_seen(path), "token string, n_rows long").groupBy("token").agg(F.sum("n_rows").alias("n_rows"))
     known = staged(distinct.mapInArrow(_pieces(path), "token string, n_rows long, pieces long"), "pieces")
-    total = known.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).head()[0]
-    frequent = F.col("n_rows") * HOT_SHARE >= F.lit(total) * F.greatest(F.lit(1.0), F.octet_length("token") / HOT_BYTES)
-    hot = F.broadcast(known.where(frequent).select("token", "pieces"))
-    # Every document has a row here, whatever it holds; what it holds of frequent pre-tokens is added up before the shuffle.
-    inside = counted.select("row_id", "doc_id", "n_bytes", "added", F.inline_outer("tokens")).join(hot, "token", "left")
-    inside = inside.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), (F.max("added") + F.coalesce(F.sum(F.col("times") * F.col("pieces")), F.lit(0))).alias("n"))
-    rest = pairs.join(hot, "token", "left_anti").join(known.where(~frequent).select("token", "pieces"), "token")
-    rest = rest.groupBy("row_id").agg(F.sum(F.col("times") * F.col("pieces")).alias("rest"))
-    both = inside.join(rest, "row_id", "left")
-    return both.select("doc_id", "n_bytes", (F.col("n") + F.coalesce("rest", F.lit(0))).alias("n_tokens"))
+    hot = _frequent(known)
+    named = f"row_id long, doc_id {whole.schema['doc_id'].dataType.simpleString()}, n_bytes long, inside long"
+    sized = whole.select("row_id", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    counted = staged(sized.mapInArrow(_frequencies(path, spark.sparkContext.broadcast(hot)), f"{named}, rest array<struct<token: string, times: long>>"), "frequencies")
+    pairs = counted.select("row_id", F.inline("rest"))
+    rest = pairs.join(known.select("token", "pieces"), "token").groupBy("row_id").agg(F.sum(F.col("times") * F.col("pieces")).alias("rest"))
+    both = counted.select("row_id", "doc_id", "n_bytes", "inside").join(rest, "row_id", "left")
+    return both.select("doc_id", "n_bytes", (F.col("inside") + F.coalesce("rest", F.lit(0))).alias("n_tokens"))

@@ -46,10 +46,11 @@ def test_added_tokens_that_reach_out_are_refused(tmp_path):
 TEXTS = [None, "", " ", "the the the", "it's <|endoftext|> the <|endoftext|>", "rare" * 3000, "naïve 中文  x\n", *[f"the word{k} of w{k % 7}" for k in range(200)]]
 
 
-@pytest.mark.parametrize("share", [1, 20, 50_000])
-def test_broadcast_and_shuffled(spark, monkeypatch, share):
+@pytest.mark.parametrize("most, held", [(0, 100), (3, 100), (100, 9), (200_000, 8 << 20)])
+def test_broadcast_and_shuffled(spark, monkeypatch, most, held):
     """Whatever is frequent enough to be broadcast, the counts are the same."""
-    monkeypatch.setattr(token_counts, "HOT_SHARE", share)
+    monkeypatch.setattr(token_counts, "HOT_TOKENS", most)
+    monkeypatch.setattr(token_counts, "HOT_BYTES", held)
     rows = [(k % 150 if k else None, t, "own", "x", 5) for k, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row_id string, tokens string, n_bytes int").repartition(5)
     got = token_counts.count_tokens(docs, tokens.tokenizer_path(NAMES[0]))
@@ -68,6 +69,22 @@ def test_each_pre_token_is_counted_once(spark, tmp_path, monkeypatch):
     rows = dict(made)["pieces"].collect()
     assert len({r.token for r in rows}) == len(rows)
     assert {r.token: r.n_rows for r in rows}["Ġof"] == 200
+    monkeypatch.setattr(token_counts, "HOT_TOKENS", 4)
+    hot = token_counts._frequent(dict(made)["pieces"])
+    assert 0 < len(hot) <= 4 and hot["Ġof"] == 1
+
+
+def test_tasks_pass_on_what_they_hold(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_counts, "SEEN_MOST", 5)
+    batch = pa.RecordBatch.from_pydict({"text": ["a b c d e f", "a b", "a b c d e f g"]})
+    got = list(token_counts._seen(tokens.tokenizer_path(NAMES[0]))(iter([batch])))
+    total = {}
+    for b in got:
+        for t, n in zip(b["token"].to_pylist(), b["n_rows"].to_pylist()):
+            total[t] = total.get(t, 0) + n
+    assert len(got) == 2 and total["Ġb"] == 3 and total["Ġg"] == 1
 
 
 def test_registered(spark, tmp_path):
