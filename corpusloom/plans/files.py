@@ -8,7 +8,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import dedup, splits
 from ..operators.ranking import first_rows
-from ..sources import readers, writers
+from ..sources import packages, readers, writers
 from ..sources.scratch import scratch
 from .corpus import HASH, SQL_STRIP
 from .registry import query, table
@@ -192,14 +192,22 @@ def s19_page_status(spark, sf):
     return p.groupBy("doc_id").agg(F.count("*").alias("pages"), sparse.alias("sparse"), method.alias("method"))
 
 
-@query(f"SELECT 'f' || item_id AS name, CASE item_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'html' WHEN 2 THEN 'unavailable' ELSE 'unknown' END AS format, CASE WHEN item_id % 4 < 2 THEN 'ok' WHEN item_id % 4 = 2 THEN 'unavailable' ELSE 'unknown' END AS status, CASE item_id % 4 WHEN 0 THEN {SQL_STRIP.format(c='text')} WHEN 1 THEN 'T & ' || item_id END AS text FROM benchmark WHERE text IS NOT NULL")
+_LONG = "repeat(text, 1 + 2000 // greatest(length(text), 1))"
+
+
+@query(f"""WITH t AS (SELECT item_id, CASE item_id % 6 WHEN 0 THEN {SQL_STRIP.format(c='text')} WHEN 1 THEN 'T & ' || item_id WHEN 2 THEN 'Item ' || item_id WHEN 5 THEN {SQL_STRIP.format(c=_LONG)} END AS t FROM benchmark WHERE text IS NOT NULL)
+ SELECT 'f' || item_id AS name, CASE item_id % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'html' WHEN 2 THEN 'docx' WHEN 3 THEN 'unknown' WHEN 4 THEN 'text' ELSE 'text' END AS format, CASE item_id % 6 WHEN 3 THEN 'unknown' WHEN 4 THEN 'too_large' ELSE 'ok' END AS status, substr(t, 1, 1500) AS text, coalesce(length(t) > 1500, false) AS truncated, length(t) AS original_chars FROM t""")
 def s20_multi_format(spark, sf):
-    """Files of several formats as text by their extension (D07), or why not."""
+    """Files of several formats as text by their extension (D07), or why not: too large, or of no known format; long texts are cut."""
     path, i = scratch(spark, "formats"), F.col("item_id")
-    ext = F.element_at(F.array(*map(F.lit, (".txt", ".html", ".pdf", ".xyz"))), (i % 4 + 1).cast("int"))
-    body = F.when(i % 4 == 1, F.concat(F.lit("<script>x</script><p>T &amp; "), i.cast("string"), F.lit("</p>"))).otherwise(F.col("text"))
-    writers.row_files(table(spark, sf, "benchmark").where("text IS NOT NULL"), path, F.concat(F.lit("f"), i.cast("string"), ext), F.encode(body, "utf-8"))
-    return readers.binary_documents(spark, path).select(F.regexp_extract("path", "/(f[0-9]+)[.]", 1).alias("name"), "format", "status", "text")
+    b = table(spark, sf, "benchmark").where("text IS NOT NULL")
+    ext = F.element_at(F.array(*map(F.lit, (".txt", ".html", ".docx", ".xyz", ".md", ".txt"))), (i % 6 + 1).cast("int"))
+    body = F.when(i % 6 == 1, F.concat(F.lit("<script>x</script><p>T &amp; "), i.cast("string"), F.lit("</p>"))).when(i % 6 == 4, F.repeat(F.lit("0123456789"), F.lit(5000))).when(i % 6 == 5, F.expr(_LONG.replace("2000 // greatest(length(text), 1)", "cast(2000 div greatest(length(text), 1) as int)"))).otherwise(F.col("text"))
+    name = F.concat(F.lit("f"), i.cast("string"), ext)
+    writers.row_files(b.where(i % 6 != 2), path, name, F.encode(body, "utf-8"))
+    told = F.concat(F.lit(f'<w:document {packages.NAMESPACES["docx"]}><w:body><w:p><w:r><w:t>Item '), i.cast("string"), F.lit("</w:t></w:r></w:p></w:body></w:document>"))
+    packages.packages(b.where(i % 6 == 2), path, name, "docx", F.create_map(F.lit("word/document.xml"), told))
+    return readers.binary_documents(spark, path, most=40_000, cut=1500).select(F.regexp_extract("path", "/(f[0-9]+)[.]", 1).alias("name"), "format", "status", "text", "truncated", "original_chars")
 
 
 @query("SELECT label, count(*) AS n, len(any_value(embedding))::int AS width, round_even(sum(list_sum([x * x FOR x IN embedding::double[]])), 4)::double AS energy FROM embeddings GROUP BY label")

@@ -91,17 +91,25 @@ def source_tree(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 def binary_documents(spark: SparkSession, folder: str, most: int = 25 << 20, cut: int = 200_000) -> DataFrame:
     """Files as text by format; too large ones and unknown formats keep a status instead.
 
-    Plain text and HTML are read by column functions; formats that need a library that is
-    not there are reported as such.
+    Plain text and HTML are read by column functions, office files as blocks, PDFs as pages; pictures
+    would need text recognition and are reported as unavailable. Longer texts are cut: truncated says
+    so, original_chars is the whole length.
     """
+    from . import office, pdf
+
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    kind = F.when(ext.isin("txt", "md", "csv", "log"), "text").when(ext.isin("html", "htm"), "html").when(ext.isin("pdf", "docx", "xlsx", "pptx", "png", "jpg"), "unavailable").otherwise("unknown")
+    kind = F.when(ext.isin("txt", "md", "csv", "log"), "text").when(ext.isin("html", "htm"), "html").when(ext.isin("pdf", "docx", "xlsx", "pptx"), ext).when(ext.isin("png", "jpg", "jpeg", "gif", "bmp", "webp", "tiff"), "unavailable").otherwise("unknown")
+    sized = raw.select("path", kind.alias("format"), F.when(F.col("length") > most, "too_large").when(kind.isin("unavailable", "unknown"), kind).otherwise("ok").alias("status"), "content")
+    whole, packed = F.col("status") == "ok", ["docx", "xlsx", "pptx"]
     body = F.decode("content", "utf-8")
-    text = F.when(kind == "text", X.strip(body)).when(kind == "html", X.html_to_text(body))
-    status = F.when(F.col("length") > most, "too_large").when(kind.isin("text", "html"), "ok").otherwise(kind)
-    out = raw.select("path", kind.alias("format"), status.alias("status"), F.when(status == "ok", text).alias("text"))
-    return out.withColumns({"truncated": F.coalesce(F.length("text") > cut, F.lit(False)), "text": F.substring("text", 1, cut)})
+    plain = sized.where(~whole | F.col("format").isin("text", "html"))
+    read = plain.select("path", "format", "status", F.when(whole, F.when(F.col("format") == "text", X.strip(body)).otherwise(X.html_to_text(body))).alias("text"))
+    named = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("format")
+    for found in (office.texts(office.blocks(sized.where(whole & F.col("format").isin(packed)), most_bytes=most)), pdf.by_file(pdf.pages(sized.where(whole & (F.col("format") == "pdf"))))):
+        read = read.unionByName(found.select("path", named, "status", F.when(F.col("status") == "ok", F.col("text")).alias("text")))
+    cut_off = F.coalesce(F.length("text") > cut, F.lit(False))
+    return read.select("path", "format", "status", F.substring("text", 1, cut).alias("text"), cut_off.alias("truncated"), F.length("text").alias("original_chars"))
 
 
 def primary_or_fallback(primary: DataFrame, fallback: Callable[[], DataFrame]) -> DataFrame:

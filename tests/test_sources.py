@@ -64,8 +64,10 @@ def test_binary_documents(spark, tmp_path):
     (tmp_path / "a.txt").write_text(" plain ")
     (tmp_path / "b.html").write_text("<script>x</script><p>A &amp; B</p><p>C</p>")
     (tmp_path / "c.pdf").write_bytes(b"%PDF")
+    (tmp_path / "d.png").write_bytes(b"x")
+    (tmp_path / "e.docx").write_bytes(b"PK")
     got = {r["path"].rsplit("/", 1)[1]: (r["status"], r["text"]) for r in readers.binary_documents(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": ("ok", "plain"), "b.html": ("ok", "A & B\nC"), "c.pdf": ("unavailable", None)}
+    assert got == {"a.txt": ("ok", "plain"), "b.html": ("ok", "A & B\nC"), "c.pdf": ("damaged", None), "d.png": ("unavailable", None), "e.docx": ("damaged", None)}
     assert readers.source_tree(spark, str(tmp_path), "*.txt").first()["text"] == " plain "
 
 
