@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _RUN = f"corpusloom-files-{uuid.uuid4().hex}"
 _roots: set[str] = set()
@@ -26,6 +26,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root}/{_RUN}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends here, and a lost executor costs later steps nothing."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_system(uri: str):
     """A pyarrow file system and the path in it."""
     from pyarrow import fs
