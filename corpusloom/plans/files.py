@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import dedup, splits
-from ..operators.ranking import first_rows
-from ..sources import packages, readers, writers
-from ..sources.scratch import scratch
+from ..operators.ranking import first_rows, numbered_in_order
+from ..sources import packages, paged, readers, snapshots, writers
+from ..sources.scratch import file_system, scratch
 from .corpus import HASH, SQL_STRIP
 from .registry import query, table
 
@@ -365,6 +367,65 @@ def k06_manifest_upsert(spark, sf):
     return dedup.upsert(old, spark.createDataFrame([("src1", 1), ("src2", 2), ("new", 3)], "domain string, n_used long"), ["domain"])
 
 
+_MANIFEST_SQL = "SELECT source AS domain, count(*) AS n_used FROM documents GROUP BY 1"
+
+
+@query(f"WITH one AS ({_MANIFEST_SQL}), two AS (SELECT * FROM one WHERE domain NOT IN ('src1', 'src2') UNION ALL SELECT * FROM (VALUES ('src1', 1::bigint), ('src2', 2::bigint), ('new', 3::bigint)) t(domain, n_used)), three AS (SELECT * FROM two WHERE n_used <= 3) SELECT 1 AS version, * FROM one UNION ALL SELECT 2, * FROM two UNION ALL SELECT 3, * FROM three")
+def k06_manifest_versions(spark, sf):
+    """A manifest that is upserted and written back, version by version; a writer that read an old version is refused and goes again."""
+    manifest, schema = snapshots.SnapshotTable(spark, scratch(spark, "manifest")), "domain string, n_used long"
+    one = table(spark, sf, "documents").groupBy(F.col("source").alias("domain")).agg(F.count("*").alias("n_used"))
+    manifest.commit(one, after=0)
+    new = spark.createDataFrame([("src1", 1), ("src2", 2), ("new", 3)], schema)
+    snapshots.changed(manifest, schema, lambda old: dedup.upsert(old, new, ["domain"]))
+    try:
+        manifest.commit(one.where("false"), after=1)
+    except snapshots.Conflict:
+        snapshots.changed(manifest, schema, lambda old: old.where("n_used <= 3"))
+    versions = [manifest.read(schema, n).select(F.lit(n).alias("version"), "domain", "n_used") for n in sorted(manifest.versions())]
+    return reduce(lambda a, b: a.unionByName(b), versions)
+
+
+@query("SELECT lang AS domain, count(*) AS done, 'TRAINING' AS status FROM documents WHERE lang IS NOT NULL GROUP BY 1")
+def k15_atomic_state(spark, sf):
+    """A campaign's state, as it is after a writer was killed before its pointer was in place, and after the latest pointer was damaged."""
+    path, schema = scratch(spark, "state"), "domain string, done long, status string"
+    state = snapshots.SnapshotTable(spark, path)
+    idle = state.read(schema)
+    d = table(spark, sf, "documents").where("lang IS NOT NULL").groupBy(F.col("lang").alias("domain"))
+    state.commit(d.agg(F.count("*").alias("done"), F.lit("TRAINING").alias("status")).unionByName(idle), after=0)
+    # Killed between files and pointer: files that no pointer names.
+    d.agg(F.lit(0).cast("long").alias("done"), F.lit("HALF").alias("status")).write.parquet(f"{path}/data/killed")
+    later = state.commit(state.read(schema).withColumn("status", F.lit("DONE")), after=1)
+    store, at = file_system(path)
+    for broken in (f"version-{later:012d}.json", f".version-{later:012d}.json.crc"):
+        if store.get_file_info(f"{at}/pointers/{broken}").is_file:
+            store.delete_file(f"{at}/pointers/{broken}")
+    with store.open_output_stream(f"{at}/pointers/version-{later:012d}.json", compression=None) as f:
+        f.write(b'{"version": 2, "fol')
+    return state.read(schema)
+
+
+#: Ranges are of five pages from the second page on; every other range has a broken third page.
+_PAGED_SQL = """p AS (SELECT page_id, url, row_number() OVER (ORDER BY page_id) - 1 AS "offset" FROM pages), r AS (SELECT *, "offset" // 20 AS page, ("offset" // 20 - 1) // 5 AS span, ("offset" // 20 - 1) % 5 AS place FROM p WHERE "offset" >= 27)"""
+
+
+@query(f"""WITH {_PAGED_SQL} SELECT "offset", page_id, url, NULL::varchar AS error FROM r WHERE span % 2 = 1 OR place < 2
+ UNION ALL SELECT min("offset"), NULL, NULL, 'JSONDecodeError' FROM r WHERE span % 2 = 0 AND place = 2 GROUP BY span""")
+def s13_paged_source(spark, sf):
+    """Records of a paged source from an offset on, by ranges of pages; a broken page ends its own range only."""
+    path, n = scratch(spark, "paged"), F.col("offset")
+    rows = numbered_in_order(table(spark, sf, "pages").select("page_id", "url"), [], "page_id", "offset")
+    page, total = F.floor(n / 20).alias("page"), rows.count()
+    answers = rows.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("offset", "page_id", "url"))).alias("items"))
+    body = F.to_json(F.struct(F.lit(total).alias("total"), F.transform("items", lambda x: F.struct(x["page_id"].alias("page_id"), x["url"].alias("url"))).alias("items")))
+    broken = (F.floor((F.col("page") - 1) / 5) % 2 == 0) & ((F.col("page") - 1) % 5 == 2)
+    writers.row_files(answers, path, F.concat(F.lit("page-"), (F.col("page") * 20).cast("string"), F.lit(".json")), F.encode(F.when(broken, F.substring(body, 1, 30)).otherwise(body), "utf-8"))
+    paged.register(spark)
+    read = spark.read.format("paged").schema("offset long, page_id long, url string, error string").option("limit", 20).option("pagesPerTask", 5).load(path)
+    return read.where("offset >= 27")
+
+
 @query("SELECT count(DISTINCT sha256(text)) AS kept, count(*) AS offered, (SELECT count(DISTINCT sha256(text)) FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id < 100 AND text IS NOT NULL)) AS new FROM documents WHERE text IS NOT NULL")
 def k16_content_addressed(spark, sf):
     """A row for each text but for its identifiers; what is known is not written again."""

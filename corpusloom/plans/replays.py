@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch
+from ..streaming import logs as L
 from ..streaming import streams as S
 from .registry import query, table
 from .sequences import _FRAMES
@@ -44,7 +45,8 @@ def _in_order():
 def m04_marker_stream(spark, sf):
     """The words up to each marker, as one row when the marker comes."""
     rows = _events(spark, sf).select(F.col("user_id").cast("string").alias("stream_id"), F.row_number().over(_in_order()).cast("long").alias("seq"), F.when(F.col("event_type") == "error", "marker").otherwise("word").alias("kind"), F.col("event_type").alias("text"), "ts", "event_id")
-    found = S.replay(rows, scratch(spark, "markers"), _PARTS, lambda s: S.marker_windows(s.select("stream_id", "seq", "kind", "text")))
+    numbered = S.replay(rows, scratch(spark, "markers"), _PARTS, lambda s: S.marker_windows(s.select("stream_id", "seq", "kind", "text")))
+    found = S.window_texts(numbered)
     named = rows.where("kind = 'marker'").select("stream_id", F.col("seq").alias("marker"), "event_id")
     return found.join(named, ["stream_id", "marker"]).select("stream_id", F.col("event_id").alias("marker"), "words")
 
@@ -83,3 +85,27 @@ def m12_frame_stream(spark, sf):
 def m14_content_stream(spark, sf):
     """At each end of a stream, if it had any content; one signal only."""
     return _folded(spark, sf, "content", (False,), "seen boolean", S.content_step, "event_id long, seen boolean")
+
+
+_LOG_SQL = """WITH l AS (SELECT user_id AS run, event_id, epoch_us(ts) AS micros, ts, CASE event_type WHEN 'click' THEN event_id % 1000 END AS iter, CASE event_type WHEN 'signup' THEN event_id % 4 END AS phase, CASE event_type WHEN 'purchase' THEN round(value * 100)::bigint / 100.0 END AS val_loss FROM events),
+ r AS (SELECT *, last_value(iter IGNORE NULLS) OVER w AS i, last_value(phase IGNORE NULLS) OVER w AS p, last_value(val_loss IGNORE NULLS) OVER w AS v, lead(micros) OVER (PARTITION BY run ORDER BY micros, event_id) AS next FROM l WINDOW w AS (PARTITION BY run ORDER BY micros, event_id ROWS UNBOUNDED PRECEDING)),
+ s AS (SELECT 129600000000 AS span), x AS (SELECT max(micros) AS last FROM l)
+ SELECT run, 'progress' AS kind, micros, coalesce(i, 0)::bigint AS iter, coalesce(p, 0)::bigint AS phase, v::double AS val_loss FROM r WHERE iter IS NOT NULL OR phase IS NOT NULL OR val_loss IS NOT NULL
+ UNION ALL SELECT run, 'silent', micros + span, coalesce(i, 0)::bigint, coalesce(p, 0)::bigint, v::double FROM r, s, x WHERE coalesce(next > micros + span, micros + span <= (last - 3600000000) // 1000 * 1000)"""
+
+
+def _log(spark, sf):
+    """Lines of training logs: a run for each user; some lines are of no interest."""
+    e = _events(spark, sf)
+    n = lambda c: c.cast("string")
+    line = F.when(F.col("event_type") == "click", F.concat(F.lit("Iter "), n(F.col("event_id") % 1000), F.lit(": took 3.1 s"))).when(F.col("event_type") == "signup", F.concat(F.lit("=== PHASE "), n(F.col("event_id") % 4), F.lit(" ==="))).when(F.col("event_type") == "purchase", F.concat(F.lit("Val loss "), n(F.col("cents") / 100), F.lit(", saved"))).otherwise("loading shards")
+    return e.select(F.col("user_id").alias("run"), "event_id", F.col("ts").cast("timestamp").alias("ts"), line.alias("line"), F.to_date("ts").alias("day"))
+
+
+@query(_LOG_SQL)
+def m10_log_tail(spark, sf):
+    """Progress of growing logs, batch by batch from a checkpoint; a log that is silent for a day and a half is reported by its timer."""
+    days = ["2024-01-07", "2024-01-16", "2024-01-24"]
+    bounds = [None, *days, None]
+    parts = [" AND ".join([f"day >= DATE '{a}'"] * (a is not None) + [f"day < DATE '{b}'"] * (b is not None)) or "true" for a, b in zip(bounds, bounds[1:], strict=False)]
+    return S.replay(_log(spark, sf), scratch(spark, "log"), parts, lambda s: L.tail(s, "run", silent_seconds=129_600, late="1 hour"), L.SETTINGS)

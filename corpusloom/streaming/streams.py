@@ -34,22 +34,27 @@ def sse_frames(chunks: DataFrame) -> DataFrame:
 
 
 def marker_windows(words: DataFrame) -> DataFrame:
-    """Windows of ``words`` (stream_id string, seq long, kind string, text string): the words
-    up to each marker, as one row when the marker comes."""
+    """Each word of ``words`` (stream_id string, seq long, kind string, text string) with the number of its
+    window, from 0: a marker ends a window and is its last row. The state is that number, however
+    long a window is; :func:`window_texts` puts the ended windows together."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        out = []
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            if row.kind == "marker":
-                out.append((key[0], row.seq, " ".join(held)))
-                held = []
-            else:
-                held.append(row.text)
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["stream_id", "marker", "words"])
+        (window,) = state.get if state.exists else (0,)
+        rows = pd.concat(list(batches)).sort_values("seq")
+        ends = rows["kind"].eq("marker")
+        own = window + ends.cumsum() - ends
+        state.update((int(window + ends.sum()),))
+        yield pd.DataFrame({"stream_id": key[0], "window": own, "seq": rows["seq"], "kind": rows["kind"], "text": rows["text"]})
+
+    return words.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, window long, seq long, kind string, text string", "window long", "append", GroupStateTimeout.NoTimeout)
+
 
-    return words.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, marker long, words string", "held array<string>", "append", GroupStateTimeout.NoTimeout)
+def window_texts(rows: DataFrame) -> DataFrame:
+    """stream_id, marker (its seq) and words of every window that a marker has ended."""
+    word = F.when(F.col("kind") != "marker", F.struct("seq", "text"))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(word)), lambda x: x["text"]), " ")
+    g = rows.groupBy("stream_id", "window").agg(F.max(F.when(F.col("kind") == "marker", F.col("seq"))).alias("marker"), told.alias("words"))
+    return g.where("marker IS NOT NULL").select("stream_id", "marker", "words")
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
@@ -135,16 +140,27 @@ def content_step(now: tuple, row) -> tuple[tuple, list]:
     return (False,), [(row.event_id, seen)]
 
 
-def replay(df: DataFrame, folder: str, parts: list, transform: Callable, most_files: int = 1) -> DataFrame:
-    """Run a stream over a table: each part (a condition) becomes a file, one a micro-batch, in order.
+def replay(df: DataFrame, folder: str, parts: list, transform: Callable, settings: dict[str, str] | None = None) -> DataFrame:
+    """Run a stream over a table: each part (a condition) is one micro-batch, of as many files as the table
+    has partitions.
 
-    The result is written with a checkpoint below ``folder`` and read back when all is through.
+    A part is written, the stream is started, takes all that is new and ends; for the next part it starts
+    again from its checkpoint below ``folder``. So batches come in the parts' order, rows within one in
+    any, and state must survive a restart each time. ``settings`` hold while it runs. The result is read
+    back when all is through.
     """
-    spark = df.sparkSession
-    for part in parts:
-        df.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", most_files).parquet(f"{folder}/in")
-    out = transform(source)
-    query = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start()
-    query.awaitTermination()
+    spark, settings = df.sparkSession, settings or {}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for part in parts:
+            df.where(part).write.mode("append").parquet(f"{folder}/in")
+            source = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+            out = transform(source)
+            writer = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out")
+            writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
