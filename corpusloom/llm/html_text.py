@@ -226,6 +226,8 @@ def parse(html: str | None) -> Page:
     node, state, headings = 0, outside, 0
     piece: list[str] = []
     link_chars = 0
+    # What a block has so far while an element inside its line is set aside: (the element's place, pieces, link characters).
+    held: list[tuple[int, list[str], int]] = []
 
     def last(tag: str) -> int:
         """Where the innermost open element of a tag is; -1 if nowhere."""
@@ -242,9 +244,15 @@ def parse(html: str | None) -> Page:
 
     def close(k: int) -> None:
         """Close the open elements from the k-th on."""
-        nonlocal node, state, headings
+        nonlocal node, state, headings, piece, link_chars
+        while held and held[-1][0] >= k:
+            # An element inside a line ends: its text is one of its own, and the line goes on.
+            flush()
+            place, piece, link_chars = held.pop()
+            state = stack[place - 1][2] if place else outside
+            node = next((stack[c][1] for c in reversed(containers) if c < place), 0)
         gone, around = stack[k:], stack[k - 1][2] if k else outside
-        if any(t in LEAF_BLOCKS or n >= 0 or x[:2] != around[:2] for t, n, x in gone):
+        if any(t in LEAF_BLOCKS or n >= 0 for t, n, _ in gone):
             flush()
         del stack[k:]
         outer = -1
@@ -289,7 +297,7 @@ def parse(html: str | None) -> Page:
         if block:
             flush()
             # A block ends an open paragraph; items and cells end their like.
-            if (k := last("p")) > around:
+            if (k := last("p")) > max(around, last("button"), last("object")):
                 close(k)
             if tag in _CLOSED_BY:
                 k = max(map(last, _CLOSED_BY[tag]))
@@ -310,8 +318,9 @@ def parse(html: str | None) -> Page:
             words = set()
         elif tag in LEAF_BLOCKS or article is not None:
             words -= HEADER_WORDS
-        if (off or words or tag == "form") and not dropped:
-            flush()
+        if (off or words) and not block and not dropped:
+            held.append((len(stack), piece, link_chars))
+            piece, link_chars = [], 0
         if (words or tag == "form") and not off and not dropped:
             frame = tag != "form" and words.isdisjoint(CONTENT_WORDS)
             page.marks.append(Mark(mark, frame, not frame or mark >= 0 and page.marks[mark].named))
@@ -331,6 +340,8 @@ def parse(html: str | None) -> Page:
         stack.append((tag, number, state))
     if at < len(html):
         piece.append(_html.unescape(html[at:]))
+    if held:
+        close(held[0][0])
     flush()
     settle(page)
     return page
@@ -496,17 +507,18 @@ def extract_text(pages: DataFrame) -> DataFrame:
     one without host, vote together. Repeated rows vote each and get equal texts.
     """
     arrow_batches(pages.sparkSession)
-    paths = staged(winning_paths(votes(pages)), "paths").select(F.col("host").alias("_host"), F.col("paths").alias("_paths"), F.col("votes").alias("_votes"), "frequent")
+    # A page's own columns go along as one, so none of them clashes with those of the work.
+    own = [F.col(f"`{c}`") for c in pages.columns if c != "text"]
+    named = pages.select(F.struct(*own).alias("row"), F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"))
+    paths = staged(winning_paths(votes(pages.select("url", "html"))), "paths")
 
     @F.pandas_udf("string")
     def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for htmls, wins, counts in batches:
             yield pd.Series([extract(h, list(w), list(n)) if w is not None else extract(h, []) for h, w, n in zip(htmls, wins, counts, strict=True)])
 
-    host = F.coalesce(url_host(F.col("url")), F.lit(""))
-    named = pages.withColumn("_host", host)
     # Pages of frequent hosts stay where they are; no other host has many in one task.
     frequent = F.broadcast(paths.where("frequent").drop("frequent"))
-    others = named.join(frequent.select("_host"), "_host", "left_anti").join(paths.where("NOT frequent").drop("frequent"), "_host", "left")
-    joined = named.join(frequent, "_host").unionByName(others)
-    return joined.withColumn("text", read(F.col("html"), F.col("_paths"), F.col("_votes"))).drop("_host", "_paths", "_votes")
+    others = named.join(frequent.select("host"), "host", "left_anti").join(paths.where("NOT frequent").drop("frequent"), "host", "left")
+    joined = named.join(frequent, "host").unionByName(others)
+    return joined.select("row", read(F.col("row.html"), F.col("paths"), F.col("votes")).alias("text")).select("row.*", "text")

@@ -32,6 +32,27 @@ def test_odd_html():
     assert one("<p>tail <a href='") == "tail"
 
 
+@pytest.mark.parametrize("aside", ["<button>x</button>", "<span hidden>x</span>", "<span class='ad'>x y</span>", "<select><option>x<option>y</select>", "<object>x<b>y</b></object>", "<script>x</script>", "<a class='share' href='#'>x</a>", "<b aria-hidden='true'>x <i>y</i></b>", "<object><p>x</p></object>"])
+def test_elements_set_aside_inside_a_line(aside):
+    """What is dropped inside a paragraph neither stays nor divides it."""
+    assert one(f"<p>one two {aside} three <b>four</b> five</p><p>six</p>") == "one two three four five\nsix"
+    assert one(f"<p>one{aside}two") == "onetwo"
+    assert one(f"<div>{aside}<p>one two</p>{aside}</div>") == "one two"
+
+
+def test_unclosed_elements_set_aside():
+    assert one("<p>one <button>x</p><p>two</p>") == "one\ntwo"
+    assert one("<p>one <span class=ad>x <span hidden>y</span> z</span> two <em hidden>q") == "one two"
+    assert one("<ul><li>a <button>x<li>b</ul>c") == "a\nb\nc"
+    # A block ends the paragraph and what is open in its line, as browsers read it.
+    assert one("<p>one <span hidden><div>in</div> more</span> two") == "one\nin\nmore two"
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "http://h.org", "<p>x y", "a", "b", "c", "d", 5)], "page_id int, url string, html string, row string, host string, paths string, votes string, `_ho.st` int")
+    assert H.extract_text(df).first().asDict() == {"page_id": 1, "url": "http://h.org", "html": "<p>x y", "row": "a", "host": "b", "paths": "c", "votes": "d", "_ho.st": 5, "text": "x y"}
+
+
 def test_classes_are_generalised():
     page = H.parse("<div class='B post-123 a'><p>x</div>")
     assert page.path_of(len(page.nodes) - 1) == ">div.a.b.post-N"
