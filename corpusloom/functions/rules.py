@@ -41,7 +41,7 @@ SPDX_ALLOWED = {"D1": ("MIT", "Apache-2.0", "CC0-1.0", "GPL-3.0"), "D2": ("CC0-1
 SOURCE_TYPE_ALLOWED = {"D1": ("github_scrape",), "D2": ("synth",), "D3": ("mix",)}
 VALIDATION_LOSS = (0.05, 1.5)
 TOKEN_LIMITS = (256, 512, 1024, 2048, 4096, 8192, 16384)
-HIGH_SIGNAL_KINDS = ("EMAIL_ADDRESS", "PHONE_NUMBER", "IP_ADDRESS", "CREDIT_CARD", "IBAN_CODE", "US_SSN", "CRYPTO", "MEDICAL_LICENSE", "US_PASSPORT", "US_BANK_NUMBER")
+HIGH_SIGNAL_KINDS = ("EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "IP_ADDRESS", "IBAN_CODE", "US_SSN", "US_PASSPORT", "UK_NHS", "CRYPTO", "MEDICAL_LICENSE")
 SPDX_SPELLINGS = (
     "MIT", "Apache-2.0", "CC0-1.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "MPL-2.0",
     "CC-BY-4.0", "CC-BY-SA-4.0", "CERN-OHL-S-2.0", "CERN-OHL-P-2.0", "CERN-OHL-W-2.0",

@@ -386,6 +386,16 @@ def k06_manifest_versions(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), versions)
 
 
+@query("SELECT n_nationkey, n_name, 3 AS generation FROM nation WHERE n_regionkey <> 2")
+def s06_latest_version(spark, sf):
+    """The latest of three generations of a file, by name."""
+    path, n = scratch(spark, "generations"), table(spark, sf, "nation")
+    kept = {"rows-20240901": (1, n), "rows-20241115": (3, n.where("n_regionkey <> 2")), "rows-20241002": (2, n.limit(1))}
+    for name, (generation, rows) in kept.items():
+        rows.select("n_nationkey", "n_name", F.lit(generation).alias("generation")).write.json(f"{path}/{name}")
+    return spark.read.schema("n_nationkey long, n_name string, generation int").json(readers.latest(spark, f"{path}/rows-*"))
+
+
 @query("SELECT lang AS domain, count(*) AS done, 'TRAINING' AS status FROM documents WHERE lang IS NOT NULL GROUP BY 1")
 def k15_atomic_state(spark, sf):
     """A campaign's state, as it is after a writer was killed before its pointer was in place, and after the latest pointer was damaged."""

@@ -9,9 +9,11 @@ from ..functions import rules as R
 from ..functions import structure as B
 from ..functions import text as T
 from ..operators import messages as M
+from ..operators.pii import pii_findings
 from .corpus import q
 from .registry import query, table
 
+
 def _turns(spark, sf):
     return table(spark, sf, "conversations")
 
@@ -193,14 +195,57 @@ def f28_shell_supplement(spark, sf):
     return _docs(spark, sf).where(T.any_of(whole, ("scum", "src4"))).orderBy("doc_id").limit(120).select("doc_id")
 
 
-_KINDS = "CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}') THEN 'EMAIL_ADDRESS' WHEN regexp_matches(text, '([0-9]{1,3}[.]){3}[0-9]{1,3}') THEN 'IP_ADDRESS' WHEN contains(text, 'License') THEN 'ORGANIZATION' ELSE 'DATE_TIME' END"
-
-
-@query(f"SELECT doc_id, kind, score FROM (SELECT doc_id, {_KINDS} AS kind, (0.4 + 0.1 * (doc_id % 6))::double AS score FROM documents WHERE text IS NOT NULL) WHERE kind IN ('EMAIL_ADDRESS', 'IP_ADDRESS') AND score >= 0.6")
+#: What is planted behind texts: (text, kind, score of the find; None where there is none).
+_PLANTED = (
+    ("card 4111 1111 1111 1111 end", "CREDIT_CARD", 1.0, "4111 1111 1111 1111"),
+    ("card 4111 1111 1111 1112 end", None, None, None),
+    ("pay DE89 3704 0044 0532 0130 00 now", "IBAN_CODE", 1.0, "DE89 3704 0044 0532 0130 00"),
+    ("pay DE88 3704 0044 0532 0130 00 now", None, None, None),
+    ("to 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa ok", "CRYPTO", 1.0, "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa"),
+    ("to 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb ok", None, None, None),
+    ("nhs 943 476 5919 ok", "UK_NHS", 1.0, "943 476 5919"),
+    ("nhs 943 476 5918 ok", None, None, None),
+    ("dea AB1234563 ok", "MEDICAL_LICENSE", 1.0, "AB1234563"),
+    ("dea AB1234564 ok", None, None, None),
+    ("her ssn is 536-90-4399 ok", "US_SSN", 0.85, "536-90-4399"),
+    ("her ssn is 666-90-4399 ok", None, None, None),
+    ("host 10.20.30.40 ok", "IP_ADDRESS", 0.6, "10.20.30.40"),
+    ("host 10.20.30.400 ok", None, None, None),
+    ("ip 10.20.30.41 ok", "IP_ADDRESS", 0.95, "10.20.30.41"),
+    ("tel +49 30 901820 ok", "PHONE_NUMBER", 0.75, "+49 30 901820"),
+    ("code 030 901 8207 ok", None, None, None),
+    ("passport X12345678 ok", None, None, None),
+    ("write to a.b+c@mail.example.org ok", "EMAIL_ADDRESS", 1.0, "a.b+c@mail.example.org"),
+    ("write to a.b+c@mail ok", None, None, None),
+)
+#: So far that no word of a text lends its weight to what is planted behind it.
+_APART = "\n" + "- " * 40
+
+
+def _planted(spark, sf):
+    d = _docs(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    told = F.array(*[F.lit(p[0]) for p in _PLANTED])
+    return d.withColumn("whole", F.concat("text", F.lit(_APART), F.get(told, (F.col("doc_id") % len(_PLANTED)).cast("int"))))
+
+
+_FOUND_SQL = "SELECT doc_id, kind, score, value FROM (SELECT doc_id, doc_id % " + str(len(_PLANTED)) + " AS k FROM documents) JOIN (VALUES " + ", ".join(f"({k}, {q(kind)}, {score}::double, {q(value)})" for k, (_, kind, score, value) in enumerate(_PLANTED) if kind) + ") t(k, kind, score, value) USING (k)"
+
+
+@query(_FOUND_SQL)
+def x07_pii_kinds(spark, sf):
+    """Personal data of ten kinds in whole texts, by check digits and words around: what is found of numbers planted behind each, valid and invalid by turns."""
+    whole = _planted(spark, sf)
+    found = pii_findings(whole, "doc_id", "whole")
+    starts = whole.select("doc_id", (F.length("text") + len(_APART)).alias("from"))
+    return found.join(starts, "doc_id").where(F.col("start") >= F.col("from")).select("doc_id", "kind", "score", "value")
+
+
+@query(f"SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_FOUND_SQL}) WHERE score >= 0.6 GROUP BY kind")
 def f29_high_signal(spark, sf):
-    """Findings of the kinds that matter, with a score of 0.6 or more."""
-    f = _docs(spark, sf).where("text IS NOT NULL").select("doc_id", F.expr(_KINDS.replace("regexp_matches", "regexp_like")).alias("kind"), (F.lit(0.4) + F.lit(0.1) * (F.col("doc_id") % 6)).alias("score"))
-    return f.where(F.col("kind").isin(*R.HIGH_SIGNAL_KINDS) & (F.col("score") >= 0.6))
+    """Findings of the ten kinds that matter, with a score of 0.6 or more: how many of each are in what is planted."""
+    told = _planted(spark, sf).select("doc_id", F.element_at(F.split("whole", _APART), -1).alias("planted"))
+    found = pii_findings(told, "doc_id", "planted", least=0.6).where(F.col("kind").isin(*R.HIGH_SIGNAL_KINDS))
+    return found.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 @query("WITH h AS (SELECT l_suppkey % 20 AS port FROM lineitem GROUP BY 1 HAVING max(l_quantity) FILTER (WHERE l_suppkey % 20 < 14) >= 40) SELECT DISTINCT s_nationkey % 20 AS port, 'alias-' || s_nationkey AS alias FROM supplier WHERE s_nationkey % 20 IN (SELECT port FROM h) UNION SELECT NULL, 'auto'")

@@ -88,6 +88,13 @@ def source_tree(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def latest(spark: SparkSession, pattern: str) -> str | None:
+    """The path of the greatest name that a glob matches, found by listing; no file is opened. None without a match."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return max((f.getPath().toString() for f in found or []), key=lambda p: p.rpartition("/")[2], default=None)
+
+
 def binary_documents(spark: SparkSession, folder: str, most: int = 25 << 20, cut: int = 200_000) -> DataFrame:
     """Files as text by format; too large ones and unknown formats keep a status instead.
 
