@@ -1,6 +1,6 @@
 """Importing this package registers all queries."""
 
-from . import builders, corpus, designs, files, formats, linked, messages, metrics, relations, replays, reports, sequences
+from . import builders, corpus, designs, files, formats, learned, linked, messages, metrics, relations, replays, reports, sequences
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "builders", "corpus", "designs", "files", "formats", "linked", "messages", "metrics", "relations", "replays", "reports", "sequences"]
+__all__ = ["ORACLES", "QUERIES", "builders", "corpus", "designs", "files", "formats", "learned", "linked", "messages", "metrics", "relations", "replays", "reports", "sequences"]
