@@ -29,7 +29,7 @@ def _whole_rows(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality cascade rejects go; null and empty texts are among them."""
-    return quality.quality_cascade(_whole_rows(docs), text=TEXT).where("kept").select("_row.*")
+    return quality.quality_verdicts(_whole_rows(docs), text=TEXT).where("kept").select("_row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a phrase of the benchmark go."""
+    """Documents that hold a phrase of the benchmark go. Null and empty texts hold none; all columns stay."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("same"))
     found = decontaminate.find_contamination(keyed, table(spark, sf_dir, "benchmark"), keys=("doc_id", "same"))
     hit = staged(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("_id"), "same").distinct(), "contaminated")
@@ -74,7 +74,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are left, as token ids in sequences of at most 2048."""
+    """The documents that are left, as token ids in sequences of at most 2048. A null text is an empty
+    one, which is its end id alone; columns but doc_id and text end here."""
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 

@@ -1,9 +1,13 @@
 """Quality rules as a short-circuit cascade.
 
-On a sample of the rows that pass the base rule, every other rule is timed and its verdicts are noted. The rules are then ordered
+On a sample of the rows every rule is timed and its verdicts are noted. The rules are then ordered
 greedily: next comes the rule that rejects most of what the earlier ones let pass, for
 the seconds it takes. Over the corpus a text runs through the rules in that order and
 stops at the first that rejects it. The order changes the cost, never which texts pass.
+
+Where the counts of every text are wanted (:func:`quality_cascade`), they are taken first, and only
+texts that pass the base rule meet the others. Where the verdict is (:func:`quality_verdicts`), the
+base rule's two halves are rules like the others, and of a text no more is measured than its verdict takes.
 """
 
 from __future__ import annotations
@@ -89,6 +93,10 @@ def base_failed(t: Text) -> bool:
     return t.n_words < 50 or 100 * t.n_repeat_words > 50 * t.n_words
 
 
+#: The base rule's halves, as rules of a cascade.
+BASE = (Rule("few_words", lambda t: t.n_words < 50), Rule("repeats", lambda t: 100 * t.n_repeat_words > 50 * t.n_words))
+
+
 def measured(t: Text) -> tuple[int, int, int, int, int]:
     """What is reported of every text."""
     return t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words
@@ -135,13 +143,14 @@ RULES = (
 )
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...], rows: int = SAMPLE_ROWS, text: str = "text") -> list[dict]:
+def measure(docs: DataFrame, rules: tuple[Rule, ...], rows: int = SAMPLE_ROWS, text: str = "text", counts: bool = True) -> list[dict]:
     """Verdict patterns on a sample: which rules reject (a bit each), how often, seconds by rule.
 
     Rows are drawn one by one, whatever their text, so a text with many copies has no more than
     its share. As in the cascade, only rows that pass the base rule meet the others, and what is
-    measured of every row is measured by then: a rule is charged with what it adds. At most as many
-    rows as there are patterns of ``rules`` come to the driver.
+    measured of every row is measured by then: a rule is charged with what it adds. Without ``counts``
+    nothing is measured before, all rows meet all rules, and each is charged with all that it takes. At most
+    as many rows as there are patterns of ``rules`` come to the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +158,12 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...], rows: int = SAMPLE_ROWS, t
             bits, took = [], []
             for x in b.column(0).to_pylist():
                 t, pattern, times = Text(x), 0, []
-                measured(t)
-                if base_failed(t):
-                    continue
+                if counts:
+                    measured(t)
+                    if base_failed(t):
+                        continue
                 for k, r in enumerate(rules):
+                    t = t if counts else Text(x)
                     began = time.perf_counter()
                     pattern |= r.rejects(t) << k
                     times.append(time.perf_counter() - began)
@@ -217,10 +228,32 @@ def apply_cascade(docs: DataFrame, ordered: list[Rule], text: str = "text") -> D
             yield pd.DataFrame(out, columns=[c.split()[0] for c in JUDGED.split(", ")])
 
     names = [c.split()[0] for c in JUDGED.split(", ")]
-    got = docs.withColumn("_quality", judge(F.col(text)))
-    return got.withColumns({c: F.col(f"_quality.{c}") for c in names}).drop("_quality")
+    # The text may lie within a column that stays, so both are taken along as they are.
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    got = docs.select(F.struct(*own).alias("row") if own else F.lit(None).alias("row"), judge(F.col(text)).alias("judged"))
+    return got.select(*(["row.*"] if own else []), "judged.*")
 
 
 def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, text: str = "text") -> DataFrame:
-    """Measure ``rules`` on a sample of ``docs``, order them, and judge every row."""
+    """Measure ``rules`` on a sample of ``docs``, order them, and judge every row: the columns and the
+    cases of :func:`apply_cascade`; null and empty texts fail the base rule, an empty table gives no rows."""
     return apply_cascade(docs, order_rules(rules, measure(docs, rules, rows, text)), text)
+
+
+def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, text: str = "text") -> DataFrame:
+    """Add rejected_by (a rule of ``BASE`` or ``rules``, null if none) and kept, equal to that of
+    :func:`quality_cascade`; no counts are taken but those that a text's verdict needs.
+
+    Other columns stay; columns of these names are replaced. A null or empty text has too few words.
+    """
+    arrow_batches(docs.sparkSession)
+    every = (*BASE, *rules)
+    ordered = order_rules(every, measure(docs, every, rows, text, counts=False))
+
+    @F.pandas_udf("string")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([next((r.name for r in ordered if r.rejects(t)), None) for t in map(Text, texts)], dtype=object)
+
+    judged = docs.withColumn("rejected_by", judge(F.col(text)))
+    return judged.withColumn("kept", F.col("rejected_by").isNull())

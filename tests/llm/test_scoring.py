@@ -1,5 +1,6 @@
 """Quality against brute force; language and toxicity on rows that were held out."""
 
+import random
 import re
 from collections import Counter
 
@@ -88,3 +89,75 @@ def test_copies_do_not_flood_the_sample(spark):
     assert n == 0
     long = docs.withColumn("text", F.concat_ws(" ", F.sequence(F.lit(1), F.lit(60)).cast("array<string>"), "text"))
     assert 300 < sum(r["n"] for r in quality.measure(long, (quality.Rule("any", lambda t: True),), 500)) < 800
+
+
+def rejected(text):
+    """The base rule and the seven others, each read off the text anew."""
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    again = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+    chars, lines = sum(map(len, words)), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    letters = [c for c in t if c.isalpha()]
+    bare = [x.strip(" \t\n\x0b\x0c\r") for x in lines]
+    return (
+        len(words) < 50
+        or 2 * len(again) > len(words)
+        or chars < 2 * len(words)
+        or chars > 15 * len(words)
+        or 5 * sum(c in "#*$%&|<>" for c in t) > len(words)
+        or 5 * sum(x in lines[:k] for k, x in enumerate(lines)) > 2 * len(lines)
+        or 2 * sum(c.isupper() for c in t) > max(1, len(letters))
+        or len(letters) / max(1, chars) < 0.6
+        or 10 * sum(x.endswith("...") or x.endswith("\u2026") for x in bare) > 3 * len(bare)
+        or len(bare) > 3 and 10 * sum(x[:1] in ("-", "*", "\u2022") for x in bare) > 9 * len(bare)
+    )
+
+
+def odd_texts():
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    out = [None, "", " \n", text(49), text(50), text(80)]
+    for _ in range(150):
+        lines = [text(r.randint(3, 14)) for _ in range(r.randint(4, 9))]
+        kind = r.randrange(8)
+        if kind == 0:
+            lines = [f"{r.choice(['-', '*', chr(0x2022), 'x'])} {x}" for x in lines]
+        elif kind == 1:
+            lines = [x + r.choice(["...", chr(0x2026), "", " ... "]) for x in lines]
+        elif kind == 2:
+            lines = [x.upper() if r.random() < 0.6 else x for x in lines]
+        elif kind == 3:
+            lines += r.sample(lines, r.randint(1, len(lines)))
+        elif kind == 4:
+            lines = [" ".join(w + r.choice(["#", "$", "", ""]) for w in x.split()) for x in lines]
+        elif kind == 5:
+            lines = [" ".join(r.choice([w, "123456", "77"]) for w in x.split()) for x in lines]
+        elif kind == 6:
+            lines = [" ".join(r.choice("abcdefghijklmnop") for _ in x) for x in lines]
+        else:
+            lines = [" ".join(w * r.randint(1, 5) for w in x.split()) for x in lines]
+        out.append("\n".join(lines))
+    return out
+
+
+def test_kept_equals_brute_force_in_both_forms(spark):
+    texts = odd_texts()
+    want = [not rejected(t) for t in texts]
+    assert 20 < sum(want) < len(texts) - 20
+    docs = spark.createDataFrame([(k, t, "x", True) for k, t in enumerate(texts)], "doc_id long, text string, row string, kept boolean")
+    for judged in (quality.quality_cascade(docs), quality.quality_verdicts(docs)):
+        rows = judged.orderBy("doc_id").collect()
+        assert [r.kept for r in rows] == want and all((r.rejected_by is None) == r.kept and r.row == "x" for r in rows)
+    by = {r.rejected_by for r in quality.quality_verdicts(docs).collect()}
+    assert len(by) > 5 and quality.quality_verdicts(docs.limit(0)).count() == 0
+
+
+def test_a_verdict_measures_no_more_than_it_takes(monkeypatch):
+    seen = []
+    for name in ("n_repeat_words", "n_symbols", "n_dup_lines"):
+        keep = getattr(quality.Text, name).func
+        monkeypatch.setattr(quality.Text, name, property(lambda self, n=name, f=keep: seen.append(n) or f(self)))
+    t = quality.Text("few words")
+    assert next(r.name for r in (*quality.BASE, *quality.RULES) if r.rejects(t)) == "few_words" and not seen
