@@ -62,8 +62,35 @@ def test_small_segments_and_empty(spark, monkeypatch):
 
 def test_near_terms():
     lists = {0: D.np.array([5, 900]), 1: D.np.array([12, 1 << 32]), 2: D.np.array([20])}
-    _, _, near = D.search_segment(lists, {}, [(7, [0, 1, 2])], 20)
-    assert near == {(0, 7)}
+    df = D.np.array([2, 2, 1, 9])
+    phrases = D.Phrases(["x", "y", "z"], [D.np.array(t, D.np.int32) for t in ([0, 1, 2, 3], [], [0, 1, 3])], df)
+    assert phrases.rarest.tolist() == [[2, 0, 1], [-1, -1, -1], [0, 1, 3]]
+    _, _, near = D.search_segment(lists, phrases, 20)
+    assert near == {(0, 0)}
+
+
+def test_one_index_for_all_blocks(spark, monkeypatch):
+    docs, bench = cases()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    built, keep = [], D.build_index
+    monkeypatch.setattr(D, "build_index", lambda *a: built.append(len(a[1])) or keep(*a))
+    got = D.find_contamination(d, b, window=4, block_words=10).collect()
+    assert len(built) == 1
+    rows = sorted(((r["doc_id"], r["n_words"], sorted(r["hits"]), sorted(r["items"])) for r in got), key=str)
+    assert rows == brute(docs, bench, 4)
+    # More distinct words than an index holds: the benchmark is divided.
+    monkeypatch.setattr(D, "VOCABULARY_MOST", 5)
+    built.clear()
+    got = D.find_contamination(d, b, window=4).collect()
+    rows = sorted(((r["doc_id"], r["n_words"], sorted(r["hits"]), sorted(r["items"])) for r in got), key=str)
+    assert rows == brute(docs, bench, 4) and len(built) > 1
+
+
+def test_a_full_block_is_small():
+    r = D.np.random.default_rng(1)
+    items = [r.integers(0, 200_000, 100).astype(D.np.int32) for _ in range(5000)]
+    phrases = D.Phrases(list(range(5000)), items, D.np.ones(200_000, D.np.int64))
+    assert len(phrases.terms) > 400_000 and phrases.nbytes() < 60e6
 
 
 def test_blocks_of_input_that_a_shuffle_dealt(spark):
