@@ -3,10 +3,11 @@
 One table of frequencies, counted over the whole corpus, is shared by all files. A file
 holds documents in ascending order of id, in blocks of whole documents. A block is coded
 by itself: its ids are dealt to interleaved lanes that share one stream of 32-bit words,
-so a step of the coder handles a row of ids at once. Checkpoints (the lanes' states and
-the place in the stream) let a reader begin inside a block; a checksum guards each block
-and the table; a directory at the end of the file gives the blocks' places. Blocks are
-decoded in parallel and in any order.
+so a step of the coder handles a row of ids at once. Checkpoints (the lanes' states, the place
+in the stream and a checksum of the stream up to the next one) let a reader begin inside a block
+and read no more of it than it decodes; another checksum guards a block's head, and one the table; a
+directory at the end of the file gives the blocks' places. Blocks, and pieces of long ones between
+checkpoints, are decoded in parallel and in any order.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +32,13 @@ from .tokens import encoder
 BLOCK_IDS, FILE_IDS, LANES = 1 << 18, 1 << 23, 512
 #: Rows of ids between two checkpoints.
 CHECKPOINT_ROWS = 128
+#: Ids that a task decodes at once: a block with a longer document is decoded in pieces.
+PIECE_IDS = 1 << 18
 
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _HEAD = struct.Struct("<4s8I")
+_MARK = struct.Struct("<III")
 _TAIL = struct.Struct("<QI4s")
 
 
@@ -95,59 +101,72 @@ class Coder:
             part = np.where(full, part >> _WORD, part)
             q = part // f
             x[:k] = (q << self.bits) + (part - q * f) + self.below[s]
-            if r and r % every == 0:
+            if r % every == 0:
                 marks.append((r, x.copy()))
         starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
         stream = np.concatenate(words) if words else np.zeros(0, np.uint32)
+        stream = stream.astype("<u4")
+        marks = marks[::-1] or [(0, x)]
+        ends = [*(starts[r] for r, _ in marks[1:]), len(stream)]
         known = np.array([d is not None for d in doc_ids], np.uint8)
-        body = b"".join(
+        head = b"".join(
             [
                 known.tobytes(),
                 np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
                 np.array([len(d) for d in docs], "<u4").tobytes(),
-                x.astype("<u8").tobytes(),
-                *(struct.pack("<II", r, starts[r]) + state.astype("<u8").tobytes() for r, state in reversed(marks)),
-                stream.astype("<u4").tobytes(),
+                *(_MARK.pack(r, starts[r], zlib.crc32(stream[starts[r] : e].tobytes())) + state.astype("<u8").tobytes() for (r, state), e in zip(marks, ends, strict=True)),
             ]
         )
-        return _HEAD.pack(b"RBK1", len(docs), len(ids), lanes, len(stream), len(marks), every, self.id, zlib.crc32(body)) + body
+        return _HEAD.pack(b"RBK2", len(docs), len(ids), lanes, len(stream), len(marks), every, self.id, zlib.crc32(head)) + head + stream.tobytes()
 
     def open(self, raw: bytes) -> Block:
-        return Block(self, raw)
+        return Block(self, lambda at, n: raw[at : at + n])
 
 
 class Block:
-    """A block whose checksum and table have been verified."""
+    """A block by its head, which has been verified; of the stream it reads what it decodes, and verifies that."""
 
-    def __init__(self, coder: Coder, raw: bytes):
-        magic, self.n_docs, self.n_ids, self.lanes, n_words, n_marks, _, table, crc = _HEAD.unpack_from(raw)
-        body = raw[_HEAD.size :]
-        if magic != b"RBK1" or zlib.crc32(body) != crc:
+    def __init__(self, coder: Coder, read: Callable[[int, int], bytes]):
+        magic, n, self.n_ids, self.lanes, n_words, n_marks, _, table, crc = _HEAD.unpack(_exactly(read(0, _HEAD.size), _HEAD.size))
+        if magic != b"RBK2":
+            raise ValueError("a block is damaged")
+        size = 13 * n + n_marks * (_MARK.size + 8 * self.lanes)
+        head = _exactly(read(_HEAD.size, size), size)
+        if zlib.crc32(head) != crc:
             raise ValueError("a block is damaged")
         if table != coder.id:
             raise ValueError("a block was written with another frequency table")
-        self.coder, n, at = coder, self.n_docs, 0
-        known = np.frombuffer(body, np.uint8, n, 0)
-        ids = np.frombuffer(body, "<i8", n, n)
+        self.coder, self.n_docs, self._read, self._stream = coder, n, read, _HEAD.size + size
+        known = np.frombuffer(head, np.uint8, n, 0)
+        ids = np.frombuffer(head, "<i8", n, n)
         self.doc_ids = [i if k else None for i, k in zip(ids.tolist(), known.tolist(), strict=True)]
-        self.lengths = np.frombuffer(body, "<u4", n, 9 * n)
+        self.lengths = np.frombuffer(head, "<u4", n, 9 * n)
         at = 13 * n
-        self.marks = {0: (0, np.frombuffer(body, "<u8", self.lanes, at))}
-        at += 8 * self.lanes
+        #: (row, place in the stream, checksum, states) of each checkpoint, in order; the first is row 0.
+        self.marks = []
         for _ in range(n_marks):
-            r, p = struct.unpack_from("<II", body, at)
-            self.marks[r] = (p, np.frombuffer(body, "<u8", self.lanes, at + 8))
-            at += 8 + 8 * self.lanes
-        self.words = np.frombuffer(body, "<u4", n_words, at).astype(np.uint64)
+            self.marks.append((*_MARK.unpack_from(head, at), np.frombuffer(head, "<u8", self.lanes, at + _MARK.size)))
+            at += _MARK.size + 8 * self.lanes
+        self.n_words = n_words
+
+    def _words(self, first: int, end: int) -> np.ndarray:
+        """The stream from checkpoint ``first`` to before checkpoint ``end``."""
+        places = [*(m[1] for m in self.marks), self.n_words]
+        start, stop = places[first], places[end]
+        raw = _exactly(self._read(self._stream + 4 * start, 4 * (stop - start)), 4 * (stop - start))
+        for k in range(first, end):
+            if zlib.crc32(raw[4 * (places[k] - start) : 4 * (places[k + 1] - start)]) != self.marks[k][2]:
+                raise ValueError("a block is damaged")
+        return np.frombuffer(raw, "<u4").astype(np.uint64)
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
-        """The ids from start to stop; decoding begins at the nearest checkpoint before."""
+        """The ids from start to stop; reading and decoding begin at the nearest checkpoint before and end at the next one after."""
         stop = self.n_ids if stop is None else min(stop, self.n_ids)
         if start >= stop:
             return np.zeros(0, "<u4")
-        c, lanes = self.coder, self.lanes
-        first = max(r for r in self.marks if r <= start // lanes)
-        p, x = self.marks[first][0], self.marks[first][1].astype(np.uint64)
+        c, lanes, rows = self.coder, self.lanes, [m[0] for m in self.marks]
+        mark, last = bisect_right(rows, start // lanes) - 1, bisect_right(rows, (stop - 1) // lanes)
+        words, p, first, x = self._words(mark, last), 0, rows[mark], self.marks[mark][3].astype(np.uint64)
         out = np.empty(stop - first * lanes, np.uint32)
         for r in range(first, -(-stop // lanes)):
             k = min(lanes, self.n_ids - r * lanes)
@@ -157,18 +176,49 @@ class Block:
             part = c.share[s] * (part >> c.bits) + low - c.below[s]
             need = np.flatnonzero(part < _LOW)
             if len(need):
-                part[need] = part[need] << _WORD | self.words[p : p + len(need)]
+                part[need] = part[need] << _WORD | words[p : p + len(need)]
                 p += len(need)
             x[:k] = part
             to = (r - first) * lanes
             out[to : to + k] = s[: len(out) - to]
         return c.table.symbols[out[start - first * lanes :]]
 
+    def parts(self, start: int = 0, stop: int | None = None) -> Iterator[tuple[int | None, int, int, np.ndarray, bool]]:
+        """Of each document with ids from start to stop: its id, the block's ids before it, its own ids before
+        the part, the part, and if that is all of it."""
+        stop = self.n_ids if stop is None else stop
+        ids, ends = self.ids(start, stop), np.cumsum(self.lengths, dtype=np.int64)
+        # A document without ids belongs to the part that ends where it stands, or else to the first.
+        first = int(np.searchsorted(ends, start, side="right" if start else "left"))
+        for k in range(first, self.n_docs):
+            end, n = int(ends[k]), int(self.lengths[k])
+            begin = end - n
+            if begin > stop or begin == stop and n:
+                return
+            a, b = max(begin, start), min(end, stop)
+            yield self.doc_ids[k], begin, a - begin, ids[a - start : b - start], b - a == n
+
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        ends = np.cumsum(self.lengths, dtype=np.int64)
-        ids = self.ids()
-        for d, n, e in zip(self.doc_ids, self.lengths.tolist(), ends.tolist(), strict=True):
-            yield d, ids[e - n : e]
+        for doc_id, _, _, ids, _ in self.parts():
+            yield doc_id, ids
+
+
+def _exactly(raw: bytes, n: int) -> bytes:
+    if len(raw) != n:
+        raise ValueError("a block is damaged")
+    return raw
+
+
+def crc_joined(parts: Iterable[tuple[int, int]]) -> int:
+    """The CRC-32 of bytes in parts, from (number of bytes, CRC-32) of each: what comes after shifts the sum by zero bytes."""
+    total, zeros = 0, bytes(1 << 20)
+    for n, crc in parts:
+        shifted, none, left = total, 0, n
+        while left:
+            z = zeros[:left] if left < len(zeros) else zeros
+            shifted, none, left = zlib.crc32(z, shifted), zlib.crc32(z, none), left - len(z)
+        total = shifted ^ none ^ crc
+    return total
 
 
 _coders: dict[str, Coder] = {}
@@ -221,7 +271,8 @@ def write_corpus(docs: DataFrame, tokenizer: str, end_id: int, out: str, block_i
     """Write ``docs`` (doc_id integral, text) below ``out``; return the manifest of blocks.
 
     Files are in ascending order of doc_id, null ids first; rows that repeat an id are in
-    an order of their ids' hash. A task writes to a name of its own, and the manifest names
+    an order of their ids' hash. A null or empty text is ``end_id`` alone; a text of any length is in one
+    block, which is as long as it takes; an empty table has no blocks; other columns are not read. A task writes to a name of its own, and the manifest names
     the files of the tasks that succeeded, so a task that is run again does no harm.
     """
     spark = docs.sparkSession
@@ -295,37 +346,60 @@ def block_directory(path: str) -> np.ndarray:
         return np.frombuffer(f.read(32 * n), "<i8").reshape(n, 4)
 
 
-def read_corpus(spark: SparkSession, manifest: DataFrame, out: str) -> DataFrame:
-    """doc_id, start (ids before it in the corpus) and ids (little-endian unsigned 32-bit) of
-    every document, decoded block by block from the files that ``manifest`` names."""
+def read_parts(spark: SparkSession, manifest: DataFrame, out: str, piece_ids: int = PIECE_IDS) -> DataFrame:
+    """doc_id, start (ids before the document in the corpus), at (its own before this part), whole (if
+    the part is all of it) and ids (little-endian unsigned 32-bit), decoded from the files that ``manifest``
+    names. Blocks are dealt to tasks in pieces of ``piece_ids``; a piece is read from its checkpoint on, so a
+    document that is longer has several parts, wherever they are decoded."""
     sums = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = sums.selectExpr("part", "sum(n) OVER (ORDER BY part) - n AS earlier")
-    placed = manifest.join(before, "part").selectExpr("path", "offset", "size", "earlier + sum(n_ids) OVER (PARTITION BY part ORDER BY block) - n_ids AS start")
+    placed = manifest.join(before, "part").selectExpr("path", "offset", "n_ids", "earlier + sum(n_ids) OVER (PARTITION BY part ORDER BY block) - n_ids AS start")
+    pieces = placed.select("path", "offset", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_ids") - 1, F.lit(0)), F.lit(piece_ids).cast("long"))).alias("first"))
     table_path = f"{out}/table.rans"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_at(table_path)
         for b in batches:
-            for path, offset, size, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for path, offset, start, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 store, at = file_system(path)
                 with store.open_input_file(at) as f:
-                    f.seek(offset)
-                    block = coder.open(f.read(size))
-                ids, starts, raws = [], [], []
-                for doc_id, x in block.documents():
-                    ids.append(doc_id)
-                    starts.append(start)
-                    raws.append(x.astype("<u4").tobytes())
-                    start += len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(raws, pa.binary())], names=["doc_id", "start", "ids"])
+                    block = Block(coder, lambda place, n: f.read_at(n, offset + place))  # noqa: B023
+                    rows = list(block.parts(first, min(first + piece_ids, block.n_ids)))
+                ids, begins, ats, raws, whole = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array([start + x for x in begins], pa.int64()), pa.array(ats, pa.int64()), pa.array(whole, pa.bool_()), pa.array([x.astype("<u4").tobytes() for x in raws], pa.binary())],
+                    names=["doc_id", "start", "at", "whole", "ids"],
+                )
 
     arrow_batches(spark)
-    n = max(spark.sparkContext.defaultParallelism, manifest.count() // 16)
-    return placed.repartition(n).mapInArrow(read, "doc_id long, start long, ids binary")
+    n = max(spark.sparkContext.defaultParallelism, manifest.agg(F.coalesce(F.sum("n_ids"), F.lit(0))).first()[0] // (16 * piece_ids))
+    return pieces.repartition(n).mapInArrow(read, "doc_id long, start long, at long, whole boolean, ids binary")
+
+
+def read_corpus(spark: SparkSession, manifest: DataFrame, out: str, piece_ids: int = PIECE_IDS) -> DataFrame:
+    """doc_id, start and ids of every document; those in several parts are put together, each in one row."""
+    parts = read_parts(spark, manifest, out, piece_ids)
+    joined = parts.where("NOT whole").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+    whole = F.aggregate("parts", F.unhex(F.lit("")), lambda s, x: F.concat(s, x["ids"]))
+    return parts.where("whole").select("doc_id", "start", "ids").unionByName(joined.select("doc_id", "start", whole.alias("ids")))
+
+
+def read_checks(spark: SparkSession, manifest: DataFrame, out: str, piece_ids: int = PIECE_IDS) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document. Of one in several parts no task holds more
+    than a part: its checksum is put together from theirs."""
+    parts = read_parts(spark, manifest, out, piece_ids).select("doc_id", "start", "at", "whole", (F.length("ids") / 4).cast("long").alias("n"), F.crc32("ids").alias("crc"))
+    done = staged(parts, "read-back")
+
+    @F.pandas_udf("long")
+    def joined(rows: pd.Series) -> pd.Series:
+        return pd.Series([crc_joined((4 * int(p["n"]), int(p["crc"])) for p in parts) for parts in rows], dtype="int64")
+
+    long = done.where("NOT whole").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "n", "crc"))).alias("parts"))
+    return done.where("whole").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32")).unionByName(long.select("doc_id", "start", F.col("n").alias("n_tokens"), joined("parts").alias("ids_crc32")))
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int, out: str | None = None) -> DataFrame:
-    """Write a corpus and read it back: what :func:`read_corpus` returns."""
+    """Write a corpus and read it back: what :func:`read_checks` returns, for the cases of :func:`write_corpus`."""
     spark = docs.sparkSession
     out = out or new_dir(spark, "rans")
-    return read_corpus(spark, write_corpus(docs, tokenizer, end_id, out), out)
+    return read_checks(spark, write_corpus(docs, tokenizer, end_id, out), out)
