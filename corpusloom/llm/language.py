@@ -80,14 +80,34 @@ def ngram_counts(text: str | None, buckets: int = BUCKETS, orders: tuple[int, ..
     return at, total[at]
 
 
+@dataclass(frozen=True)
+class RareLanguages:
+    """Languages beyond those of the matrix, by the buckets that their texts have: those of bucket b are
+    ``places[starts[b]:starts[b + 1]]``, with what ``gains`` adds to a language's ``base``, the log-probability of
+    all other buckets."""
+
+    starts: np.ndarray
+    places: np.ndarray
+    gains: np.ndarray
+    base: np.ndarray
+
+    def like(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        first, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+        each = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return self.base * n.sum() + np.bincount(self.places[each], self.gains[each] * np.repeat(n, size), len(self.base))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
-    """``log_prob[k, b]``: of bucket b in language k; ``log_prior[k]``."""
+    """``log_prob[k, b]``: of bucket b in language k; ``log_prior[k]``. The matrix has the languages that most
+    rows name, ``MOST_LANGUAGES`` at most; the others follow them in ``languages`` and are in ``rare``. Of equally
+    likely ones the first by name is given."""
 
     languages: tuple[str, ...]
     log_prior: np.ndarray
     log_prob: np.ndarray
     orders: tuple[int, ...]
+    rare: RareLanguages | None = None
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The likeliest language and a score: the posterior on bounded evidence."""
@@ -103,8 +123,14 @@ class LanguageModel:
         starts = np.cumsum([0] + [len(b) for b, _ in counts[:-1]])
         bucket, n = np.concatenate([b for b, _ in counts]), np.concatenate([c for _, c in counts])
         like = np.add.reduceat(self.log_prob[:, bucket] * n, starts, axis=1).T
+        if self.rare:
+            like = np.concatenate([like, np.stack([self.rare.like(at, k) for at, k in counts])], 1)
         total = np.add.reduceat(n, starts)[:, None]
-        best = (like + self.log_prior).argmax(1)
+        if self.rare:
+            by_name = np.argsort(np.array(self.languages))
+            best = by_name[(like + self.log_prior)[:, by_name].argmax(1)]
+        else:
+            best = (like + self.log_prior).argmax(1)
         z = self.log_prior + like / total * np.minimum(total, EVIDENCE)
         z = np.exp(z - z.max(1, keepdims=True))
         z /= z.sum(1, keepdims=True)
@@ -117,7 +143,7 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = O
     """Learn from ``labelled`` (text, lang), which the caller keeps bounded.
 
     Rows without text, letters or language teach nothing. Without any such row the model
-    knows no language and answers ``und``.
+    knows no language and answers ``und``. There may be any number of languages.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,17 +163,31 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = O
     arrow_batches(labelled.sparkSession)
     per_task = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInArrow(count, "lang string, bucket int, n long")
     summed = staged(per_task.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "ngrams")
-    n_languages = summed.where("bucket = -1").count()
-    if n_languages > MOST_LANGUAGES:
-        raise ValueError(f"{n_languages} languages are named; a model holds {MOST_LANGUAGES} at most, so clean the column first")
     got = summed.toPandas()
-    languages = tuple(sorted(got["lang"].unique()))
-    sums = np.zeros((len(languages), buckets + 1))
+    named = got[got["bucket"] == -1].sort_values(["n", "lang"], ascending=[False, True])["lang"].tolist()
+    dense, rare = sorted(named[:MOST_LANGUAGES]), sorted(named[MOST_LANGUAGES:])
+    languages = (*dense, *rare)
+    if not languages:
+        return LanguageModel((), np.zeros(0), np.zeros((0, buckets)), orders)
     row = {lang: k for k, lang in enumerate(languages)}
-    sums[got["lang"].map(row).to_numpy(int), got["bucket"].to_numpy(int)] = got["n"].to_numpy(float)
-    docs, sums = sums[:, -1], sums[:, :-1]
-    prob = np.log((sums + 0.5) / (sums + 0.5).sum(1, keepdims=True)) if languages else np.zeros((0, buckets))
-    return LanguageModel(languages, np.log(docs / docs.sum()) if languages else np.zeros(0), prob, orders)
+    place, bucket, n = got["lang"].map(row).to_numpy(int), got["bucket"].to_numpy(int), got["n"].to_numpy(float)
+    docs = np.zeros(len(languages))
+    docs[place[bucket < 0]] = n[bucket < 0]
+    sums = np.zeros((len(dense), buckets))
+    often = (bucket >= 0) & (place < len(dense))
+    sums[place[often], bucket[often]] = n[often]
+    prob = np.log((sums + 0.5) / (sums + 0.5).sum(1, keepdims=True))
+    return LanguageModel(languages, np.log(docs / docs.sum()), prob, orders, _rare(place, bucket, n, len(dense), len(rare), buckets) if rare else None)
+
+
+def _rare(place: np.ndarray, bucket: np.ndarray, n: np.ndarray, first: int, size: int, buckets: int) -> RareLanguages:
+    """The languages from ``first`` on; as the matrix has it, each bucket counts half an n-gram more."""
+    own = (bucket >= 0) & (place >= first)
+    place, bucket, n = place[own] - first, bucket[own], n[own]
+    order = np.lexsort([place, bucket])
+    place, bucket, n = place[order], bucket[order], n[order]
+    base = np.log(0.5 / (np.bincount(place, n, size) + 0.5 * buckets))
+    return RareLanguages(np.searchsorted(bucket, np.arange(buckets + 1)), place, np.log((n + 0.5) / 0.5), base)
 
 
 def training_rows(docs: DataFrame, allowed, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -164,7 +204,8 @@ def training_rows(docs: DataFrame, allowed, rows: int = TRAIN_ROWS) -> DataFrame
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Add lang_pred and score of every whole text; other columns stay.
 
-    A text that is null, empty or without a letter is ``und`` with score 0.
+    A text that is null, empty or without a letter is ``und`` with score 0. Columns of these names are
+    replaced.
     """
     arrow_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -174,5 +215,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         for texts in batches:
             yield pd.DataFrame(held.value.predict(texts.tolist()), columns=["lang", "score"])
 
-    got = docs.withColumn("_language", judge(F.col(text)))
-    return got.withColumns({"lang_pred": F.col("_language.lang"), "score": F.col("_language.score")}).drop("_language")
+    # The rows' own columns go along as one, so none of them clashes with that of the work.
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    got = docs.select(F.struct(*own).alias("row"), judge(F.col(text)).alias("judged"))
+    return got.select("row.*", F.col("judged.lang").alias("lang_pred"), "judged.score")

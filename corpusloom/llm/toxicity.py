@@ -290,9 +290,11 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", to: str = "
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(text, label) of at most ``rows`` labelled documents, picked by a hash of the id.
 
-    A document with several labels counts as toxic if one of them says so. Of rows
-    that repeat an id one is learned from.
+    A document with several labels counts as toxic if one of them says so. Of rows that
+    repeat an id the one whose text has the smallest hash is learned from.
     """
     picked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("text", "label")
+    met = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    one = met.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    return one.select("first.text", "label")

@@ -114,15 +114,16 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], url: str = "url", inline
     distinct URL is joined back.
     """
     entries = index_rules(rules, token_counts(pages, rules, url))
-    df = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
+    # The rows' own columns go along as one, so none of them clashes with those of the work.
+    own = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    df = pages.select(F.struct(*own).alias("row"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     target = F.concat("host", "path")
     if len(entries) <= inline:
-        best = _best_inline(target, entries)
-        df = df.withColumn("_best", best)
+        df = df.withColumn("_best", _best_inline(target, entries))
     else:
         df = _best_joined(df.withColumn("_key", target), entries)
     rule = F.when(F.col("_best.named"), F.col("_best.name"))
-    return df.withColumns({"rule": rule, "verdict": F.coalesce(F.col("_best.action"), F.lit("allow"))}).drop("_best", "_key")
+    return df.select("row.*", "host", "path", rule.alias("rule"), F.coalesce(F.col("_best.action"), F.lit("allow")).alias("verdict"))
 
 
 def _best_inline(target: Column, entries: list[tuple[str, UrlRule]]) -> Column:

@@ -161,3 +161,32 @@ def test_a_verdict_measures_no_more_than_it_takes(monkeypatch):
         monkeypatch.setattr(quality.Text, name, property(lambda self, n=name, f=keep: seen.append(n) or f(self)))
     t = quality.Text("few words")
     assert next(r.name for r in (*quality.BASE, *quality.RULES) if r.rejects(t)) == "few_words" and not seen
+
+
+def test_more_languages_than_the_matrix_has(spark, monkeypatch):
+    r = random.Random(3)
+    alphabets = ["".join(r.sample("abcdefghijklmnopqrstuvwxyz", 7)) for _ in range(14)]
+    text = lambda k: " ".join("".join(r.choice(alphabets[k]) for _ in range(5)) for _ in range(25))
+    rows = [(text(k), f"l{k:02d}") for k in range(14) for _ in range(1 + (k * 5) % 7)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    whole = language.fit(df)
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 4)
+    split = language.fit(df)
+    assert whole.rare is None and len(split.rare.base) == 10 and len(split.log_prob) == 4 and sorted(split.languages) == sorted(whole.languages)
+    texts = [text(k) for k in range(14)] + [None, "12", rows[0][0]]
+    a, b = whole.predict(texts), split.predict(texts)
+    assert [x[0] for x in a] == [x[0] for x in b] and all(abs(x[1] - y[1]) < 1e-9 for x, y in zip(a, b))
+
+
+def test_own_columns_stay(spark):
+    model = language.fit(spark.createDataFrame([("words of a text", "en")], "text string, lang string"))
+    df = spark.createDataFrame([("a text", "a", "b", 0.5)], "text string, _language string, row string, score double")
+    got = language.identify(df, model).first().asDict()
+    assert (got["_language"], got["row"], got["lang_pred"]) == ("a", "b", "en") and got["score"] != 0.5
+
+
+def test_learned_text_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(30)] + [(2, None), (2, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, toxic int")
+    got = {tuple(toxicity.labelled_sample(docs.repartition(n), labels).orderBy("label").collect()) for n in (1, 3, 7)}
+    assert len(got) == 1 and [r.label for r in next(iter(got))] == [0, 1]

@@ -29,3 +29,10 @@ def test_filter(spark):
         got = urls.filter_urls(pages, rules, inline=inline).orderBy("page_id").collect()
         assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == [plain(u) for u in URLS]
     assert urls.filter_urls(pages.limit(0), rules).count() == 0
+
+
+def test_own_columns_stay(spark):
+    df = spark.createDataFrame([("http://a.com/en/1", 1, 2, 3, "old")], "url string, _best int, _key int, row int, host string")
+    for inline in (0, 100):
+        got = urls.filter_urls(df, [urls.prefix_rule("block", "com", "/en/")], inline=inline).first().asDict()
+        assert got == {"url": "http://a.com/en/1", "_best": 1, "_key": 2, "row": 3, "host": "a.com", "path": "/en/1", "rule": "com/en/", "verdict": "block"}
