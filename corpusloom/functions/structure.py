@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
-import hmac
 import json
 import math
 import re
@@ -12,6 +10,7 @@ from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -129,25 +128,22 @@ def bag_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([cosine_of_bags(bag(x), bag(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def tenant_udf(salt: str):
-    """The first digits of a keyed hash."""
+def keyed_hash(c: Column | str, key: str) -> Column:
+    """HMAC of a text with SHA-256, as lowercase hex: two hashes with constant pads around them."""
+    raw = key.encode() if len(key.encode()) <= 64 else hashlib.sha256(key.encode()).digest()
+    pad = lambda x: F.lit(bytes(b ^ x for b in raw.ljust(64, b"\0")))
+    inner = F.sha2(F.concat(pad(0x36), F.encode(c, "utf-8")), 256)
+    return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
 
-    @F.pandas_udf(StringType())
-    def tenant(ips: pd.Series) -> pd.Series:
-        return ips.map(lambda ip: None if ip is None else hmac.new(salt.encode(), ip.encode(), hashlib.sha256).hexdigest()[:8])
 
-    return tenant
-
-
-def data_url(url: str | None) -> tuple[str | None, bytes | None]:
-    """The type and the bytes of a data URL; nulls if it is none."""
-    head, found, body = (url or "").partition(";base64,")
-    if not found or not head.startswith("data:"):
-        return None, None
-    try:
-        return head[5:], base64.b64decode(body, validate=True)
-    except ValueError:
-        return None, None
+def data_url(c: Column | str) -> Column:
+    """(mime, body) of a data URL; nulls if it is none or its body is no base64."""
+    c = F.col(c) if isinstance(c, str) else c
+    at = F.instr(c, ";base64,")
+    body = F.substr(c, at + 8)
+    ok = c.startswith("data:") & (at > 0) & (F.length(body) % 4 == 0) & F.regexp_like(body, F.lit(r"^[A-Za-z0-9+/]*={0,2}\z"))
+    ok = F.coalesce(ok, F.lit(False))
+    return F.struct(F.when(ok, F.substr(c, F.lit(6), at - 6)).alias("mime"), F.try_to_binary(F.when(ok, body), F.lit("base64")).alias("body"))
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -177,11 +173,6 @@ def first_object_udf(texts: pd.Series) -> pd.Series:
     return texts.map(first_object)
 
 
-@F.pandas_udf(StructType([StructField("mime", StringType()), StructField("body", BinaryType())]))
-def data_url_udf(urls: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([data_url(u) for u in urls], columns=["mime", "body"])
-
-
 @F.pandas_udf(IntegerType())
 def closing_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: -1 if t is None else closing(t, 0))

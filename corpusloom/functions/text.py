@@ -57,8 +57,8 @@ def short_hash(c: Column | str) -> Column:
 
 
 def same_text(c: Column | str) -> Column:
-    """A key of 128 bits to group equal texts by, so that no whole text is shuffled."""
-    return F.md5(F.encode(c, "utf-8"))
+    """A key to group equal texts by, so that no whole text is shuffled; no two texts can be made to share one."""
+    return F.unhex(F.sha2(F.encode(c, "utf-8"), 256))
 
 
 def seeded(*cols: Column | str, seed: int = 42) -> Column:

@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import rules as R
 from ..functions import text as T
@@ -127,11 +126,11 @@ def remapped(raw: DataFrame, model: DataFrame, key: str, prefixes: tuple[str, ..
     return got.withColumn(key, bare).drop("best")
 
 
-@F.pandas_udf(StructType([StructField("exit_code", IntegerType()), StructField("stdout", StringType()), StructField("stderr", StringType())]))
-def stub_validator(outputs: pd.Series) -> pd.DataFrame:
-    """What any validator returns; this one wants as many opening brackets as closing ones."""
-    ok = outputs.fillna("").map(lambda t: t.count("(") == t.count(")"))
-    return pd.DataFrame({"exit_code": (~ok).astype("int32"), "stdout": ok.map({True: "ok", False: ""}), "stderr": ok.map({True: "", False: "brackets"})})
+def bracket_validator(output: Column | str) -> Column:
+    """What any validator returns, (exit_code, stdout, stderr); this one wants as many opening brackets as closing ones."""
+    count = lambda sign: F.length(F.coalesce(output, F.lit(""))) - F.length(F.replace(F.coalesce(output, F.lit("")), F.lit(sign), F.lit("")))
+    ok = count("(") == count(")")
+    return F.struct(F.when(ok, 0).otherwise(1).alias("exit_code"), F.when(ok, "ok").otherwise("").alias("stdout"), F.when(ok, "").otherwise("brackets").alias("stderr"))
 
 
 #: Extractors by format; a format without one gives no text.

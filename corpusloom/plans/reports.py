@@ -348,6 +348,6 @@ def d12_model_trainer(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN length(replace(text, '(', '')) = length(replace(text, ')', '')) THEN 0 ELSE 1 END AS exit_code, CASE WHEN length(replace(text, '(', '')) = length(replace(text, ')', '')) THEN 'ok' ELSE '' END AS stdout, CASE WHEN length(replace(text, '(', '')) = length(replace(text, ')', '')) THEN '' ELSE 'brackets' END AS stderr FROM documents WHERE text IS NOT NULL")
 def d01_validator(spark, sf):
-    """A registered validator over outputs: exit code, stdout and stderr (a stub checks brackets)."""
+    """A registered validator over outputs: exit code, stdout and stderr (this one checks brackets)."""
     d = table(spark, sf, "documents").where("text IS NOT NULL")
-    return d.select("doc_id", E.stub_validator("text").alias("v")).select("doc_id", "v.exit_code", "v.stdout", "v.stderr")
+    return d.select("doc_id", E.bracket_validator("text").alias("v")).select("doc_id", "v.exit_code", "v.stdout", "v.stderr")

@@ -1,3 +1,5 @@
+import hashlib
+import hmac
 import json
 from datetime import datetime, timedelta
 
@@ -92,11 +94,14 @@ def test_structure(spark):
     assert structure.top_level('(pcb (a "(") (b (c)))') == ['(a "(")', "(b (c))"]
     assert structure.without_block("(x (lib_symbols (y)) z)") == "(x (lib_symbols) z)"
     assert structure.without_block("(x (lib_symbols (y)") is None
-    assert structure.data_url("data:image/png;base64,QUI=") == ("image/png", b"AB")
-    assert structure.data_url("data:image/png;base64,*") == (None, None)
+    urls = ["data:image/png;base64,QUI=", "data:image/png;base64,*", "data:;base64,", "image;base64,QUI=", "data:a;base64,QQ", None, "data:x;base64,QUJD\n", "data:x;base64," + "QUJD" * 50_000]
+    got = [tuple(r.d) for r in spark.createDataFrame([(u,) for u in urls], "t string").select(structure.data_url("t").alias("d")).collect()]
+    assert got[:7] == [("image/png", b"AB"), (None, None), ("", b""), (None, None), (None, None), (None, None), (None, None)] and got[7] == ("x", b"ABC" * 50_000)
     df = spark.createDataFrame([(call,), (None,)], "t string")
     assert [r["c"]["name"] for r in df.select(structure.tool_call_udf("t").alias("c")).collect()] == ["fetch_row", None]
-    assert len(df.select(structure.tenant_udf("s")("t").alias("x")).first()["x"]) == 8
+    for key in ("s", "k" * 100, "ü"):
+        got = [r.x for r in spark.createDataFrame([("a",), ("é",), (None,)], "t string").select(structure.keyed_hash("t", key).alias("x")).collect()]
+        assert got == [hmac.new(key.encode(), t.encode(), hashlib.sha256).hexdigest() for t in ("a", "é")] + [None]
 
 
 def test_text_rules(spark):
