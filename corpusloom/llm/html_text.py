@@ -1,9 +1,12 @@
 """Main text of HTML pages by a consensus of the pages of a host.
 
-Each page votes for the generalised tag-class path of the smallest container that covers
-its text without menus, link lists and the like. Spark adds the votes up by host and path.
-Then every page is read again, and the text is taken from the container on a winning path
-of its host, so that one page with an odd sidebar is read as its neighbours are.
+Each page is parsed once, and what its text may need is written: containers and blocks of text. It votes
+for the generalised tag-class path of the smallest container that covers its text without menus, link
+lists and the like. Spark adds the votes up by host and path. Then every page's text is taken from the
+container on a winning path of its host, so that one page with an odd sidebar is read as its neighbours are.
+
+Neither pages nor texts are shuffled: the winners of the hosts that a chunk of pages has are written
+to files that a task reads for its own chunks only. Paths go by 64 bits of a hash, however long they are.
 """
 
 from __future__ import annotations
@@ -13,18 +16,19 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import arrow_batches, staged
+from .common import arrow_batches, file_system, new_dir, staged
 from .urls import url_host
 
 #: A path needs this share of its host's votes to win, so a host has ten winners at most.
 LEAST_SHARE = 0.1
-#: A host with one page of so many or more is frequent: there are at most so many such hosts.
-FREQUENT_HOSTS = 1000
 #: A page's own container needs this share of the most voted path's votes to be taken first.
 OWN_SHARE = 0.25
 #: Single words of so many characters at most may be left beside the container right below the page's root.
@@ -437,88 +441,162 @@ def best_container(page: Page) -> int:
     return at
 
 
-def text_in(page: Page, chosen: set[int]) -> str:
-    """The blocks inside the chosen containers, joined by newlines."""
-    inside = inside_of(page, chosen)
-    return "\n".join(b.text for b in page.blocks if inside[b.node] and not b.dropped)
+def path_hash(path: str) -> int:
+    """The number that a path, such as ``>body>div.story``, goes by."""
+    at = 0
+    for label in path.split(">")[1:]:
+        at = xxhash.xxh64_intdigest(label.encode(), at)
+    return at - (1 << 64) * (at >> 63)
 
 
-def extract(html: str | None, paths: list[str], votes: list[int] | None = None) -> str:
-    """The text on that of ``paths`` whose votes times its text on the page are most.
+@dataclass
+class Parsed:
+    """What a page's text may need: of each container its parent, the hash of its path and if it is dropped (1)
+    or is a main or article (2); of each block that isn't dropped its container, worth and text; its own container."""
 
-    The page's own best container comes first if its path has OWN_SHARE of the most votes, if
-    it stands in a main or article around the winner, or if the page has text on no path.
-    """
+    own: int
+    parents: list[int]
+    paths: list[int]
+    flags: list[int]
+    places: list[int]
+    worth: list[float]
+    texts: list[str]
+
+
+def parsed(html: str | None) -> Parsed:
     page = parse(html)
     own = best_container(page)
     if own < 0:
+        return Parsed(-1, [], [], [], [], [], [])
+    hashes = [0] * (len(page.paths) + 1)
+    for (around, label), number in page.paths.items():
+        hashes[number] = xxhash.xxh64_intdigest(label.encode(), hashes[around])
+    signed = [h - (1 << 64) * (h >> 63) for h in hashes]
+    kept = [b for b in page.blocks if not b.dropped]
+    flags = [int(x.dropped) + 2 * (x.tag in ("main", "article")) for x in page.nodes]
+    return Parsed(own, [x.parent for x in page.nodes], [signed[x.path] for x in page.nodes], flags, [b.node for b in kept], [b.worth for b in kept], [b.text for b in kept])
+
+
+def chosen_text(p: Parsed, votes: dict[int, int]) -> str:
+    """The text on that of the paths in ``votes`` whose votes times its text on the page are most.
+
+    The page's own best container comes first if its path has OWN_SHARE of the most votes, if
+    it stands in a main or article around the winner, or if the page has text on no path.
+    """
+    if p.own < 0:
         return ""
-    n = dict(zip(paths, votes or [1] * len(paths), strict=True))
-    most, won = 0.0, {own}
-    if n.get(page.path_of(own), 0) < OWN_SHARE * max(n.values(), default=0):
-        for path in paths:
-            number = page.path_number(path)
-            chosen = {k for k, x in enumerate(page.nodes) if x.path == number and not x.dropped}
-            if chosen:
-                inside = inside_of(page, chosen)
-                held = [b for b in page.blocks if inside[b.node] and not b.dropped]
-                worth = n[path] * (sum(b.worth for b in held) + bool(held))
-                if worth > most:
-                    most, won = worth, chosen
-    around, k = inside_of(page, {own}), own
-    while k >= 0 and page.nodes[k].tag not in ("main", "article"):
-        k = page.nodes[k].parent
-    return text_in(page, {own} if k >= 0 and all(around[x] for x in won) else won)
-
-
-def votes(pages: DataFrame) -> DataFrame:
-    """host, path and the number of pages of the host whose best container is on the path."""
+    won = {p.own}
+    if votes.get(p.paths[p.own], 0) < OWN_SHARE * max(votes.values(), default=0):
+        worth, held = [0.0] * len(p.parents), [False] * len(p.parents)
+        for k, w in zip(p.places, p.worth, strict=True):
+            worth[k] += w
+            held[k] = True
+        for k in range(len(p.parents) - 1, 0, -1):
+            worth[p.parents[k]] += worth[k]
+            held[p.parents[k]] |= held[k]
+        on: dict[int, list[int]] = {}
+        for k, path in enumerate(p.paths):
+            if path in votes and not p.flags[k] & 1:
+                on.setdefault(path, []).append(k)
+        most = 0.0
+        for path, n in votes.items():
+            value = n * (sum(worth[k] for k in on.get(path, ())) + any(held[k] for k in on.get(path, ())))
+            if value > most:
+                most, won = value, set(on[path])
+    around, k = _inside(p.parents, {p.own}), p.own
+    while k >= 0 and not p.flags[k] & 2:
+        k = p.parents[k]
+    inside = around if k >= 0 and all(around[x] for x in won) else _inside(p.parents, won)
+    return "\n".join(t for t, x in zip(p.texts, p.places, strict=True) if inside[x])
+
+
+def _inside(parents: list[int], chosen: set[int]) -> list[bool]:
+    """For every container, if it is a chosen one or within one."""
+    inside: list[bool] = []
+    for k, parent in enumerate(parents):
+        inside.append(k in chosen or parent >= 0 and inside[parent])
+    return inside
+
+
+def extract(html: str | None, paths: list[str], votes: list[int] | None = None) -> str:
+    """The text of one page, by winning paths and their votes: see :func:`chosen_text`."""
+    return chosen_text(parsed(html), dict(zip(map(path_hash, paths), votes or [1] * len(paths), strict=True)))
+
+
+_PARSED = "own int, own_path long, parents array<int>, paths array<long>, flags array<byte>, places array<int>, worth array<double>, texts array<string>"
+#: Chunks (the pages of a task) whose hosts' winners are in one file.
+FILE_CHUNKS = 16
+
+
+def parse_pages(named: DataFrame) -> DataFrame:
+    """``row``, ``host`` and what is parsed of the ``html`` of every row, with the number of the task."""
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.string())]
+    names = [c.split()[0] for c in _PARSED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId()
         for b in batches:
-            paths = []
-            for html in b.column("html").to_pylist():
-                page = parse(html)
-                k = best_container(page)
-                paths.append(page.path_of(k) if k >= 0 else None)
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(paths, pa.string())], names=["host", "path"])
+            found = [parsed(html) for html in b["html"].to_pylist()]
+            rows = [(p.own, p.paths[p.own] if p.own >= 0 else None, p.parents, p.paths, p.flags, p.places, p.worth, p.texts) for p in found]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b["row"], b["host"], pa.array([chunk] * len(rows), pa.int64()), *columns], ["row", "host", "chunk", *names])
 
-    arrow_batches(pages.sparkSession)
-    voted = pages.select(F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"), "html").mapInArrow(run, "host string, path string")
-    return voted.where("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("n"))
+    return named.select("row", "host", "html").mapInArrow(run, StructType([named.schema["row"], *StructType.fromDDL(f"host string, chunk long, {_PARSED}")]))
 
 
 def winning_paths(voted: DataFrame) -> DataFrame:
-    """host, its winning paths (most votes first, ties by path), their votes and if it is a frequent one."""
-    voted = staged(voted, "votes")
-    every = voted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    """host, its winning paths (most votes first, ties by the paths' hash) and their votes."""
     total = voted.groupBy("host").agg(F.sum("n").alias("total"))
     best = voted.join(total, "host").where(F.col("n") >= LEAST_SHARE * F.col("total"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path")))
-    frequent = F.first("total") * FREQUENT_HOSTS >= F.lit(every)
-    return best.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"), F.transform(ordered, lambda x: -x["n"]).alias("votes"), frequent.alias("frequent"))
+    return best.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"), F.transform(ordered, lambda x: -x["n"]).alias("votes"))
+
+
+def winners_of(out: str, file: int) -> dict[tuple[int, str], dict[int, int]]:
+    """The winners of the hosts of a file's chunks, by chunk and host."""
+    store, at = file_system(f"{out}/file={file}")
+    found: dict[tuple[int, str], dict[int, int]] = {}
+    for info in store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with store.open_input_file(info.path) as f:
+                for r in pq.read_table(f).to_pylist():
+                    found[r["chunk"], r["host"]] = dict(zip(r["paths"], r["votes"], strict=True))
+    return found
 
 
-def extract_text(pages: DataFrame) -> DataFrame:
+def extract_text(pages: DataFrame, keep_html: bool = True) -> DataFrame:
     """Add the main text of every row of ``pages`` (url, html) as column text.
 
-    Other columns stay; one of that name is replaced. A null or empty html, or one without
-    text outside menus, forms and the like, gives an empty text. Pages with a null URL, or
-    one without host, vote together. Repeated rows vote each and get equal texts.
+    Other columns stay, html only if asked for; one of that name is replaced. A null or empty html, or
+    one without text outside menus, forms and the like, gives an empty text. Pages with a null URL, or
+    one without host, vote together. Repeated rows vote each and get equal texts. An empty table gives
+    no rows.
     """
-    arrow_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    arrow_batches(spark)
     # A page's own columns go along as one, so none of them clashes with those of the work.
-    own = [F.col(f"`{c}`") for c in pages.columns if c != "text"]
-    named = pages.select(F.struct(*own).alias("row"), F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"))
-    paths = staged(winning_paths(votes(pages.select("url", "html"))), "paths")
-
-    @F.pandas_udf("string")
-    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for htmls, wins, counts in batches:
-            yield pd.Series([extract(h, list(w), list(n)) if w is not None else extract(h, []) for h, w, n in zip(htmls, wins, counts, strict=True)])
-
-    # Pages of frequent hosts stay where they are; no other host has many in one task.
-    frequent = F.broadcast(paths.where("frequent").drop("frequent"))
-    others = named.join(frequent.select("host"), "host", "left_anti").join(paths.where("NOT frequent").drop("frequent"), "host", "left")
-    joined = named.join(frequent, "host").unionByName(others)
-    return joined.select("row", read(F.col("row.html"), F.col("paths"), F.col("votes")).alias("text")).select("row.*", "text")
+    own = [F.col(f"`{c}`") for c in pages.columns if c != "text" and (keep_html or c != "html")]
+    named = pages.select(F.struct(*own).alias("row"), F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"), "html")
+    read = staged(parse_pages(named), "parsed")
+    voted = staged(read.where("own_path IS NOT NULL").groupBy("host", F.col("own_path").alias("path")).agg(F.count("*").alias("n")), "votes")
+    # A host meets its winners once for each chunk that has pages of it.
+    wins = read.select("chunk", "host").distinct().join(winning_paths(voted), "host").withColumn("file", F.floor(F.col("chunk") / FILE_CHUNKS))
+    out = new_dir(spark, "winners")
+    wins.repartition("file").write.partitionBy("file").parquet(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict] = {}
+        fields = [c.split()[0] for c in _PARSED.split(", ") if not c.startswith("own_path")]
+        for b in batches:
+            texts = []
+            for chunk, host, *rest in zip(*(b[c].to_pylist() for c in ("chunk", "host", *fields)), strict=True):
+                if chunk // FILE_CHUNKS not in held:
+                    if len(held) > 4:
+                        held.clear()
+                    held[chunk // FILE_CHUNKS] = winners_of(out, chunk // FILE_CHUNKS)
+                texts.append(chosen_text(Parsed(*rest), held[chunk // FILE_CHUNKS].get((chunk, host), {})))
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array(texts, pa.string())], ["row", "text"])
+
+    return read.drop("own_path").mapInArrow(run, StructType([read.schema["row"], StructField("text", StringType())])).select("row.*", "text")

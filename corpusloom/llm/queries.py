@@ -41,7 +41,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page, from its host's winning containers."""
-    read = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    read = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep_html=False)
     return read.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -154,3 +154,24 @@ def test_quotes_count_after_an_equals_sign_only():
     assert one("<p title = 'a>b' data-x=\"c'>d\">x") == "x"
     assert one("<p title='never closed>x</p>y") == "x\ny"
     assert one("a </> b </ p> c <? d > e") == "a b c e"
+
+
+def test_paths_by_hash():
+    page = H.parse("<body><div class='b a1'><ul><li>x</ul></div><p>y")
+    p = H.parsed("<body><div class='b a1'><ul><li>x</ul></div><p>y")
+    assert p.paths == [H.path_hash(page.path_of(k)) for k in range(len(page.nodes))] and len(set(p.paths)) == len(page.nodes)
+    assert all(-(1 << 63) <= x < 1 << 63 for x in p.paths)
+
+
+def test_many_hosts(spark):
+    """Each of 800 hosts by its own winners."""
+    good = "<body><div class=story{0}><p>The story {1} of the host, as all have it.</p></div><div class=extra><p>{2}</p></div></body>"
+    rows = [(h * 10 + k, f"http://h{h}.org/{k}", good.format("" if h % 2 else "s", k, "long " * 30 if k == 3 and h % 5 == 0 else "x")) for h in range(800) for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(40)
+    got = {r["page_id"]: r["text"] for r in H.extract_text(df, keep_html=False).collect()}
+    assert got == {i: f"The story {i % 10} of the host, as all have it." for i, *_ in rows}
+
+
+def test_html_only_if_asked_for(spark):
+    df = spark.createDataFrame([(1, "http://h.org", "<p>x y")], "page_id int, url string, html string")
+    assert H.extract_text(df).columns == ["page_id", "url", "html", "text"] and H.extract_text(df, keep_html=False).columns == ["page_id", "url", "text"]
