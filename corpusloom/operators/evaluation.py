@@ -83,7 +83,7 @@ def with_policy(rows: DataFrame, policies: DataFrame, key: str) -> DataFrame:
     """The key's policy, else that of ``_default``; one that is not known is direct."""
     known = policies.select(key, F.when(F.col("policy").isin(*POLICIES), F.col("policy")).otherwise("direct").alias("policy"))
     default = known.where(F.col(key) == "_default").select(F.col("policy").alias("_default"))
-    joined = rows.join(F.broadcast(known), key, "left").crossJoin(F.broadcast(default))
+    joined = rows.join(known, key, "left").crossJoin(F.broadcast(default.limit(1)))
     return joined.withColumn("policy", F.coalesce("policy", "_default")).drop("_default")
 
 
@@ -105,7 +105,7 @@ def filled_template(rows: DataFrame, templates: DataFrame, fields: tuple[str, ..
     by_domain = templates.where("domain IS NOT NULL").select("domain", F.col("template").alias("_domain"))
     by_tool = templates.where("tool IS NOT NULL").select("tool", F.col("template").alias("_tool"))
     default = by_domain.where("domain = '_default'").select(F.col("_domain").alias("_default"))
-    got = rows.join(F.broadcast(by_domain), "domain", "left").join(F.broadcast(by_tool), "tool", "left").crossJoin(F.broadcast(default))
+    got = rows.join(by_domain, "domain", "left").join(by_tool, "tool", "left").crossJoin(F.broadcast(default.limit(1)))
     text = F.coalesce("_domain", "_tool", "_default")
     # Places that no field fills go first, so that what is filled in is not read as one.
     text = F.regexp_replace(text, r"\{(?!(?:" + "|".join(fields) + r")\})\w+\}", "")
@@ -190,6 +190,6 @@ def trained_head(df: DataFrame, vector: str, label: str, most_weight: float = 10
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     whole = counts.agg(F.sum("n").alias("total"), F.count("*").alias("k"))
     weights = counts.crossJoin(F.broadcast(whole)).select(label, F.least(F.col("total") / (F.col("k") * F.col("n")), F.lit(most_weight)).alias("weight"))
-    rows = df.join(F.broadcast(weights), label).select(F.col(label).cast("double").alias("label"), "weight", array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    rows = df.join(weights, label).select(F.col(label).cast("double").alias("label"), "weight", array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = LogisticRegression(maxIter=rounds, regParam=0.01, weightCol="weight").fit(rows)
     return model.transform(rows).groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("hits"))

@@ -204,7 +204,7 @@ def b21_design_assembly(spark, sf):
     return every.groupBy("source", "domain").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, 'NET_' || p_partkey AS first_net, 9::bigint AS n_lines FROM part WHERE p_partkey % 7 > 0")
+@query("SELECT p_partkey, 'NET_' || p_partkey AS first_net, 12::bigint AS n_lines FROM part WHERE p_partkey % 7 > 0")
 def b22_schematic_record(spark, sf):
     """Schematics within bounds that are no stubs, as records."""
     text = F.when(F.col("p_partkey") % 7 == 0, "(kicad_sch)").otherwise(F.col("text"))

@@ -302,12 +302,17 @@ def x26_bag_cosine(spark, sf):
     return both.where("cos > 0").withColumn("cos", F.bround("cos", 6))
 
 
+#: Means up to which they go to every task.
+_FEW_MEANS = 5000
+
+
 @query("SELECT vec_id, arg_max(c, (round_even(s, 6), -c)) AS predicted FROM (SELECT e.vec_id, m.label AS c, list_dot_product(e.embedding::double[], m.v) AS s FROM embeddings e, (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding::double[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY label) m) GROUP BY vec_id")
 def x53_nearest_centroid(spark, sf):
-    """A router head: the label whose mean vector is most alike; ten means, a broadcast of fixed size."""
+    """A router head: the label whose mean vector is most alike. Every row meets every mean; they are broadcast while they are few."""
     e = table(spark, sf, "embeddings")
     long = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     means = long.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v")).withColumnRenamed("label", "c")
     dot = F.aggregate(F.zip_with("embedding", "v", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
-    pairs = e.crossJoin(F.broadcast(means)).select("vec_id", "c", F.bround(dot, 6).alias("s"))
+    few = means.limit(_FEW_MEANS + 1).count() <= _FEW_MEANS
+    pairs = e.crossJoin(F.broadcast(means) if few else means).select("vec_id", "c", F.bround(dot, 6).alias("s"))
     return pairs.groupBy("vec_id").agg(F.max_by("c", F.struct("s", -F.col("c"))).alias("predicted"))

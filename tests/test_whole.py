@@ -1,11 +1,17 @@
 """Queries that must not leave out a part of their input, against brute force on small tables."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import rules as R
 from corpusloom.operators import metrics as M
 from corpusloom.operators import sequences as S
 from corpusloom.plans import QUERIES
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_sections_of_a_text_without_headings(spark):
     plain, short, long = " " + "plain line\n" * 30, "too short", "x" * 5000
@@ -47,3 +53,28 @@ def test_whole_texts(spark, tmp_path):
     assert got("u05_ordered_distinct") == [(k, len(bags[k]), " ".join(dict.fromkeys(t.split()))) for k, t in texts.items()]
     assert got("x15_jsonl_salvage") == [(k, t) for k, t in texts.items()]
     assert got("x19_thinking_and_rating") == [(1, 4, "a" * 80 + " b  [[4.5]]", 4.5)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_waits_over_all_days_equal_a_replay(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "ts", "value").collect()
+    free, want = {}, {}
+    for e in sorted(events, key=lambda e: (e.ts, e.event_id)):
+        began = max(e.at, free.get(e.user_id, e.at))
+        want[e.event_id] = began - e.at
+        free[e.user_id] = began + round(e.value * 100) * 10_000 + 60_000_000
+    got = {r.event_id: r.waited for r in QUERIES["m09_fifo_wait"](spark, DATA).collect()}
+    assert got == want and len({e.ts.date() for e in events}) > 3
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_queries_read_all_rows_that_their_rule_is_about(spark):
+    """Rows that earlier forms left out: later days, later lines, later sources."""
+    t = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet")
+    assert QUERIES["x24_lift"](spark, DATA).count() == t("lineitem").count()
+    assert QUERIES["b29_baseline_rows"](spark, DATA).count() == t("events").select("user_id").distinct().count()
+    assert QUERIES["f21_repo_license_file"](spark, DATA).count() == t("documents").where("source IS NOT NULL").select("source").distinct().count()
+    named = {x for r in QUERIES["a21_distinct_joined"](spark, DATA).collect() for x in r.sources.split("+")}
+    assert named == {r.source for r in t("documents").select("source").distinct().collect() if r.source}
+    types = {r.type for r in QUERIES["x12_circuit_type"](spark, DATA).collect()}
+    assert len(types - {"mixed"}) >= 8 and set(R.CIRCUIT_TYPES) >= types - {"mixed"} and len(R.CIRCUIT_TYPES) == 11
