@@ -124,7 +124,10 @@ def _frequent(known: DataFrame) -> dict[str, int]:
         if n > HOT_TOKENS or held > HOT_BYTES:
             break
         least = group.n_rows
-    return {} if least is None else dict(known.where(F.col("n_rows") >= least).select("token", "pieces").toLocalIterator())
+    if least is None:
+        return {}
+    hot = known.where(F.col("n_rows") >= least).select("token", "pieces").toArrow()
+    return dict(zip(hot["token"].to_pylist(), hot["pieces"].to_pylist(), strict=True))
 
 
 def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

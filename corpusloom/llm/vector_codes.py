@@ -5,7 +5,8 @@ one round to the next, an upper bound on the distance of each of its parts to th
 and one lower bound for every entry of that codebook. When entries move, bounds are shifted by
 how far. An entry is left out only if a bound proves it strictly farther than the one at hand;
 all others are held against it by exact integers, so ties go to the lower index as in a plain
-search. Bounds are rounded to the safe side: upper ones up, lower ones down to 16-bit floats.
+search. Bounds are rounded to the safe side: upper ones up to 32-bit floats, lower ones down to one of
+256 steps up to the largest of their part.
 """
 
 from __future__ import annotations
@@ -22,14 +23,23 @@ from pyspark.sql import functions as F
 from .common import drop_dir, left_join_hot, staged, staged_at
 from .vectors import SLACK, SLOT_SCHEMA, SlotSums, as_integers, blocks, is_vector, matrix, next_entries, packed, rounded_down, rounded_up, squares, unpacked
 
-#: The largest 16-bit float; a lower bound above it is this, which rules out less but nothing wrongly.
-HALF_MOST = 65504.0
+#: Steps of a lower bound.
+STEPS = 255
 
 
-def _half_down(x: np.ndarray) -> np.ndarray:
-    """16-bit floats that are not above ``x`` >= 0."""
-    half = np.minimum(x, HALF_MOST).astype(np.float16)
-    return np.where(half.astype(np.float64) > x, np.nextafter(half, np.float16(-1)), half)
+def steps_down(lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and, for each row, the size of a step (a 32-bit float), whose products are not above ``lower`` >= 0."""
+    step = (lower.max(1, initial=0) / STEPS).astype(np.float32)
+    wide = np.where(step > 0, step, 1).astype(np.float64)[:, None]
+    count = np.minimum(np.floor(lower / wide), STEPS)
+    count -= count * wide > lower
+    return count.astype(np.uint8), step
+
+
+def single_up(x: np.ndarray) -> np.ndarray:
+    """32-bit floats that are not below ``x``."""
+    near = x.astype(np.float32)
+    return np.where(near < x, np.nextafter(near, np.float32(np.inf)), near)
 
 
 @dataclass
@@ -50,7 +60,7 @@ def assign_all(x: np.ndarray, entries: np.ndarray) -> Part:
         away = x[:, d, None] - entries[None, :, d]
         far += away * away
     entry = far.argmin(1)
-    return Part(entry, rounded_up(far[np.arange(len(x)), entry]), _half_down(rounded_down(far)), far.size)
+    return Part(entry, rounded_up(far[np.arange(len(x)), entry]), rounded_down(far), far.size)
 
 
 def assign_again(x: np.ndarray, entries: np.ndarray, before: np.ndarray, part: Part) -> Part:
@@ -58,7 +68,7 @@ def assign_again(x: np.ndarray, entries: np.ndarray, before: np.ndarray, part: P
     moved = rounded_up(squares(entries, before))
     entry, n = part.entry.astype(np.int64), np.arange(len(x))
     upper = (part.upper + moved[entry]) * (1 + SLACK)
-    lower = np.maximum(part.lower.astype(np.float64) - moved, 0) * (1 - SLACK)
+    lower = np.maximum(part.lower - moved, 0) * (1 - SLACK)
     between = rounded_down(squares(entries[:, None], entries[None])) / 2
     # Strictly: what may be as near stays.
     may = (lower <= upper[:, None]) & (between[entry] <= upper[:, None])
@@ -81,7 +91,7 @@ def assign_again(x: np.ndarray, entries: np.ndarray, before: np.ndarray, part: P
     np.minimum.at(won, row[ties], other[ties])
     entry[open_rows] = won[open_rows]
     upper[open_rows] = rounded_up(best[open_rows])
-    return Part(entry, upper, _half_down(lower), len(open_rows) + len(row))
+    return Part(entry, upper, lower, len(open_rows) + len(row))
 
 
 def _state(books: np.ndarray, before: np.ndarray | None, last: bool = False):
@@ -92,22 +102,24 @@ def _state(books: np.ndarray, before: np.ndarray | None, last: bool = False):
         for block in blocks(batches):
             x = matrix(block["ints"], parts * width).reshape(-1, parts, width)
             if before is not None:
-                entry, upper = unpacked(block["code"], "u1", parts), unpacked(block["upper"], "f8", parts)
-                lower = unpacked(block["lower"], "f2", parts, size)
+                entry, upper = unpacked(block["code"], "u1", parts), unpacked(block["upper"], "f4", parts).astype(np.float64)
+                lower, step = unpacked(block["lower"], "u1", parts, size), unpacked(block["step"], "f4", parts)
             found = []
             for p in range(parts):
                 if before is None:
                     found.append(assign_all(x[:, p], books[p]))
                 else:
-                    found.append(assign_again(x[:, p], books[p], before[p], Part(entry[:, p], upper[:, p], lower[:, p], 0)))
+                    found.append(assign_again(x[:, p], books[p], before[p], Part(entry[:, p], upper[:, p], lower[:, p] * step[:, p, None].astype(np.float64), 0)))
             code = np.stack([f.entry for f in found], 1)
             out = {"vec_id": block["vec_id"], "label": block["label"], "code": packed(code.astype(np.uint8))}
             if last:
                 out["error"] = pa.array(squares(x, books[np.arange(parts), code]).sum(1))
             else:
                 out["ints"] = block["ints"]
-                out["upper"] = packed(np.stack([f.upper for f in found], 1))
-                out["lower"] = packed(np.stack([f.lower for f in found], 1))
+                out["upper"] = packed(single_up(np.stack([f.upper for f in found], 1)))
+                steps = [steps_down(f.lower) for f in found]
+                out["lower"] = packed(np.stack([count for count, _ in steps], 1))
+                out["step"] = packed(np.stack([step for _, step in steps], 1))
             yield from pa.table(out).to_batches()
 
     return run
@@ -168,7 +180,7 @@ def compress(vectors: DataFrame, parts: int = 16, size: int = 64, rounds: int =
         return Compressed(spark.createDataFrame([], f"{named}, error long"), books)
     now, before, old = kept, None, None
     for _ in range(rounds):
-        now, at = staged_at(now.mapInArrow(_state(books, before), f"{named}, ints array<int>, upper binary, lower binary"), "codes")
+        now, at = staged_at(now.mapInArrow(_state(books, before), f"{named}, ints array<int>, upper binary, lower binary, step binary"), "codes")
         if old:
             drop_dir(old)
         partial = now.select("ints", "code").mapInArrow(_sums(parts, books.shape[1], width), SLOT_SCHEMA)
