@@ -36,3 +36,15 @@ def test_own_columns_stay(spark):
     for inline in (0, 100):
         got = urls.filter_urls(df, [urls.prefix_rule("block", "com", "/en/")], inline=inline).first().asDict()
         assert got == {"url": "http://a.com/en/1", "_best": 1, "_key": 2, "row": 3, "host": "a.com", "path": "/en/1", "rule": "com/en/", "verdict": "block"}
+
+
+# As the contract lists them, written out apart from the code's own list.
+CONTRACT = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+
+
+def test_rules_are_those_of_the_contract(spark):
+    assert ", ".join(f"{action} {host}{path}" for action, host, path in URL_RULES) == CONTRACT
+    urls_ = ["http://x.net/de/8", "http://a.example.net/de/7", "http://a.example.net/de/81", "http://casino.net/de/1", "http://casino.net/fr/1"]
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id int, url string")
+    got = urls.filter_urls(pages, [urls.prefix_rule(*r) for r in URL_RULES] + urls.spam_rules()).orderBy("page_id").collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == [("net/de/", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), (None, "block")]
