@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch
+from ..sources.scratch import kept, scratch
 from ..streaming import logs as L
 from ..streaming import streams as S
 from .registry import query, table
@@ -22,7 +22,7 @@ def _events(spark, sf):
 
 
 def _folded(spark, sf, name, start, state, step, out):
-    return S.replay(_events(spark, sf), scratch(spark, name), _PARTS, lambda s: S.keyed_fold(s, "user_id", _ORDER, start, state, step, out))
+    return S.replay(_events(spark, sf), scratch(spark, name), _PARTS, lambda s: S.keyed_fold(s.drop("ts"), "user_id", _ORDER, start, state, step, out))
 
 
 @query(f"SELECT user_id::varchar AS stream_id, len([x FOR x IN string_split(s, chr(10) || chr(10)) IF x <> '']) AS frames FROM ({_FRAMES})")
@@ -45,6 +45,7 @@ def _in_order():
 def m04_marker_stream(spark, sf):
     """The words up to each marker, as one row when the marker comes."""
     rows = _events(spark, sf).select(F.col("user_id").cast("string").alias("stream_id"), F.row_number().over(_in_order()).cast("long").alias("seq"), F.when(F.col("event_type") == "error", "marker").otherwise("word").alias("kind"), F.col("event_type").alias("text"), "ts", "event_id")
+    rows = kept(rows)  # numbered once, not for each batch
     numbered = S.replay(rows, scratch(spark, "markers"), _PARTS, lambda s: S.marker_windows(s.select("stream_id", "seq", "kind", "text")))
     found = S.window_texts(numbered)
     named = rows.where("kind = 'marker'").select("stream_id", F.col("seq").alias("marker"), "event_id")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +42,10 @@ def marker_windows(words: DataFrame) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (window,) = state.get if state.exists else (0,)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        ends = rows["kind"].eq("marker")
-        own = window + ends.cumsum() - ends
+        seq, kind, text = _in_order(batches, ["seq", "kind", "text"], ["seq"])
+        ends = np.array([k == "marker" for k in kind], np.int64)
         state.update((int(window + ends.sum()),))
-        yield pd.DataFrame({"stream_id": key[0], "window": own, "seq": rows["seq"], "kind": rows["kind"], "text": rows["text"]})
+        yield pd.DataFrame({"stream_id": [key[0]] * len(seq), "window": window + ends.cumsum() - ends, "seq": seq, "kind": kind, "text": text})
 
     return words.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, window long, seq long, kind string, text string", "window long", "append", GroupStateTimeout.NoTimeout)
 
@@ -67,6 +68,18 @@ def first_seen(events: DataFrame, key: str, late: str = "10 minutes") -> DataFra
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def _in_order(batches: Iterator[pd.DataFrame], names: list[str], order: list[str]) -> list[list]:
+    """The columns of a key's rows as lists, in order. A key's rows are few: a data frame's own steps cost more than they do."""
+    parts = list(batches)
+    arrays = [np.concatenate([p[c].to_numpy() for p in parts]) for c in names]
+    keys = [arrays[names.index(c)] for c in order]
+    if any(k.dtype.kind == "O" for k in keys):
+        place = np.array(sorted(range(len(keys[0])), key=lambda i: tuple(k[i] for k in keys)), int)
+    else:
+        place = np.lexsort(keys[::-1])
+    return [list(pd.Series(a[place])) if a.dtype.kind in "mM" else a[place].tolist() for a in arrays]
+
+
 def keyed_fold(rows: DataFrame, key: str, order: list[str], start: tuple, state: str, step: Callable, out: str) -> DataFrame:
     """Fold each key's rows, in order, into its state; what a step returns is emitted.
 
@@ -74,13 +87,17 @@ def keyed_fold(rows: DataFrame, key: str, order: list[str], start: tuple, state:
     micro-batch's rows are put in order; between micro-batches the source keeps it.
     """
 
+    names, row = rows.columns, namedtuple("Row", rows.columns, rename=True)
+    columns = [c.split()[0] for c in out.split(", ")]
+
     def run(key_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         now, told = tuple(held.get) if held.exists else start, []
-        for row in pd.concat(list(batches)).sort_values(order).itertuples(index=False):
-            now, more = step(now, row)
-            told += [(key_[0], *m) for m in more]
+        for values in zip(*_in_order(batches, names, order), strict=True):
+            now, more = step(now, row(*values))
+            told += more
         held.update(now)
-        yield pd.DataFrame(told, columns=[key, *(c.split()[0] for c in out.split(", "))])
+        if told:
+            yield pd.DataFrame({key: [key_[0]] * len(told), **dict(zip(columns, zip(*told, strict=True), strict=True))})
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {out}", state, "append", GroupStateTimeout.NoTimeout)
