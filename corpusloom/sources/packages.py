@@ -6,12 +6,13 @@ import io
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .writers import row_files
+from .writers import few_rows, row_files
 
 # Names of the format.
 _DOC = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -44,7 +45,7 @@ def packages(df: DataFrame, out: str, name: Column, kind: str, parts: Column) ->
     whole = F.map_concat(F.create_map(F.lit("_rels/.rels"), relationships([("officeDocument", MAIN[kind])])), F.transform_values(parts, lambda k, v: F.when(v.startswith("<?xml"), v).otherwise(F.concat(F.lit(_HEAD), v))))
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             bodies = []
             for entries in b["parts"].to_pylist():
                 raw = io.BytesIO()
@@ -94,7 +95,7 @@ def _pdf(pages: list[list[str]], packed: bool, broken: bool) -> bytes:
     last = max(objects) + 1
     if packed:
         bodies = [objects[n][0] for n in plain]
-        starts = [sum(len(b) + 1 for b in bodies[:k]) for k in range(len(bodies))]
+        starts = [0, *accumulate(len(b) + 1 for b in bodies[:-1])]
         index = " ".join(f"{n} {s}" for n, s in zip(plain, starts, strict=True)).encode() + b" "
         put(last, b"<< /Type /ObjStm /N %d /First %d >>" % (len(plain), len(index)), index + b" ".join(bodies))
         inside = {n: k for k, n in enumerate(plain)}
@@ -113,7 +114,7 @@ def pdf_files(df: DataFrame, out: str, name: Column, pages: Column, packed: Colu
     """Write each row as a PDF ``out``/``name`` of ``pages`` (arrays of lines); how many."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             bodies = [_pdf(*x) for x in zip(*(b[c].to_pylist() for c in ("pages", "packed", "broken")), strict=True)]
             yield pa.RecordBatch.from_arrays([b["name"], pa.array(bodies, pa.binary())], ["name", "body"])
 

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from .scratch import file_system
 
+#: Rows whose bodies are in Python at a time.
+FEW_ROWS = 64
+#: Rows of one Arrow batch while files are written.
+BATCH_ROWS = 256
+
 
 def json_by_split(df: DataFrame, path: str, by: tuple[str, ...] = ("domain", "split")) -> None:
     """A folder for each domain and split, overwritten."""
@@ -62,6 +67,12 @@ def sse_finish(reason: Column, tokens: Column) -> Column:
     return F.concat(F.lit("data: "), body, F.lit("\n\ndata: [DONE]\n\n"))
 
 
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, FEW_ROWS at a time, so that a step's Python values are bounded by these."""
+    for b in batches:
+        yield from (b.slice(k, FEW_ROWS) for k in range(0, b.num_rows, FEW_ROWS))
+
+
 def row_files(df: DataFrame, out: str, name: Column, body: Column) -> int:
     """Write each row as a file ``out``/``name``; how many were written.
 
@@ -70,15 +81,26 @@ def row_files(df: DataFrame, out: str, name: Column, body: Column) -> int:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = file_system(out)
-        for b in batches:
+        there: set[str] = set()
+        for b in few_rows(batches):
             for path, raw in zip(b.column("name").to_pylist(), b.column("body").to_pylist(), strict=True):
-                store.create_dir(f"{at}/{path}".rpartition("/")[0], recursive=True)
+                folder = f"{at}/{path}".rpartition("/")[0]
+                if folder not in there:
+                    store.create_dir(folder, recursive=True)
+                    there.add(folder)
                 with store.open_output_stream(f"{at}/{path}", compression=None) as f:
                     f.write(raw)
             yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
 
     rows = df.select(name.alias("name"), body.cast("binary").alias("body"))
-    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    try:
+        # The work is done here, so the smaller batches are for it alone.
+        conf.set(key, BATCH_ROWS)
+        return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    finally:
+        conf.set(key, before)
 
 
 def content_addressed(df: DataFrame, text: str, known: DataFrame | None = None) -> DataFrame:

@@ -5,11 +5,14 @@ import random
 import zipfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusloom.sources import office, packages, pdf
+from pyspark.sql import functions as F
+
+from corpusloom.sources import office, packages, pdf, writers
 
 
 def package(kind, parts):
@@ -157,3 +160,41 @@ def test_rows_of_pages(spark):
     assert got == sorted([("a.pdf", "ok", k, "\n".join(p)) for k, p in enumerate(PAGES, 1)] + [("none.pdf", "damaged", None, None), ("text.pdf", "damaged", None, None), ("locked.pdf", "encrypted", None, None), ("nopages.pdf", "ok", None, None)], key=str)
     by = {r.path: (r.method, r.page_count, r.sparse_pages) for r in pdf.by_file(pdf.pages(df)).collect()}
     assert by == {"a.pdf": ("text_sparse", 3, [1, 2]), "none.pdf": ("error", 0, []), "text.pdf": ("error", 0, []), "locked.pdf": ("error", 0, []), "nopages.pdf": ("empty", 0, [])}
+
+
+def test_a_font_of_many_pages_is_read_once(monkeypatch):
+    made = []
+
+    class Counted(pdf.Font):
+        def __init__(self, *a):
+            made.append(1)
+            super().__init__(*a)
+
+    monkeypatch.setattr(pdf, "Font", Counted)
+    for packed, broken in ((False, False), (True, False), (False, True)):
+        made.clear()
+        f = pdf.Pdf(packages._pdf([["eins äß", "zwei"], ["drei"], [f"x{k}" for k in range(300)]], packed, broken))
+        assert [f.text(*p) for p in f.pages()] == ["eins äß\nzwei", "drei", "\n".join(f"x{k}" for k in range(300))]
+        assert len(made) == 1
+
+
+def test_codes_of_every_size_and_a_last_half_one():
+    font = pdf.Font.__new__(pdf.Font)
+    for size in (1, 2, 3):
+        font.size, font.codes = size, {int.from_bytes(b"\1" * size, "big"): "a", 2: "b"}
+        assert font.read(b"\1" * 6 + b"\2") == "a" * (6 // size) + "b" and font.read(b"") == ""
+    assert pdf.Font._map(font, b"beginbfchar <00 01> <00410042> <02>\n<0043> endbfchar") is None
+    assert font.codes[1] == "AB" and font.codes[2] == "C"
+
+
+def test_files_are_made_from_a_few_rows_at_a_time(spark, tmp_path):
+    b = pa.RecordBatch.from_pydict({"x": list(range(1000))})
+    parts = list(writers.few_rows(iter([b, b.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) == writers.FEW_ROWS and [x for p in parts for x in p["x"].to_pylist()] == list(range(1000))
+    # What the writing task is given, as a step before it sees it.
+    seen = spark.range(2000, numPartitions=1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows] * b.num_rows}) for b in bs), "n long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    name = F.concat(F.monotonically_increasing_id().cast("string"), F.lit(".txt"))
+    assert writers.row_files(seen, f"file://{tmp_path}", name, F.col("n").cast("string").cast("binary")) == 2000
+    assert max(int(p.read_text()) for p in tmp_path.glob("*.txt")) <= writers.BATCH_ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
