@@ -19,7 +19,22 @@ from pyspark.sql import functions as F
 #: Partial gradients are added up by so many tasks, whose sums the driver gets.
 SUMMING_TASKS = 8
 
-_erf = np.vectorize(erf, otypes=[float])
+#: The error function is tabled at steps of 1 / TABLE_STEPS up to ERF_END, beyond which it is 1.
+TABLE_STEPS, ERF_END = 128, 6
+_ERF_AT = np.arange(ERF_END * TABLE_STEPS + 1) / TABLE_STEPS
+_ERF = np.array([erf(x) for x in _ERF_AT])
+_ERF_SLOPE = 2 / np.sqrt(np.pi) * np.exp(-_ERF_AT * _ERF_AT)
+
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    """The error function, within 1e-15: Taylor's series of six terms around the nearest tabled place."""
+    size = np.fmin(np.abs(x), ERF_END)
+    k = np.rint(size * TABLE_STEPS).astype(np.int64)
+    a = _ERF_AT[k]
+    h, b = size - a, a * a
+    # The derivatives over that of the first order, by factorials: Hermite's polynomials.
+    terms = 1 + h * (-a + h * ((2 * b - 1) / 3 + h * (a * (3 - 2 * b) / 6 + h * ((4 * b * b - 12 * b + 3) / 30 + h * (-a * (4 * b * b - 20 * b + 15) / 90)))))
+    return np.copysign(_ERF[k] + _ERF_SLOPE[k] * h * terms, x)
 
 
 def gelu(z: np.ndarray) -> np.ndarray:
@@ -61,7 +76,8 @@ class Network:
     def gradient(self, x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float, np.ndarray]:
         """Sums over rows: of weights, of weighted cross-entropy and of its gradient."""
         z = x @ self.first.T + self.first_bias
-        h = gelu(z)
+        half = 0.5 * (1 + _erf(z / np.sqrt(2)))
+        h = z * half
         out = h @ self.second.T + self.second_bias
         out -= out.max(1, keepdims=True)
         log = out - np.log(np.exp(out).sum(1, keepdims=True))
@@ -69,7 +85,7 @@ class Network:
         back = np.exp(log)
         back[n, label] -= 1
         back *= weight[:, None]
-        inner = (back @ self.second) * gelu_slope(z)
+        inner = (back @ self.second) * (half + z * np.exp(-0.5 * z * z) / np.sqrt(2 * np.pi))
         own = [inner.T @ x, inner.sum(0), back.T @ h, back.sum(0)]
         return float(weight.sum()), float(-(weight * log[n, label]).sum()), np.concatenate([g.ravel() for g in own])
 
@@ -102,8 +118,10 @@ class Trained:
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    rows = batch[name].to_pylist()
-    return np.array(rows, dtype=np.float64).reshape(len(rows), -1)
+    values = batch[name].flatten()
+    if values.null_count:
+        raise ValueError(f"a vector of {name} has a null component")
+    return values.to_numpy().astype(np.float64, copy=False).reshape(batch.num_rows, -1)
 
 
 def _partial(network: Network) -> Callable:

@@ -1,8 +1,10 @@
 """Networks and word vectors against plain numpy."""
 
+import math
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +173,17 @@ def test_neighbours_share_the_language_more_often(spark):
     a, b = share(learned), share(hashed)
     print("learned", a, "hashed", b)
     assert a >= b
+
+
+def test_a_step_takes_the_error_function_once_and_whole_columns(monkeypatch):
+    x = np.concatenate([np.linspace(-7, 7, 20_001), [0.0, -0.0, 6.0, -6.0, 1e-300, np.inf, -np.inf]])
+    assert np.abs(N._erf(x) - [math.erf(v) for v in x]).max() < 1e-15
+    calls, own = [], N._erf
+    monkeypatch.setattr(N, "_erf", lambda z: calls.append(1) or own(z))
+    r = np.random.default_rng(3)
+    N.Network.seeded(4, 5, 3, 1).gradient(r.normal(size=(7, 4)), r.integers(0, 3, 7), np.ones(7))
+    assert len(calls) == 1
+    b = pa.RecordBatch.from_pydict({"x": [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]})
+    assert N._matrix(b.slice(1, 2), "x").tolist() == [[3, 4], [5, 6]]
+    with pytest.raises(ValueError):
+        N._matrix(pa.RecordBatch.from_pydict({"x": [[1.0, None]]}), "x")
