@@ -8,13 +8,15 @@ all common ones are frequent, no rare token can be common at all, and then, in t
 between them: two of them follow each other, among the frequent tokens, on both sides. So of
 the frequent tokens, combinations of two neighbours in the extended prefix are indexed, and
 only for sets whose base prefix reaches the frequent tokens. The index is linear in the
-text, and a passage that thousands of documents share does not make pairs of them. In a corpus so
-large that a token outside the broadcast table may still be in many sets, all tokens count as
+text, and a passage that thousands of documents share does not make pairs of them. In a corpus with so
+many frequent tokens that one outside the broadcast table may still be in many sets, all tokens count as
 frequent: then combinations alone are indexed, by the same argument, and no bucket is that of one token.
 
 Candidates are verified on their whole texts. Buckets are not expanded into all pairs: each
 bucket's members are first held against one of them, linked ones fall into components, and
-only members of different components of a bucket are then compared with each other.
+only members of different components of a bucket are then compared with each other, in arrays. The
+copies of one template have hundreds of large buckets in common: such buckets are taken together, and
+their members meet once.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from .common import arrow_batches, drop_dir, left_join_hot, staged, staged_at
 
 #: Words of a shingle and the least similarity, in percent (50 or more).
 SHINGLE, PERCENT = 5, 80
-#: A token is frequent from this many sets on, or from so many that at most FREQUENT_MOST
-#: tokens can be: their table is broadcast.
+#: A token is frequent from this many sets on, or from the fewest that at most FREQUENT_MOST
+#: tokens are in: their table is broadcast.
 FREQUENT_FROM, FREQUENT_MOST = 64, 1 << 21
 #: Single tokens are indexed while a rare one is in fewer sets than this.
 SINGLE_MOST = 512
@@ -42,6 +44,12 @@ COUNT_TOKENS, RANGE_TOKENS = 1 << 22, 1 << 21
 
 #: Most rows (two numbers each) of a list that is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Most rows of a bucket, about, that one task holds against each other, or against as many.
+BLOCK_ROWS = 4096
+#: Buckets of so many rows are large: those that are linked by members are compared as one.
+LARGE_ROWS = 256
+#: Rows that are compared in one go, and pairs whose signatures are.
+MEET_ROWS, MEET_PAIRS = 1 << 13, 1 << 13
 #: Bits of a set's signature, and of the wider one that pairs must pass before their texts are moved.
 SIGNATURE, WIDE = 2048, 8192
 
@@ -175,19 +183,26 @@ def _from_planes(raw: bytes, ascending: bool = True) -> np.ndarray:
     return np.cumsum(x, dtype=np.uint64).astype(np.uint32) if ascending else x
 
 
-def rare_below(total: int) -> int:
-    """In how many sets a token that counts as rare can be, one more: from the occurrences of all."""
-    return max(FREQUENT_FROM, -(-total // FREQUENT_MOST))
+def rare_below(sizes: dict[int, int]) -> int:
+    """In how many sets a token that counts as rare can be, one more: from how many tokens are in n sets, by n.
+
+    It is as low as FREQUENT_MOST allows, however large the corpus is.
+    """
+    many = 0
+    for n in sorted(sizes, reverse=True):
+        many += sizes[n]
+        if many > FREQUENT_MOST:
+            return max(FREQUENT_FROM, n + 1)
+    return FREQUENT_FROM
 
 
-def frequent_tokens(counted: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names (ascending) and counts of the frequent tokens, over all documents.
+def frequent_tokens(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Names (ascending) and counts of the frequent tokens, over all documents, and from how many sets on they are.
 
-    Counts of tasks are added by ranges of the names, 1024 of them. At most
-    FREQUENT_MOST rows come to the driver: a frequent token has total / FREQUENT_MOST
-    occurrences or more.
+    Counts of tasks are added by ranges of the names, 1024 of them. How many tokens have each
+    count comes to the driver first, then at most FREQUENT_MOST rows.
     """
-    least = rare_below(total)
+    from_on = FREQUENT_FROM
 
     def add(table: pa.Table) -> pa.Table:
         names = np.concatenate([_from_planes(x) for x in table.column("tokens").to_pylist()])
@@ -196,11 +211,14 @@ def frequent_tokens(counted: DataFrame, total: int) -> tuple[np.ndarray, np.ndar
         names, counts = names[order], counts[order]
         found, at = np.unique(names, return_index=True)
         sums = np.add.reduceat(counts.astype(np.int64), at)
-        often = sums >= least
+        often = sums >= from_on
         return pa.table({"name": pa.array(found[often].astype(np.int64)), "n": pa.array(sums[often])})
 
-    got = counted.where("range IS NOT NULL").select("range", "tokens", "counts").groupBy("range").applyInArrow(add, "name long, n long").toPandas().sort_values("name")
-    return got["name"].to_numpy(np.int64).astype(np.uint32), got["n"].to_numpy(np.int64)
+    summed, at = staged_at(counted.where("range IS NOT NULL").select("range", "tokens", "counts").groupBy("range").applyInArrow(add, "name long, n long"), "frequent")
+    least = rare_below({r["n"]: r["count"] for r in summed.groupBy("n").count().collect()})
+    got = summed.where(F.col("n") >= least).toPandas().sort_values("name")
+    drop_dir(at)
+    return got["name"].to_numpy(np.int64).astype(np.uint32), got["n"].to_numpy(np.int64), least
 
 
 def _indexed(docs: DataFrame, frequent, size: int, percent: int, single_tokens: bool) -> DataFrame:
@@ -280,23 +298,136 @@ def _near(pairs: DataFrame, sets: DataFrame, fits) -> DataFrame:
     return both.where(fits).select("a", "b")
 
 
-def _across(buckets: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The distinct (a, b) in different components of a bucket that are not ruled out.
+def _pairs_of(groups: np.ndarray) -> Iterator[tuple]:
+    """All (i, j), i < j, of rows of one group, in pieces: two arrays, or a row and a slice. Equal ``groups`` stand together."""
+    starts = np.flatnonzero(np.diff(groups, prepend=groups[:1] - 1))
+    ends = np.append(starts[1:], len(groups))
+    end = np.repeat(ends, ends - starts)
+    rows = np.arange(len(groups))
+    # Of small groups, all rows and those a step further; of large ones, a row and all after it.
+    large = end - np.repeat(starts, ends - starts) > 64
+    left = rows[~large]
+    for step in range(1, 64):
+        left = left[left + step < end[left]]
+        if not len(left):
+            break
+        yield left, left + step
+    for i in rows[large]:
+        yield i, slice(i + 1, end[i])
+
+
+def _met(percent: int, group: np.ndarray, own: np.ndarray, before: np.ndarray, has_before: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The distinct (a, b), by row, of one group, in different components, that are not ruled out.
+
+    ``own``: the row's block if its group is of two blocks, of which rows of unlike ones meet; else -1.
+    """
+    held, found, n_held = [], [np.zeros((0, 2), np.int64)], 0
+
+    def compared() -> None:
+        nonlocal held, n_held
+        i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+        held, n_held = [], 0
+        for at in range(0, len(i), MEET_PAIRS):
+            x, y = i[at : at + MEET_PAIRS], j[at : at + MEET_PAIRS]
+            # As unsigned numbers: of a signed one numpy counts the bits of its magnitude.
+            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            ok = (100 + percent) * differ <= (100 - percent) * (n[x] + n[y])
+            x, y = x[ok], y[ok]
+            turned = component[x] > component[y]
+            found.append(np.stack([np.where(turned, ids[y], ids[x]), np.where(turned, ids[x], ids[y])], axis=1))
+
+    for i, j in _pairs_of(group):
+        ok = (component[i] != component[j]) & ((before[i] != before[j]) | ~has_before[i] | ~has_before[j])
+        ok &= (own[i] != own[j]) | (own[i] < 0)
+        ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        held.append((np.full(np.count_nonzero(ok), i), np.flatnonzero(ok) + j.start) if isinstance(j, slice) else (i[ok], j[ok]))
+        n_held += len(held[-1][0])
+        if n_held >= MEET_PAIRS or len(held) >= MEET_ROWS:
+            compared()
+    if held:
+        compared()
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _meeting(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """:func:`_met` over rows in the order of (key, low, high): whole groups, many at a time."""
+
+    def met(t: pa.Table) -> pa.RecordBatch:
+        key, low, high, own, before, ids, component, n = (t.column(c).combine_chunks() for c in ("key", "low", "high", "own", "before", "id", "component", "n"))
+        of = lambda x: x.fill_null(0).to_numpy(zero_copy_only=False)
+        bits = t.column("bits").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(t.num_rows, -1)
+        new = [np.diff(of(x), prepend=of(x)[:1]) != 0 for x in (key, low, high)]
+        two = of(low) != of(high)
+        pairs = _met(percent, np.cumsum(new[0] | new[1] | new[2]), np.where(two, of(own), -1), of(before), before.is_valid().to_numpy(zero_copy_only=False), of(ids), of(component), of(n), bits)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    held, n_held = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n_held += b.num_rows
+        if n_held < MEET_ROWS:
+            continue
+        first, last = ([x.column(c)[k].as_py() for c in ("key", "low", "high")] for x, k in ((held[0], 0), (b, b.num_rows - 1)))
+        if first == last:
+            continue
+        t = pa.Table.from_batches(held)
+        same = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(("key", "low", "high"), last, strict=True)])
+        cut = int(np.argmax(same))
+        yield met(t.slice(0, cut))
+        held, n_held = t.slice(cut).to_batches(), t.num_rows - cut
+    if held:
+        yield met(pa.Table.from_batches(held))
+
+
+def _meet(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The distinct (a, b) of ``rows`` (key, before, id, component, rows: how many the key has) that :func:`_met` leaves.
+
+    The rows of a key are dealt out in blocks, each two of them to a task.
+    """
+    blocks = rows.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")).join(sets, "id")
+    each = blocks.withColumn("own", F.expr("CAST(pmod(xxhash64(id), blocks) AS int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    each = each.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "before", "id", "component", "n", "bits")
+    dealt = each.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.mapInArrow(lambda batches: _meeting(batches, percent), "a long, b long").distinct()
+
+
+def _families(apart: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Large buckets that are compared as one: (key, family) and (id, family, rows: how many ids the family has).
+
+    Buckets with a member in common are of one family; it is compared as a whole where that makes no more
+    pairs than its buckets, one by one. None where no bucket is large.
+    """
+    large = apart.where(F.col("rows") >= LARGE_ROWS)
+    if large.isEmpty():
+        return None
+    family = components(large.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "family")
+    keys = large.select("key", "rows", F.col("leader").alias("id")).distinct().join(family, "id").select("key", "rows", "family")
+    spent = keys.groupBy("family").agg(F.sum(F.col("rows").cast("double") * F.col("rows")).alias("spent"))
+    whole = staged(family.groupBy("family").agg(F.count("*").alias("rows")).join(spent, "family").where("CAST(rows AS double) * rows <= spent").select("family", "rows"), "families")
+    return keys.join(whole.select("family"), "family").select("key", "family"), family.join(whole, "family").select("id", "family", "rows")
+
+
+def _across(buckets: DataFrame, label: DataFrame, sets: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """The distinct (a, b) in different components of a bucket that sizes and both signatures don't rule out.
 
     Two sets that have the key before this one in common meet in that key's bucket, so of
     a run of common keys only the first makes a pair, and a bucket whose members all have
-    the same key before them makes none. Sizes and signatures are part of the join's
-    condition: what they rule out never becomes a row.
+    the same key before them makes none. What is ruled out never becomes a row.
     """
     labelled = buckets.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     alike = (F.count("before") == F.count("*")) & (F.min("before") == F.max("before"))
-    kept = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), alike.alias("alike"))
-    kept = kept.where("low < high AND NOT alike").select("key")
-    apart = staged(labelled.join(kept, "key").select("key", "before", "id", "component"), "apart").join(sets, "id")
-    x, y = _side(apart, "a"), _side(apart, "b").withColumnRenamed("key", "key_b")
-    first = F.expr("before_a IS NULL OR before_b IS NULL OR before_a <> before_b")
-    meet = (F.col("key") == F.col("key_b")) & F.expr("component_a < component_b") & first & _fits(percent)
-    return x.join(y, meet).select("a", "b").distinct()
+    kept = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), alike.alias("alike"), F.count("*").alias("rows"))
+    kept = kept.where("low < high AND NOT alike").select("key", "rows")
+    apart = staged(labelled.join(kept, "key").select("key", "before", "id", "leader", "component", "rows"), "apart")
+    families = _families(apart)
+    one_by_one = apart if families is None else apart.join(families[0], "key", "left_anti")
+    near = _near(staged(_meet(one_by_one, sets, percent), "pairs"), wide, _fits_wide(percent))
+    if families is None:
+        return near
+    members = families[1].join(label, "id", "left").select(F.col("family").alias("key"), F.lit(None).cast("long").alias("before"), "id", F.coalesce("component", "id").alias("component"), "rows")
+    return near.unionByName(_meet(members, wide, percent)).distinct()
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,13 +530,13 @@ def duplicate_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHING
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted, counted_at = staged_at(_first_pass(docs, size), "tokens")
     rows = staged(counted.where("node IS NOT NULL").select("doc_id", "same", "node", "n"), "sets")
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("rows")).first()
-    frequent = frequent_tokens(counted, total["tokens"])
+    total = rows.agg(F.count("*").alias("rows")).first()
+    *frequent, least = frequent_tokens(counted)
     drop_dir(counted_at)
 
     filled = rows.where("n > 0 AND doc_id IS NOT NULL")
     nodes = _named(filled)
-    index = _indexed(docs, frequent, size, percent, rare_below(total["tokens"]) <= SINGLE_MOST).groupBy("node").agg(F.first(F.struct("n", "bits", "wide", "singles", "combined")).alias("s"))
+    index = _indexed(docs, frequent, size, percent, least <= SINGLE_MOST).groupBy("node").agg(F.first(F.struct("n", "bits", "wide", "singles", "combined")).alias("s"))
     index, index_at = staged_at(index.join(nodes.select("node", "id"), "node").select("id", "s.n", "s.bits", "s.wide", "s.singles", "s.combined"), "index")
     buckets, buckets_at = staged_at(_buckets(index), "buckets")
     sets, wide = index.select("id", "n", "bits"), index.select("id", "n", F.col("wide").alias("bits"))
@@ -416,8 +547,7 @@ def duplicate_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHING
     label = components(links)
 
     # Then members of a bucket that are in different components, against each other.
-    apart = staged(_across(buckets, label, sets, percent), "pairs")
-    more = _verified(_near(apart, wide, _fits_wide(percent)), docs, nodes, size, percent)
+    more = _verified(_across(buckets, label, sets, wide, percent), docs, nodes, size, percent)
     drop_dir(buckets_at)
     drop_dir(index_at)
     if by_id:

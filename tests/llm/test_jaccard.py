@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,3 +91,71 @@ def test_components(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, 101)]
     got = {r["id"]: r["component"] for r in J.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 1 for k in range(1, 41)} | {100: 100, 101: 100}
+
+
+def test_rare_tokens_stay_single_in_a_large_corpus(spark, monkeypatch):
+    """The bound follows from how many tokens are frequent, not from how many there are."""
+    assert J.rare_below({1: 10**12, 63: 10**9, 64: 1 << 20, 10**6: 5}) == J.FREQUENT_FROM
+    assert J.rare_below({70: 1 << 21, 80: 5}) == 71
+    monkeypatch.setattr(J, "FREQUENT_FROM", 3)
+    monkeypatch.setattr(J, "FREQUENT_MOST", 2)
+    texts = ["a b c d e f " + " ".join(f"w{k}x{i}" for i in range(40)) for k in range(9)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    names, counts, least = J.frequent_tokens(J._first_pass(docs, 5))
+    assert (counts.tolist(), least) == ([9, 9], 3)
+    assert names.tolist() == np.sort(J.short(J.shingles("a b c d e f"))).tolist()
+
+
+def met(rows, percent):
+    """(a, b) of brute force; rows: key, low, high, own, before, id, component, n, tokens."""
+    out = set()
+    for x in rows:
+        for y in rows:
+            if x[:3] != y[:3] or x[6] >= y[6] or (x[1] != x[2] and x[3] == y[3]) or (x[4] is not None and x[4] == y[4]):
+                continue
+            differ = int(np.bitwise_count((J.signature(x[8]) ^ J.signature(y[8])).view(np.uint64)).sum())
+            if 100 * min(x[7], y[7]) >= percent * max(x[7], y[7]) and (100 + percent) * differ <= (100 - percent) * (x[7] + y[7]):
+                out.add((x[5], y[5]))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_members_meet(monkeypatch, seed):
+    """Groups of any size, also cut by batches, and of two blocks."""
+    monkeypatch.setattr(J, "MEET_ROWS", [1, 50, 1 << 13][seed % 3])
+    monkeypatch.setattr(J, "MEET_PAIRS", [7, 1 << 13][seed % 2])
+    r = random.Random(seed)
+    base = np.unique(np.random.default_rng(seed).integers(1, 2**63, 60).astype(np.uint64))
+    rows = []
+    for key, low, high, size in ((-5, 0, 0, 1), (-5, 0, 1, 90), (-5, 1, 1, 2), (3, 0, 0, 150), (4, 0, 0, 0), (9, 0, 0, 30), (9, 0, 2, 3)):
+        for _ in range(size):
+            drop = r.sample(range(len(base)), r.randint(0, 14))
+            tokens = np.delete(base, drop)
+            rows.append((key, low, high, r.choice([low, high]), r.choice([None, 1, 2, 3]), r.randrange(10**9), r.randrange(6), len(tokens), tokens))
+    kinds = pa.schema([(c, pa.int64()) for c in ("key", "low", "high", "own", "before", "id", "component", "n")] + [("bits", pa.list_(pa.int64()))])
+    table = pa.table([[x[k] for x in rows] for k in range(8)] + [[J.signature(x[8]).tolist() for x in rows]], schema=kinds)
+    got = [(a, b) for out in J._meeting(iter(table.to_batches(max_chunksize=17)), 80) for a, b in zip(*out.to_pydict().values(), strict=True)]
+    assert set(got) == met(rows, 80)
+
+
+@pytest.mark.parametrize("large, block", [(4, 5), (10**9, 5), (30, 4096)])
+def test_copies_of_templates(spark, monkeypatch, large, block):
+    """Near copies of two templates, many just not linked; families of buckets, and buckets in blocks."""
+    monkeypatch.setattr(J, "FREQUENT_FROM", 4)
+    monkeypatch.setattr(J, "LARGE_ROWS", large)
+    monkeypatch.setattr(J, "BLOCK_ROWS", block)
+    r = random.Random(5)
+    templates = [[f"{t}{i}" for i in range(120)] for t in "pq"]
+    rows = []
+    for k in range(140):
+        w = list(templates[k % 2])
+        for p in r.sample(range(120), r.choice([0, 1, 2, 3, 3, 4])):
+            w[p] = f"own{k}.{p}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, f"{k} apart from all the others {k} and {k} alone") for k in range(20)]
+    asked = []
+    real = J._families
+    monkeypatch.setattr(J, "_families", lambda apart: asked.append(real(apart)) or asked[-1])
+    got = sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+    assert (asked[0] is None) == (large == 10**9)
