@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources import office, packages, pdf, readers, writers
+from ..sources import listing, office, packages, pdf, readers, writers
 from ..sources.scratch import scratch
 from .corpus import SQL_GUESS, VALUES
 from .registry import query, table
@@ -38,7 +38,7 @@ def _files(spark, path):
 
 
 def _texts(spark, path):
-    return office.texts(office.blocks(_files(spark, path)))
+    return office.texts(office.blocks(listing.files(spark, path)))
 
 
 def _text_document():
@@ -128,7 +128,7 @@ def s21_damaged_packages(spark, sf):
     part = F.when(i % 6 == 1, "word/other.xml").otherwise("word/document.xml")
     packages.packages(p.where(i % 6 < 5), path, _name(i, "docx"), "docx", F.create_map(part, xml))
     writers.row_files(p.where(i % 6 == 5), path, _name(i, "docx"), F.concat(F.lit("PK"), "url"))
-    read = office.texts(office.blocks(_files(spark, path), most_unpacked=400_000))
+    read = office.texts(office.blocks(listing.files(spark, path), most_unpacked=400_000))
     return read.select(_number().alias("page_id"), "status", "text")
 
 
