@@ -149,7 +149,7 @@ def _pdf_files(spark, sf, where=""):
 @query(_PAGES_SQL + " SELECT doc_id, 'ok' AS status, page, text FROM t WHERE doc_id % 17 <> 16 UNION ALL SELECT doc_id, 'damaged', NULL, NULL FROM documents WHERE doc_id % 17 = 16")
 def s19_pdf_pages(spark, sf):
     """The text of every page of binary PDFs, in the order of the page tree; damaged files have a status."""
-    return pdf.pages(_files(spark, _pdf_files(spark, sf))).select(_number().alias("doc_id"), "status", "page", "text")
+    return pdf.pages(listing.files(spark, _pdf_files(spark, sf))).select(_number().alias("doc_id"), "status", "page", "text")
 
 
 _METHOD_SQL = f"""{_PAGES_SQL}, f AS (SELECT doc_id, source, count(*) AS page_count, string_agg(page, ',' ORDER BY page) FILTER (length(text) < 100) AS sparse, count_if(length(text) < 100) AS n_sparse, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM t WHERE doc_id % 17 <> 16 GROUP BY ALL),

@@ -48,3 +48,8 @@ def test_office_files_are_not_listed_on_the_driver(spark):
     """A scan's files are what the driver keeps: those of the listing, not one a document."""
     df = formats.s21_text_documents(spark, "/root/testdata/sf0.001")
     assert len(df.inputFiles()) < 50 and df.count() == 200
+
+
+@pytest.mark.parametrize("query", ["s19_pdf_pages"])
+def test_pdfs_are_not_listed_on_the_driver(spark, query):
+    assert len(getattr(formats, query)(spark, "/root/testdata/sf0.001").inputFiles()) < 50
