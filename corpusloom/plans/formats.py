@@ -159,7 +159,7 @@ _METHOD_SQL = f"""{_PAGES_SQL}, f AS (SELECT doc_id, source, count(*) AS page_co
 @query(_METHOD_SQL + " SELECT doc_id, page_count, sparse_pages, method FROM m")
 def s19_pdf_methods(spark, sf):
     """How each PDF was read: its pages, the sparse ones and the method."""
-    read = pdf.by_file(pdf.pages(_files(spark, _pdf_files(spark, sf))))
+    read = pdf.by_file(pdf.pages(listing.files(spark, _pdf_files(spark, sf))))
     return read.select(_number().alias("doc_id"), "page_count", F.array_join("sparse_pages", ",").alias("sparse_pages"), "method")
 
 

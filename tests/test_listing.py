@@ -50,6 +50,6 @@ def test_office_files_are_not_listed_on_the_driver(spark):
     assert len(df.inputFiles()) < 50 and df.count() == 200
 
 
-@pytest.mark.parametrize("query", ["s19_pdf_pages"])
+@pytest.mark.parametrize("query", ["s19_pdf_pages", "s19_pdf_methods"])
 def test_pdfs_are_not_listed_on_the_driver(spark, query):
     assert len(getattr(formats, query)(spark, "/root/testdata/sf0.001").inputFiles()) < 50
