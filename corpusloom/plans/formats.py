@@ -27,16 +27,6 @@ def _number():
     return F.regexp_extract("path", r"/f([0-9]+)[.][a-z]+$", 1).cast("long")
 
 
-#: What opening a file counts as, where the session has Spark's own 4 MB: that deals out 32 small files a task.
-OPEN_COST = 64 << 10
-
-
-def _files(spark, path):
-    if spark.conf.get("spark.sql.files.openCostInBytes") in ("4194304", "4194304b", "4MB"):
-        spark.conf.set("spark.sql.files.openCostInBytes", str(OPEN_COST))
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-
-
 def _texts(spark, path):
     return office.texts(office.blocks(listing.files(spark, path)))
 
@@ -170,7 +160,7 @@ _CLEAN = VALUES["x01_page_clean"][1]
 def b41_batch_extract(spark, sf):
     """All PDFs of each source's folder: cleaned texts as files, the results as a list beside them."""
     path = _pdf_files(spark, sf)
-    read = pdf.by_file(pdf.pages(_files(spark, path))).withColumn("source", F.regexp_extract("path", "/([^/]+)/f[0-9]+[.]pdf$", 1))
+    read = pdf.by_file(pdf.pages(listing.files(spark, path))).withColumn("source", F.regexp_extract("path", "/([^/]+)/f[0-9]+[.]pdf$", 1))
     clean = read.withColumn("clean", T.clean_pages(F.col("text"))).withColumn("language", F.when(F.col("clean") != "", T.guess_language("clean")).otherwise(""))
     out = scratch(spark, "extracted")
     kept = clean.select("source", _number().alias("n"), "page_count", "method", "sparse_pages", "language", F.length("clean").alias("chars"), "clean")

@@ -21,9 +21,15 @@ from .scratch import file_system, kept
 
 #: Entries of one Arrow batch while a folder is listed.
 LIST_ROWS = 4096
+#: Bytes of whole files in one Arrow batch, and the file that goes beyond them.
+BATCH_BYTES = 4 << 20
 #: Files that a task opens, at most on average.
 FILES_A_TASK = 2048
 
+# Endings of packed files, signs that an address spells as they are.
+_PACKED = {"gz": "gzip", "bz2": "bz2", "zst": "zstd"}
+_PLAIN = "/@:,;$&+=_-!.~'()*"
+
 
 def hidden(name: str) -> bool:
     """Whether Spark's readers pass over a file or folder of this name."""
@@ -105,6 +111,12 @@ def body(path: str, most: int | None = None, compression: str | None = None) ->
         return f.read() if most is None else f.read(most + 1)
 
 
+def _address(path: str) -> str:
+    """The path as ``_metadata.file_path`` has it: signs of ASCII that aren't for addresses are escaped."""
+    scheme, _, rest = path.partition(":")
+    return f"{scheme}:" + "".join(c if c > "\x7f" else quote(c, safe=_PLAIN) for c in rest)
+
+
 def bodies(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, bytes | None]]:
     """Path and bytes of each row, opened one at a time where the rows have no content of their own."""
     for b in batches:
@@ -114,6 +126,27 @@ def bodies(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str,
             yield from ((p, body(p, most)) for p in b["path"].to_pylist())
 
 
+def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each path, as a column of file metadata spells it, and what is in the file, unpacked where its name says that it is packed."""
+    rows: list[tuple[str, bytes]] = []
+
+    def told() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary()), strict=True)], ["path", "content"])
+        rows.clear()
+        return batch
+
+    size = 0
+    for b in batches:
+        for path in b["path"].to_pylist():
+            rows.append((_address(path), body(path, compression=_PACKED.get(path.rpartition(".")[2]))))
+            size += len(rows[-1][1])
+            if size >= BATCH_BYTES or len(rows) >= LIST_ROWS:
+                yield told()
+                size = 0
+    if rows:
+        yield told()
+
+
 def to_read(df: DataFrame) -> DataFrame:
     """The columns of files that :func:`bodies` takes."""
     return df.select(*[c for c in ("path", "content") if c in df.columns])

@@ -83,9 +83,11 @@ def yaml_map(spark: SparkSession, path: str, under: str, key: str, value: str) -
 
 
 def source_tree(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """Whole files below a folder: path and text."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """Whole files below a folder: path and text. Files are listed and opened by tasks; the driver keeps none of their names."""
+    from .listing import files, whole
+
+    found = files(spark, folder, pattern).mapInArrow(whole, "path string, content binary")
+    return found.select("path", F.col("content").cast("string").alias("text"))
 
 
 def latest(spark: SparkSession, pattern: str) -> str | None:

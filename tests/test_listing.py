@@ -1,9 +1,13 @@
 """Files listed and opened by tasks, against Spark's own reader."""
 
+import gzip
+
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusloom.plans import formats
-from corpusloom.sources import listing
+from corpusloom.sources import listing, readers
 
 FILES = {"a.docx": b"one", "b c%20d+ä.docx": b"two", "sub/empty.docx": b"", "sub/x=1/deep.pdf": b"\x00\xff", "_x=2/e.docx": b"e", "_hidden/f.docx": b"f", "sub/.g.docx": b"g", "sub/_h.docx": b"h", "i._COPYING_": b"i"}
 
@@ -53,3 +57,21 @@ def test_office_files_are_not_listed_on_the_driver(spark):
 @pytest.mark.parametrize("query", ["s19_pdf_pages", "s19_pdf_methods"])
 def test_pdfs_are_not_listed_on_the_driver(spark, query):
     assert len(getattr(formats, query)(spark, "/root/testdata/sf0.001").inputFiles()) < 50
+
+
+def test_trees_are_read_as_spark_reads_them(spark, folder, tmp_path, monkeypatch):
+    (tmp_path / "sub" / "g [1]#2?.docx.gz").write_bytes(gzip.compress("gepackt ä".encode()))
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx*").text(folder, wholetext=True)
+    want = sorted(map(tuple, df.select(F.col("_metadata.file_path"), "value").collect()))
+    assert len(want) == 4
+    for most in (listing.BATCH_BYTES, 1):
+        monkeypatch.setattr(listing, "BATCH_BYTES", most)
+        assert sorted(map(tuple, readers.source_tree(spark, folder, "*.docx*").collect())) == want
+
+
+def test_a_tree_is_not_listed_on_the_driver(spark, tmp_path):
+    """What the batch of PDFs counts its written texts by."""
+    for k in range(200):
+        (tmp_path / f"f{k}.txt").write_text("x")
+    read = readers.source_tree(spark, str(tmp_path), "*.txt")
+    assert len(read.inputFiles()) < 50 and read.count() == 200
